@@ -2,13 +2,15 @@
 
 Panels are dense: one row per entity and bin, so a window over one entity is
 bounded by the calendar, never by raw volume.  Operators that must accept raw
-rows (`asof_last`, `count_before`) are cut into (entity, time slice) tasks and
+rows (`event_clocks`) are cut into (entity, time slice) tasks and
 receive what happened before their slice as a carried value, so one hot entity
 is spread over as many tasks as there are slices.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,67 +80,72 @@ def contiguous_run(df: DataFrame, step: int, k: int, name: str = "history_ok") -
             .withColumn(name, (F.row_number().over(run) >= k).cast("int")).drop("_brk", "_run"))
 
 
-def _slices(col: Column, width: int) -> Column:
-    return F.floor(col / F.lit(width))
-
+@dataclass(frozen=True)
+class EventClock:
+    """A moment derived from each event, compared with the row clock.
 
-def asof_last(rows: DataFrame, events: DataFrame, event_time: str, values: list[str],
-              inclusive: bool = True, slice_seconds: int = 30 * DAY, t: str = "t",
-              keys: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """Attach the last event with time <= t (or < t) and the number of such events.
-
-    Adds ``asof`` (struct of event_time and values, NULL when there is none) and
-    ``n_before``.  Rows and events are unioned per (keys, slice); each slice is
-    ordered on its own, and a small per-slice summary carries the last event and
-    the count over from earlier slices.
+    ``at`` is the moment; a row sees the event once ``at <= t`` (inclusive) or
+    ``at < t``.  Shifting ``at`` turns range counts into differences of two
+    clocks: onsets in ``[t, t+H)`` are ``onset-H < t`` minus ``onset < t``.
     """
-    kind_event, kind_row = (0, 1) if inclusive else (1, 0)
-    row_cols = [c for c in rows.columns if c not in keys]
-    payload = F.struct(F.col(event_time), *[F.col(v) for v in values])
-    tagged_events = events.select(
-        *keys, _slices(F.col(event_time), slice_seconds).alias("_slice"), F.col(event_time).cast("bigint").alias("_at"),
-        F.lit(kind_event).alias("_kind"), payload.alias("_event"))
-    tagged_rows = rows.select(
-        *keys, _slices(F.col(t), slice_seconds).alias("_slice"), F.col(t).cast("bigint").alias("_at"),
-        F.lit(kind_row).alias("_kind"), F.struct(*row_cols).alias("_row"))
-    both = tagged_rows.unionByName(tagged_events, allowMissingColumns=True)
-    per_slice = tagged_events.groupBy(*keys, "_slice").agg(
-        F.max("_event").alias("_slice_last"), F.count(F.lit(1)).alias("_slice_n"))
-    touched = tagged_rows.select(*keys, "_slice").distinct()
-    over = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UNB, -1)
-    carry = (touched.join(per_slice, [*keys, "_slice"], "full_outer")
-             .select(*keys, "_slice",
-                     F.last("_slice_last", ignorenulls=True).over(over).alias("_carry"),
-                     F.coalesce(F.sum("_slice_n").over(over), F.lit(0)).alias("_carry_n")))
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_at", "_kind").rowsBetween(UNB, 0)
-    ordered = both.withColumns({
-        "_last": F.last("_event", ignorenulls=True).over(inside),
-        "_n": F.count("_event").over(inside),
-    }).filter(F.col("_kind") == kind_row)
-    joined = ordered.join(carry, [*keys, "_slice"], "left")
-    return joined.select(
-        *keys, "_row.*", F.coalesce("_last", "_carry").alias("asof"),
-        (F.col("_n") + F.coalesce("_carry_n", F.lit(0))).alias("n_before"))
+
+    name: str
+    at: Column
+    inclusive: bool = False
+    payload: tuple[str, ...] = ()
+    where: Column | None = None
 
 
-def count_before(rows: DataFrame, events: DataFrame, event_time: str, shifts: dict[str, int],
-                 inclusive: bool = False, t: str = "t", slice_seconds: int = 30 * DAY) -> DataFrame:
-    """For each name: number of events with time < t + shift (<= when inclusive).
+def event_clocks(rows: DataFrame, events: DataFrame, clocks: list[EventClock], t: str = "t",
+                 keys: tuple[str, ...] = ("entity",), slice_seconds: int | None = 30 * DAY) -> DataFrame:
+    """Attach ``<name>_n`` (events seen) and ``<name>_last`` (last payload) for every clock.
 
-    Differences of two such counts answer every range-count join, e.g. events in
-    ``[t-7d, t)`` is ``n(0) - n(-7d)``.  All shifted clocks of a row go through
-    one union, so the whole set costs one exchange plus one regrouping.
+    The events, not the rows, are multiplied: every clock is a marker in one
+    union that is ordered once.  With ``slice_seconds`` each (keys, time slice)
+    is its own task and earlier slices arrive as a carried summary, so a hot key
+    is spread over its slices.  Dense panels, already bounded by the calendar,
+    may pass ``None`` and skip the carry.
     """
-    cols = rows.columns
-    probes = rows.select(F.struct(*cols).alias("_r"), "entity", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), (F.col(t) + s).cast("bigint").alias("at")) for n, s in shifts.items()
-    ])).alias("_p")).select("entity", "_r", F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at_probe"))
-    counted = asof_last(probes, events, event_time, [], inclusive, slice_seconds, t="_at_probe")
-    key = ["entity", t]
-    wide = counted.groupBy(*[F.col("_r")[k].alias(k) for k in key]).agg(
-        F.first("_r").alias("_r"),
-        *[F.max(F.when(F.col("_name") == n, F.col("n_before"))).alias(n) for n in shifts])
-    return wide.select("_r.*", *shifts)
+    row_cols = [c for c in rows.columns if c not in keys]
+    sliced = slice_seconds is not None
+    slice_of = (lambda c: F.floor(c / F.lit(slice_seconds))) if sliced else (lambda c: F.lit(0))
+    payload = sorted({c for k in clocks for c in k.payload})
+    made = F.array_compact(F.array(*[
+        F.when(F.lit(True) if k.where is None else k.where,
+               F.struct(F.lit(k.name).alias("name"), k.at.cast("bigint").alias("at"),
+                        F.lit(0 if k.inclusive else 2).alias("kind"))) for k in clocks]))
+    markers = events.select(*keys, F.struct(F.lit(0).alias("_"), *payload).alias("_event"), F.explode(made).alias("_m")).select(
+        *keys, slice_of(F.col("_m.at")).alias("_slice"), F.col("_m.at").alias("_at"),
+        F.col("_m.kind").alias("_kind"), F.col("_m.name").alias("_name"), "_event")
+    tagged = rows.select(*keys, slice_of(F.col(t)).alias("_slice"), F.col(t).cast("bigint").alias("_at"),
+                         F.lit(1).alias("_kind"), F.struct(*row_cols).alias("_row"))
+    group = [*keys, "_slice"] if sliced else list(keys)
+    inside = Window.partitionBy(*group).orderBy("_at", "_kind", "_event").rowsBetween(UNB, 0)
+
+    def mine(k):
+        return F.col("_name") == k.name
+
+    seen = {}
+    for k in clocks:
+        seen[f"_n_{k.name}"] = F.count(F.when(mine(k), 1)).over(inside)
+        if k.payload:
+            seen[f"_l_{k.name}"] = F.last(F.when(mine(k), F.col("_event")), ignorenulls=True).over(inside)
+    ordered = tagged.unionByName(markers, allowMissingColumns=True).withColumns(seen).filter("_kind = 1")
+    if not sliced:
+        return ordered.select(*keys, "_row.*", *[F.col(f"_n_{k.name}").alias(f"{k.name}_n") for k in clocks],
+                              *[F.col(f"_l_{k.name}").alias(f"{k.name}_last") for k in clocks if k.payload])
+    summary = markers.groupBy(*group).agg(
+        *[F.count(F.when(mine(k), 1)).alias(f"s_{k.name}") for k in clocks],
+        *[F.max(F.when(mine(k), F.struct("_at", "_event"))).alias(f"e_{k.name}") for k in clocks if k.payload])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UNB, -1)
+    carry = (tagged.select(*group).distinct().join(summary, group, "full_outer").select(
+        *group, *[F.coalesce(F.sum(f"s_{k.name}").over(before), F.lit(0)).alias(f"c_{k.name}") for k in clocks],
+        *[F.last(f"e_{k.name}", ignorenulls=True).over(before)["_event"].alias(f"f_{k.name}") for k in clocks if k.payload]))
+    joined = ordered.join(carry, group, "left")
+    return joined.select(
+        *keys, "_row.*",
+        *[(F.col(f"_n_{k.name}") + F.coalesce(f"c_{k.name}", F.lit(0))).alias(f"{k.name}_n") for k in clocks],
+        *[F.coalesce(f"_l_{k.name}", f"f_{k.name}").alias(f"{k.name}_last") for k in clocks if k.payload])
 
 
 def events_in_frame(rows: DataFrame, count_col: str, back: int, ahead_s: int, t: str = "t") -> Column:

@@ -133,3 +133,103 @@ cte("stations", """SELECT c_custkey AS station, n_name AS city, n_regionkey AS r
  115.0::DOUBLE + ((c_custkey*7919)%100003)/20000.0::DOUBLE AS lon, 24.0::DOUBLE + ((c_custkey*104729)%99991)/25000.0::DOUBLE AS lat,
  CAST((c_custkey*31)%2000 AS DOUBLE) AS elevation, CASE WHEN c_custkey%5<>0 THEN 1 ELSE 0 END AS seen
  FROM customer JOIN nation ON c_nationkey=n_nationkey""")
+
+
+# --- episodes and risk timeline ----------------------------------------------
+
+from tidewatch.operators import episodes, risk  # noqa: E402
+
+EPISODE_RULES = episodes.EpisodeRules(merge_gap_seconds=10800, cooldown_seconds=7200, cold_limit=8.0,
+                                      minimum_rows=1, step=HOUR, bucket=600)
+RISK_RULES = risk.RiskRules(step=HOUR, history_bins=6, lookback_bins=2, minimum_history_bins=0.15,
+                            minimum_history_coverage=0.002, minimum_label_coverage=0.0025, cooldown=7200,
+                            temperature_c=5.0, humidity_pct=70.0, visibility_m=5000.0)
+
+
+def sensor_rows(spark: SparkSession, root: str) -> DataFrame:
+    r = readings(spark, root)
+    return r.select("entity", "t", "us", "event_id", (F.col("thickness_c") / 100.0).alias("thickness"),
+                    (F.col("temp_d") / 10.0).alias("temp"), (F.col("rh_d") / 10.0).alias("rh"),
+                    F.col("vis").cast("double").alias("vis"), "fog", F.col("fog").alias("exposed"), "wind")
+
+
+def episode_events(spark: SparkSession, root: str) -> DataFrame:
+    return episodes.extract_events(sensor_rows(spark, root), "thickness", 0.0, EPISODE_RULES, ["us", "event_id"])
+
+
+cte("pos", """SELECT entity, t, thickness_c/100.0 AS thickness, temp_d/10.0 AS temp, rh_d/10.0 AS rh, vis, fog FROM (SELECT *,
+ row_number() OVER (PARTITION BY entity, t ORDER BY us DESC, event_id DESC) AS rn FROM rd WHERE thickness_c>0) WHERE rn=1""", "rd")
+cte("ep0", """SELECT *, sum(brk) OVER (PARTITION BY entity ORDER BY t ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *,
+ CASE WHEN t - lag(t) OVER (PARTITION BY entity ORDER BY t) <= 10860 THEN 0 ELSE 1 END AS brk FROM pos)""", "pos")
+cte("ep1", """SELECT entity, grp AS event_sequence, min(t) AS onset, max(t) AS ending, count(*) AS positive_rows,
+ max(thickness) AS max_value, min(temp) AS min_temp, max(temp) AS max_temp, max(rh) AS max_rh, min(vis) AS min_vis, max(fog) AS fog_supported,
+ sum(fog) AS exposed_rows, min(t) FILTER (thickness=mx) AS peak_at, (max(t)-min(t))//60+1 AS elapsed_minutes
+ FROM (SELECT *, max(thickness) OVER (PARTITION BY entity, grp) AS mx FROM ep0) GROUP BY 1,2""", "ep0")
+cte("ep2", """SELECT *, CASE WHEN min_temp<=8 THEN 1 ELSE 0 END AS cold_plausible, 1 AS duration_pass,
+ CASE WHEN prev IS NULL OR onset//3600*3600 >= prev+7200 THEN 1 ELSE 0 END AS cooldown_pass, onset//3600*3600 AS reference_issue
+ FROM (SELECT *, lag(ending) OVER (PARTITION BY entity ORDER BY onset) AS prev FROM ep1)""", "ep1")
+cte("ep", """SELECT *, CASE WHEN valid=1 THEN sum(valid) OVER (PARTITION BY entity ORDER BY onset ROWS UNBOUNDED PRECEDING) ELSE 0 END AS recurrent_index,
+ CASE WHEN valid=1 THEN '' WHEN cold_plausible=0 THEN 'warm_or_missing_temperature' ELSE 'prediction_time_within_cooldown' END AS exclusion_reason,
+ printf('%d-E%04d', entity, event_sequence) AS event_id FROM (SELECT *, cold_plausible*cooldown_pass AS valid FROM ep2)""", "ep2")
+cte("epv", """SELECT *, CASE WHEN event_order=1 THEN 'first' WHEN event_order=2 THEN 'second' ELSE 'third_plus' END AS order_group,
+ CASE WHEN event_order=1 THEN 'first' ELSE 'recurrent' END AS recurrence, (onset-pe)/3600.0 AS gap_hours, (onset-po)/3600.0 AS onset_gap_hours,
+ year(make_timestamp(onset*1000000)) AS onset_year, month(make_timestamp(onset*1000000)) AS onset_month,
+ CASE WHEN month(make_timestamp(onset*1000000)) IN (12,1,2) THEN 'winter' WHEN month(make_timestamp(onset*1000000)) IN (3,4,5) THEN 'spring'
+ WHEN month(make_timestamp(onset*1000000)) IN (6,7,8) THEN 'summer' ELSE 'autumn' END AS season
+ FROM (SELECT *, row_number() OVER w AS event_order, lag(ending) OVER w AS pe, lag(onset) OVER w AS po FROM ep WHERE valid=1
+ WINDOW w AS (PARTITION BY entity ORDER BY onset))""", "ep")
+
+
+def sensor_timeline(spark: SparkSession, root: str) -> DataFrame:
+    """Dense hourly sensor bins; ``t`` is the right edge of the bin."""
+    r = sensor_rows(spark, root)
+    binned = binning.bin_sensors(r, HOUR, ["temp", "rh", "vis"], ["temp", "vis"], ["rh"], ["fog"], F.col("thickness") > 0)
+    b = grid_bounds(r)
+    full = binning.complete_panel(binned, b["lo"], b["hi"], HOUR, ["raw_rows", "observed_minutes", "positive_minutes"], t="bin_start")
+    full = binning.derive_bin_features(full, HOUR, ["temp", "rh", "vis"], ["fog"])
+    return full.withColumns({"t": F.col("issue_time"), "coverage": F.col("coverage_fraction"),
+                             "label_coverage": F.least(F.col("raw_rows"), F.lit(60)) / 60.0})
+
+
+cte("bins", """SELECT entity, t//3600*3600 AS bin_start, count(*) AS raw_rows, count(DISTINCT t//60) AS observed_minutes,
+ sum(CASE WHEN thickness_c>0 THEN 1 ELSE 0 END) AS positive_minutes, sum(temp_d) AS temp_ds, count(temp_d) AS temp_count, min(temp_d)/10.0 AS temp_min,
+ sum(rh_d) AS rh_ds, max(rh_d)/10.0 AS rh_max, sum(vis) AS vis_sum, count(vis) AS vis_count, min(vis) AS vis_min, sum(fog) AS fog_minutes
+ FROM rd GROUP BY 1,2""", "rd")
+cte("tl", """SELECT g.entity, g.bin_start, g.bin_start+3600 AS t, coalesce(observed_minutes,0) AS observed_minutes, coalesce(positive_minutes,0) AS positive_minutes,
+ coalesce(raw_rows,0) AS raw_rows, temp_min, rh_max, vis_min, temp_ds/10.0/temp_count AS temp_mean, rh_ds/10.0/raw_rows AS rh_mean,
+ vis_sum*1.0/vis_count AS vis_mean, fog_minutes*1.0/observed_minutes AS fog_fraction, least(coalesce(observed_minutes,0),60)/60.0 AS coverage,
+ least(coalesce(raw_rows,0),60)/60.0 AS label_coverage
+ FROM (SELECT entity, unnest(range(lo, hi+1, 3600)) AS bin_start FROM (SELECT DISTINCT entity FROM rd), bounds) g
+ LEFT JOIN bins b ON b.entity=g.entity AND b.bin_start=g.bin_start""", "bins bounds")
+cte("rec", """SELECT r.entity, r.t, count(*) FILTER (e.ending<=r.t) AS ended_n, max(e.ending) FILTER (e.ending<=r.t) AS last_end,
+ arg_max(e.elapsed_minutes, e.ending) FILTER (e.ending<=r.t) AS last_minutes, arg_max(e.max_value, e.ending) FILTER (e.ending<=r.t) AS last_value,
+ count(*) FILTER (e.onset<r.t) AS begun, count(*) FILTER (e.onset<r.t AND e.onset>=r.t-604800) AS past7,
+ count(*) FILTER (e.onset<r.t AND e.onset>=r.t-2592000) AS past30, count(*) FILTER (e.onset>=r.t AND e.onset<r.t+3600) AS w1,
+ count(*) FILTER (e.onset>=r.t AND e.onset<r.t+10800) AS w3, count(*) FILTER (e.onset>=r.t AND e.onset<r.t+21600) AS w6
+ FROM tl r LEFT JOIN ep e ON e.entity=r.entity AND e.valid=1 GROUP BY 1,2""", "tl ep")
+cte("phys", """SELECT r.entity, r.t, count(*) FILTER ((e.onset<r.t AND r.t<=e.ending) OR (e.ending<r.t AND r.t<e.ending+7200)) AS blocks,
+ max(e.ending) FILTER (e.ending<=r.t) AS any_end FROM tl r LEFT JOIN ep e ON e.entity=r.entity GROUP BY 1,2""", "tl ep")
+cte("hist", """SELECT *, max(e3) OVER b2 AS exposure_recent, avg(e3) OVER b2 AS exposure_fraction,
+ CASE WHEN count(*) OVER b6=6 THEN avg(ob) OVER b6 END AS history_bins, CASE WHEN count(*) OVER b6=6 THEN avg(coverage) OVER b6 END AS history_coverage,
+ lead(label_coverage) OVER (PARTITION BY entity ORDER BY t) AS next_label
+ FROM (SELECT *, greatest(e1,e2) AS e3, CASE WHEN observed_minutes>=1 THEN 1 ELSE 0 END AS ob FROM (SELECT *,
+ CASE WHEN temp_min<=5 AND rh_max>=70 THEN 1 ELSE 0 END AS e1, CASE WHEN vis_min<5000 OR fog_fraction>0 THEN 1 ELSE 0 END AS e2 FROM tl))
+ WINDOW b2 AS (PARTITION BY entity ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
+ b6 AS (PARTITION BY entity ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""", "tl")
+_HZ = {1: "w1", 3: "w3", 6: "w6"}
+cte("risk0", """SELECT h.*, rec.* EXCLUDE (entity,t), CASE WHEN blocks=0 AND positive_minutes=0 THEN 1 ELSE 0 END AS physical_at_risk,
+ (h.t-any_end)/3600.0 AS time_since_last_hours,
+ CASE WHEN history_bins>=0.15 AND history_coverage>=0.002 THEN 1 ELSE 0 END AS history_valid,
+ CASE WHEN next_label>=0.0025 THEN 1 ELSE 0 END AS step_label_valid,
+ """ + ", ".join(f"CASE WHEN count(*) OVER f{k}={k} AND sum(label_coverage) OVER f{k}/{k}>=0.0025 THEN 1 ELSE 0 END AS lv{k}, CASE WHEN count(*) OVER f{k}={k} THEN sum(label_coverage) OVER f{k}/{k} END AS lf{k}" for k in _HZ) + """
+ FROM hist h JOIN rec USING (entity,t) JOIN phys USING (entity,t) WINDOW """ + ", ".join(
+    f"f{k} AS (PARTITION BY h.entity ORDER BY h.t ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING)" for k in _HZ), "hist rec phys")
+cte("risk1", """SELECT *, physical_at_risk*history_valid*step_label_valid AS risk_set,
+ CASE WHEN w1>0 THEN physical_at_risk*history_valid*step_label_valid ELSE 0 END AS hazard_label FROM risk0""", "risk0")
+cte("risk", """SELECT *, CASE WHEN risk_set=1 THEN sp ELSE 0 END AS spell_index, CASE WHEN risk_set=1 THEN sum(risk_set) OVER (PARTITION BY entity, sp ORDER BY t ROWS UNBOUNDED PRECEDING) ELSE 0 END AS spell_step
+ FROM (SELECT *, sum(ent) OVER (PARTITION BY entity ORDER BY t ROWS UNBOUNDED PRECEDING) AS sp FROM (SELECT *,
+ CASE WHEN risk_set=1 AND coalesce(lag(risk_set) OVER (PARTITION BY entity ORDER BY t),0)=0 THEN 1 ELSE 0 END AS ent FROM risk1))""", "risk1")
+
+
+def risk_rows(spark: SparkSession, root: str) -> DataFrame:
+    return risk.risk_timeline(sensor_timeline(spark, root), episode_events(spark, root), RISK_RULES)
