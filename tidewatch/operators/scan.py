@@ -22,7 +22,8 @@ def _slice_bounds(df: DataFrame, order: str, slices: int) -> Column:
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (),
                    descending: bool = False, slices: int = SLICES) -> DataFrame:
-    """Distinct ``order`` values with each sum and its inclusive running total ``<name>_cum``."""
+    """Distinct ``order`` values with each sum, its inclusive running total ``<name>_cum``
+    and its group total ``<name>_total``."""
     bounds = _slice_bounds(df, order, slices)
     distinct = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     above = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
@@ -31,35 +32,28 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(*by, "_slice", *[
-        F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums])
+        F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums], *[
+        F.sum(f"_s_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in sums])
     inside = Window.partitionBy(*by, "_slice").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
         Window.unboundedPreceding, 0)
     local = cut.withColumns({f"_l_{n}": F.sum(n).over(inside) for n in sums})
     return local.join(carried, [*by, "_slice"]).select(
-        *by, order, *sums, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(f"{n}_cum") for n in sums])
+        *by, order, *sums, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(f"{n}_cum") for n in sums],
+        *[f"{n}_total" for n in sums])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """Linear-interpolation quantiles per group, exact for any group size."""
-    clean = df.filter(F.col(value).isNotNull())
-    cum = running_totals(clean, value, {"n": F.lit(1)}, by)
-    total = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    if by:
-        joined = cum.join(total, list(by))
-    else:
-        joined = cum.withColumn("_total", total.scalar())
-    aggs = []
+    cum = running_totals(df.filter(F.col(value).isNotNull()), value, {"n": F.lit(1)}, by)
+    picks = []
     for name, p in probs.items():
-        position = F.lit(p) * (F.col("_total") - 1)
-
-        def at(rank):
-            return F.max(F.when((F.col("n_cum") - F.col("n") <= rank) & (rank < F.col("n_cum")), F.col(value)))
-
-        aggs.append(F.struct(at(F.floor(position)).alias("lo"), at(F.ceil(position)).alias("hi"),
-                             F.max(position - F.floor(position)).alias("w")).alias(name))
-    out = joined.groupBy(*by).agg(*aggs, F.max("_total").alias("_n"))
-    return out.select(*by, *[
-        (F.col(f"{n}.lo") + (F.col(f"{n}.hi") - F.col(f"{n}.lo")) * F.col(f"{n}.w")).alias(n) for n in probs])
+        spot = f"{p}D * (n_total - 1)"
+        hit = "max(CASE WHEN n_cum - n <= {0} AND {0} < n_cum THEN {1} END)"
+        picks.append(f"{hit.format(f'floor({spot})', value)} AS {name}_lo")
+        picks.append(f"{hit.format(f'ceil({spot})', value)} AS {name}_hi")
+        picks.append(f"max({spot} - floor({spot})) AS {name}_w")
+    out = cum.groupBy(*by).agg(*[F.expr(x) for x in picks])
+    return out.selectExpr(*by, *[f"{n}_lo + ({n}_hi - {n}_lo) * {n}_w AS {n}" for n in probs])
 
 
 def distribution_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

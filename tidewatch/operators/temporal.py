@@ -58,11 +58,10 @@ def forward_sum(col: str, k: int, **kw) -> tuple[Column, Column]:
 
 def with_horizon_label(df: DataFrame, count_col: str, horizon: int) -> DataFrame:
     """``future``: event in bins t+1..t+H; ``observed``: all H bins exist."""
-    w = ahead(horizon)
-    return df.withColumns({
-        "future": F.when(F.sum(count_col).over(w) > 0, 1).otherwise(0),
-        "observed": F.when(F.count(F.lit(1)).over(w) == horizon, 1).otherwise(0),
-    })
+    frame = f"OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {horizon} FOLLOWING)"
+    return df.selectExpr(
+        "*", f"CASE WHEN sum({count_col}) {frame} > 0 THEN 1 ELSE 0 END AS future",
+        f"CASE WHEN count(1) {frame} = {horizon} THEN 1 ELSE 0 END AS observed")
 
 
 def islands(df: DataFrame, start: Column, name: str = "island", keys=("entity",), t: str = "t") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import episodes, risk, scan
 from tidewatch.plans.registry import cte, query
+from tidewatch.session import materialize
 from tidewatch.plans.standins import episode_events, risk_rows, sensor_rows
 
 
@@ -182,7 +183,8 @@ def ev12(spark, root):
        FROM (SELECT *, row_number() OVER w AS o, (onset-lag(ending) OVER w)/3600.0 AS gap FROM gridev WHERE valid=1 WINDOW w AS (PARTITION BY rule, merge_minutes, cooldown_hours, cold_limit, entity ORDER BY onset)) GROUP BY 1,2,3,4)""", "gridev")
 def ev13(spark, root):
     keys = ("rule", "merge_minutes", "cooldown_hours", "cold_limit")
-    v = episodes.order_valid_events(_grid_events(spark, root), (*keys, "entity"))
+    # Read twice below: written once so the sessionization is not repeated.
+    v = materialize(episodes.order_valid_events(_grid_events(spark, root), (*keys, "entity")), "definition-events")
     counts = v.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("entity").alias("stations"),
         F.count_distinct(F.when(F.col("event_order") >= 2, F.col("entity"))).alias("recurrent_stations"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import calendar_terms_simple
@@ -16,23 +16,22 @@ WINDOWS = (6, 24, 168)
 
 def causal_recurrence_features(p: DataFrame, horizon: int, base=BASE, windows=WINDOWS) -> DataFrame:
     """Lagged counts, rolling sums of the past, bins since last event, prior rate, labels."""
-    w = temporal.by_clock()
-    past_all = w.rowsBetween(Window.unboundedPreceding, -1)
-    rn = F.row_number().over(w)
-    p = p.withColumn("rn", rn)
-    since = F.col("rn") - F.last(F.when(F.col("event_count") > 0, F.col("rn")), ignorenulls=True).over(past_all)
-    cols = {}
+    def over(frame: str) -> str:
+        return f"OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN {frame})"
+
+    everything = over("UNBOUNDED PRECEDING AND 1 PRECEDING")
+    cols = []
     for c in base:
-        cols[f"{c}_lag1"] = F.coalesce(F.lag(c).over(w), F.lit(0))
-        for k in windows:
-            cols[f"{c}_past_{k}"] = F.coalesce(F.sum(c).over(temporal.past_rows(k)), F.lit(0))
-    cols |= {
-        "since_event_missing": since.isNull().cast("int"),
-        "since_event_bins": F.least(F.coalesce(since, F.lit(10000)), F.lit(10000)),
-        "prior_event_rate": F.when(F.col("rn") > 1, F.sum("event_count").over(past_all) / (F.col("rn") - 1)).otherwise(0.0),
-        **calendar_terms_simple("t"),
-    }
-    return temporal.with_horizon_label(p.withColumns(cols), "event_count", horizon)
+        cols.append(f"coalesce(lag({c}) OVER (PARTITION BY entity ORDER BY t), 0) AS {c}_lag1")
+        cols += [f"coalesce(sum({c}) {over(f'{k} PRECEDING AND 1 PRECEDING')}, 0) AS {c}_past_{k}" for k in windows]
+    numbered = p.selectExpr("*", "row_number() OVER (PARTITION BY entity ORDER BY t) AS rn")
+    windowed = numbered.selectExpr(
+        "*", *cols, f"sum(event_count) {everything} AS prior_n",
+        f"rn - last(CASE WHEN event_count > 0 THEN rn END, true) {everything} AS since")
+    out = windowed.selectExpr(
+        "*", "CAST(since IS NULL AS INT) AS since_event_missing", "least(coalesce(since, 10000), 10000) AS since_event_bins",
+        "CASE WHEN rn > 1 THEN prior_n / (rn - 1) ELSE 0.0D END AS prior_event_rate").withColumns(calendar_terms_simple("t"))
+    return temporal.with_horizon_label(out, "event_count", horizon)
 
 
 def _features_sql() -> str:

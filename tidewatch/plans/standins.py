@@ -22,20 +22,16 @@ PANEL_TYPES = {"event_count": "purchase", "view_count": "view", "cart_count": "c
 
 
 def readings(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events")
-    return e.select(
-        F.col("user_id").alias("entity"), "event_id", "event_type", to_clock("ts").alias("t"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-    ).withColumns({
-        "thickness_c": F.when(F.col("event_type").isin("purchase", "error"), F.col("cents")).otherwise(F.lit(0)),
-        "temp_d": F.when(F.col("event_id") % 11 != 0, (F.col("event_id") * 37) % 300 - 150),
-        "rh_d": (F.col("event_id") * 53) % 500 + 500,
-        "vis": F.when(F.col("event_id") % 13 != 0, (F.col("event_id") * 97) % 20000 + 100),
-        "fog": F.when(F.col("event_id") % 7 == 0, 1).otherwise(0),
-        "wind": (F.col("event_id") * 13) % 360,
-    })
+    base = table(spark, root, "events").selectExpr(
+        "user_id AS entity", "event_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) AS us",
+        "CAST(round(value * 100) AS BIGINT) AS cents", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    return base.selectExpr(
+        "*", "us DIV 1000000 AS t",
+        "CASE WHEN event_type IN ('purchase', 'error') THEN cents ELSE 0 END AS thickness_c",
+        "CASE WHEN event_id % 11 <> 0 THEN (event_id * 37) % 300 - 150 END AS temp_d",
+        "(event_id * 53) % 500 + 500 AS rh_d",
+        "CASE WHEN event_id % 13 <> 0 THEN (event_id * 97) % 20000 + 100 END AS vis",
+        "CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS fog", "(event_id * 13) % 360 AS wind")
 
 
 cte("rd", """SELECT *, CASE WHEN event_type IN ('purchase','error') THEN cents ELSE 0 END AS thickness_c,
@@ -83,17 +79,12 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     The score mixes purchases of the past day with fixed arithmetic noise; about
     one row in 53 has no score, which exercises every reset rule.
     """
-    p = panel(spark, root)
-    w = temporal.past_rows(24)
-    bin_no = F.floor(F.col("t") / HOUR)
-    p = temporal.with_horizon_label(p, "event_count", HORIZON)
-    return p.withColumns({
-        "past24": F.coalesce(F.sum("event_count").over(w), F.lit(0)),
-        "noise": F.pmod(F.col("entity") * 7919 + bin_no * 104729, F.lit(997)),
-    }).withColumn("score", F.when(
-        F.pmod(F.col("entity") * 31 + bin_no * 17, F.lit(53)) != 0,
-        F.round((F.col("noise") * 60 + F.least("past24", F.lit(4)) * 9970) / F.lit(99700.0), 6),
-    ))
+    p = temporal.with_horizon_label(panel(spark, root), "event_count", HORIZON)
+    noisy = p.selectExpr(
+        "*", "coalesce(sum(event_count) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0) AS past24",
+        "pmod(entity * 7919 + (t DIV 3600) * 104729, 997) AS noise")
+    return noisy.selectExpr("*", """CASE WHEN pmod(entity * 31 + (t DIV 3600) * 17, 53) <> 0
+        THEN round((noise * 60 + least(past24, 4) * 9970) / 99700.0D, 6) END AS score""")
 
 
 cte("labelled", """SELECT *, CASE WHEN sum(event_count) OVER f > 0 THEN 1 ELSE 0 END AS future,
@@ -148,9 +139,8 @@ RISK_RULES = risk.RiskRules(step=HOUR, history_bins=6, lookback_bins=2, minimum_
 
 def sensor_rows(spark: SparkSession, root: str) -> DataFrame:
     r = readings(spark, root)
-    return r.select("entity", "t", "us", "event_id", (F.col("thickness_c") / 100.0).alias("thickness"),
-                    (F.col("temp_d") / 10.0).alias("temp"), (F.col("rh_d") / 10.0).alias("rh"),
-                    F.col("vis").cast("double").alias("vis"), "fog", F.col("fog").alias("exposed"), "wind")
+    return r.selectExpr("entity", "t", "us", "event_id", "thickness_c / 100.0D AS thickness", "temp_d / 10.0D AS temp",
+                        "rh_d / 10.0D AS rh", "CAST(vis AS DOUBLE) AS vis", "fog", "fog AS exposed", "wind")
 
 
 def episode_events(spark: SparkSession, root: str) -> DataFrame:

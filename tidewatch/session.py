@@ -17,6 +17,7 @@ RUNTIME = {
     # that follows needs no second exchange of the dense grid.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
+_READY: set[int] = set()
 
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -26,6 +27,8 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture costs several driver round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -33,8 +36,11 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
+    """Apply the runtime settings once per session."""
+    if id(spark) not in _READY:
+        for key, value in RUNTIME.items():
+            spark.conf.set(key, value)
+        _READY.add(id(spark))
     return spark
 
 
