@@ -150,3 +150,65 @@ def event_clocks(rows: DataFrame, events: DataFrame, clocks: list[EventClock], t
 def events_in_frame(rows: DataFrame, count_col: str, back: int, ahead_s: int, t: str = "t") -> Column:
     """Range-frame count on a dense panel: bins with start in ``[t-back, t+ahead_s]``."""
     return F.coalesce(F.sum(count_col).over(by_clock(t=t).rangeBetween(-back, ahead_s)), F.lit(0))
+
+
+def multistep_targets(rows: DataFrame, risk: str, hazard: str, horizon: int, step: int) -> DataFrame:
+    """Labels and censor mask over the next ``horizon`` rows starting at the row itself.
+
+    The walk stops at a gap in time, at the first row not at risk, or (inclusive)
+    at the first event.  Adds ``labels``, ``mask`` (arrays) and ``event_step`` (-1).
+    """
+    frame = f"OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING)"
+    # First position where the walk must stop, counted from the row itself.
+    looked = rows.selectExpr(
+        "*", f"collect_list(named_struct('t', t, 'risk', {risk}, 'hit', {hazard})) {frame} AS _ahead")
+    usable = looked.selectExpr(
+        "*", f"transform(_ahead, (x, i) -> x.risk = 1 AND x.t = t + i * {step}) AS _fit",
+        "transform(_ahead, x -> x.hit = 1) AS _hit")
+    ends = usable.selectExpr(
+        "*", "coalesce(nullif(array_position(_fit, false), 0) - 1, size(_fit)) AS _open",
+        "array_position(transform(_fit, (f, i) -> f AND _hit[i]), true) AS _event")
+    known = ends.selectExpr("*", "CASE WHEN _event > 0 AND _event <= _open THEN _event ELSE _open END AS _n",
+                            "CASE WHEN _event > 0 AND _event <= _open THEN CAST(_event AS INT) - 1 ELSE -1 END AS event_step")
+    return known.selectExpr(
+        *rows.columns, f"transform(sequence(0, {horizon - 1}), i -> CASE WHEN i = event_step THEN 1 ELSE 0 END) AS labels",
+        f"transform(sequence(0, {horizon - 1}), i -> CASE WHEN i < _n THEN 1 ELSE 0 END) AS mask", "event_step")
+
+
+def history_summary(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """Last, mean, minimum and maximum of each column over the trailing k rows."""
+    frame = f"OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return rows.selectExpr("*", *[x for c in columns for x in (
+        f"{c} AS {c}_last", f"avg({c}) {frame} AS {c}_mean", f"min({c}) {frame} AS {c}_min", f"max({c}) {frame} AS {c}_max")])
+
+
+def circular_shift(rows: DataFrame, value: str, shift: int, keys: tuple[str, ...], out: str) -> DataFrame:
+    """Value of the row ``shift`` positions earlier within the key, wrapping around."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    numbered = rows.withColumns({"_rn": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    source = numbered.select(*keys, F.pmod(F.col("_rn") + shift, F.col("_n")).alias("_rn"), F.col(value).alias(out))
+    return numbered.join(source, [*keys, "_rn"]).drop("_rn", "_n")
+
+
+def block_start(t: str, origin: Column, days: int = 7) -> Column:
+    """Start of the calendar block of ``days`` days counted from ``origin`` (a clock)."""
+    day = F.floor((F.col(t) - origin) / DAY)
+    return origin + F.floor(day / days) * days * DAY
+
+
+def time_quality(rows: DataFrame, order: str) -> DataFrame:
+    """Adjacent duplicates, out-of-order rows and missing minutes in arrival order per entity."""
+    stepped = rows.selectExpr("entity", "t DIV 60 * 60 AS m", f"lag(t DIV 60 * 60) OVER (PARTITION BY entity ORDER BY {order}) AS p")
+    return stepped.groupBy("entity").agg(
+        F.expr("count_if(m = p)").alias("duplicate_adjacent"), F.expr("count_if(m < p)").alias("out_of_order"),
+        F.expr("coalesce(sum(CASE WHEN m - p > 60 THEN (m - p) DIV 60 - 1 END), 0)").alias("missing_minutes"),
+        F.min("m").alias("first_minute"), F.max("m").alias("last_minute"))
+
+
+def source_signal(rows: DataFrame, eta: str, fit: Column, active: Column, low: float, high: float, clip: float) -> DataFrame:
+    """Entity-normalized signal: clip((eta - q_low) / max(q_high - q_low, 0.1), 0, clip); 0 off the active set."""
+    norms = rows.filter(fit).groupBy("entity").agg(F.percentile(eta, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    joined = rows.join(norms, "entity", "left")
+    raw = (F.col(eta) - F.col("_q")[0]) / F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(0.1))
+    return joined.withColumn("signal", F.when(active & F.col("_q").isNotNull(), F.greatest(F.lit(0.0), F.least(raw, F.lit(clip))))
+                             .otherwise(0.0)).drop("_q")
