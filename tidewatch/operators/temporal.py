@@ -196,10 +196,20 @@ def block_start(t: str, origin: Column, days: int = 7) -> Column:
     return origin + F.floor(day / days) * days * DAY
 
 
-def time_quality(rows: DataFrame, order: str) -> DataFrame:
-    """Adjacent duplicates, out-of-order rows and missing minutes in arrival order per entity."""
-    stepped = rows.selectExpr("entity", "t DIV 60 * 60 AS m", f"lag(t DIV 60 * 60) OVER (PARTITION BY entity ORDER BY {order}) AS p")
-    return stepped.groupBy("entity").agg(
+def time_quality(rows: DataFrame, arrival: str, part: str) -> DataFrame:
+    """Adjacent duplicates, out-of-order rows and missing minutes in arrival order per entity.
+
+    ``part`` is any non-decreasing label of the arrival order (a file, a range of
+    offsets).  Steps inside a part are taken part by part; the steps between
+    parts come from each part's first and last row, so a busy entity is spread
+    over its parts.
+    """
+    base = rows.selectExpr("entity", "t DIV 60 * 60 AS m", f"{arrival} AS a", f"{part} AS part")
+    inner = base.selectExpr("entity", "m", "lag(m) OVER (PARTITION BY entity, part ORDER BY a) AS p")
+    edges = base.groupBy("entity", "part").agg(F.min_by("m", "a").alias("m"), F.max_by("m", "a").alias("last"))
+    between = edges.selectExpr("entity", "m", "lag(last) OVER (PARTITION BY entity ORDER BY part) AS p")
+    steps = inner.unionByName(between.filter("p IS NOT NULL"))
+    return steps.groupBy("entity").agg(
         F.expr("count_if(m = p)").alias("duplicate_adjacent"), F.expr("count_if(m < p)").alias("out_of_order"),
         F.expr("coalesce(sum(CASE WHEN m - p > 60 THEN (m - p) DIV 60 - 1 END), 0)").alias("missing_minutes"),
         F.min("m").alias("first_minute"), F.max("m").alias("last_minute"))

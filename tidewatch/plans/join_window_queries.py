@@ -283,7 +283,7 @@ def wn15(spark, root):
        """SELECT entity, count(*) FILTER (m=p) AS duplicate_adjacent, count(*) FILTER (m<p) AS out_of_order, coalesce(sum((m-p)//60-1) FILTER (m-p>60),0) AS missing_minutes, min(m) AS first_minute, max(m) AS last_minute
        FROM (SELECT entity, t//60*60 AS m, lag(t//60*60) OVER (PARTITION BY entity ORDER BY (event_id*7919)%10007, event_id) AS p FROM rd) GROUP BY 1""", "rd")
 def wn17(spark, root):
-    return temporal.time_quality(readings(spark, root), "(event_id * 7919) % 10007, event_id")
+    return temporal.time_quality(readings(spark, root), "((event_id * 7919) % 10007) * 1000000000 + event_id", "((event_id * 7919) % 10007) DIV 1000")
 
 
 @query("wn18_calendar_blocks", "o_orderkey:i block:i",
