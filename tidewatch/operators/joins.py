@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +37,8 @@ def complete_lookup(rows: DataFrame, attributes: DataFrame, keys: list[str]) ->
     return joined.withColumn("_hit", found.cast("boolean")).filter("_hit").drop("_hit")
 
 
-def nearest_neighbours(points: DataFrame, key: str, k: int, levels: tuple[float, ...] = (0.1, 0.8, 6.4)) -> DataFrame:
+def nearest_neighbours(points: DataFrame, key: str, k: int, levels: tuple[float, ...] = (0.1, 0.8, 6.4),
+                       shares: int = 64) -> DataFrame:
     """The k nearest other points of every point, exact, without an all-pairs join.
 
     Points meet only inside a 3x3 block of grid cells.  A point is settled once
@@ -58,7 +57,14 @@ def nearest_neighbours(points: DataFrame, key: str, k: int, levels: tuple[float,
     done: list[DataFrame] = []
     for size in (*levels, None):
         if size is None:
-            pairs = todo.withColumn("_all", F.lit(1)).join(src.withColumn("_all", F.lit(1)), "_all").drop("_all")
+            # The few points no grid settles meet every source, spread over salted
+            # shares of the sources; each share keeps only its own k best.
+            left = todo.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
+            right = src.withColumn("_share", F.pmod(F.xxhash64(f"source_{key}"), F.lit(shares)).cast("int"))
+            near = Window.partitionBy(f"target_{key}", "_share").orderBy("_km", f"source_{key}")
+            pairs = (left.join(right, "_share").filter(F.col(f"source_{key}") != F.col(f"target_{key}"))
+                     .withColumn("_km", F.round(haversine_km("source_lon", "source_lat", "target_lon", "target_lat"), 4))
+                     .withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r", "_km", "_share"))
             reach = F.lit(float("inf"))
         else:
             def cell(prefix: str, axis: str) -> Column:

@@ -98,7 +98,7 @@ def strict_match(rows: DataFrame, events: DataFrame, alarm: str, step: int, hori
     pairs = greedy_pairs(segments_of(marked), queue.filter("operational = 1"), horizon)
     records = queue.join(pairs.withColumnRenamed("start", "segment_start"), ["entity", "event_id"], "left").withColumns({
         "hit": F.col("segment").isNotNull().cast("int"),
-        "lead_hours": (F.col("onset") - F.greatest("segment_start", F.col("onset") - horizon)) / 3600.0,
+        "lead_hours": F.when(F.col("segment").isNotNull(), (F.col("onset") - F.greatest("segment_start", F.col("onset") - horizon)) / 3600.0),
         "carry_in": F.coalesce((F.col("segment_start") < F.col("onset") - horizon).cast("int"), F.lit(0)),
     })
     won = records.filter("hit = 1").select("entity", "segment", F.col("onset").alias("_onset"))
@@ -141,7 +141,7 @@ def simple_match(rows: DataFrame, events: DataFrame, alarm: str, step: int, hori
     pairs = greedy_pairs(segments_of(alarm_rows(seen, alarm, step)), queue.filter("evaluable = 1"), horizon)
     return queue.join(pairs.withColumnRenamed("start", "segment_start"), ["entity", "event_id"], "left").withColumns({
         "hit": F.col("segment").isNotNull().cast("int"),
-        "lead_hours": (F.col("onset") - F.greatest("segment_start", F.col("onset") - horizon)) / 3600.0})
+        "lead_hours": F.when(F.col("segment").isNotNull(), (F.col("onset") - F.greatest("segment_start", F.col("onset") - horizon)) / 3600.0)})
 
 
 def final_episode_match(rows: DataFrame, events: DataFrame, alarm: Column, step: int, horizon: int,

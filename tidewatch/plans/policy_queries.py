@@ -66,8 +66,9 @@ _HYST = """/*RECURSIVE*/ SELECT entity, 0::BIGINT AS rn, 0::BIGINT AS t, 0 AS ru
  CASE WHEN level IS NULL THEN 0 WHEN on1=0 THEN hold1 WHEN level>=0.24 THEN greatest(hold1,2) WHEN hold1>0 THEN hold1-1 ELSE 0 END,
  CASE WHEN level IS NULL THEN 0 ELSE on1 END
  FROM (SELECT *, CASE WHEN onn=0 AND run1>=2 THEN 1 ELSE onn END AS on1, CASE WHEN onn=0 AND run1>=2 THEN 2 ELSE hold END AS hold1
- FROM (SELECT s.entity, s.rn, s.t, s.level, h.onn, h.hold, CASE WHEN s.level>=0.3 THEN h.run+1 ELSE 0 END AS run1 FROM hyst h JOIN ema s ON s.entity=h.entity AND s.rn=h.rn+1))"""
-cte("hyst", _HYST, "ema srows")
+ FROM (SELECT s.entity, s.rn, s.t, s.level, h.onn, h.hold, CASE WHEN s.level>=0.3 THEN h.run+1 ELSE 0 END AS run1 FROM hyst h JOIN emat s ON s.entity=h.entity AND s.rn=h.rn+1))"""
+cte("emat", "SELECT * FROM ema", "ema")
+cte("hyst", _HYST, "emat srows")
 HYSTERESIS = policies.CandidatePolicy("hysteresis", threshold=0.3, ema_alpha=0.4, off_ratio=0.8, minimum_run=2, hold_bins=3)
 
 
@@ -402,17 +403,20 @@ def al11_guard(spark, root):
                                                               F.sum("unsettled").alias("unsettled"), F.min("hard_budget_met").alias("hard_budget_met"))
 
 
-def policy_grid(df, score: str, quantiles: list[float], hours: list[float], run_policy):
-    """Every (score quantile, budget) candidate as one long frame, duplicates removed.
+def policy_grid(df, score: str, quantiles: list[float], budget: policies.SafeBudget):
+    """Every distinct score-quantile threshold as a candidate, all in one pass.
 
-    Thresholds are one small exact-quantile row; the policy is applied with the
-    candidate as part of the entity key, so all candidates share one pass.
+    The thresholds are one exact-quantile row that travels as a scalar array; the
+    candidate becomes part of the entity key of the capped policy.
     """
     from tidewatch.operators import scan
 
     found = scan.exact_quantiles(df.filter(F.col(score).isNotNull()), score, {f"q{i}": q for i, q in enumerate(quantiles)})
-    grid = found.select(F.explode(F.array_distinct(F.array(*[F.round(f"q{i}", 9) for i in range(len(quantiles))]))).alias("threshold"))
-    return run_policy(df, grid, hours)
+    grid = found.select(F.array_distinct(F.array(*[F.round(f"q{i}", 9) for i in range(len(quantiles))]))).scalar()
+    keyed = df.withColumn("threshold", F.explode(grid)).select(
+        F.struct("entity", "threshold").alias("entity"), "t",
+        F.coalesce(F.col(score) >= F.col("threshold"), F.lit(False)).cast("bigint").alias("candidate"))
+    return policies.paced_cap(keyed, "candidate", budget)
 
 
 @query("al12_policy_grid", "threshold:f alarms:i candidates:i",
@@ -420,13 +424,8 @@ def policy_grid(df, score: str, quantiles: list[float], hours: list[float], run_
        FROM (SELECT *, sum(candidate) OVER (PARTITION BY threshold, entity, ms ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT s.*, q.threshold, CASE WHEN s.score>=q.threshold THEN 1 ELSE 0 END AS candidate FROM cand s,
        (SELECT DISTINCT round(unnest(quantile_cont(score,[0.8,0.9,0.95,0.95])),9) AS threshold FROM scored) q)) WINDOW w AS (PARTITION BY threshold, entity, ms ORDER BY t ROWS UNBOUNDED PRECEDING))) GROUP BY 1""".replace("s.*,", "s.entity, s.t, s.ms, s.allowance,"), "cand scored")
 def al12(spark, root):
-    def run(df, grid, _hours):
-        joined = df.withColumn("_one", F.lit(1)).join(grid.withColumn("_one", F.lit(1)), "_one")
-        keyed = joined.select(F.struct("entity", "threshold").alias("entity"), "t", (F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))).cast("bigint").alias("candidate"))
-        capped = policies.paced_cap(keyed, "candidate", CAP)
-        return capped.groupBy(F.col("entity.threshold").alias("threshold")).agg(F.sum("alarm").alias("alarms"), F.sum("candidate").alias("candidates"))
-
-    return policy_grid(scored(spark, root), "score", [0.8, 0.9, 0.95, 0.95], [40.0], run)
+    capped = policy_grid(scored(spark, root), "score", [0.8, 0.9, 0.95, 0.95], CAP)
+    return capped.groupBy(F.col("entity.threshold").alias("threshold")).agg(F.sum("alarm").alias("alarms"), F.sum("candidate").alias("candidates"))
 
 
 @query("al13_warm_up_rows", "entity:i t:i threshold:f candidate:i",

@@ -74,8 +74,11 @@ def with_ctes(needs: str, sql: str) -> str:
         visit(name)
     if not order:
         return sql
-    recursive = "RECURSIVE " if any("RECURSIVE" in CTES[n][1] for n in order) else ""
-    head = ", ".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    looping = {n for n in order if "RECURSIVE" in CTES[n][1]}
+    recursive = "RECURSIVE " if looping else ""
+    # Inputs of a recursion are computed once, not once per round.
+    kept = " MATERIALIZED" if looping else ""
+    head = ", ".join(f"{n} AS{'' if n in looping else kept} ({CTES[n][1]})" for n in order)
     return f"WITH {recursive}{head} {sql}"
 
 
