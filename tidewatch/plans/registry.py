@@ -25,7 +25,13 @@ class Query:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
     out: tuple[tuple[str, str], ...]
-    sql: str | None
+    body: str | None
+    needs: str
+
+    @property
+    def sql(self) -> str | None:
+        """Complete oracle query, or None for operators SQL cannot express."""
+        return contract_sql(with_ctes(self.needs, self.body), self.out) if self.body else None
 
 
 REGISTRY: dict[str, Query] = {}
@@ -92,8 +98,7 @@ def query(name: str, out: str, sql: str | None = None, needs: str = ""):
 
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        text = contract_sql(with_ctes(needs, sql), columns) if sql else None
-        REGISTRY[name] = Query(name, run, columns, text)
+        REGISTRY[name] = Query(name, run, columns, sql, needs)
         return fn
 
     return wrap
