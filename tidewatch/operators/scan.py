@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
+def _sketchable(df: DataFrame, order: str) -> Column:
+    """A number that never decreases with the order column; text maps to its first six bytes."""
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        head = F.hex(F.substring(F.encode(F.col(order), "UTF-8"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
+    return F.col(order)
+
+
 def _slice_bounds(df: DataFrame, order: str, slices: int) -> Column:
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.agg(F.percentile_approx(order, marks, F.lit(10000))).scalar()
+    return df.agg(F.percentile_approx(_sketchable(df, order), marks, F.lit(10000))).scalar()
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (),
@@ -26,7 +35,8 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple
     and its group total ``<name>_total``."""
     bounds = _slice_bounds(df, order, slices)
     distinct = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    above = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+    spot = _sketchable(df, order)
+    above = F.size(F.filter("_bounds", lambda b: b < spot))
     cut = distinct.withColumn("_bounds", bounds).withColumn(
         "_slice", -above if descending else above).drop("_bounds")
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])

@@ -8,15 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import scalar, trajectory
+from tidewatch.functions import scalar
 from tidewatch.functions.clock import DAY
 from tidewatch.operators import (audits, bootstrap, controller, episodes, joins, matching, metrics, models, policies,
                                  sampling, scan, selection, temporal)
-from tidewatch.plans.aggregate_queries import _two_scores
 from tidewatch.plans.cleaning import assert_no_leakage, standardize
-from tidewatch.plans.matching_queries import HORIZON_S, monthly_false_hours
-from tidewatch.plans.metric_queries import (_condition_table, _day_blocks, _folds, feature_frame, loss_sums, pair_sums, paired,
-                                            recurrence_design, seasonal_design)
+from tidewatch.plans.matching_queries import HORIZON_S, monthly_false_hours, paired
+from tidewatch.plans.metric_queries import (_condition_table, _day_blocks, _folds, feature_frame, loss_sums, pair_sums,
+                                            seasonal_design)
 from tidewatch.plans.model_queries import BOOST, LOCAL, boosted_scores, fit_graph, structured_rows, training_rows
 from tidewatch.plans.policy_queries import BUDGETS, CAP, RULES, controller_inputs, trajectories
 from tidewatch.plans.recurrence import bin_event_table, causal_recurrence_features
@@ -325,10 +324,10 @@ def wf15(spark, root):
     long = masks.selectExpr("entity", "t", "observed", f"stack({len(grid)}, " + ", ".join(f"'{n}', {n}" for n in grid) + ") AS (candidate, alarm)")
     _, table = evaluate(long, purchase_events(spark, root), 40.0)
     names = F.create_map(*[F.lit(x) for kv in grid.items() for x in kv])
-    budgets = F.explode(F.array(*[F.lit(float(b)) for b in (60, 120, 240)])).alias("budget")
+    budgets = F.explode(F.array(*[F.lit(float(b)) for b in (100, 200, 300)])).alias("budget")
     cands = table.select("*", F.element_at(names, F.col("candidate")).alias("threshold"), budgets).selectExpr(
         "budget", "threshold", "CAST(false_hours <= budget * 2 AS INT) AS budget_met", "round(utility, 9) AS utility", "round(hit_rate, 9) AS hit_rate")
-    path = selection.monotone_path(materialize(cands, "nested"), [60.0, 120.0, 240.0], ["utility", "hit_rate"])
+    path = selection.monotone_path(materialize(cands, "nested"), [100.0, 200.0, 300.0], ["utility", "hit_rate"])
     cut = grid_bounds(readings(spark, root))["lo"] + 20 * DAY
     check = audits.prefix_invariance(s, cut, "score", lambda d: policies.nested_alerts(d, "score", grid, shape), list(grid))
     breaks = policies.nesting_audit(masks, {n: -v for n, v in grid.items()}).agg(F.sum("violations")).scalar()
