@@ -112,7 +112,7 @@ def test_glm_recovers_a_cloglog_model(spark):
     flipped = models.calibrate(df.withColumn("bad", -F.col("x")), "bad", "y", None, "logit")
     assert flipped.values[0] == 0.0
     rate = df.agg(F.avg("y")).first()[0]
-    assert df.select(flipped.risk().alias("r")).limit(1).first() is None or rate > 0
+    assert df.withColumn("bad", -F.col("x")).select(flipped.risk().alias("r")).first().r == pytest.approx(rate, abs=1e-3)
 
 
 def test_structured_fit_respects_bounds_and_shrinks_noise(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,17 @@ def survival(h: Column | str, steps: int | None = None) -> Column:
 
 
 def risk_at(h: Column | str, steps: int | None = None) -> Column:
-    """Probability of at least one event within the first ``steps`` steps."""
-    return 1 - survival(h, steps)
+    """Probability of at least one event within the first ``steps`` steps (all when not given).
+
+    With a known number of steps the product is written out, which compiles to
+    straight-line code; a fold over the array would be interpreted.
+    """
+    if steps is None:
+        return 1 - survival(h)
+    alive = F.lit(1.0)
+    for k in range(steps):
+        alive = alive * (F.lit(1.0) - _c(h)[k])
+    return F.lit(1.0) - alive
 
 
 def cumulative(h: Column | str) -> Column:
@@ -35,29 +45,33 @@ def cumulative(h: Column | str) -> Column:
         (acc["alive"] * (1 - x)).alias("alive"), F.concat(acc["f"], F.array(1 - acc["alive"] * (1 - x))).alias("f")), lambda acc: acc["f"])
 
 
-def lead_weights(horizon: int, step_minutes: int, kind: str = "linear") -> Column:
-    """Value of an alarm by lead time for each step of the horizon (literal array)."""
-    hours = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: k * F.lit(step_minutes / 60.0))
-    # Knots of the piecewise utility (lead hours -> value).
-    rules = {
-        "linear": lambda x: x,
-        "hit_only": lambda x: F.lit(1.0),
-        "saturating_3h": lambda x: F.least(x, F.lit(3.0)),
-        "business_piecewise": lambda x: (F.when(x < 0.5, x * 0.5).when(x < 2.0, 0.25 + (x - 0.5) / 3.0)
-                                         .when(x < 4.0, 0.75 + (x - 2.0) / 8.0).otherwise(1.0)),
-    }
-    if kind not in rules:
+def lead_values(horizon: int, step_minutes: int, kind: str = "linear") -> list[float]:
+    """Value of an alarm by lead time, one number per step of the horizon."""
+    # Knots (lead hours, value) of the utilities; values are linear in between.
+    knots = {"hit_only": [(0.0, 1.0)], "saturating_3h": [(0.0, 0.0), (3.0, 3.0)],
+             "business_piecewise": [(0.0, 0.0), (0.5, 0.25), (2.0, 0.75), (4.0, 1.0)]}
+    hours = [k * step_minutes / 60.0 for k in range(1, horizon + 1)]
+    if kind == "linear":
+        return hours
+    if kind not in knots:
         raise ValueError(f"unknown lead utility {kind}")
-    return F.transform(hours, rules[kind])
+    xs, ys = zip(*knots[kind])
+    return [float(v) for v in np.interp(hours, xs, ys)]
+
+
+def lead_weights(horizon: int, step_minutes: int, kind: str = "linear") -> Column:
+    return F.array(*[F.lit(v) for v in lead_values(horizon, step_minutes, kind)])
 
 
 def trajectory_value(h: Column | str, step_minutes: int, horizon: int, kind: str = "linear") -> Column:
-    """Expected lead value: first-event probabilities times lead weights over the first ``horizon`` steps."""
-    hazards = F.slice(_c(h), 1, horizon)
-    start = F.struct(F.lit(1.0).alias("alive"), F.lit(0.0).alias("v"))
-    paired = F.zip_with(hazards, lead_weights(horizon, step_minutes, kind), lambda x, w: F.struct(x.alias("x"), w.alias("w")))
-    return F.aggregate(paired, start, lambda acc, q: F.struct(
-        (acc["alive"] * (1 - q["x"])).alias("alive"), (acc["v"] + acc["alive"] * q["x"] * q["w"]).alias("v")), lambda acc: acc["v"])
+    """Expected lead value: first-event probabilities times lead weights over the first ``horizon`` steps.
+
+    Written as the nested form v_k = h_k w_k + (1 - h_k) v_(k+1), linear in the horizon.
+    """
+    value = F.lit(0.0)
+    for k, w in reversed(list(enumerate(lead_values(horizon, step_minutes, kind)))):
+        value = _c(h)[k] * F.lit(w) + (F.lit(1.0) - _c(h)[k]) * value
+    return value
 
 
 def hazards_from_eta(eta: Column | str, shift: float, slope: float) -> Column:

@@ -288,9 +288,9 @@ def with_decision_inputs(df: DataFrame, hazard: str, rules: ControllerRules) ->
     """Risk, lead utility and calendar position of each row, computed on the JVM."""
     start, end = clock.month_start("t"), clock.month_end("t")
     return df.withColumns({
-        "risk": trajectory.risk_at(hazard),
+        "risk": trajectory.risk_at(hazard, rules.horizon_steps),
         # "risk" is the ablation that ignores lead time altogether.
-        "utility": trajectory.risk_at(hazard) if rules.utility == "risk" else trajectory.trajectory_value(
+        "utility": trajectory.risk_at(hazard, rules.horizon_steps) if rules.utility == "risk" else trajectory.trajectory_value(
             hazard, rules.step_minutes, rules.horizon_steps, rules.utility),
         "month": clock.month_key("t"), "month_bins": F.floor((end - start) / rules.step),
         "bin_index": F.floor((F.col("t") - start) / rules.step),
@@ -299,9 +299,11 @@ def with_decision_inputs(df: DataFrame, hazard: str, rules: ControllerRules) ->
 
 
 def run_controller(rows: DataFrame, events: DataFrame, budgets: tuple[float, ...], rules: ControllerRules,
-                   observed: str = "observed", given: dict[float, str] | None = None) -> DataFrame:
+                   observed: str = "observed", given: dict[float, str] | None = None, trace: str = "all") -> DataFrame:
     """Decision trace and month audit of every entity, as tagged rows (``kind`` t or m).
 
+    ``trace`` keeps every decision, only the accepted ones (``alarms``), or ``none``.
+
     ``rows`` carries the inputs of :func:`with_decision_inputs`; ``events`` has
     (entity, onset).  ``given`` names candidate columns that replace the policy.
     """
@@ -328,11 +330,12 @@ def run_controller(rows: DataFrame, events: DataFrame, budgets: tuple[float, ...
                 pointer += 1
             machine.mature(t)
             choice = tuple(None if m is None else bool(m[i]) for m in masks) if masks else None
-            for d in machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice):
-                out.append(("t", entity, t, *d.values(), risk, utility))
-        trace = pd.DataFrame(out, columns=names[:15])
+            made = machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice)
+            if trace != "none":
+                out += [("t", entity, t, *d.values(), risk, utility) for d in made if trace == "all" or d["alarm"]]
+        steps = pd.DataFrame(out, columns=names[:15])
         months = pd.DataFrame([{"kind": "m", "entity": entity, **{k: v for k, v in m.items() if k in names}} for m in machine.months()])
-        return pd.concat([trace, months]).reindex(columns=names)
+        return pd.concat([steps, months]).reindex(columns=names)
 
     return needed.groupBy("entity").cogroup(events.select("entity", "onset").groupBy("entity")).applyInPandas(run, schema)
 

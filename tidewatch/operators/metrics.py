@@ -23,7 +23,7 @@ def _clean(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...]) ->
 
 def calibration_bin(p: str = "_p") -> Column:
     """Index of the calibration bin of a probability."""
-    return F.size(F.filter(F.array(*[F.lit(e) for e in CALIBRATION_EDGES]), lambda e: e <= F.col(p))) - 1
+    return F.expr(" + ".join(f"int({p} >= {e!r}D)" for e in CALIBRATION_EDGES[1:]))
 
 
 def base_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,16 +41,17 @@ def base_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[
     return out.withColumn("brier_skill", F.expr("CASE WHEN prevalence * (1 - prevalence) > 0 THEN 1 - brier / (prevalence * (1 - prevalence)) END"))
 
 
-def ranking_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def ranking_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     """Step-wise average precision and ROC area with half credit for ties; NULL for one-class groups."""
-    ladder = scan.running_totals(_clean(df, p, y, w, by), "_p", {"wp": F.expr("_w * _y"), "wn": F.expr("_w * (1 - _y)")}, by, descending=True)
+    ladder = scan.running_totals(_clean(df, p, y, w, by), "_p", {"wp": F.expr("_w * _y"), "wn": F.expr("_w * (1 - _y)")}, by, descending=True, bounded=bounded)
     return ladder.groupBy(*by).agg(
         F.expr("CASE WHEN max(wp_total) > 0 AND max(wn_total) > 0 THEN sum(wp * (wp_cum / (wp_cum + wn_cum))) / max(wp_total) END AS average_precision"),
         F.expr("CASE WHEN max(wp_total) > 0 AND max(wn_total) > 0 THEN sum(wn * (wp_cum - wp / 2)) / (max(wp_total) * max(wn_total)) END AS roc_auc"))
 
 
-def probability_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    base, ranks = base_metrics(df, p, y, w, by), ranking_metrics(df, p, y, w, by)
+def probability_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
+    """All probability metrics; ``bounded`` as in the running totals (say, one group per entity)."""
+    base, ranks = base_metrics(df, p, y, w, by), ranking_metrics(df, p, y, w, by, bounded)
     if by:
         return base.join(ranks, list(by), "left")
     one = F.lit(1).alias("_one")

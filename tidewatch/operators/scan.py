@@ -30,22 +30,32 @@ def _slice_bounds(df: DataFrame, order: str, slices: int) -> Column:
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (),
-                   descending: bool = False, slices: int = SLICES) -> DataFrame:
+                   descending: bool = False, slices: int = SLICES, bounded: bool = False) -> DataFrame:
     """Distinct ``order`` values with each sum, its inclusive running total ``<name>_cum``
-    and its group total ``<name>_total``."""
-    bounds = _slice_bounds(df, order, slices)
+    and its group total ``<name>_total``.
+
+    ``bounded`` states that every group is small by construction (an entity of a
+    dense panel, the replicates of a bootstrap); such groups are ordered directly.
+    """
+    if bounded and not by:
+        raise ValueError("only grouped totals can be bounded")
     distinct = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    spot = _sketchable(df, order)
-    above = F.size(F.filter("_bounds", lambda b: b < spot))
-    cut = distinct.withColumn("_bounds", bounds).withColumn(
-        "_slice", -above if descending else above).drop("_bounds")
+    key = F.desc(order) if descending else F.asc(order)
+    upto = (Window.unboundedPreceding, 0)
+    if bounded:
+        inside = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
+        return distinct.withColumns({f"{n}_cum": F.sum(n).over(inside) for n in sums} | {
+            f"{n}_total": F.sum(n).over(Window.partitionBy(*by)) for n in sums})
+    located = distinct.withColumns({"_bounds": _slice_bounds(df, order, slices), "_spot": _sketchable(df, order)})
+    # Written out comparison by comparison: this compiles, a lambda over the array would not.
+    above = " + ".join(f"int(coalesce(_bounds[{i}] < _spot, false))" for i in range(slices - 1))
+    cut = located.withColumn("_slice", F.expr(f"coalesce({'-' if descending else ''}({above}), 0)")).drop("_bounds", "_spot")
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(*by, "_slice", *[
         F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums], *[
         F.sum(f"_s_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in sums])
-    inside = Window.partitionBy(*by, "_slice").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
-        Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_slice").orderBy(key).rowsBetween(*upto)
     local = cut.withColumns({f"_l_{n}": F.sum(n).over(inside) for n in sums})
     return local.join(carried, [*by, "_slice"]).select(
         *by, order, *sums, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(f"{n}_cum") for n in sums],

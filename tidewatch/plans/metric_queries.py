@@ -60,7 +60,7 @@ _M_OUT = "rows_n:i positives:i prevalence:f brier:f log_loss:f ece:f max_gap:f a
 
 @query("mx5_metrics_by_group", "entity:i " + _M_OUT, _metric_sql("SELECT entity, extra AS p, label AS y, weight AS w FROM two", "entity"), "two")
 def mx5(spark, root):
-    return metrics.probability_metrics(_two_scores(spark, root), "extra", "label", "weight", ("entity",))
+    return metrics.probability_metrics(_two_scores(spark, root), "extra", "label", "weight", ("entity",), bounded=True)
 
 
 STRATA = {"quiet": "past24 = 0", "active": "past24 > 0", "busy": "past24 >= 2", "everything": "1 = 1"}

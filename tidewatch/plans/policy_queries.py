@@ -34,6 +34,11 @@ CAP = policies.SafeBudget(60, 40.0, 4.0)
 FIXED = policies.CandidatePolicy("fixed_threshold", threshold=0.5)
 
 
+def slim(spark, root):
+    """Only what a policy needs, so little travels to the Python workers."""
+    return scored(spark, root).select("entity", "t", "score")
+
+
 def capped_alarms(spark, root):
     """Scored rows with fixed-threshold candidates under the paced monthly cap."""
     return policies.apply_policy(scored(spark, root), "score", FIXED, CAP)
@@ -41,23 +46,23 @@ def capped_alarms(spark, root):
 
 @query("al1_causal_ema", "entity:i t:i smoothed:f", "SELECT entity, t, level AS smoothed FROM ema", "ema")
 def al1(spark, root):
-    return policies.causal_ema(scored(spark, root), "score", 0.4)
+    return policies.causal_ema(slim(spark, root), "score", 0.4)
 
 
 @query("al2_fixed_candidates", "entity:i t:i smoothed:f candidate:i", "SELECT entity, t, level AS smoothed, CASE WHEN level>=0.35 THEN 1 ELSE 0 END AS candidate FROM ema", "ema")
 def al2(spark, root):
-    return policies.candidates(scored(spark, root), "score", policies.CandidatePolicy("fixed_threshold", threshold=0.35, ema_alpha=0.4))
+    return policies.candidates(slim(spark, root), "score", policies.CandidatePolicy("fixed_threshold", threshold=0.35, ema_alpha=0.4))
 
 
 @query("al2_rolling_candidates", "entity:i t:i threshold:f candidate:i", "SELECT entity, t, threshold, CASE WHEN score>=threshold THEN 1 ELSE 0 END AS candidate FROM roll", "roll")
 def al2b(spark, root):
     rule = policies.CandidatePolicy("rolling_quantile", rolling_quantile=0.9, history_seconds=864000, minimum_history_rows=24)
-    return policies.candidates(scored(spark, root), "score", rule)
+    return policies.candidates(slim(spark, root), "score", rule)
 
 
 @query("wn16_past_only_quantile", "entity:i t:i threshold:f", "SELECT entity, t, threshold FROM roll", "roll")
 def wn16(spark, root):
-    return policies.rolling_threshold(scored(spark, root), "score", 0.9, 864000, 24)
+    return policies.rolling_threshold(slim(spark, root), "score", 0.9, 864000, 24)
 
 
 _HYST = """/*RECURSIVE*/ SELECT entity, 0::BIGINT AS rn, 0::BIGINT AS t, 0 AS run, 0 AS onn, 0 AS hold, 0 AS alarm FROM (SELECT DISTINCT entity FROM srows) UNION ALL
@@ -74,7 +79,7 @@ HYSTERESIS = policies.CandidatePolicy("hysteresis", threshold=0.3, ema_alpha=0.4
 
 @query("al3_hysteresis", "entity:i t:i candidate:i", "SELECT entity, t, alarm AS candidate FROM hyst WHERE rn>0", "hyst")
 def al3(spark, root):
-    return policies.candidates(scored(spark, root), "score", HYSTERESIS)
+    return policies.candidates(slim(spark, root), "score", HYSTERESIS)
 
 
 @query("al4_paced_monthly_cap", "entity:i t:i allowance:i candidate:i alarm:i", "SELECT c.entity, c.t, c.allowance, c.candidate, cap.alarm FROM cand c JOIN cap USING (entity, rn)", "cand cap")
@@ -87,7 +92,7 @@ def al4(spark, root):
        c + least(0, min(allowance-c) OVER w) AS used FROM (SELECT c.entity, c.t, c.ms, c.allowance, h.alarm AS candidate, e.level, sum(h.alarm) OVER (PARTITION BY c.entity, c.ms ORDER BY c.t ROWS UNBOUNDED PRECEDING) AS c
        FROM cand c JOIN hyst h USING (entity, rn) JOIN ema e USING (entity, rn)) WINDOW w AS (PARTITION BY entity, ms ORDER BY t ROWS UNBOUNDED PRECEDING))""", "cand hyst ema")
 def al5(spark, root):
-    return policies.apply_policy(scored(spark, root), "score", HYSTERESIS, CAP)
+    return policies.apply_policy(slim(spark, root), "score", HYSTERESIS, CAP)
 
 
 cte("latchin", "SELECT *, CASE WHEN score>threshold THEN 1 ELSE 0 END AS candidate, CAST(least(30, floor(30.0*(t-ms)/(me-ms))+3) AS BIGINT) AS allowance FROM roll", "roll")
@@ -102,7 +107,7 @@ LATCHED = policies.LatchedBudget(60, 30.0, 864000, 0.9, 24, 3.0, 2, 3)
 @query("al6_latched_budget", "entity:i t:i threshold:f candidate:i alarm:i",
        "SELECT i.entity, i.t, i.threshold, i.candidate, l.alarm FROM latchin i JOIN latch l USING (entity, rn)", "latchin latch")
 def al6(spark, root):
-    return policies.latched_alarms(scored(spark, root), "score", LATCHED)
+    return policies.latched_alarms(slim(spark, root), "score", LATCHED)
 
 
 cte("shape0", "SELECT e.*, sum(CASE WHEN level IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY rn) AS g FROM ema e", "ema")
@@ -120,14 +125,14 @@ SHAPE = policies.AlertShape(0.4, 2, 2, 2)
 
 @query("al7_nested_alert_shape", "entity:i t:i a2:i a5:i a10:i", "SELECT * FROM shape", "shape")
 def al7(spark, root):
-    return policies.nested_alerts(scored(spark, root), "score", _SHAPES, SHAPE)
+    return policies.nested_alerts(slim(spark, root), "score", _SHAPES, SHAPE)
 
 
 @query("al8_nesting_audit", "lower:f upper:f low_bins:i high_bins:i violations:i nested:i",
        """SELECT 2 AS lower, 5 AS upper, sum(a2) AS low_bins, sum(a5) AS high_bins, count(*) FILTER (a2=1 AND a5=0) AS violations, CAST(count(*) FILTER (a2=1 AND a5=0)=0 AS INT) AS nested FROM shape
        UNION ALL SELECT 5, 10, sum(a5), sum(a10), count(*) FILTER (a5=1 AND a10=0), CAST(count(*) FILTER (a5=1 AND a10=0)=0 AS INT) FROM shape""", "shape")
 def al8(spark, root):
-    nested = policies.nested_alerts(scored(spark, root), "score", _SHAPES, SHAPE)
+    nested = policies.nested_alerts(slim(spark, root), "score", _SHAPES, SHAPE)
     return policies.nesting_audit(nested, {"a2": 2.0, "a5": 5.0, "a10": 10.0})
 
 
@@ -147,10 +152,14 @@ H = 6
 def trajectories(spark, root):
     """Scored rows with a six-step hazard array, its labels and censor mask."""
     s = scored(spark, root).filter("score IS NOT NULL")
+
+    def steps(expression: str) -> str:
+        return "array(" + ", ".join(expression.replace("$k", str(k)) for k in range(1, H + 1)) + ")"
+
     return s.selectExpr(
-        "*", f"transform(sequence(1, {H}), k -> score * ((k * 37 + noise) % 11 + 1) / 60.0D) AS h",
-        f"transform(sequence(1, {H}), k -> CAST(future = 1 AND k = noise % {H} + 1 AS INT)) AS y",
-        f"transform(sequence(1, {H}), k -> CAST((future = 0 OR k <= noise % {H} + 1) AND (observed = 1 OR k < 4) AS INT)) AS mask",
+        "*", steps("score * (($k * 37 + noise) % 11 + 1) / 60.0D") + " AS h",
+        steps(f"CAST(future = 1 AND $k = noise % {H} + 1 AS INT)") + " AS y",
+        steps(f"CAST((future = 0 OR $k <= noise % {H} + 1) AND (observed = 1 OR $k < 4) AS INT)") + " AS mask",
         "1.0D + pmod(t DIV 3600, 3) AS weight", "entity * 100000 + pmod(t DIV 3600, 100000) AS row_id")
 
 
@@ -365,7 +374,7 @@ def al9(spark, root):
 
 @query("al9_reserved_capacity_months", "entity:i month:s budget:f capacity:i actions:i confirmed:i unsettled:i released:i locked:i peak_pending:i peak_occupied:i rejected_capacity:i hard_budget_met:i")
 def al9m(spark, root):
-    return controller.months_of(controller.run_controller(controller_inputs(spark, root), purchase_events(spark, root), BUDGETS, RULES))
+    return controller.months_of(controller.run_controller(controller_inputs(spark, root), purchase_events(spark, root), BUDGETS, RULES, trace="none"))
 
 
 @query("al9_budget_invariants", "over_capacity:i nesting_violations:i months:i unmet:i",
@@ -382,7 +391,7 @@ def al9i(spark, root):
 def _variant(name: str):
     def run(spark, root):
         rules = controller.variants(RULES)[name]
-        result = controller.run_controller(controller_inputs(spark, root, rules), purchase_events(spark, root), BUDGETS, rules)
+        result = controller.run_controller(controller_inputs(spark, root, rules), purchase_events(spark, root), BUDGETS, rules, trace="none")
         return controller.months_of(result).groupBy("budget").agg(
             F.sum("actions").alias("actions"), F.sum("confirmed").alias("confirmed"), F.sum("released").alias("released"),
             F.sum("unsettled").alias("unsettled"), F.max("peak_occupied").alias("peak"), F.min("hard_budget_met").alias("hard_budget_met"))
@@ -398,7 +407,7 @@ for _name in controller.variants(RULES):
 @query("al11_guarded_candidates", "budget:f actions:i confirmed:i unsettled:i hard_budget_met:i")
 def al11_guard(spark, root):
     rows = controller_inputs(spark, root).withColumns({"c5": (F.col("score") >= 0.6).cast("int"), "c20": (F.col("score") >= 0.5).cast("int")})
-    result = controller.run_controller(rows, purchase_events(spark, root), (5.0, 20.0), RULES, given={5.0: "c5", 20.0: "c20"})
+    result = controller.run_controller(rows, purchase_events(spark, root), (5.0, 20.0), RULES, given={5.0: "c5", 20.0: "c20"}, trace="none")
     return controller.months_of(result).groupBy("budget").agg(F.sum("actions").alias("actions"), F.sum("confirmed").alias("confirmed"),
                                                               F.sum("unsettled").alias("unsettled"), F.min("hard_budget_met").alias("hard_budget_met"))
 
@@ -435,4 +444,4 @@ def al13(spark, root):
 
     rule = policies.CandidatePolicy("rolling_quantile", rolling_quantile=0.9, history_seconds=864000, minimum_history_rows=24)
     kept_from = grid_bounds(readings(spark, root))["lo"] + 20 * 86400
-    return policies.candidates(scored(spark, root), "score", rule).withColumn("_lo", kept_from).filter(F.col("t") >= F.col("_lo"))
+    return policies.candidates(slim(spark, root), "score", rule).withColumn("_lo", kept_from).filter(F.col("t") >= F.col("_lo"))

@@ -23,10 +23,12 @@ def causal_recurrence_features(p: DataFrame, horizon: int, base=BASE, windows=WI
     cols = []
     for c in base:
         cols.append(f"coalesce(lag({c}) OVER (PARTITION BY entity ORDER BY t), 0) AS {c}_lag1")
-        cols += [f"coalesce(sum({c}) {over(f'{k} PRECEDING AND 1 PRECEDING')}, 0) AS {c}_past_{k}" for k in windows]
-    numbered = p.selectExpr("*", "row_number() OVER (PARTITION BY entity ORDER BY t) AS rn")
+        # Differences of one running total: a sliding frame would re-add its rows for every row.
+        cols += [f"{c}_before - coalesce(lag({c}_before, {k}) OVER (PARTITION BY entity ORDER BY t), 0) AS {c}_past_{k}" for k in windows]
+    numbered = p.selectExpr("*", "row_number() OVER (PARTITION BY entity ORDER BY t) AS rn",
+                            *[f"coalesce(sum({c}) {everything}, 0) AS {c}_before" for c in base])
     windowed = numbered.selectExpr(
-        "*", *cols, f"sum(event_count) {everything} AS prior_n",
+        "*", *cols, "event_count_before AS prior_n",
         f"rn - last(CASE WHEN event_count > 0 THEN rn END, true) {everything} AS since")
     out = windowed.selectExpr(
         "*", "CAST(since IS NULL AS INT) AS since_event_missing", "least(coalesce(since, 10000), 10000) AS since_event_bins",

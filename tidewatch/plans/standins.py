@@ -80,8 +80,9 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     one row in 53 has no score, which exercises every reset rule.
     """
     p = temporal.with_horizon_label(panel(spark, root), "event_count", HORIZON)
+    p = p.selectExpr("*", "coalesce(sum(event_count) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
     noisy = p.selectExpr(
-        "*", "coalesce(sum(event_count) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0) AS past24",
+        "* EXCEPT (_before)", "_before - coalesce(lag(_before, 24) OVER (PARTITION BY entity ORDER BY t), 0) AS past24",
         "pmod(entity * 7919 + (t DIV 3600) * 104729, 997) AS noise")
     return noisy.selectExpr("*", """CASE WHEN pmod(entity * 31 + (t DIV 3600) * 17, 53) <> 0
         THEN round((noise * 60 + least(past24, 4) * 9970) / 99700.0D, 6) END AS score""")

@@ -280,7 +280,7 @@ def wf12(spark, root):
         for horizon in (3, 6):
             rules = dataclasses.replace(RULES, utility=kind, horizon_steps=horizon, score_threshold=0.3)
             inputs = controller.with_decision_inputs(trajectories(spark, root).withColumn("h", F.slice("h", 1, horizon)), "h", rules)
-            months = controller.months_of(controller.run_controller(inputs, purchase_events(spark, root), (4.0, 8.0, 16.0), rules))
+            months = controller.months_of(controller.run_controller(inputs, purchase_events(spark, root), (4.0, 8.0, 16.0), rules, trace="none"))
             parts.append(months.groupBy("budget").agg(F.sum("actions").alias("alarms"), F.sum("released").alias("released"), F.sum("confirmed").alias("confirmed")).withColumns({"utility": F.lit(kind), "horizon": F.lit(horizon)}))
     return union(parts)
 
