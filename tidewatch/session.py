@@ -17,7 +17,7 @@ RUNTIME = {
     # that follows needs no second exchange of the dense grid.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
-_READY: set[int] = set()
+_MARK = "tidewatch.prepared"
 
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -37,10 +37,10 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings once per session."""
-    if id(spark) not in _READY:
+    if spark.conf.get(_MARK, None) is None:
         for key, value in RUNTIME.items():
             spark.conf.set(key, value)
-        _READY.add(id(spark))
+        spark.conf.set(_MARK, "yes")
     return spark
 
 
