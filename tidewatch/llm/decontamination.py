@@ -36,7 +36,7 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h"
          "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
          "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces")
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-_NUMBER = r"^[^\p{L}\p{N}]*[0-9][0-9.,:/]*[^\p{L}\p{N}]*$"
+_NUMBER = r"^[^\p{L}\p{N}]*[0-9][0-9.,:/]*[^\p{L}\p{N}]*\z"
 _MARK = "\x01"
 
 
@@ -52,7 +52,7 @@ def tokens(text: Column) -> Column:
             number = F.regexp_like(w, F.lit(_NUMBER))
             # A word is looked at closely only where its first letter says so.
             unit = F.lower(bare(w)).isin(*UNITS) & F.regexp_like(before, F.lit(_NUMBER))
-            name = F.regexp_like(w, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}")) & ~F.regexp_like(before, F.lit(r"[.!?:][^\p{L}\p{N}]*$"))
+            name = F.regexp_like(w, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}")) & ~F.regexp_like(before, F.lit(r"[.!?:][^\p{L}\p{N}]*\z"))
             kind = F.when(number, NUMBER).when(name, NAME).when(unit, UNIT)
             return let(kind, lambda k: F.struct(F.coalesce(k, F.lower(bare(w))).alias("token"), F.when(k.isNotNull(), F.concat(bare(w), F.lit(_MARK))).otherwise(F.lit("")).alias("slot")))
 

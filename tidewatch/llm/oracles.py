@@ -1,5 +1,126 @@
-"""DuckDB statements of the queries that SQL can express."""
+"""DuckDB statements of the queries that SQL can express.
+
+Language fusion, sharding, fingerprints, the classifier and piece counts rest on hashes, sequential choices or models that SQL lacks; tests
+hold those against brute force.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from tidewatch.llm import decontamination, secret_ledger
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _secrets() -> str:
+    parts = []
+    for place, rule in enumerate(secret_ledger.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, '{rule.name}' AS kind, {place} AS place, {rule.least} AS least, string_split_regex(x, '{pattern}') AS pieces, "
+                     f"regexp_extract_all(x, '{pattern}', 0) AS hits, regexp_extract_all(x, '{pattern}', {rule.group}) AS tested FROM t WHERE regexp_matches(x, '{pattern}')")
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in secret_ledger.RULES)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+spots AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+found AS (
+  SELECT doc_id, kind, place, CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s, length(hits[i]) AS n
+  FROM spots WHERE length(tested[i]) >= least),
+per AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place) AS spans FROM found GROUP BY doc_id)
+SELECT t.doc_id, {', '.join(f'coalesce(n_{r.name}, 0) AS n_{r.name}' for r in secret_ledger.RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per USING (doc_id)"""
+
+
+_RULES = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS win, unnest(range(1, len(w) - 3)) AS pos FROM t WHERE len(w) >= 5),
+twice AS (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows),
+steps AS (SELECT doc_id, least(5, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 5)) AS step FROM twice WHERE n > 1),
+again AS (SELECT doc_id, CAST(sum(step) AS BIGINT) AS n_repeat_words FROM steps GROUP BY doc_id),
+lined AS (SELECT *, list_filter(string_split(x, chr(10)), lambda l: length(translate(l, {_BLANKS}, '')) > 0) AS lines FROM t),
+m AS (
+  SELECT doc_id, x, CAST(len(w) AS BIGINT) AS n_words, length(translate(x, {_BLANKS}, '')) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(x, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(x, '[0-9]')) AS n_digits, length(x) - length(translate(x, '!?', '')) AS n_calls
+  FROM lined LEFT JOIN again USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 0.05::DOUBLE * word_chars OR n_upper > 0.4::DOUBLE * word_chars OR n_calls > 0.08::DOUBLE * word_chars
+    OR n_dup_lines > 0.5::DOUBLE * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_digits > 0.5::DOUBLE * word_chars) AS kept
+FROM b"""
+
+
+def _templates(source: str, key: str) -> str:
+    """CTEs ``<source>_toks`` (key, p, token, slot) of the words of ``source`` (key, x)."""
+    bare = r"regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')"
+    units = ", ".join(f"'{u}'" for u in decontamination.UNITS)
+    number = decontamination._NUMBER
+    return rf"""
+{source}_words AS (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('x')} AS ws FROM {source})),
+{source}_near AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY {key} ORDER BY i), '.') AS before, {bare} AS bare FROM {source}_words),
+{source}_kinds AS (
+  SELECT *, CASE WHEN regexp_matches(w, '{number}') THEN '{decontamination.NUMBER}'
+    WHEN regexp_matches(w, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AND NOT regexp_matches(before, '[.!?:][^\p{{L}}\p{{N}}]*\z') THEN '{decontamination.NAME}'
+    WHEN lower(bare) IN ({units}) AND regexp_matches(before, '{number}') THEN '{decontamination.UNIT}' END AS kind FROM {source}_near),
+{source}_toks AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS p, coalesce(kind, lower(bare)) AS token, CASE WHEN kind IS NOT NULL THEN bare END AS slot
+  FROM {source}_kinds WHERE coalesce(kind, lower(bare)) <> ''),
+{source}_runs AS (
+  SELECT {key}, p, list(token) OVER run AS tokens, list(coalesce(slot, '')) OVER run AS slots, list(slot IS NULL) OVER run AS plain
+  FROM {source}_toks WINDOW run AS (PARTITION BY {key} ORDER BY p ROWS BETWEEN CURRENT ROW AND {decontamination.WIDTH - 1} FOLLOWING))"""
+
+
+def _leaks() -> str:
+    cut = ("p AS pos, n, tokens[1:n] AS win, [list_element(slots, CAST(k AS BIGINT)) FOR k IN range(1, n + 1) IF NOT list_element(plain, CAST(k AS BIGINT))] AS vals")
+    fits = f"len(tokens) >= n AND len(list_filter(plain[1:n], lambda l: l)) >= least({decontamination.LITERALS}, n)"
+    return f"""
+WITH docs AS (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL),
+items AS (SELECT DISTINCT text AS item, text AS x FROM benchmark WHERE text IS NOT NULL),
+{_templates('docs', 'doc_id')},
+{_templates('items', 'item')},
+widths AS (SELECT item, least(count(*), {decontamination.WIDTH}) AS n FROM items_toks GROUP BY item HAVING count(*) >= {decontamination.LITERALS}),
+item_cuts AS (SELECT item, {cut} FROM items_runs JOIN widths USING (item) WHERE {fits}),
+firsts AS (SELECT item, n, win, min(pos) AS place, arg_min(vals, pos) AS mine FROM item_cuts GROUP BY item, n, win),
+grams AS (SELECT *, count(*) OVER (PARTITION BY item) AS windows FROM firsts),
+doc_cuts AS (SELECT doc_id, {cut} FROM docs_runs, (SELECT DISTINCT n FROM widths) WHERE {fits}),
+met AS (SELECT doc_id, item, pos - place AS diagonal, win, windows, mine, vals FROM doc_cuts JOIN grams USING (n, win)),
+shares AS (SELECT doc_id, item, diagonal, count(DISTINCT win) / any_value(windows) AS share FROM met GROUP BY doc_id, item, diagonal),
+pairs AS (SELECT DISTINCT doc_id, item, diagonal, unnest(mine) AS a, unnest(vals) AS b FROM met),
+slots AS (SELECT doc_id, item, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) AS consistent, bool_and(a = b) AS same FROM pairs GROUP BY doc_id, item, diagonal),
+hits AS (SELECT s.doc_id, s.item, share, coalesce(same, true) AS same FROM shares s LEFT JOIN slots USING (doc_id, item, diagonal) WHERE share >= {decontamination.COVERAGE} AND coalesce(consistent, true)),
+named AS (SELECT DISTINCT doc_id, item_id, share, same FROM hits JOIN benchmark ON benchmark.text = hits.item)
+SELECT doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids, count(DISTINCT item_id) AS n_items, max(share) AS coverage, bool_or(same) AS verbatim
+FROM named GROUP BY doc_id"""
+
+
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {s}) & 31 AS INT) + 1, 1)" for s in (15, 10, 5, 0))
+_ARCHIVES = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+h AS (SELECT page_id, x, strlen(x) AS payload_bytes, sha1(x) AS hex, min(page_id) OVER (PARTITION BY x) AS least FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(list_transform(range(8), lambda g: CAST('0x' || substr(hex, g * 5 + 1, 5) AS BIGINT)), lambda v: {_DIGITS}), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM h"""
+
+_MIX = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+turns AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM per),
+weighed AS (SELECT *, CASE turn % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3 * source_size AS lim FROM turns),
+reaches AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(lim) OVER before, 0) AS DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS reach
+  FROM weighed WINDOW before AS (ORDER BY lim / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT *, least(CAST(lim AS DOUBLE), max(reach) OVER () * weight) AS target FROM reaches),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+drawn AS (SELECT s.doc_id, size, source_size, target, rate, CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+counted AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted"""
+
+SQL = {
+    "op2_secret_scan": _secrets(),
+    "op3_quality_rules": _RULES,
+    "op5_decontamination": _leaks(),
+    "op7_arc_to_warc": _ARCHIVES,
+    "op9_mixing": _MIX,
+}

@@ -62,7 +62,7 @@ def op4_sharding(spark: SparkSession, root: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, root: str) -> DataFrame:
     """One row per document that holds a benchmark item, with the items."""
     found = decontamination.leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), "item_ids", F.col("n_items").cast("bigint").alias("n_items"), "coverage", "verbatim")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("item_ids", ",").alias("item_ids"), F.col("n_items").cast("bigint").alias("n_items"), "coverage", "verbatim")
 
 
 @query
