@@ -150,7 +150,7 @@ def template(text, units):
     return out
 
 
-def leaks(docs, items, units, width=5, coverage=0.8, literals=3):
+def leaks(docs, items, units, width=5, coverage=0.8, literals=2):
     """Document id to item ids, every document against every item."""
     def cut(toks, n):
         got = []

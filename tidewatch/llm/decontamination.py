@@ -7,7 +7,7 @@ item position) form an alignment; its slots, the values behind the placeholders,
 one document value and back.  A consistent alignment that covers ``COVERAGE`` of the item's windows is a leak, verbatim where
 every slot is equal, else re-parameterised.
 
-Windows need ``LITERALS`` ordinary tokens, else any table of numbers would match; a window that an item repeats counts at
+Windows need ``LITERALS`` ordinary tokens (or as many as they are long), else any table of numbers would match; a window that an item repeats counts at
 its first place.  Items shorter than ``WIDTH`` are compared as one window of their own length.  Items without an eligible
 window cannot be told from ordinary text and match nothing.
 
@@ -28,7 +28,7 @@ from tidewatch.session import materialize
 
 WIDTH = 5
 COVERAGE = 0.8
-LITERALS = 3
+LITERALS = 2
 #: 24 bytes each in the hash table, so about 50 MB at most.
 BROADCAST_WINDOWS = 2_000_000
 #: Units that count as such after a number.
