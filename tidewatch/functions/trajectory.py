@@ -86,21 +86,30 @@ def label_at(y: Column | str, mask: Column | str, k: int) -> tuple[Column, Colum
     return event.cast("int"), (event | (F.element_at(_c(mask), k) > 0)).cast("int")
 
 
-def audit(df: DataFrame, h: str, f: str, key: str, entity: str, t: str, horizon: int = 36, step_minutes: int = 10) -> DataFrame:
-    """One row of violation counts over all trajectories, duplicates included."""
+def audit(df: DataFrame, h: str, f: str, key: str, entity: str, t: str, horizon: int = 36, step_minutes: int = 10,
+          contract: tuple[int, int] | None = None) -> DataFrame:
+    """One row of violation counts over all trajectories, duplicates included.
+
+    A curve must agree with its hazards at every step.  ``contract`` is the (horizon, step minutes) the trajectories have to come
+    in; without one any grid may pass.
+    """
+    odd = "x IS NULL OR isnan(x) OR abs(x) = double('Infinity')"
     checks = df.selectExpr(
-        f"exists({h}, x -> x IS NULL OR isnan(x)) OR exists({f}, x -> x IS NULL OR isnan(x)) AS missing",
+        f"exists({h}, x -> {odd}) OR exists({f}, x -> {odd}) AS missing",
         f"exists({h}, x -> x < 0 OR x > 1) AS bad_h", f"exists({f}, x -> x < 0 OR x > 1) AS bad_f",
         f"exists(sequence(2, size({f})), k -> element_at({f}, k) < element_at({f}, k - 1) - 1e-9D) AS falling",
-        f"abs(element_at({f}, -1) - (1 - aggregate({h}, 1.0D, (a, x) -> a * (1 - x)))) > 2e-6D AS incoherent",
-        f"size({h}) <> {horizon} AS short")
+        # Step by step: what is left after step k is what was left before times one minus the hazard of step k.
+        f"""aggregate(arrays_zip({h}, {f}), struct(1.0D AS left, false AS off), (a, z) -> struct(
+            a.left * (1 - z.`0`) AS left, a.off OR coalesce(abs(z.`1` - (1 - a.left * (1 - z.`0`))) > 2e-6D, false) AS off)).off AS incoherent""".replace("z.`0`", f"z.{h}").replace("z.`1`", f"z.{f}"),
+        f"size({h}) <> {horizon} OR size({f}) <> {horizon} AS short")
     counts = checks.agg(F.count(F.lit(1)).alias("rows_n"), *[F.expr(f"count_if({c})").alias(c) for c in checks.columns])
     # A key's copies are pre-counted, so repeated keys never meet in one big group.
     dup_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
     dup_time = df.groupBy(entity, t).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
     out = counts.withColumns({"duplicate_keys": dup_key, "duplicate_times": dup_time})
     bad = " + ".join([*checks.columns, "duplicate_keys", "duplicate_times"])
-    return out.withColumn("passed", F.expr(f"CAST({bad} = 0 AND {horizon} = 36 AND {step_minutes} = 10 AS INT)"))
+    kept = contract is None or contract == (horizon, step_minutes)
+    return out.withColumn("passed", F.expr(f"CAST({bad} = 0 AND {str(kept).lower()} AS INT)"))
 
 
 def nll_components(df: DataFrame, h: str, y: str, mask: str, weight: str, by: list[str]) -> DataFrame:

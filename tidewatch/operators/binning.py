@@ -50,11 +50,16 @@ def dense_grid(entities: DataFrame, lo: Column, hi: Column, step: int, t: str =
 
 def complete_panel(binned: DataFrame, lo: Column, hi: Column, step: int,
                    zero: list[str], t: str = "t", entities: DataFrame | None = None) -> DataFrame:
-    """Left-join binned rows onto the dense grid; listed counts become 0, the rest stay NULL."""
+    """Left-join binned rows onto the dense grid; listed counts become 0, the rest stay NULL.
+
+    Both sides are placed by entity into a stated number of partitions, so the windows that follow reuse the exchange.
+    Entity ids are few bytes and the grid grows only after their exchange; a number left to the adaptive planner would be sized by the
+    ids, put them into one partition and with them the whole grid.
+    """
+    places = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = (binned if entities is None else entities).select("entity").distinct()
-    grid = dense_grid(ids, lo, hi, step, t)
-    # Both sides are placed by entity, so the windows that follow reuse the exchange.
-    joined = grid.join(binned.repartition("entity"), ["entity", t], "left")
+    grid = dense_grid(ids.repartition(places, "entity"), lo, hi, step, t)
+    joined = grid.join(binned.repartition(places, "entity"), ["entity", t], "left")
     return joined.fillna(0, subset=zero)
 
 

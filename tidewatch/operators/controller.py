@@ -118,7 +118,6 @@ class Account:
     open: list[list] = field(default_factory=list)
     last_action: int | None = None
     segment: int = 0
-    matched: set[int] = field(default_factory=set)
 
 
 class EntityController:
@@ -134,15 +133,18 @@ class EntityController:
 
     # -- settlement ---------------------------------------------------------
     def event(self, onset: int) -> None:
-        """An onset frees the earliest unmatched segment that foresaw it, once per budget."""
+        """An onset frees the earliest segment that foresaw it, once per budget.
+
+        What the window holds of that segment leaves the queue, and the rest is older than any later window, so a segment cannot be
+        freed twice and none has to be remembered.
+        """
         earliest = onset - self.rules.horizon
         for account in self.accounts:
             account.last_action = None
-            foreseeing = [r for r in account.open if earliest <= r[0] < onset and r[3] not in account.matched]
+            foreseeing = [r for r in account.open if earliest <= r[0] < onset]
             if not foreseeing:
                 continue
             winner = min(r[3] for r in foreseeing)
-            account.matched.add(winner)
             freed = [r for r in foreseeing if r[3] == winner]
             account.open = [r for r in account.open if not (r[3] == winner and earliest <= r[0] < onset)]
             for _, month, _, _ in freed:
@@ -270,11 +272,16 @@ class EntityController:
                 for b, account in zip(self.budgets, self.accounts) for m, ledger in account.ledgers.items()]
 
     def dump(self) -> list:
-        return [[{m: asdict(x) for m, x in a.ledgers.items()}, a.open, a.last_action, a.segment, sorted(a.matched)] for a in self.accounts]
+        return [[{m: asdict(x) for m, x in a.ledgers.items()}, a.open, a.last_action, a.segment] for a in self.accounts]
+
+    def forget_closed_months(self, current: str) -> None:
+        """Drop ledgers of past months without an open reservation; a stream has emitted all they decided."""
+        for account in self.accounts:
+            kept = {current, *(r[1] for r in account.open)}
+            account.ledgers = {m: x for m, x in account.ledgers.items() if m in kept}
 
     def load(self, saved: list) -> EntityController:
-        self.accounts = [Account({m: Ledger(**x) for m, x in led.items()}, queue, last, seg, set(matched))
-                         for led, queue, last, seg, matched in saved]
+        self.accounts = [Account({m: Ledger(**x) for m, x in led.items()}, queue, last, seg) for led, queue, last, seg in saved]
         return self
 
 

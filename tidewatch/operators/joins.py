@@ -37,16 +37,20 @@ def complete_lookup(rows: DataFrame, attributes: DataFrame, keys: list[str]) ->
     return joined.withColumn("_hit", found.cast("boolean")).filter("_hit").drop("_hit")
 
 
-def nearest_neighbours(points: DataFrame, key: str, k: int, levels: tuple[float, ...] = (0.1, 0.8, 6.4),
-                       shares: int = 64) -> DataFrame:
+def _lon_cells(row: Column, size: float) -> Column:
+    """Cells of a latitude row: as many as keep a cell at least ``size`` degrees of arc wide at the row's pole-ward edge."""
+    edge = F.greatest(F.abs(row * size - 90.0), F.abs((row + 1) * size - 90.0))
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / size).cast("int"))
+
+
+def nearest_neighbours(points: DataFrame, key: str, k: int, first_cell: float = 0.1, growth: float = 4.0) -> DataFrame:
     """The k nearest other points of every point, exact, without an all-pairs join.
 
-    Points meet only inside a 3x3 block of grid cells.  A point is settled once
-    its k-th neighbour lies inside the radius the block is sure to cover; the
-    rest try a coarser grid, and only what no grid settles is compared with
-    everything.  Points sharing one coordinate are represented as sources by
-    their first k+1 keys, which is all a ranking by (distance, key) can use, so
-    a crowd at one place adds no quadratic work.
+    Points meet only inside a block of grid cells around the target: three latitude rows, and in each the three cells around the
+    target's longitude, which wrap at 180 degrees.  Rows have fewer cells towards the poles, so a cell is never narrower than its
+    size.  A point is settled once its k-th neighbour lies inside the radius that its block is sure to cover; the rest try cells
+    ``growth`` times as large, until the block is the globe.  Points sharing one coordinate are represented as sources by their
+    first k+1 keys, which is all a ranking by (distance, key) can use, so a crowd at one place adds no quadratic work.
     """
     located = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
     crowd = Window.partitionBy("lat", "lon").orderBy(key)
@@ -55,42 +59,44 @@ def nearest_neighbours(points: DataFrame, key: str, k: int, levels: tuple[float,
     best = Window.partitionBy(f"target_{key}").orderBy("distance_km", f"source_{key}")
     todo = located.select(*[F.col(c).alias(f"target_{c}") for c in located.columns])
     done: list[DataFrame] = []
-    for size in (*levels, None):
-        if size is None:
-            # The few points no grid settles meet every source, spread over salted
-            # shares of the sources; each share keeps only its own k best.
-            left = todo.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
-            right = src.withColumn("_share", F.pmod(F.xxhash64(f"source_{key}"), F.lit(shares)).cast("int"))
-            near = Window.partitionBy(f"target_{key}", "_share").orderBy("_km", f"source_{key}")
-            pairs = (left.join(right, "_share").filter(F.col(f"source_{key}") != F.col(f"target_{key}"))
-                     .withColumn("_km", F.round(haversine_km("source_lon", "source_lat", "target_lon", "target_lat"), 4))
-                     .withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r", "_km", "_share"))
-            reach = F.lit(float("inf"))
-        else:
-            def cell(prefix: str, axis: str) -> Column:
-                return F.floor(F.col(f"{prefix}_{axis}") / size)
-
-            around = F.explode(F.array(*[F.struct((cell("target", "lat") + i).alias("y"), (cell("target", "lon") + j).alias("x"))
-                                         for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-            left = todo.select("*", around.alias("_cell"))
-            right = src.withColumn("_cell", F.struct(cell("source", "lat").alias("y"), cell("source", "lon").alias("x")))
-            pairs = left.join(right, "_cell").drop("_cell")
-            # Longitude cells shrink towards the poles; beyond them nothing is sure.
-            edge = F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.abs("target_lat") + 2 * size, F.lit(90.0)))))
-            reach = F.lit(size * KM_PER_DEGREE) * edge
+    size = first_cell
+    while True:
+        whole = size >= 360.0
+
+        def row(prefix: str) -> Column:
+            return F.floor((F.col(f"{prefix}_lat") + 90.0) / size)
+
+        def column(prefix: str, at: Column) -> Column:
+            return F.floor(F.pmod(F.col(f"{prefix}_lon") + 180.0, F.lit(360.0)) / (360.0 / _lon_cells(at, size)))
+
+        rows = [row("target") + i for i in (-1, 0, 1)]
+        around = F.array_distinct(F.array(*[F.struct(y.alias("y"), F.pmod(column("target", y) + j, _lon_cells(y, size)).alias("x")) for y in rows for j in (-1, 0, 1)]))
+        left = todo.select("*", F.explode(around).alias("_cell"))
+        right = src.withColumn("_cell", F.struct(row("source").alias("y"), column("source", row("source")).alias("x")))
+        pairs = left.join(right, "_cell").drop("_cell")
+
+        def sideways(y: Column) -> Column:
+            # Beyond the three cells of a row lies at least one cell of longitude, unless they are all there are.
+            edge = F.greatest(F.abs(y * size - 90.0), F.abs((y + 1) * size - 90.0))
+            cosines = F.cos(F.radians("target_lat")) * F.cos(F.radians(F.least(edge, F.lit(90.0))))
+            return F.when(_lon_cells(y, size) <= 3, F.lit(float("inf"))).otherwise(
+                2 * 6371.0 * F.asin(F.sqrt(F.greatest(cosines, F.lit(0.0))) * F.sin(F.radians(180.0 / _lon_cells(y, size)))))
+
+        reach = F.least(F.lit(size * KM_PER_DEGREE), *[sideways(y) for y in rows])
         ranked = (pairs.filter(F.col(f"source_{key}") != F.col(f"target_{key}"))
                   .withColumn("distance_km", F.round(haversine_km("source_lon", "source_lat", "target_lon", "target_lat"), 4))
                   .withColumn("distance_rank", F.row_number().over(best)).filter(F.col("distance_rank") <= k))
-        if size is None:
+        if whole:
             done.append(ranked)
             break
         ranked = ranked.withColumn("_sure", (F.count(F.lit(1)).over(Window.partitionBy(f"target_{key}")) == k)
                                    & (F.max("distance_km").over(Window.partitionBy(f"target_{key}")) < reach))
         settled = materialize(ranked.filter("_sure").drop("_sure"), "neighbours")
         done.append(settled)
-        todo = todo.join(settled.select(f"target_{key}").distinct(), f"target_{key}", "left_anti")
+        todo = materialize(todo.join(settled.select(f"target_{key}").distinct(), f"target_{key}", "left_anti"), "unsettled")
         if todo.isEmpty():
             break
+        size *= growth
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

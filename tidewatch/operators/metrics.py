@@ -6,6 +6,8 @@ through the sliced running totals, so no task ever sorts all rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +107,29 @@ def signal_audit(df: DataFrame, signal: str, near: str, hard: str, seen: str) ->
         f"coalesce(max(CASE WHEN NOT ({seen}) THEN abs({signal}) END), 0) AS unseen_max")])
 
 
-# 97.5 % points of Student's t for 1 to 10 degrees of freedom.
-T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139)
+def student_t(p: float, df: int) -> float:
+    """Quantile of Student's t: bisection on the distribution function, which has a finite sum for whole degrees of freedom."""
+    def below(x: float) -> float:
+        angle = math.atan(x / math.sqrt(df))
+        term, total = 1.0, 0.0
+        if df % 2:
+            term = math.cos(angle)
+            for k in range(1, df - 1, 2):
+                total += term
+                term *= math.cos(angle) ** 2 * (k + 1) / (k + 2)
+            return 0.5 + (angle + math.sin(angle) * total) / math.pi
+        for k in range(0, df - 1, 2):
+            total += term
+            term *= math.cos(angle) ** 2 * (k + 1) / (k + 2)
+        return 0.5 + math.sin(angle) * total / 2
+
+    lo, hi = 0.0, 1.0
+    while below(hi) < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+    return (lo + hi) / 2
 
 
 def paired_seed_differences(metrics: DataFrame, control: str, directions: dict[str, str]) -> DataFrame:
@@ -118,7 +141,11 @@ def paired_seed_differences(metrics: DataFrame, control: str, directions: dict[s
     g = d.groupBy("model", "metric", "favourable").agg(
         F.count(F.lit(1)).alias("seeds"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"),
         F.sum(F.when(F.col("favourable") == "higher", F.col("d") > 0).otherwise(F.col("d") < 0).cast("int")).alias("improved"))
-    quantile = F.try_element_at(F.array(*[F.lit(t) for t in T_975]), (F.col("seeds") - 1).cast("int"))
+    # One row per (model, metric); the seeds of a comparison are a handful, so their counts come to the driver as one short list.
+    counts = [r[0] for r in d.groupBy("model", "metric").agg(F.count(F.lit(1)).alias("n")).select("n").distinct().collect() if r[0] > 1]
+    quantile = F.lit(None).cast("double")
+    for n in counts:
+        quantile = F.when(F.col("seeds") == n, F.lit(student_t(0.975, n - 1))).otherwise(quantile)
     half = F.when(F.col("seeds") > 1, quantile * F.col("sd") / F.sqrt("seeds"))
     return g.withColumns({"low": F.col("mean_difference") - half, "high": F.col("mean_difference") + half})
 

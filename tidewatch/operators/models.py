@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scalar
 
 
+#: Steps and mean-gradient tolerance of the shift when a calibration slope is held at its bound.
+SHIFT_STEPS, SHIFT_TOLERANCE = 100, 1e-8
+
+
 @dataclass(frozen=True)
 class Coefficients:
     """A fitted linear score."""
@@ -71,17 +75,40 @@ def calibrate(df: DataFrame, eta: str, label: str, weight: str | None = None, li
     slope = min(max(fit.values[0], bounds[0]), bounds[1])
     if slope == fit.values[0]:
         return fit
-    shift = fit.intercept
+    # The slope is fixed: Newton steps on the shift alone, from the link of the prevalence, halved while they overshoot.
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    for _ in range(12):
-        line = F.lit(shift) + F.lit(slope) * F.col(eta)
-        p = scalar.cloglog_risk(line) if link == "cloglog" else scalar.logit_risk(line)
-        gap, mass = df.agg(F.sum(w * (F.col(label) - p)), F.sum(w * p)).first()
-        move = math.log(max((gap + mass) / max(mass, 1e-12), 1e-6))
-        shift += move
-        if abs(move) < 1e-10:
-            break
-    return Coefficients((eta,), (slope,), shift, link)
+    y = F.col(label).cast("double")
+    mean_y, mean_eta = df.agg(F.sum(w * y) / F.sum(w), F.sum(w * F.col(eta)) / F.sum(w)).first()
+    if not 0 < mean_y < 1:
+        raise ValueError("calibration needs rows of both labels")
+    shift = (math.log(-math.log1p(-mean_y)) if link == "cloglog" else math.log(mean_y / (1 - mean_y))) - slope * mean_eta
+
+    def at(value: float) -> tuple[float, float, float]:
+        line = F.lit(value) + F.lit(slope) * F.col(eta)
+        if link == "cloglog":
+            rate = F.exp(F.least(F.greatest(line, F.lit(-30.0)), F.lit(15.0)))
+            p = F.least(F.greatest(-F.expm1(-rate), F.lit(1e-12)), F.lit(1 - 1e-12))
+            loss, slope_, bend = -(y * F.log(p) - (1 - y) * rate), rate * (1 - y / p), rate * ((1 - y / p) + y * rate * (1 - p) / (p * p))
+        else:
+            p = F.least(F.greatest(scalar.logit_risk(line), F.lit(1e-12)), F.lit(1 - 1e-12))
+            loss, slope_, bend = -(y * F.log(p) + (1 - y) * F.log(1 - p)), p - y, p * (1 - p)
+        return df.agg(F.sum(w * loss) / F.sum(w), F.sum(w * slope_) / F.sum(w), F.sum(w * bend) / F.sum(w)).first()
+
+    value, gradient, bend = at(shift)
+    for _ in range(SHIFT_STEPS):
+        if abs(gradient) < SHIFT_TOLERANCE:
+            return Coefficients((eta,), (slope,), shift, link)
+        step = -gradient / bend if bend > 1e-9 else -math.copysign(1.0, gradient)
+        step = max(min(step, 4.0), -4.0)
+        for _ in range(30):
+            next_value, next_gradient, next_bend = at(shift + step)
+            if next_value <= value + 1e-12:
+                break
+            step /= 2
+        shift, value, gradient, bend = shift + step, next_value, next_gradient, next_bend
+    if abs(gradient) < SHIFT_TOLERANCE:
+        return Coefficients((eta,), (slope,), shift, link)
+    raise ValueError(f"the calibration shift has not converged: gradient {gradient:.3g} at {shift:.6g}")
 
 
 def calibrate_trajectory(df: DataFrame, etas: str, y: str, mask: str, weight: str) -> Coefficients:

@@ -3,8 +3,11 @@
 A global window would send every row to one task.  Here rows are reduced to
 distinct order values, cut into value slices of similar size, totalled per
 slice, and each slice runs on its own with the total of the slices before it.
-The slice bounds come from an approximate quantile sketch; they only steer the
-balance, the results are exact whatever the bounds are.
+Slice bounds are picked, group by group, from a sample of the distinct values
+that is compared like the values themselves, so text keys and groups of
+different range are cut as evenly as numbers; the number of slices follows the
+number of distinct values.  Bounds only steer the balance, the results are exact
+whatever they are.
 """
 
 from __future__ import annotations
@@ -12,25 +15,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+#: Distinct values a slice should hold, and values in a group's sample (so slices at most).
+SLICE_VALUES = 50_000
+SAMPLE = 1024
 
 
-def _sketchable(df: DataFrame, order: str) -> Column:
-    """A number that never decreases with the order column; text maps to its first six bytes."""
-    kind = dict(df.dtypes)[order]
-    if kind == "string":
-        head = F.hex(F.substring(F.encode(F.col(order), "UTF-8"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
-    return F.col(order)
-
-
-def _slice_bounds(df: DataFrame, order: str, slices: int) -> Column:
-    marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.agg(F.percentile_approx(_sketchable(df, order), marks, F.lit(10000))).scalar()
+def _bounds(distinct: DataFrame, order: str, by: tuple[str, ...], slice_values: int) -> DataFrame:
+    """Per group the ascending slice bounds: every so-many-th value of a hashed sample of at most ``SAMPLE`` values."""
+    spread = F.xxhash64(order)
+    sample = distinct.groupBy(*by, F.pmod(spread, F.lit(SAMPLE)).alias("_p")).agg(
+        F.min_by(order, spread).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    picked = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_s"), F.sum("_n").alias("_n"))
+    return picked.selectExpr(*[f"`{c}` AS `_by_{c}`" for c in by], f"""transform(
+        filter(sequence(1, least({SAMPLE}, CAST(ceil(_n / {slice_values}) AS INT))), i -> i > 1),
+        i -> _s[CAST((i - 1) * size(_s) / least({SAMPLE}, CAST(ceil(_n / {slice_values}) AS INT)) AS INT)]) AS _bounds""")
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (),
-                   descending: bool = False, slices: int = SLICES, bounded: bool = False) -> DataFrame:
+                   descending: bool = False, slice_values: int = SLICE_VALUES, bounded: bool = False) -> DataFrame:
     """Distinct ``order`` values with each sum, its inclusive running total ``<name>_cum``
     and its group total ``<name>_total``.
 
@@ -46,10 +48,14 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, Column], by: tuple
         inside = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
         return distinct.withColumns({f"{n}_cum": F.sum(n).over(inside) for n in sums} | {
             f"{n}_total": F.sum(n).over(Window.partitionBy(*by)) for n in sums})
-    located = distinct.withColumns({"_bounds": _slice_bounds(df, order, slices), "_spot": _sketchable(df, order)})
-    # Written out comparison by comparison: this compiles, a lambda over the array would not.
-    above = " + ".join(f"int(coalesce(_bounds[{i}] < _spot, false))" for i in range(slices - 1))
-    cut = located.withColumn("_slice", F.expr(f"coalesce({'-' if descending else ''}({above}), 0)")).drop("_bounds", "_spot")
+    bounds = _bounds(distinct, order, by, slice_values)
+    if by:
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        located = distinct.join(bounds, same).drop(*[f"_by_{c}" for c in by])
+    else:
+        located = distinct.withColumn("_bounds", bounds.scalar())
+    above = f"size(filter(_bounds, b -> b < `{order}`))"
+    cut = located.withColumn("_slice", F.expr(f"coalesce({'-' if descending else ''}{above}, 0)")).drop("_bounds")
     per_slice = cut.groupBy(*by, "_slice").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(*by, "_slice", *[

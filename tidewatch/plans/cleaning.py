@@ -15,17 +15,16 @@ from tidewatch.sources import logs
 
 def _orders_csv(spark, root, encoding="UTF-8", where=None):
     """Orders rewritten as a text log below year folders, the layout the readers expect."""
-    o = table(spark, root, "orders").select(
-        F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey"),
+    o = table(spark, root, "orders").withColumn("_key", F.col("o_orderkey")).select(
+        "_key", F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey"),
         F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
         F.when(F.col("o_orderkey") % 4 == 0, "--").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.year("o_orderdate").alias("year"))
     if where is not None:
         o = o.filter(where)
     path = scratch_path(spark, "orders-log")
-    if encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    o.repartition("year").write.partitionBy("year").option("header", True).option("encoding", encoding).csv(path)
+    ordered = o.repartition("year").sortWithinPartitions("year", "_key").drop("_key")
+    ordered.write.partitionBy("year").option("header", True).option("encoding", encoding).csv(path)
     return path
 
 
@@ -33,10 +32,10 @@ _LOG = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderprior
 
 
 @query("sc1_discover_sources", "year:i rows:i first_priority:s matches:i",
-       """SELECT year, count(*) AS rows, min(CASE WHEN o_orderkey%4<>0 THEN o_orderpriority END) AS first_priority, count(*) AS matches
+       """SELECT year, count(*) AS rows, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey%4<>0) AS first_priority, count(*) AS matches
        FROM (SELECT *, year(o_orderdate) AS year FROM orders) GROUP BY 1""")
 def sc1(spark, root):
-    log = logs.read_text_log(spark, _orders_csv(spark, root), _LOG)
+    log = logs.read_text_log(spark, _orders_csv(spark, root), _LOG, position=True)
     log = log.withColumn("year", logs.path_year("source_file", r"(\d{4})"))
     files = logs.source_catalog(log.withColumn("hit", F.col("year") == F.year(F.to_timestamp("o_orderdate"))), ["o_orderpriority"])
     years = log.groupBy("source_file").agg(F.max("year").alias("year"),
@@ -59,7 +58,6 @@ def sc3(spark, root):
     d = table(spark, root, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), "lang",
         F.regexp_replace("text", "[^a-zA-Zàâçéèêëîïôûùüÿñæœäöß]", "").alias("head"), F.col("n_chars").cast("string").alias("n"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     parts = []
     for encoding, keep in (("UTF-8", F.col("doc_id").cast("bigint") % 2 == 0), ("GB18030", F.col("doc_id").cast("bigint") % 2 == 1)):
         path = scratch_path(spark, "encoded-log")

@@ -154,10 +154,13 @@ def _grid_events(spark, root):
     return episodes.evaluate_definitions(_positives(spark, root), "thickness", bucket=600, persistence=2, persistence_gap=7200, scale=_SCALE)
 
 
-@query("ev11_definition_grid", "definition_id:s merge_minutes:i cooldown_hours:i cold_limit:i rule:s is_reference:i positives:i",
-       f"SELECT g.*, (SELECT count(*) FROM posr) AS positives FROM ({_GRID_SQL}) g", "posr")
+@query("ev11_definition_grid", "definition_id:s merge_minutes:i cooldown_hours:i cold_limit:i rule:s is_reference:i cold_positives:i",
+       f"SELECT g.*, (SELECT count(*) FROM posr WHERE temp<=g.cold_limit) AS cold_positives FROM ({_GRID_SQL}) g", "posr")
 def ev11(spark, root):
-    return episodes.definition_grid(spark).withColumn("positives", _positives(spark, root).agg(F.count(F.lit(1))).scalar())
+    # Each definition with the positive rows its cold limit lets through.
+    limits = F.explode(F.array(*[F.lit(x) for x in episodes.GRID_COLD_LIMITS])).alias("cold_limit")
+    cold = _positives(spark, root).select("temp", limits).groupBy("cold_limit").agg(F.count_if(F.col("temp") <= F.col("cold_limit")).alias("cold_positives"))
+    return episodes.definition_grid(spark).join(cold, "cold_limit", "left").fillna(0, ["cold_positives"])
 
 
 @query("ev12_definition_events", "rule:s merge_minutes:i cooldown_hours:i cold_limit:i entity:i all_events:i valid_events:i recurrent_events:i",

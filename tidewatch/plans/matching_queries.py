@@ -200,7 +200,10 @@ def mt14(spark, root):
                            "uncoupled_hits / uncoupled_n - coupled_hits / coupled_n AS hit_cost")
 
 
-@query("mt15_case_trace", "entity:i t:i budget:f score:f alarm:i occupied:i capacity:i next_onset:f")
+@query("mt15_case_trace", "entity:i t:i budget:f score:f alarm:i occupied:i capacity:i next_onset:f",
+       """SELECT c.entity, c.t, c.budget, c.score, c.alarm, c.occupied, c.capacity, o.next_onset FROM ctl_trace c
+       JOIN (SELECT entity FROM ctl_trace WHERE alarm=1 GROUP BY 1 ORDER BY count(*) DESC, entity DESC LIMIT 1) z ON z.entity=c.entity
+       LEFT JOIN (SELECT entity, onset//3600*3600 AS t, min(onset) AS next_onset FROM onsets GROUP BY 1,2) o ON o.entity=c.entity AND o.t=c.t""", "ctl_trace onsets")
 def mt15(spark, root):
     trace = controller.trace_of(controller_result(spark, root))
     busiest = trace.filter("alarm = 1").groupBy("entity").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", F.col("entity").alias("e")))["e"]).scalar()

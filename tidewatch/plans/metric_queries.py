@@ -519,21 +519,27 @@ def sp6(spark, root):
     return sampling.purged_splits(rows, 5, 172800, 108000).groupBy("held", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sp7_spatial_holdouts", "station:i city:s events:i fold:i", """SELECT station, city, events, fold FROM hold WHERE n>0""", "hold")
+@query("sp7_spatial_holdouts", "station:i city:s events:i fold:i", "SELECT station, city, events, fold FROM hold", "hold")
 def sp7(spark, root):
     return sampling.spatial_holdouts(_stations_with_events(spark, root), 5)
 
 
+@query("sp7_region_holdouts", "held:s held_stations:i held_events:i train_stations:i train_events:i", """SELECT city AS held, count(*) AS held_stations, sum(events) AS held_events,
+       (SELECT count(*) FROM hold) - count(*) AS train_stations, (SELECT sum(events) FROM hold) - sum(events) AS train_events FROM hold GROUP BY 1""", "hold")
+def sp7_regions(spark, root):
+    return sampling.leave_one_region_out(_stations_with_events(spark, root))
+
+
 def _stations_with_events(spark, root):
     e = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("station")).agg(F.count(F.lit(1)).alias("events"))
     s = catalog_view(spark, root).select("station", F.concat(F.lit("R"), F.col("region").cast("string")).alias("city"))
     return s.join(e, "station", "left").fillna(0, ["events"])
 
 
-cte("sord", """SELECT station, 'R' || region AS city, region, coalesce(c,0) AS events, row_number() OVER (ORDER BY coalesce(c,0) DESC, 'R' || region, station) AS n FROM stations LEFT JOIN (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1) ON o_custkey=station""", "stations")
-cte("hold", """/*RECURSIVE*/ SELECT 0::BIGINT AS n, 0::BIGINT AS station, ''::VARCHAR AS city, 0::BIGINT AS events, [0,0,0,0,0]::BIGINT[] AS ev, [0,0,0,0,0]::BIGINT[] AS sz, list_transform(range(25), lambda x: 0::BIGINT) AS ct, 0::BIGINT AS fold UNION ALL
- SELECT n, station, city, events, list_transform(ev, lambda x, i: CASE WHEN i=f+1 THEN x+events ELSE x END), list_transform(sz, lambda x, i: CASE WHEN i=f+1 THEN x+1 ELSE x END), list_transform(ct, lambda x, i: CASE WHEN i=region*5+f+1 THEN x+1 ELSE x END), f FROM (
- SELECT b.n, b.station, b.city, b.region, b.events, h.ev, h.sz, h.ct, list_sort(list_transform(range(5), lambda i: [h.ct[b.region*5+i+1], h.ev[i+1], h.sz[i+1], i]))[1][4] AS f FROM hold h JOIN sord b ON b.n=h.n+1)""", "sord")
+cte("hold", """SELECT station, city, events, ((CASE WHEN p//5%2=0 THEN p%5 ELSE 4-p%5 END) + turn - 1)%5 AS fold FROM (
+ SELECT station, city, events, row_number() OVER (PARTITION BY city ORDER BY events DESC, station) - 1 AS p FROM
+ (SELECT station, 'R' || region AS city, coalesce(c,0) AS events FROM stations LEFT JOIN (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1) ON o_custkey=station)) JOIN
+ (SELECT 'R' || region AS city, row_number() OVER (ORDER BY sum(coalesce(c,0)) DESC, 'R' || region) AS turn FROM stations LEFT JOIN (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1) ON o_custkey=station GROUP BY region) USING (city)""", "stations")
 
 
 # --- audits -------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import clock, trajectory
 from tidewatch.operators import controller, policies, selection
+from tidewatch.plans.controller_oracle import controller_cte
 from tidewatch.plans.registry import cte, query
 from tidewatch.plans.standins import HOUR, purchase_events, scored
 from tidewatch.session import materialize
@@ -189,12 +190,15 @@ _W = {"linear": "k*1.0", "hit_only": "1.0", "saturating_3h": "least(k*1.0,3.0)",
       "business_piecewise": "CASE WHEN k<0.5 THEN 0.5*k WHEN k<2 THEN 0.25+0.5*(k-0.5)/1.5 WHEN k<4 THEN 0.75+0.25*(k-2)/2.0 ELSE 1.0 END"}
 
 
-@query("tr3_lead_weights", "kind:s step:i weight:f rows_n:i",
-       "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS kind, k AS step, {e} AS weight FROM (SELECT unnest(range(1,7)) AS k)" for n, e in _W.items()) + ") CROSS JOIN (SELECT count(*) AS rows_n FROM scored)", "scored")
+@query("tr3_lead_weights", "kind:s step:i weight:f rows_n:i total:f",
+       "SELECT kind, k AS step, w AS weight, count(*) AS rows_n, sum(w) AS total FROM (SELECT noise%6+1 AS k FROM scored) JOIN (" +
+       " UNION ALL ".join(f"SELECT '{n}' AS kind, k, {e} AS w FROM (SELECT unnest(range(1,7)) AS k)" for n, e in _W.items()) + ") USING (k) GROUP BY 1,2,3", "scored")
 def tr3(spark, root):
-    n = scored(spark, root).agg(F.count(F.lit(1)).alias("rows_n"))
+    # Every row asks for the weight of its own step under each kind.
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), trajectory.lead_weights(H, 60, k).alias("w")) for k in _W])
-    return n.select("rows_n", F.explode(kinds).alias("x")).select("rows_n", "x.kind", F.posexplode("x.w").alias("i", "weight")).withColumn("step", F.col("i") + 1)
+    rows = scored(spark, root).select((F.col("noise") % H + 1).cast("int").alias("step"), F.explode(kinds).alias("x"))
+    rows = rows.select("x.kind", "step", F.element_at("x.w", F.col("step")).alias("weight"))
+    return rows.groupBy("kind", "step", "weight").agg(F.count(F.lit(1)).alias("rows_n"), F.sum("weight").alias("total"))
 
 
 @query("tr4_trajectory_value", "entity:i t:i linear:f hit_only:f saturating_3h:f business_piecewise:f short_linear:f",
@@ -213,18 +217,35 @@ def tr5(spark, root):
     return d.select("entity", "t", F.element_at("hz", 1).alias("h1"), F.element_at("hz", 6).alias("h6"), trajectory.risk_at("hz").alias("risk"))
 
 
-@query("tr6_trajectory_audit", "rows_n:i missing:i bad_h:i bad_f:i falling:i incoherent:i duplicate_keys:i duplicate_times:i passed:i",
-       """SELECT count(*) AS rows_n, 0 AS missing, 0 AS bad_h, 0 AS bad_f, count(*) FILTER (noise%97=0) AS falling, count(*) FILTER (noise%89=0 AND score>0) AS incoherent,
-       (SELECT sum(n-1) FROM (SELECT count(*) AS n FROM traj GROUP BY entity%7, t)) AS duplicate_keys, 0 AS duplicate_times, 0 AS passed FROM traj""", "traj")
+_TR6 = "rows_n:i missing:i bad_h:i bad_f:i falling:i incoherent:i short:i duplicate_keys:i duplicate_times:i passed:i"
+_PLAIN = """SELECT *, list_transform(range(1,7), lambda k: 1-list_product(list_transform(h[1:k], lambda x: 1-x))) AS f FROM traj"""
+_FAULTY = f"""SELECT entity, t, h, list_transform(f, lambda x, i: CASE WHEN noise%97=0 AND i=3 THEN 0.0 WHEN noise%89=0 AND score>0 AND i=4 THEN x+0.01 WHEN noise%83=0 AND i=2 THEN 'inf'::DOUBLE ELSE x END) AS f FROM ({_PLAIN})"""
+
+
+def _tr6_sql(source: str, key: str) -> str:
+    bad = ["missing", "bad_h", "bad_f", "falling", "incoherent", "short"]
+    return f"""SELECT *, CAST({'+'.join(bad)}+duplicate_keys+duplicate_times=0 AS INT) AS passed FROM (SELECT count(*) AS rows_n, {', '.join(f'count(*) FILTER ({b}) AS {b}' for b in bad)},
+       (SELECT coalesce(sum(n-1),0) FROM (SELECT count(*) AS n FROM traj GROUP BY {key})) AS duplicate_keys, 0 AS duplicate_times FROM (
+       SELECT len(list_filter(list_concat(h,f), lambda x: isinf(x) OR isnan(x)))>0 AS missing, len(list_filter(h, lambda x: x<0 OR x>1))>0 AS bad_h, len(list_filter(f, lambda x: x<0 OR x>1))>0 AS bad_f,
+       len(list_filter(range(2,7), lambda k: f[k]<f[k-1]-1e-9))>0 AS falling,
+       len(list_filter(range(1,7), lambda k: abs(f[k]-(1-list_product(list_transform(h[1:k], lambda x: 1-x))))>2e-6))>0 AS incoherent, len(h)<>6 OR len(f)<>6 AS short FROM ({source})))"""
+
+
+@query("tr6_trajectory_audit", _TR6, _tr6_sql(_FAULTY, "entity%7, t"), "traj")
 def tr6(spark, root):
-    d = trajectories(spark, root).withColumn("f", trajectory.cumulative("h"))
-    # Faults planted by fixed arithmetic: a falling curve and a curve that disagrees with its hazards.
-    d = d.selectExpr("entity", "t", "h", "struct(entity % 7 AS e, t AS t) AS key", """CASE WHEN noise % 97 = 0 THEN transform(f, (x, i) -> CASE WHEN i = 2 THEN 0.0D - 0.0D ELSE x + 0.001D * (i < 2 AND x = 0 ? 1 : 0) END) ELSE f END AS f0""".replace("(i < 2 AND x = 0 ? 1 : 0)", "CAST(i < 2 AND x = 0 AS INT)"),
-                     "noise", "score")
-    d = d.selectExpr("*", "CASE WHEN noise % 89 = 0 AND score > 0 THEN transform(f0, (x, i) -> CASE WHEN i = 5 THEN least(x + 0.01D, 1.0D) ELSE x END) ELSE f0 END AS f")
+    d = trajectories(spark, root).withColumn("f0", trajectory.cumulative("h"))
+    # Faults planted by fixed arithmetic in middle steps: a fall, a curve that disagrees with its hazards, an infinity.
+    d = d.selectExpr("entity", "t", "h", "struct(entity % 7 AS e, t AS t) AS key", """transform(f0, (x, i) -> CASE WHEN noise % 97 = 0 AND i = 2 THEN 0.0D
+        WHEN noise % 89 = 0 AND score > 0 AND i = 3 THEN x + 0.01D WHEN noise % 83 = 0 AND i = 1 THEN double('Infinity') ELSE x END) AS f""")
     return trajectory.audit(d, "h", "f", "key", "entity", "t", H, 60)
 
 
+@query("tr6_clean_trajectories", _TR6, _tr6_sql(_PLAIN, "entity, t"), "traj")
+def tr6_clean(spark, root):
+    d = trajectories(spark, root).withColumns({"f": trajectory.cumulative("h"), "key": F.struct("entity", "t")})
+    return trajectory.audit(d, "h", "f", "key", "entity", "t", H, 60, contract=(H, 60))
+
+
 @query("tr7_censored_labels", "entity:i t:i event3:i known3:i event6:i known6:i",
        "SELECT entity, t, list_max(y[1:3]) AS event3, greatest(list_max(y[1:3]), mask[3]) AS known3, list_max(y) AS event6, greatest(list_max(y), mask[6]) AS known6 FROM traj", "traj")
 def tr7(spark, root):
@@ -357,6 +378,16 @@ RULES = controller.ControllerRules(step_minutes=60, horizon_steps=H, score_thres
 BUDGETS = (5.0, 10.0, 20.0)
 
 
+def _oracle(name: str, rules: controller.ControllerRules, budgets: tuple[float, ...] = BUDGETS, given: dict[int, str] | None = None) -> str:
+    controller_cte(name, rules, budgets, trajectory.lead_values(rules.horizon_steps, rules.step_minutes, "linear" if rules.utility == "risk" else rules.utility), given)
+    return name
+
+
+_oracle("ctl", RULES)
+_MONTHS = "entity, month, budget, capacity, actions, confirmed, unsettled, released, locked, peak_pending, peak_occupied, rejected_capacity, hard_budget_met"
+_TOTALS = "SELECT budget, sum(actions) AS actions, sum(confirmed) AS confirmed, sum(released) AS released, sum(unsettled) AS unsettled, max(peak_occupied) AS peak, min(hard_budget_met) AS hard_budget_met FROM {}_months GROUP BY 1"
+
+
 def controller_inputs(spark, root, rules=RULES):
     return controller.with_decision_inputs(trajectories(spark, root), "h", rules)
 
@@ -367,12 +398,14 @@ def controller_result(spark, root, rules=RULES, budgets=BUDGETS):
     return materialize(controller.run_controller(rows, purchase_events(spark, root), budgets, rules), "controller")
 
 
-@query("al9_reserved_capacity_trace", "entity:i t:i budget:f score:f bar:f desired:i alarm:i confirmed:i pending:i occupied:i capacity:i")
+@query("al9_reserved_capacity_trace", "entity:i t:i budget:f score:f bar:f desired:i alarm:i confirmed:i pending:i occupied:i capacity:i",
+       "SELECT * FROM ctl_trace", "ctl_trace")
 def al9(spark, root):
     return controller.trace_of(controller.run_controller(controller_inputs(spark, root), purchase_events(spark, root), BUDGETS, RULES))
 
 
-@query("al9_reserved_capacity_months", "entity:i month:s budget:f capacity:i actions:i confirmed:i unsettled:i released:i locked:i peak_pending:i peak_occupied:i rejected_capacity:i hard_budget_met:i")
+@query("al9_reserved_capacity_months", "entity:i month:s budget:f capacity:i actions:i confirmed:i unsettled:i released:i locked:i peak_pending:i peak_occupied:i rejected_capacity:i hard_budget_met:i",
+       f"SELECT {_MONTHS} FROM ctl_months", "ctl_months")
 def al9m(spark, root):
     return controller.months_of(controller.run_controller(controller_inputs(spark, root), purchase_events(spark, root), BUDGETS, RULES, trace="none"))
 
@@ -401,10 +434,14 @@ def _variant(name: str):
 
 for _name in controller.variants(RULES):
     if _name != "dynamic":
-        query(f"al11_variant_{_name}", "budget:f actions:i confirmed:i released:i unsettled:i peak:i hard_budget_met:i")(_variant(_name))
+        _cte = _oracle(f"ctl_{_name}", controller.variants(RULES)[_name])
+        query(f"al11_variant_{_name}", "budget:f actions:i confirmed:i released:i unsettled:i peak:i hard_budget_met:i", _TOTALS.format(_cte), f"{_cte}_months")(_variant(_name))
+
+
+_oracle("ctl_guarded", RULES, (5.0, 20.0), {0: "score >= 0.6", 1: "score >= 0.5"})
 
 
-@query("al11_guarded_candidates", "budget:f actions:i confirmed:i unsettled:i hard_budget_met:i")
+@query("al11_guarded_candidates", "budget:f actions:i confirmed:i unsettled:i hard_budget_met:i", "SELECT budget, sum(actions) AS actions, sum(confirmed) AS confirmed, sum(unsettled) AS unsettled, min(hard_budget_met) AS hard_budget_met FROM ctl_guarded_months GROUP BY 1", "ctl_guarded_months")
 def al11_guard(spark, root):
     rows = controller_inputs(spark, root).withColumns({"c5": (F.col("score") >= 0.6).cast("int"), "c20": (F.col("score") >= 0.5).cast("int")})
     result = controller.run_controller(rows, purchase_events(spark, root), (5.0, 20.0), RULES, given={5.0: "c5", 20.0: "c20"}, trace="none")

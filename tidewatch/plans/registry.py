@@ -82,8 +82,8 @@ def with_ctes(needs: str, sql: str) -> str:
         return sql
     looping = {n for n in order if "RECURSIVE" in CTES[n][1]}
     recursive = "RECURSIVE " if looping else ""
-    # Inputs of a recursion are computed once, not once per round.
-    kept = " MATERIALIZED" if looping else ""
+    # Building blocks are computed once, not once per mention or round.
+    kept = " MATERIALIZED"
     head = ", ".join(f"{n} AS{'' if n in looping else kept} ({CTES[n][1]})" for n in order)
     return f"WITH {recursive}{head} {sql}"
 

@@ -297,13 +297,15 @@ def wf13(spark, root):
 
 @query("wf14_event_log_benchmark", "candidate:s op_events:i op_hits:i op_utility:f false_hours:f max_reserved_hours:f")
 def wf14(spark, root):
-    risk = materialize(boosted_scores(spark, root).select("entity", "t", "future", "observed", "risk"), "boosted")
+    scores = materialize(boosted_scores(spark, root).select("entity", "t", "fold", "future", "observed", "risk"), "boosted")
+    # The threshold is fixed on the selection span; only the span after it is judged.
+    limit = scan.exact_quantiles(scores.filter("fold = 'selection'"), "risk", {"q": 0.9}).scalar()
+    risk = scores.filter("fold = 'test'").drop("fold")
     p = panel(spark, root)
     events = bin_event_table(p).select("entity", "event_id", "onset")
     held = risk.select("entity").distinct()
     lo = risk.agg(F.min("t")).scalar()
     events = materialize(events.withColumn("_lo", lo).filter("onset > _lo").join(held, "entity", "left_semi").select("entity", "event_id", "onset"), "events")
-    limit = scan.exact_quantiles(risk, "risk", {"q": 0.9}).scalar()
     fixed = policies.paced_cap(risk.withColumn("_q", limit).selectExpr("entity", "t", "observed", "CAST(risk >= _q AS BIGINT) AS candidate"), "candidate", CAP)
     keep = ["entity", "t", "alarm", "observed"]
     h = risk.withColumn("h", scalar.constant_hazard("risk", HORIZON))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,12 @@ RUNTIME = {
     # A join on (entity, t) may reuse a partitioning by entity, so the window
     # that follows needs no second exchange of the dense grid.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Logs come in any charset the JVM knows; processors with several state values need this store.
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 _MARK = "tidewatch.prepared"
+_SHIPPED = "tidewatch.shipped"
 
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -32,7 +38,20 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return prepare(builder.getOrCreate())
+    return ship_package(prepare(builder.getOrCreate()))
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package's sources to all executors, once per session, so that Python workers can import it wherever they run."""
+    if spark.conf.get(_SHIPPED, None) is None:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        spark.conf.set(_SHIPPED, "yes")
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:

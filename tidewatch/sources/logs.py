@@ -32,13 +32,54 @@ def text_schema(columns: list[str]) -> T.StructType:
 
 
 def read_text_log(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8",
-                  recursive: bool = True) -> DataFrame:
-    """Header CSV files below ``path`` with every field as text and the file path attached."""
-    if encoding.upper() not in {"UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"}:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+                  recursive: bool = True, position: bool = False) -> DataFrame:
+    """Header CSV files below ``path`` with every field as text and the file path attached; ``position`` adds each row's place in its file."""
     frame = (spark.read.schema(text_schema(columns)).option("header", True).option("encoding", encoding)
              .option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").csv(path))
-    return frame.select("*", F.col("_metadata.file_path").alias("source_file"))
+    place = [F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("source_row")] if position else []
+    return frame.select("*", F.col("_metadata.file_path").alias("source_file"), *place)
+
+
+def sniff_encoding(spark: SparkSession, path: str, first: str = "UTF-8", other: str = "GB18030", sample_bytes: int = 65536) -> DataFrame:
+    """(source_file, encoding) of every file below ``path``: ``first`` where the file's first bytes are valid UTF-8, else ``other``.
+
+    Files are looked at in parallel, each by the task that reads it; a sequence cut off by the end of the sample does not count against a file.
+    """
+    head = F.substring(F.col("content"), 1, sample_bytes)
+    # A cut can split the last character: up to three bytes may go before the rest has to be valid.
+    valid = F.lit(False)
+    for cut in range(4):
+        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.lit(0), F.length(head) - cut)).cast("string"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    whole = F.length("content") <= sample_bytes
+    exact = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select(F.col("path").alias("source_file"), F.when(F.when(whole, exact).otherwise(valid), first).otherwise(other).alias("encoding"))
+
+
+def read_mixed_log(spark: SparkSession, path: str, columns: list[str], first: str = "UTF-8", other: str = "GB18030") -> DataFrame:
+    """Like :func:`read_text_log`, with each file in the encoding its bytes show.
+
+    The encodings come to the driver as one short string per file, as the file listing itself does.
+    """
+    found = sniff_encoding(spark, path, first, other).collect()
+    parts = []
+    for encoding in sorted({r.encoding for r in found}):
+        files = [r.source_file for r in found if r.encoding == encoding]
+        frame = spark.read.schema(text_schema(columns)).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(files)
+        parts.append(frame.select("*", F.col("_metadata.file_path").alias("source_file")))
+    if not parts:
+        raise ValueError(f"no CSV files below {path}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def station_from_path(path: Column | str) -> Column:
+    """Station name in a file's stem: the name before the from-to dates of its records."""
+    col = F.col(path) if isinstance(path, str) else path
+    stem = F.regexp_extract(col, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.regexp_replace(stem, r"20\d{6}_20\d{6}$", "")
 
 
 def rename_raw_fields(log: DataFrame, mapping: dict[str, str] = RAW_FIELDS) -> DataFrame:
@@ -58,9 +99,11 @@ def path_year(path: Column | str, pattern: str = r"(20\d{2})") -> Column:
 
 def source_catalog(log: DataFrame, fields: list[str]) -> DataFrame:
     """One row per source file: rows and the first usable value of each id field."""
-    return log.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.min(nullify_markers(c)).alias(c) for c in fields])
+    def first_usable(c: str) -> Column:
+        value = nullify_markers(c)
+        return F.min_by(value, F.when(value.isNotNull(), F.col("source_row"))).alias(c)
+
+    return log.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), *[first_usable(c) for c in fields])
 
 
 def read_declared_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
