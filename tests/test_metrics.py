@@ -121,7 +121,7 @@ def test_structured_fit_respects_bounds_and_shrinks_noise(spark):
     long = df.selectExpr("entity", "t", "stack(2, 'graph::good', good, 'graph::bad', bad) AS (feature, value)")
     names = ["local::bias", "graph::good", "graph::bad"]
     rows = models.sparse_rows(df, ["entity", "t"], {"local::bias": F.lit(1.0)}, long, names, "y", "w").cache()
-    fit = dict(zip(names, models.fit_structured(rows, names, {}, {"graph::good": 1e-4, "graph::bad": 1e-4}, {"graph::good", "graph::bad"}, 40).values))
+    fit = dict(zip(names, models.fit_structured(rows, names, {}, {"graph::good": 1e-4, "graph::bad": 1e-4}, {"graph::good", "graph::bad"}, passes=100).values))
     assert fit["graph::good"] > 0.8 and fit["graph::bad"] == 0.0
 
 

@@ -98,3 +98,13 @@ def block_subsample(blocks: DataFrame, fraction: float, salt: str, key: str = "b
     n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
     sized = blocks.withColumns({"_r": F.row_number().over(w), "_take": F.greatest(F.lit(1), F.ceil(n * fraction))})
     return sized.filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+
+
+def subsample_members(blocks: DataFrame, fraction: float, replicates: int, salt: str, key: str = "block") -> DataFrame:
+    """(entity, block, replicates): the replicates whose subsample of ceil(f n) blocks per entity holds the block."""
+    spread = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = F.concat(F.lit(f"{salt}-"), F.col("replicate").cast("string"))
+    w = Window.partitionBy("entity", "replicate").orderBy(hash_int(drawn, "entity", key), key)
+    n = F.count(F.lit(1)).over(Window.partitionBy("entity", "replicate"))
+    kept = spread.withColumns({"_r": F.row_number().over(w), "_take": F.greatest(F.lit(1), F.ceil(n * fraction))}).filter(F.col("_r") <= F.col("_take"))
+    return kept.groupBy("entity", key).agg(F.sort_array(F.collect_list("replicate")).alias("replicates"))

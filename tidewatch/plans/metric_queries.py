@@ -307,7 +307,8 @@ def mx14(spark, root):
 
 # --- resampling -------------------------------------------------------------------
 
-R = 60
+#: Replicates of an interval.
+R = 5000
 
 
 def _h(*parts: str) -> str:

@@ -51,58 +51,112 @@ def ml2(spark, root):
     return spark.createDataFrame([(k, f.intercept, f.values[0]) for k, f in fits.items()], "kind string, shift double, slope double")
 
 
-def structured_rows(spark, root):
-    """Local score plus sparse lagged-neighbour terms for every training row, and the term names."""
+#: Replicates of the stability selection, and the share of replicates a stable term is kept in.
+STABILITY_REPLICATES = 20
+
+
+def structured_rows(spark, root, lags: tuple[int, ...] = (60, 120), replicates: int = 0):
+    """Local score plus one sparse term per neighbour edge and lag for every training row, and the term names.
+
+    The names come to the driver, as the coefficients do: one per edge and lag.  With ``replicates`` every row carries the
+    subsamples that hold its block of days.
+    """
     from tidewatch.operators import joins
 
     rows = training_rows(spark, root)
-    edges = materialize(_user_edges(spark, root).filter("lag_minutes = 60"), "edges")
-    # Terms per lag, pooled over edges by the target's residue, so names stay a short list.
-    pooled = edges.withColumn("feature", F.format_string("graph::share%d::lag%dm", F.pmod("source_entity", F.lit(4)).cast("int"), "lag_minutes"))
+    edges = materialize(_user_edges(spark, root).filter(F.col("lag_minutes").isin(*lags)), "edges")
     signal = rows.selectExpr("entity", "t", "past24 * 0.25D AS signal")
-    long = joins.neighbour_signals(signal, rows, pooled, 3, HOUR).groupBy("entity", "t", "feature").agg(F.sum("value").alias("value"))
-    names = ["local::bias", "local::past24", "local::view_count", *[f"graph::share{i}::lag60m" for i in range(4)]]
+    long = joins.neighbour_signals(signal, rows, edges, 3, HOUR).groupBy("entity", "t", "feature").agg(F.sum("value").alias("value"))
+    terms = sorted(r[0] for r in edges.select("feature").distinct().collect())
+    names = ["local::bias", "local::past24", "local::view_count", *terms]
     dense = {"local::bias": F.lit(1.0), "local::past24": F.col("past24"), "local::view_count": F.col("view_count")}
-    return materialize(models.sparse_rows(rows, ["entity", "t"], dense, long, names, "future", "weight"), "structured"), names
+    extra = ()
+    if replicates:
+        rows = rows.withColumn("block", F.expr("t DIV 259200"))
+        rows = rows.join(bootstrap.subsample_members(rows.select("entity", "block").distinct(), 0.5, replicates, "ml4"), ["entity", "block"], "left")
+        rows = rows.withColumn("replicates", F.coalesce("replicates", F.array().cast("array<int>")))
+        extra = ("replicates",)
+    return materialize(models.sparse_rows(rows, ["entity", "t"], dense, long, names, "future", "weight", extra), "structured"), names
+
 
+def penalties(names):
+    graph = [n for n in names if n.startswith("graph::")]
+    return {n: 1e-3 for n in names}, {n: 1e-3 for n in graph}, dict.fromkeys(graph, 0.0), dict.fromkeys(graph, 5.0)
 
-def fit_graph(rows, names, iterations=12):
-    graph = {n for n in names if n.startswith("graph::")}
-    return models.fit_structured(rows, names, {n: 1e-3 for n in names}, {n: 1e-3 for n in graph}, graph, iterations)
 
+def fit_graph(rows, names, passes=models.FIT_PASSES):
+    l2, l1, lower, upper = penalties(names)
+    return models.fit_structured_many(rows, names, l2, l1, lower, upper, None, passes)[0]
 
-@query("ml3_sparse_graph_hazard", "feature:s coefficient:f")
+
+@query("ml3_sparse_graph_hazard", "feature:s coefficient:f converged:i")
 def ml3(spark, root):
     rows, names = structured_rows(spark, root)
-    return fit_graph(rows, names).frame(spark)
+    fit = fit_graph(rows, names)
+    return fit.frame(spark).withColumn("converged", F.lit(int(fit.converged)))
 
 
 @query("ml4_stability_selection", "feature:s frequency:f q25:f median:f q75:f stable:i")
 def ml4(spark, root):
-    rows, names = structured_rows(spark, root)
-    weeks = rows.withColumn("block", F.expr("t DIV 259200"))
-    fits = None
-    for replicate in range(3):
-        kept = bootstrap.block_subsample(weeks.select("entity", "block").distinct(), 0.5, f"ml4-{replicate}")
-        part = fit_graph(weeks.join(kept, ["entity", "block"], "left_semi"), names, 6).frame(spark).withColumn("replicate", F.lit(replicate))
-        fits = part if fits is None else fits.unionByName(part)
-    return models.selection_frequency(fits.filter("feature <> '(intercept)'"))
+    rows, names = structured_rows(spark, root, replicates=STABILITY_REPLICATES)
+    fits = models.fit_structured_many(rows, names, *penalties(names), replicates=STABILITY_REPLICATES)
+    long = spark.createDataFrame([(n, k, float(v)) for k, f in enumerate(fits) for n, v in zip(names, f.values, strict=True)], "feature string, replicate int, coefficient double")
+    return models.selection_frequency(long)
+
+
+FRAILTY = "station_frailty"
 
 
-@query("ml5_recurrence_models_oof", "model:s rows_n:i brier:f log_loss:f average_precision:f")
+@query("ml5_recurrence_models_oof", "model:s calibrated:i rows_n:i brier:f log_loss:f average_precision:f")
 def ml5(spark, root):
+    """Out-of-fold cloglog models (base, gap time, station frailty) before and after one calibrator per model on the pooled folds."""
     f = recurrence_design(materialize(feature_frame(spark, root), "features")).withColumns({"lg": F.expr("ln(base / (1 - base + 1e-6D) + 1e-6D)")})
     rows = f.select("entity", "t", "label", "lg", *[F.col(c).cast("double").alias(c) for c in RECURRENCE_TERMS])
     blocks = _day_blocks(spark, root).select("entity", "t", "block")
     split = materialize(sampling.purged_splits(sampling.map_folds(rows.join(blocks, ["entity", "t"]), _folds(spark, root, 3)), 3, 172800, 30 * HOUR), "splits")
-    designs = {"base": ["lg"], "gap_time": ["lg", "order_2", "order_3plus", "log_gap", "hinge_1", "hinge_2", "load_7d", "severity"]}
+    gap_time = ["lg", "order_2", "order_3plus", "log_gap", "hinge_1", "hinge_2", "load_7d", "severity"]
     parts = None
-    for name, cols in designs.items():
-        for fold in range(3):
-            fit = models.fit_glm(split.filter((F.col("held") == fold) & (F.col("role") == "train")), cols, "label", None, "logit", 1e-3)
-            out = split.filter((F.col("held") == fold) & (F.col("role") == "validation")).select("label", fit.risk().alias("p"), F.lit(name).alias("model"))
+    for fold in range(3):
+        train = split.filter((F.col("held") == fold) & (F.col("role") == "train"))
+        held = split.filter((F.col("held") == fold) & (F.col("role") == "validation"))
+        for name, cols in (("base", ["lg"]), ("gap_time", gap_time), (FRAILTY, gap_time)):
+            scored_rows = frailty_scores(train, held, cols, "label") if name == FRAILTY else held.withColumn("eta", models.fit_glm(train, cols, "label", None, "cloglog", 1e-3).eta())
+            out = scored_rows.select("label", "eta", F.lit(name).alias("model"))
             parts = out if parts is None else parts.unionByName(out)
-    return metrics.probability_metrics(materialize(parts, "oof"), "p", "label", None, ("model",))
+    pooled = materialize(parts, "oof")
+    raw = pooled.withColumn("p", scalar.cloglog_risk(F.col("eta"))).withColumn("calibrated", F.lit(0))
+    both = raw
+    for name in ("base", "gap_time", FRAILTY):
+        own = pooled.filter(F.col("model") == name)
+        fit = models.calibrate(own, "eta", "label")
+        both = both.unionByName(own.withColumn("p", fit.risk()).withColumn("calibrated", F.lit(1)))
+    return metrics.probability_metrics(materialize(both, "calibrated"), "p", "label", None, ("model", "calibrated"))
+
+
+def frailty_scores(train, held, cols, label, penalty: float = 10.0, ridge: float = 1.0):
+    """Linear scores of the held rows under a cloglog fit with one ridge-penalized term per station; stations not trained on have none.
+
+    The station terms live on the driver like all coefficients, one number per station.
+    """
+    spark = train.sparkSession
+    moments = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    rows_n = train.count()
+
+    def scaled(c):
+        return (F.coalesce(F.col(c), F.lit(float(moments[f"m_{c}"] or 0.0))) - float(moments[f"m_{c}"] or 0.0)) / (float(moments[f"s_{c}"] or 0.0) or 1.0)
+
+    stations = sorted(r[0] for r in train.select("entity").distinct().collect())
+    names = ["bias", *cols, *[f"station::{s}" for s in stations]]
+    dense = {"bias": F.lit(1.0), **{c: scaled(c) for c in cols}}
+    own = train.select("entity", "t", F.format_string("station::%d", "entity").alias("feature"), F.lit(1.0).alias("value"))
+    data = materialize(models.sparse_rows(train.withColumn("_w", F.lit(1.0)), ["entity", "t"], dense, own, names, label, "_w"), "frailty")
+    l2 = {c: ridge / rows_n for c in cols} | {n: penalty / rows_n for n in names[len(cols) + 1:]}
+    fit = models.fit_structured(data, names, l2, {}, set())
+    terms = spark.createDataFrame([(s, float(v)) for s, v in zip(stations, fit.values[len(cols) + 1:], strict=True)], "entity bigint, _station double")
+    line = F.lit(fit.values[0])
+    for c, v in zip(cols, fit.values[1:], strict=False):
+        line = line + F.lit(v) * scaled(c)
+    return held.join(terms, "entity", "left").withColumn("eta", line + F.coalesce("_station", F.lit(0.0)))
 
 
 @query("ml6_nested_designs_wald", "term:s coefficient:f standard_error:f statistic:f df:i")
@@ -139,7 +193,7 @@ def ml7(spark, root):
 @query("ml8_effect_tables", "feature:s coefficient:f barrier:f hazard_ratio:f selected:i")
 def ml8(spark, root):
     rows, names = structured_rows(spark, root)
-    return effect_table(fit_graph(rows, names, 8).frame(spark))
+    return effect_table(fit_graph(rows, names).frame(spark))
 
 
 def effect_table(coefficients):
@@ -150,7 +204,7 @@ def effect_table(coefficients):
 @query("ml8b_score_decomposition", "entity:i t:i eta:f ablated_eta:f contribution:f")
 def ml8b(spark, root):
     rows, names = structured_rows(spark, root)
-    return models.decompose(rows, ["entity", "t"], names, fit_graph(rows, names, 8))
+    return models.decompose(rows, ["entity", "t"], names, fit_graph(rows, names))
 
 
 @query("ml9_prediction_table", "entity:i t:i step_risk:f risk_1h:f risk_3h:f risk_6h:f calibrated_6h:f active_rule:i")

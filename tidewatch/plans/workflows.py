@@ -14,9 +14,9 @@ from tidewatch.operators import (audits, bootstrap, controller, episodes, joins,
                                  sampling, scan, selection, temporal)
 from tidewatch.plans.cleaning import assert_no_leakage, standardize
 from tidewatch.plans.matching_queries import HORIZON_S, monthly_false_hours, paired
-from tidewatch.plans.metric_queries import (_condition_table, _day_blocks, _folds, feature_frame, loss_sums, pair_sums,
+from tidewatch.plans.metric_queries import (R, _condition_table, _day_blocks, _folds, feature_frame, loss_sums, pair_sums,
                                             seasonal_design)
-from tidewatch.plans.model_queries import BOOST, LOCAL, boosted_scores, fit_graph, structured_rows, training_rows
+from tidewatch.plans.model_queries import BOOST, LOCAL, STABILITY_REPLICATES, boosted_scores, fit_graph, penalties, structured_rows, training_rows
 from tidewatch.plans.policy_queries import BUDGETS, CAP, RULES, controller_inputs, trajectories
 from tidewatch.plans.recurrence import bin_event_table, causal_recurrence_features
 from tidewatch.plans.registry import query
@@ -115,10 +115,10 @@ def wf3(spark, root):
     return union(parts)
 
 
-def graph_scores(spark, root, iterations: int = 8) -> DataFrame:
+def graph_scores(spark, root) -> DataFrame:
     """Rows with the fitted graph score, its ablation and contribution as risks."""
     rows, names = structured_rows(spark, root)
-    fit = fit_graph(rows, names, iterations)
+    fit = fit_graph(rows, names)
     parts = models.decompose(rows, ["entity", "t"], names, fit)
     base = training_rows(spark, root).select("entity", "t", "future")
     return materialize(base.join(parts, ["entity", "t"]).withColumns({"full": scalar.cloglog_risk("eta"), "ablated": scalar.cloglog_risk("ablated_eta")}), "graph-scores")
@@ -133,7 +133,7 @@ PAIR_COLUMNS = ["n", "ha", "hb", "la", "lb", "shared", "cl"]
 PAIR_RATIOS = {"delta_hit_rate": "(ha-hb)/nullif(n,0)", "delta_utility": "(la-lb)/nullif(n,0)", "delta_common_lead": "cl/nullif(shared,0)"}
 
 
-def compare(records: DataFrame, a: str, b: str, replicates: int = 40) -> DataFrame:
+def compare(records: DataFrame, a: str, b: str, replicates: int = R) -> DataFrame:
     sums = materialize(pair_sums(paired(records, a, b)), "pair-sums")
     return bootstrap.cluster_bootstrap(sums, PAIR_COLUMNS, PAIR_RATIOS, replicates, f"{a}-{b}").withColumns({"model_a": F.lit(a), "model_b": F.lit(b)})
 
@@ -148,15 +148,12 @@ def wf4(spark, root):
 
 @query("wf5_stability_pipeline", "model:s months:i mean_false:f max_false:f hits:i events:i")
 def wf5(spark, root):
-    rows, names = structured_rows(spark, root)
-    fits = []
-    for replicate in range(2):
-        kept = bootstrap.block_subsample(rows.selectExpr("entity", "t DIV 259200 AS block").distinct(), 0.5, f"wf5-{replicate}")
-        part = rows.withColumn("block", F.expr("t DIV 259200")).join(kept, ["entity", "block"], "left_semi")
-        fits.append(fit_graph(part, names, 5).frame(spark))
-    stable = {r["feature"] for r in models.selection_frequency(union(fits).filter("feature LIKE 'graph::%'"), stable=0.5).filter("stable = 1").collect()}
-    kept_names = [n for n in names if not n.startswith("graph::") or n in stable]
-    refit = fit_graph(rows.withColumn("x", F.expr(f"filter(x, z -> array_contains(array({', '.join(str(names.index(n)) for n in kept_names)}), z.i))")), names, 6)
+    rows, names = structured_rows(spark, root, replicates=STABILITY_REPLICATES)
+    fits = models.fit_structured_many(rows, names, *penalties(names), replicates=STABILITY_REPLICATES)
+    long = spark.createDataFrame([(n, float(v)) for f in fits for n, v in zip(names, f.values, strict=True) if n.startswith("graph::")], "feature string, coefficient double")
+    stable = {r["feature"] for r in models.selection_frequency(long).filter("stable = 1").collect()}
+    kept = [i for i, n in enumerate(names) if not n.startswith("graph::") or n in stable]
+    refit = fit_graph(rows.withColumn("x", F.filter("x", lambda z: F.array_contains(F.array(*[F.lit(i) for i in kept]), z["i"]))), names)
     scores = models.decompose(rows, ["entity", "t"], names, refit).withColumn("risk", scalar.cloglog_risk("eta"))
     base = materialize(training_rows(spark, root).select("entity", "t", "future").join(scores, ["entity", "t"]), "stable-scores")
     latched = materialize(policies.latched_alarms(base, "risk", policies.LatchedBudget(60, 30.0, 10 * DAY, 0.9, 24, 3.0, 2, 2)), "latched")
@@ -178,7 +175,7 @@ def wf6(spark, root):
         risk = materialize(arm.select("entity", "t", "future", scalar.calibrated_cloglog_risk(F.col("local_eta") + F.col("moved"), 0.0, 1.0, 6).alias("risk")), "arm")
         named[n] = final_episode_metrics(at_budget(risk, "risk", 20.0), events, "alarm")[0]
     records = paired_records(named)
-    table = materialize(union([compare(records, "original", n, 30) for n in arms if n != "original"]), "gate-table")
+    table = materialize(union([compare(records, "original", n) for n in arms if n != "original"]), "gate-table")
     tagged = table.withColumn("metric", F.expr("CASE metric WHEN 'delta_utility' THEN 'utility' WHEN 'delta_common_lead' THEN 'common_lead' ELSE metric END"))
     verdict = metrics.gate_decision(tagged, "original", "ablation", ["extra_lag", "shift_7d", "permuted"])
     return table.withColumn("passed", verdict.select("passed").scalar())
@@ -233,7 +230,7 @@ def wf9(spark, root):
     picked = records.join(chosen.select("candidate"), "candidate", "left_semi").selectExpr(
         "*", "CASE WHEN row_number() OVER (PARTITION BY entity ORDER BY onset) = 1 THEN 'first' ELSE 'recurrent' END AS recurrence")
     sums = materialize(picked.groupBy("recurrence", "entity").agg(F.expr("count_if(operational = 1) AS n"), F.expr("coalesce(sum(CASE WHEN hit = 1 THEN lead_hours END), 0) AS lead")), "sums")
-    draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["n", "lead"], 40, "wf9", by=("recurrence",)), {"utility": "lead / nullif(n, 0)"}, ("recurrence",))
+    draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["n", "lead"], R, "wf9", by=("recurrence",)), {"utility": "lead / nullif(n, 0)"}, ("recurrence",))
     spread = bootstrap.intervals(draws, ("recurrence",)).select("recurrence", F.col("low").alias("delta_low"), F.col("high").alias("delta_high"))
     base = picked.groupBy("recurrence").agg(F.expr("count_if(operational = 1) AS events"), F.expr("sum(hit) AS hits"), F.expr("coalesce(try_divide(sum(CASE WHEN hit = 1 THEN lead_hours END), count_if(operational = 1)), 0) AS utility"))
     return base.join(spread, "recurrence")
@@ -379,7 +376,7 @@ def wf17(spark, root):
     spread = []
     for name in ("state", "interaction"):
         sums = materialize(loss_sums(wide.withColumnsRenamed({"weather": "base", name: "extra"}), ("cohort",)), "sums")
-        draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["sw", "la", "lb"], 40, f"wf17{name}", by=("cohort",)), {"d": "(la - lb) / sw"}, ("cohort",))
+        draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["sw", "la", "lb"], R, f"wf17{name}", by=("cohort",)), {"d": "(la - lb) / sw"}, ("cohort",))
         spread.append(bootstrap.intervals(draws, ("cohort",)).select("cohort", F.lit(name).alias("model"), F.col("low").alias("delta_low"), F.col("high").alias("delta_high")))
     return m.join(union(spread), ["model", "cohort"], "left").withColumn("wald", F.lit(float(wald)))
 
@@ -405,7 +402,7 @@ def wf18(spark, root):
     m = metrics.probability_metrics(pooled, "p", "label", "weight", ("cohort",)).withColumn("protocol", F.lit("station_group_cv"))
     wide = pooled.groupBy("entity", "t", "label", "weight").pivot("cohort", ["seen", "unseen"]).agg(F.avg("p")).filter("seen IS NOT NULL AND unseen IS NOT NULL")
     sums = materialize(loss_sums(wide.withColumnsRenamed({"seen": "base", "unseen": "extra"})), "gap-sums")
-    gap = bootstrap.cluster_bootstrap(sums, ["sw", "la", "lb"], {"gap": "(la - lb) / sw"}, 40, "wf18")
+    gap = bootstrap.cluster_bootstrap(sums, ["sw", "la", "lb"], {"gap": "(la - lb) / sw"}, R, "wf18")
     return m.withColumns({"gap_low": gap.select("low").scalar(), "gap_high": gap.select("high").scalar()})
 
 
