@@ -57,9 +57,9 @@ def complete_panel(binned: DataFrame, lo: Column, hi: Column, step: int,
     ids, put them into one partition and with them the whole grid.
     """
     places = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = (binned if entities is None else entities).select("entity").distinct()
-    grid = dense_grid(ids.repartition(places, "entity"), lo, hi, step, t)
-    joined = grid.join(binned.repartition(places, "entity"), ["entity", t], "left")
+    placed = binned.repartition(places, "entity")
+    ids = (placed if entities is None else entities.select("entity").repartition(places, "entity")).select("entity").distinct()
+    joined = dense_grid(ids, lo, hi, step, t).join(placed, ["entity", t], "left")
     return joined.fillna(0, subset=zero)
 
 
