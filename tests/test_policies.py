@@ -117,7 +117,7 @@ def play(machine, times, onsets=(), seen=True, risk=0.5, utility=0.5):
 def test_release_at_onset_frees_the_bin():
     m = controller.EntityController(rules(), (1 / 6,))
     a, b = play(m, [at("2024-01-05T00:00"), at("2024-01-05T00:10")], [at("2024-01-05T00:10")])
-    assert (a[0]["alarm"], b[0]["alarm"]) == (1, 1)
+    assert (a[0].alarm, b[0].alarm) == (1, 1)
     (row,) = m.months()
     assert (row["released"], row["peak_occupied"]) == (1, 1)
 
@@ -140,10 +140,10 @@ def test_mirror_descent_price_and_switch_over():
     m = controller.EntityController(hourly, (2.0,))
     t = at("2024-01-01T00:00")
     d = m.decide(t, "2024-01", 744, 0, 0.0, 0.5, 3.0, True)[0]
-    assert d["price"] == pytest.approx((1 - 2 / 744) / math.sqrt(744))
+    assert d.price == pytest.approx((1 - 2 / 744) / math.sqrt(744))
     s = controller.EntityController(rules(method="switch_over", switch_high=0.75, switch_low=0.25), (5.0,))
     first, second = play(s, [at("2024-01-05T00:00"), at("2024-01-20T00:00")])
-    assert [(x[0]["alarm"], x[0]["bar"]) for x in (first, second)] == [(0, 0.75), (1, 0.25)]
+    assert [(x[0].alarm, x[0].bar) for x in (first, second)] == [(0, 0.75), (1, 0.25)]
 
 
 @pytest.mark.parametrize("name", sorted(controller.variants(controller.ControllerRules())))
@@ -164,11 +164,11 @@ def test_controller_invariants_on_random_data(name):
         m.mature(t)
         lo, hi = month(t)
         ds = m.decide(t, str(lo), int((hi - lo) // 600), int((t - lo) // 600), (t - lo) / (hi - lo), rnd.random(), rnd.random() * 2, rnd.random() < 0.9)
-        made = [n + d["alarm"] for n, d in zip(made, ds)]
+        made = [n + d.alarm for n, d in zip(made, ds)]
         if rule.couple:
-            assert ds[0]["alarm"] <= ds[1]["alarm"] <= ds[2]["alarm"]
+            assert ds[0].alarm <= ds[1].alarm <= ds[2].alarm
         if rule.reserve:
-            assert all(d["occupied"] <= d["capacity"] for d in ds)
+            assert all(d.occupied <= d.capacity for d in ds)
     rows = m.months()
     assert sum(r["actions"] for r in rows) == sum(made) > 0
     if rule.reserve:

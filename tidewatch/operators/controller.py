@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,6 +77,21 @@ def variants(base: ControllerRules) -> dict[str, ControllerRules]:
     }
 
 
+class Decision(NamedTuple):
+    """What one budget decided at one step, and its account afterwards."""
+
+    budget: float
+    score: float
+    bar: float
+    desired: int
+    alarm: int
+    confirmed: int
+    pending: int
+    occupied: int
+    capacity: int
+    price: float
+
+
 @dataclass
 class Ledger:
     """Account of one budget in one calendar month."""
@@ -205,7 +221,7 @@ class EntityController:
         return ledger.capacity / bins, self.rules.dual_step_scale / math.sqrt(bins)
 
     def decide(self, now: int, month: str, month_bins: int, bin_index: int, elapsed: float, risk: float, utility: float,
-               seen: bool, given: tuple[bool | None, ...] | None = None) -> list[dict]:
+               seen: bool, given: tuple[bool | None, ...] | None = None) -> list[Decision]:
         """Decision of every budget at ``now``; ``given`` replaces the policy's own candidates."""
         r = self.rules
         views, wants, rooms = [], [], []
@@ -243,7 +259,7 @@ class EntityController:
             accepted[i] = wants[i] and clear
         return accepted
 
-    def _book(self, i: int, now: int, month: str, seen: bool, bin_index: int, view, want: bool, accepted: bool) -> dict:
+    def _book(self, i: int, now: int, month: str, seen: bool, bin_index: int, view, want: bool, accepted: bool) -> Decision:
         r, account = self.rules, self.accounts[i]
         ledger, score, bar = view
         if accepted:
@@ -262,9 +278,7 @@ class EntityController:
             rate, eta = self._dual(ledger)
             ledger.price = max(0.0, ledger.price + eta * (float(want) - rate))
             ledger.last_bin = bin_index
-        return {"budget": self.budgets[i], "score": score, "bar": bar, "desired": int(want), "alarm": int(accepted),
-                "confirmed": ledger.confirmed, "pending": ledger.pending, "occupied": ledger.occupied,
-                "capacity": ledger.capacity, "price": ledger.price}
+        return Decision(self.budgets[i], score, bar, int(want), int(accepted), ledger.confirmed, ledger.pending, ledger.occupied, ledger.capacity, ledger.price)
 
     # -- reporting and persistence -------------------------------------------
     def months(self) -> list[dict]:
@@ -339,10 +353,10 @@ def run_controller(rows: DataFrame, events: DataFrame, budgets: tuple[float, ...
             choice = tuple(None if m is None else bool(m[i]) for m in masks) if masks else None
             made = machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice)
             if trace != "none":
-                out += [("t", entity, t, *d.values(), risk, utility) for d in made if trace == "all" or d["alarm"]]
-        steps = pd.DataFrame(out, columns=names[:15])
-        months = pd.DataFrame([{"kind": "m", "entity": entity, **{k: v for k, v in m.items() if k in names}} for m in machine.months()])
-        return pd.concat([steps, months]).reindex(columns=names)
+                out += [("t", entity, t, *d, risk, utility) for d in made if trace == "all" or d.alarm]
+        months = [{"kind": "m", "entity": entity, **{k: v for k, v in m.items() if k in names}} for m in machine.months()]
+        parts = [pd.DataFrame(p, **how) for p, how in ((out, {"columns": names[:15]}), (months, {})) if p]
+        return pd.concat(parts).reindex(columns=names) if parts else pd.DataFrame(columns=names)
 
     return needed.groupBy("entity").cogroup(events.select("entity", "onset").groupBy("entity")).applyInPandas(run, schema)
 
