@@ -74,8 +74,8 @@ def op6_simhash(spark: SparkSession, root: str) -> DataFrame:
 def op7_arc_to_warc(spark: SparkSession, root: str) -> DataFrame:
     """Pages go out as ARC files, are converted to WARC files, and the rows come from reading those."""
     arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    files = warc.write_arc(table(spark, root, "pages"), arc)
-    warc.convert(spark, arc, out, files=files)
+    warc.write_arc(table(spark, root, "pages"), arc)
+    warc.convert(spark, arc, out)
     rows = warc.read_warc(spark, out)
     return rows.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"))
 

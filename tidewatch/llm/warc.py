@@ -4,14 +4,14 @@ An ARC file opens with a version block whose URL-record definition fixes the hea
 version 1 has five fields, version 2 ten.  A record is a header line, ``Archive-length`` bytes and a line feed.  The
 converter takes the declared lengths, never line breaks, for the ends of records, and makes WARC/1.1 records from them:
 identifiers from a digest of content and place, ISO timestamps from 14-digit dates (shorter ones are filled up), types from
-the content (warcinfo, response for HTTP messages, resource otherwise) and SHA-1 block and payload digests.  Of records with
+the content (warcinfo for a file's version block, response for HTTP messages, resource otherwise) and SHA-1 block and payload digests.  Of records with
 equal payloads of ``least`` bytes or more the one with the smallest key is the response; the others become revisits.
 
 Files are written and read by Spark, so any store that Spark reaches will do: the text writer puts out one value per record,
 the record's own terminator is its line separator, and strings carry arbitrary bytes.  Each file holds about ``FILE_BYTES``
 before compression and is parsed as a stream inside one task.
 
-Defined cases: null or empty payloads are records of zero bytes; null URLs are written as ``-``; a null key sorts after all others and reads back as
+Defined cases: null or empty payloads are records of zero bytes; null and empty URLs are written as ``-``; a null key sorts after all others and reads back as
 null; repeated rows are records of their own (equal keys: the first by address is the response); an empty table makes no
 files and reads back as no rows; extra columns are ignored.  A file that ends inside a record raises.
 """
@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_BYTES = 32 << 20
@@ -34,8 +36,9 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 KEY_HEADER = "X-Archive-Key"
-_ARC = "file string, at bigint, url string, ip string, date string, mime string, status string, block binary, block_bytes bigint, head_bytes int, payload_bytes bigint, payload_sha1 string, block_sha1 string, key string, http boolean"
+_ARC = "file string, at bigint, url string, date string, block_bytes bigint, payload_bytes bigint, payload_sha1 string, key string, http boolean"
 _WARC = "type string, id string, uri string, date string, refers_to string, payload_digest string, length bigint, key string, payload_bytes bigint, found_digest string"
+_VALUES = "file string, seq bigint, value binary"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -134,123 +137,143 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, stream.take(int(fields["content-length"]))
 
 
-def _file_count(rows: DataFrame, size: Column, file_bytes: int) -> int:
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-total // file_bytes))
+def _batched(records, schema: pa.Schema, weigh, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``most`` bytes."""
+    rows, held = [], 0
+    for r in records:
+        rows.append(r)
+        held += weigh(r)
+        if held >= most:
+            yield _table(rows, schema).to_batches()[0]
+            rows, held = [], 0
+    if rows:
+        yield _table(rows, schema).to_batches()[0]
 
 
-def _write(rows: DataFrame, files: int, path: str, separator: str) -> None:
-    """Rows (file, first, value) to one gzip file per ``file``; a file's ``first`` row leads it."""
-    rows = rows.repartition(files, "file").sortWithinPartitions("file", F.col("first").desc())
-    rows.select("file", "value").write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").text(path)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20240101000000", file_bytes: int = FILE_BYTES) -> int:
-    """Pages as HTTP messages in ARC files, version 1 and 2 in turn; gives the number of files."""
+_VALUE_TYPES = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("value", pa.binary())])
+
+
+def _write(values: DataFrame, path: str, separator: str) -> None:
+    """(file, seq, value) to one gzip file per ``file``, in order; the rows of a file are in one partition already."""
+    ordered = values.sortWithinPartitions("file", "seq").select("file", F.col("value").cast("string").alias("value"))
+    ordered.write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").text(path)
+
+
+def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20240101000000", file_bytes: int = FILE_BYTES) -> None:
+    """Pages as HTTP messages in ARC files, version 1 and 2 in turn.  Every task writes files of its own, so no page moves."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    address = F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x20]+", "%20"), F.lit("-"))
-    size = F.octet_length(body).cast("bigint")
-    files = _file_count(pages, size + 256, file_bytes)
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"),
-                    F.coalesce(F.concat(F.lit(f"\r\n{KEY_HEADER}: "), F.col(key).cast("string")), F.lit("")), F.lit("\r\n\r\n"))
-    rows = pages.select(address.alias("url"), head.alias("head"), body.alias("body"), F.floor(F.rand(11) * files).cast("int").alias("file"))
-    length = (F.octet_length("head") + F.octet_length("body")).cast("string")
-    one = F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(date), F.lit("text/html"), length)
-    two = F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(date), F.lit("text/html"), F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.concat(F.lit("arc-"), "file"), length)
-    line = F.when(F.col("file") % 2 == 0, one).otherwise(two)
-    records = rows.select("file", F.lit(0).alias("first"), F.concat(line, F.lit("\n"), "head", "body").alias("value"))
-    used = rows.select("file").distinct()
-    opening = {v: f"{v} 0 tidewatch\n{ARC_FIELDS[v]}\n" for v in ARC_FIELDS}
-    block = F.when(F.col("file") % 2 == 0, F.lit(opening[1])).otherwise(F.lit(opening[2]))
-    version = F.concat(F.lit("filedesc://arc-"), F.col("file").cast("string"), F.lit(f" 0.0.0.0 {date} text/plain "), F.length(block).cast("string"), F.lit("\n"), block)
-    _write(records.unionByName(used.select("file", F.lit(1).alias("first"), version.alias("value"))), files, path, "\n")
-    return files
+    address = F.coalesce(F.nullif(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x20]+", "%20"), F.lit("")), F.lit("-"))
 
+    def run(batches):
+        part = TaskContext.get().partitionId()
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+        def records():
+            name, number, held, seq = "", 0, file_bytes, 0
+            for batch in batches:
+                for u, k, t in zip(batch.column("url"), batch.column("key"), batch.column("body"), strict=True):
+                    if held >= file_bytes:
+                        version, name, number, held, seq = 1 + (part + number) % 2, f"{part:06d}-{number:04d}", number + 1, 0, 0
+                        block = f"{version} 0 tidewatch\n{ARC_FIELDS[version]}\n".encode()
+                        yield name, seq, f"filedesc://{name} 0.0.0.0 {date} text/plain {len(block)}\n".encode() + block
+                    data = t.as_buffer().to_pybytes()
+                    named = f"{KEY_HEADER}: {k.as_py()}\r\n" if k.is_valid else ""
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n{named}\r\n".encode()
+                    size = len(head) + len(data)
+                    tail = f"text/html {size}" if version == 1 else f"text/html 200 - - 0 {name} {size}"
+                    held, seq = held + size, seq + 1
+                    yield name, seq, f"{u.as_py()} 0.0.0.0 {date} {tail}\n".encode() + head + data
 
+        yield from _batched(records(), _VALUE_TYPES, lambda r: 100 + len(r[2]))
 
-def _out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    rows = pages.select(address.alias("url"), F.col(key).cast("string").alias("key"), body.alias("body"))
+    _write(rows.mapInArrow(run, _VALUES), path, "\n")
 
 
-def _batched(records, schema: pa.Schema, weigh, most: int = 8 << 20):
-    rows, held = [], 0
-    for r in records:
-        rows.append(r)
-        held += weigh(r)
-        if held >= most:
-            yield _out(rows, schema)
-            rows, held = [], 0
-    if rows:
-        yield _out(rows, schema)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile")
+    found = found.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("file"), "content")
 
 
-_ARC_TYPES = pa.schema([("file", pa.string()), ("at", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("status", pa.string()), ("block", pa.binary()),
-                        ("block_bytes", pa.int64()), ("head_bytes", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("block_sha1", pa.string()), ("key", pa.string()), ("http", pa.bool_())])
+_ARC_TYPES = pa.schema([("file", pa.string()), ("at", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("block_bytes", pa.int64()), ("payload_bytes", pa.int64()),
+                        ("payload_sha1", pa.string()), ("key", pa.string()), ("http", pa.bool_())])
 
 
-def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """Records of the ARC files below ``path``; without ``blocks`` their bytes stay in the task."""
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the ARC files below ``path`` without their bytes, which stay in the task that parses a file."""
     def parse(batches):
         def records():
             for batch in batches:
-                for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                    short = name.as_py().rsplit("/", 2)[-2]
+                for name, content in zip(batch.column("file"), batch.column("content"), strict=True):
                     for at, (f, block) in enumerate(arc_records(content.as_buffer().to_pybytes())):
                         head, http = http_head(block)
-                        yield (short, at, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], f.get("Result-code"), block if blocks else None, len(block), head,
-                               len(block) - head, base32_sha1(block[head:]), base32_sha1(block) if blocks else None, http.get(KEY_HEADER.lower()), head > 0)
+                        yield name.as_py(), at, f["URL"], f["Archive-date"], len(block), len(block) - head, base32_sha1(block[head:]), http.get(KEY_HEADER.lower()), head > 0
 
-        yield from _batched(records(), _ARC_TYPES, lambda r: 200 + len(r[7] or b""))
+        yield from _batched(records(), _ARC_TYPES, lambda r: 300)
 
-    found = _files(spark, path)
-    return found.mapInArrow(parse, _ARC)
+    return _files(spark, path).mapInArrow(parse, _ARC)
 
 
-def iso_date(date: Column) -> Column:
+def iso_date(date: str) -> str:
     """14 digits, or fewer from the left, as an ISO timestamp."""
-    full = F.concat(date, F.substring(F.lit("19700101000000"), F.length(date) + 1, F.lit(14)))
-    return F.regexp_replace(full, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*$", "$1-$2-$3T$4:$5:$6Z")
+    full = (date + "19700101000000"[len(date):])[:14]
+    return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:]}Z"
+
+
+def record_id(*parts: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(chr(1).join(parts).encode()).hexdigest())}>"
+
 
+def warc_record(kind: str, name: str, uri: str, date: str, content: str, block: bytes, fields: dict[str, str]) -> bytes:
+    """A record without the two empty lines that end it."""
+    listed = {"WARC-Type": kind, "WARC-Record-ID": name, "WARC-Target-URI": uri, "WARC-Date": date, **fields, "Content-Type": content, "Content-Length": str(len(block))}
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in listed.items() if v) + "\r\n").encode() + block
 
-def record_id(*parts: Column) -> Column:
-    digest = F.md5(F.concat_ws("\x01", *parts))
-    return F.concat(F.lit("urn:uuid:"), F.regexp_replace(digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
+def _converted(file: str, data: bytes, again: dict[int, dict]) -> Iterator[tuple[str, int, bytes]]:
+    """(file, seq, value) of the WARC records of one ARC file; ``again`` has what each repeated record refers to."""
+    info = f"software: tidewatch\r\nformat: WARC File Format 1.1\r\nisPartOf: {file}\r\n".encode()
+    yield file, -1, warc_record("warcinfo", record_id(file), "", iso_date("1970"), "application/warc-fields", info, {})
+    for at, (f, block) in enumerate(arc_records(data)):
+        head, _ = http_head(block)
+        digest = base32_sha1(block[head:])
+        fields = {"WARC-IP-Address": f["IP-address"], "WARC-Payload-Digest": f"sha1:{digest}"}
+        kind, kept, to = "response" if head else "resource", block, again.get(at)
+        if to:
+            kind, kept = "revisit", block[:head]
+            fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(to["to_file"], str(to["to_at"]), digest),
+                       "WARC-Refers-To-Target-URI": to["to_url"], "WARC-Refers-To-Date": iso_date(to["to_date"]), "X-Refers-To-Key": to["to_key"] or "-"}
+        else:
+            fields["WARC-Block-Digest"] = f"sha1:{base32_sha1(block)}"
+        content = "application/http; msgtype=response" if head else f["Content-type"]
+        yield file, at, warc_record(kind, record_id(file, str(at), digest), f["URL"], iso_date(f["Archive-date"]), content, kept, fields)
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0, files: int = 1) -> None:
-    """ARC files to WARC files.
 
-    The first of equal payloads is found on short rows (digest, key, place) in a pass that carries no blocks; the records that repeat another are then
-    joined by place (file and number), which is unique, so no digest draws its blocks into one task.
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
+    """ARC files to WARC files, one for one.
+
+    The first of equal payloads is found on short rows (digest, key, place) in a pass that keeps the bytes in the tasks.  Then each file,
+    still compressed, meets the list of its repeated records and is rewritten by one task, so no payload moves on its own and no
+    digest draws its records into one task.
     """
-    place = F.struct(F.col("key").isNull().alias("n"), F.col("key").cast("bigint").alias("num"), F.col("key").alias("key"), "file", "at", "url", "date")
-    small = read_arc(spark, arc_path, blocks=False).where(F.col("payload_bytes") >= least)
-    firsts = small.groupBy("payload_sha1", "payload_bytes").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = small.join(firsts.select("payload_sha1", "payload_bytes", "f"), ["payload_sha1", "payload_bytes"]).where((F.col("file") != F.col("f.file")) | (F.col("at") != F.col("f.at")))
-    first_id = record_id(F.col("f.file"), F.col("f.at").cast("string"), "payload_sha1")
-    again = again.select("file", "at", F.coalesce(F.col("f.key"), F.lit("-")).alias("to_key"), first_id.alias("to_id"), F.col("f.url").alias("to_url"), iso_date(F.col("f.date")).alias("to_date"))
-    rows = read_arc(spark, arc_path).join(again.withColumnsRenamed({"file": "r_file", "at": "r_at"}), (F.col("file") == F.col("r_file")) & (F.col("at") == F.col("r_at")), "left")
-    revisit = F.col("to_id").isNotNull()
-    kind = F.when(revisit, "revisit").when(F.col("http"), "response").otherwise("resource")
-    kept = F.when(revisit, F.substring(F.col("block"), F.lit(1), F.col("head_bytes"))).otherwise(F.col("block"))
-    length = F.when(revisit, F.col("head_bytes")).otherwise(F.col("block_bytes"))
-    field = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
-    only_if = lambda test, value: F.when(test, value).otherwise(F.lit(""))
-    content = F.when(F.col("http"), F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind, field("WARC-Record-ID", F.concat(F.lit("<"), record_id("file", F.col("at").cast("string"), "payload_sha1"), F.lit(">"))),
-        field("WARC-Target-URI", F.col("url")), field("WARC-Date", iso_date(F.col("date"))), field("WARC-IP-Address", F.col("ip")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_sha1")), only_if(~revisit, field("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_sha1"))),
-        only_if(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                                  field("WARC-Refers-To", F.concat(F.lit("<"), F.col("to_id"), F.lit(">"))), field("WARC-Refers-To-Target-URI", F.col("to_url")),
-                                  field("WARC-Refers-To-Date", F.col("to_date")), field("X-Refers-To-Key", F.col("to_key")))),
-        field("Content-Type", content), field("Content-Length", length.cast("string")), F.lit("\r\n\r\n"))
-    value = F.concat(F.encode(head, "UTF-8"), kept).cast("string")
-    rows = rows.select(F.col("file"), F.lit(0).alias("first"), value.alias("value"))
-    _write(rows, files, warc_path, "\r\n\r\n")
+    place = F.struct(F.col("key").isNull().alias("n"), F.col("key").try_cast("bigint").alias("num"), F.col("key").alias("key"), "file", "at", "url", "date")
+    short = read_arc(spark, arc_path).where(F.col("payload_bytes") >= least)
+    firsts = short.groupBy("payload_sha1", "payload_bytes").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = short.join(firsts, ["payload_sha1", "payload_bytes"]).where((F.col("file") != F.col("f.file")) | (F.col("at") != F.col("f.at")))
+    again = again.select("file", "at", F.col("f.key").alias("to_key"), F.col("f.file").alias("to_file"), F.col("f.at").alias("to_at"), F.col("f.url").alias("to_url"), F.col("f.date").alias("to_date"))
+
+    def rewrite(archive: pa.Table, repeats: pa.Table) -> pa.Table:
+        found = {r["at"]: r for r in repeats.to_pylist()}
+        rows = [x for name, content in zip(archive["file"], archive["content"], strict=True) for x in _converted(name.as_py(), content.as_buffer().to_pybytes(), found)]
+        return _table(rows, _VALUE_TYPES)
+
+    values = _files(spark, arc_path).groupBy("file").cogroup(again.groupBy("file")).applyInArrow(rewrite, _VALUES)
+    _write(values, warc_path, "\r\n\r\n")
 
 
 _WARC_TYPES = pa.schema([("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()),
@@ -258,13 +281,15 @@ _WARC_TYPES = pa.schema([("type", pa.string()), ("id", pa.string()), ("uri", pa.
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``: type, id, uri, date, refers_to (the key of the first), the declared payload digest, and key, bytes and digest of
+    """Records of the WARC files below ``path`` but for the files' own descriptions: type, id, uri, date, refers_to (the key of the first), the declared payload digest, and key, bytes and digest of
     the payload as found; a revisit holds no payload, so bytes come from its HTTP head and the found digest is null."""
     def parse(batches):
         def records():
             for batch in batches:
                 for content in batch.column("content"):
                     for f, block in warc_records(content.as_buffer().to_pybytes()):
+                        if f["warc-type"] == "warcinfo":
+                            continue
                         head, http = http_head(block)
                         again = f["warc-type"] == "revisit"
                         length = int(http["content-length"]) if again else len(block) - head
