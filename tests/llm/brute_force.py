@@ -127,26 +127,27 @@ def pieces(text, vocabulary, mark="▁"):
     return total
 
 
-NUMBER = re.compile(r"^[^\w]*[0-9][0-9.,:/]*[^\w]*$")
 BARE = re.compile(r"[\W_]+")
 
 
 def template(text, units):
     """(template token, slot value or None) of the words with a letter or digit."""
-    out, w = [], words(text)
-    for i, x in enumerate(w):
-        before, bare = w[i - 1] if i else ".", BARE.sub("", x)
-        first = next(iter(bare), "")
-        if NUMBER.match(x):
-            token, slot = "<number>", bare
-        elif first.isupper() and re.match(r"^[\W_]*[^\W\d_]", x) and not re.search(r"[.!?:][\W_]*$", before):
-            token, slot = "<name>", bare
-        elif bare.lower() in units and NUMBER.match(before):
-            token, slot = "<unit>", bare
-        else:
-            token, slot = bare.lower(), None
-        if token:
-            out.append((token, slot))
+    out, opens, counted = [], True, False
+    for x in words(text):
+        bare = BARE.sub("", x)
+        stop = bool(re.search(r"[.!?:\x02][\W_]*$", x))
+        if not bare and not stop:
+            continue
+        number = bool(re.fullmatch("[0-9]+", bare))
+        if number:
+            out.append(("<number>", bare))
+        elif bare[:1].isupper() and not opens:
+            out.append(("<name>", bare))
+        elif bare.lower() in units and counted:
+            out.append(("<unit>", bare))
+        elif bare:
+            out.append((bare.lower(), None))
+        opens, counted = stop, number
     return out
 
 

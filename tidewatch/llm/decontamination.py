@@ -36,40 +36,61 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h"
          "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
          "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces")
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-_NUMBER = r"^[^\p{L}\p{N}]*[0-9][0-9.,:/]*[^\p{L}\p{N}]*\z"
 _MARK = "\x01"
+#: Stands behind a word that ends a sentence; a text's own use of this control character ends one too.
+_STOP = "\x02"
+_BLANK = r"\x20\x09-\x0D"
 
 
 def tokens(text: Column) -> Column:
-    """Array of (template token, slot text) of the words that have a letter or a digit; the slot text of a literal is empty."""
-    words = F.filter(words_of(text), lambda w: F.length(w) > 0)
+    """Array of (template token, slot text) of the words that have a letter or a digit; the slot text of a literal is empty.
 
-    def typed(all_words: Column) -> Column:
-        bare = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")
+    Marks are dealt with on the whole text: words that end a sentence get one stop mark, all other marks go.  What is left of a word
+    tells its kind by its first character in nearly all cases.
+    """
+    ended = F.regexp_replace(text, rf"[.!?:{_STOP}][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
+    bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
 
+    def digits(word: Column) -> Column:
+        return F.ascii(word).between(48, 57) & F.regexp_like(word, F.lit(rf"^[0-9]+{_STOP}*\z"))
+
+    def typed(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(all_words, i - 1)).otherwise(F.lit("."))
-            number = F.regexp_like(w, F.lit(_NUMBER))
-            # A word is looked at closely only where its first letter says so.
-            unit = F.lower(bare(w)).isin(*UNITS) & F.regexp_like(before, F.lit(_NUMBER))
-            name = F.regexp_like(w, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}")) & ~F.regexp_like(before, F.lit(r"[.!?:][^\p{L}\p{N}]*\z"))
-            kind = F.when(number, NUMBER).when(name, NAME).when(unit, UNIT)
-            return let(kind, lambda k: F.struct(F.coalesce(k, F.lower(bare(w))).alias("token"), F.when(k.isNotNull(), F.concat(bare(w), F.lit(_MARK))).otherwise(F.lit("")).alias("slot")))
+            before = F.get(words, i - 1)
+            plain = F.replace(w, F.lit(_STOP), F.lit(""))
+            first = F.ascii(w)
+            lower_case = first.between(97, 122)
+            name = ~lower_case & F.regexp_like(w, F.lit(r"^\p{Lu}")) & (i > 0) & ~F.endswith(before, F.lit(_STOP))
+            unit = (i > 0) & F.ascii(before).between(48, 57) & digits(before) & F.lower(plain).isin(*UNITS)
+            kind = F.when(~lower_case & digits(w), NUMBER).when(name, NAME).when(unit, UNIT)
+            literal = F.struct(F.lower(plain).alias("token"), F.lit("").alias("slot"))
+            return let(kind, lambda k: F.when(k.isNull(), literal).otherwise(F.struct(k.alias("token"), F.concat(plain, F.lit(_MARK)).alias("slot"))))
 
-        return F.filter(F.transform(all_words, one), lambda t: F.length(t["token"]) > 0)
+        return F.filter(F.transform(words, one), lambda t: F.length(t["token"]) > 0)
 
-    return let(words, typed)
+    return let(words_of(bare), typed)
 
 
 def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Column:
     """Array of (at, hash, slots) of the eligible windows of ``width`` tokens."""
+    most = width - min(literals, width)
+
     def of(t: Column) -> Column:
-        names = F.transform(t, lambda x: x["token"])
-        slots = F.transform(t, lambda x: x["slot"])
         places = F.when(F.size(t) >= width, F.sequence(F.lit(0), F.size(t) - width)).otherwise(F.array().cast("array<int>"))
-        return let(names, lambda n: let(slots, lambda s: F.filter(
-            F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(n, i + 1, width)).alias("hash"), F.array_join(F.slice(s, i + 1, width), "").alias("slots"))),
-            lambda w: F.length(w["slots"]) - F.length(F.translate(w["slots"], _MARK, "")) <= width - min(literals, width))))
+
+        def hashed(n: Column, i: Column) -> Column:
+            return F.xxhash64(F.slice(n, i + 1, width)).alias("hash")
+
+        def with_slots(n: Column) -> Column:
+            return let(F.transform(t, lambda x: x["slot"]), lambda s: F.filter(
+                F.transform(places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.array_join(F.slice(s, i + 1, width), "").alias("slots"))),
+                lambda w: F.length(w["slots"]) - F.length(F.translate(w["slots"], _MARK, "")) <= most))
+
+        def without(n: Column) -> Column:
+            return F.transform(places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.lit("").alias("slots")))
+
+        any_slot = F.exists(t, lambda x: F.length(x["slot"]) > 0)
+        return let(F.transform(t, lambda x: x["token"]), lambda n: F.when(any_slot, with_slots(n)).otherwise(without(n)))
 
     return let(toks, of)
 
@@ -105,7 +126,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     for more in cuts[1:]:
         spread = spread.union(more)
     spread = spread.select("id", "__k0", "__k1", "width", F.col("w.hash").alias("hash"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    met = spread.join(F.broadcast(grams) if small else grams, ["width", "hash"])
+    # One long key; the width, which is nearly always the same, is compared after it.
+    grams = grams.withColumnsRenamed({"width": "__width", "hash": "__hash"})
+    met = spread.join(F.broadcast(grams) if small else grams, (F.col("hash") == F.col("__hash")) & (F.col("width") == F.col("__width")))
     values = F.arrays_zip(F.split("item_slots", _MARK).alias("mine"), F.split("slots", _MARK).alias("theirs"))
     aligned = met.groupBy("id", "__k0", "__k1", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.count_distinct("hash").alias("hit"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"))

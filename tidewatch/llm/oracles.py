@@ -54,17 +54,17 @@ def _templates(source: str, key: str) -> str:
     """CTEs ``<source>_toks`` (key, p, token, slot) of the words of ``source`` (key, x)."""
     bare = r"regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')"
     units = ", ".join(f"'{u}'" for u in decontamination.UNITS)
-    number = decontamination._NUMBER
     return rf"""
-{source}_words AS (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('x')} AS ws FROM {source})),
-{source}_near AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY {key} ORDER BY i), '.') AS before, {bare} AS bare FROM {source}_words),
+{source}_words AS (SELECT *, {bare} AS bare, regexp_matches(w, '[.!?:\x02][^\p{{L}}\p{{N}}]*\z') AS stop FROM
+  (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('x')} AS ws FROM {source}))),
+{source}_near AS (SELECT *, coalesce(lag(stop) OVER before, true) AS opens, coalesce(regexp_matches(lag(bare) OVER before, '^[0-9]+\z'), false) AS counted
+  FROM {source}_words WHERE bare <> '' OR stop WINDOW before AS (PARTITION BY {key} ORDER BY i)),
 {source}_kinds AS (
-  SELECT *, CASE WHEN regexp_matches(w, '{number}') THEN '{decontamination.NUMBER}'
-    WHEN regexp_matches(w, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AND NOT regexp_matches(before, '[.!?:][^\p{{L}}\p{{N}}]*\z') THEN '{decontamination.NAME}'
-    WHEN lower(bare) IN ({units}) AND regexp_matches(before, '{number}') THEN '{decontamination.UNIT}' END AS kind FROM {source}_near),
+  SELECT *, CASE WHEN regexp_matches(bare, '^[0-9]+\z') THEN '{decontamination.NUMBER}' WHEN regexp_matches(bare, '^\p{{Lu}}') AND NOT opens THEN '{decontamination.NAME}'
+    WHEN lower(bare) IN ({units}) AND counted THEN '{decontamination.UNIT}' END AS kind FROM {source}_near),
 {source}_toks AS (
   SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS p, coalesce(kind, lower(bare)) AS token, CASE WHEN kind IS NOT NULL THEN bare END AS slot
-  FROM {source}_kinds WHERE coalesce(kind, lower(bare)) <> ''),
+  FROM {source}_kinds WHERE bare <> ''),
 {source}_runs AS (
   SELECT {key}, p, list(token) OVER run AS tokens, list(coalesce(slot, '')) OVER run AS slots, list(slot IS NULL) OVER run AS plain
   FROM {source}_toks WINDOW run AS (PARTITION BY {key} ORDER BY p ROWS BETWEEN CURRENT ROW AND {decontamination.WIDTH - 1} FOLLOWING))"""
