@@ -31,7 +31,7 @@ def test_order_changes_the_cost_not_the_verdict(spark):
     fitted = quality_rules.fit_order(docs, fraction=0.5)
     merits = [share / cost for _, share, cost in fitted]
     assert merits == sorted(merits, reverse=True) and {r.name for r, _, _ in fitted} == {r.name for r in quality_rules.RULES}
-    alone = {r.name: {x.doc_id for x in docs.where(F.coalesce(r.rejects(text_of("text")), F.lit(False))).collect()} for r in quality_rules.RULES}
+    alone = {r.name: {x.doc_id for x in docs.where(F.coalesce(r.rejects(quality_rules.Facts(text_of("text"))), F.lit(False))).collect()} for r in quality_rules.RULES}
     orders = [[r for r, _, _ in fitted], list(reversed(quality_rules.RULES))]
     for order in orders:
         for r in quality_rules.cascade(docs, order).collect():

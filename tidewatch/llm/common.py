@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def text_of(name: str) -> Column:

@@ -18,35 +18,50 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BLANKS, let, text_of, words_of
+from tidewatch.llm.common import WORD, let, text_of, words_of
 from tidewatch.session import materialize
 
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Share of rows in the sample on which cost and selectivity are measured.
 SAMPLE_FRACTION = 0.01
 
 
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    rejects: Callable[[Column], Column]  # of the text
+class Facts:
+    """Counts of a text as expressions; those in ``known`` are taken from columns that are there already."""
+
+    def __init__(self, text: Column, known: dict[str, Column] | None = None):
+        self.text, self.known = text, known or {}
 
+    def count(self, pattern: str) -> Column:
+        return F.regexp_count(self.text, F.lit(pattern)).cast("bigint")
 
-def symbol_count(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint")
+    @property
+    def n_words(self) -> Column:
+        return self.known.get("n_words", F.size(words_of(self.text)).cast("bigint"))
 
+    @property
+    def word_chars(self) -> Column:
+        return self.known.get("word_chars", F.length(F.array_join(words_of(self.text), "")).cast("bigint"))
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, "")).cast("bigint")
+    @property
+    def n_symbols(self) -> Column:
+        return self.known.get("n_symbols", self.count(SYMBOLS))
 
+    @property
+    def lines(self) -> Column:
+        """Lines that have a word."""
+        return F.filter(F.split(self.text, "\n", -1), lambda line: F.regexp_like(line, F.lit(WORD)))
 
-def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    rejects: Callable[[Facts], Column]
 
 
-def repeated_lines(text: Column) -> Column:
-    return let(lines_with_words(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
+def _repeats(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -83,9 +98,11 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 
 def measures(text: Column) -> list[Column]:
-    """The base measures of a text."""
-    counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    return [counts.alias("__w"), word_chars(text).alias("word_chars"), symbol_count(text).alias("n_symbols"), repeated_lines(text).alias("n_dup_lines")]
+    """The base measures of a text, all that come from its words in one go."""
+    facts = Facts(text)
+    counts = let(words_of(text), lambda w: F.struct(
+        F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
+    return [counts.alias("__w"), facts.n_symbols.alias("n_symbols"), let(facts.lines, _repeats).alias("n_dup_lines")]
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,7 +110,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
     w = docs.select(*kept, *measures(text_of(text)))
-    w = w.select("*", F.col("__w.n_words").alias("n_words"), F.col("__w.n_repeat_words").alias("n_repeat_words")).drop("__w")
+    w = w.select("*", *[F.col(f"__w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")]).drop("__w")
     return w.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -103,12 +120,12 @@ def _share(part: Column, whole: Column, most: float) -> Column:
 
 #: The rules of the verdict beside the base: text that is mostly markup, shouting, repeated lines or odd words.
 RULES = (
-    Rule("symbols", lambda t: _share(symbol_count(t), word_chars(t), 0.05)),
-    Rule("shouting", lambda t: _share(F.regexp_count(t, F.lit(r"\p{Lu}")), word_chars(t), 0.4)),
-    Rule("exclamation", lambda t: _share(F.length(t) - F.length(F.translate(t, "!?", "")), word_chars(t), 0.08)),
-    Rule("same_lines", lambda t: let(lines_with_words(t), lambda x: _share(F.size(x) - F.size(F.array_distinct(x)), F.size(x), 0.5))),
-    Rule("word_length", lambda t: let(F.size(words_of(t)), lambda n: (word_chars(t) < 2 * n) | (word_chars(t) > 15 * n))),
-    Rule("digits", lambda t: _share(F.regexp_count(t, F.lit("[0-9]")), word_chars(t), 0.5)),
+    Rule("symbols", lambda f: _share(f.n_symbols, f.word_chars, 0.05)),
+    Rule("shouting", lambda f: _share(f.count(r"\p{Lu}"), f.word_chars, 0.4)),
+    Rule("exclamation", lambda f: _share(f.count("[!?]"), f.word_chars, 0.08)),
+    Rule("same_lines", lambda f: let(f.lines, lambda x: _share(_repeats(x), F.size(x), 0.5))),
+    Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 15 * f.n_words)),
+    Rule("digits", lambda f: _share(f.count("[0-9]"), f.word_chars, 0.5)),
 )
 
 
@@ -121,19 +138,21 @@ def fit_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     measured = []
     for r in rules:
         began = time.perf_counter()
-        rejected = sample.agg(F.sum(F.coalesce(r.rejects(F.col("__text")), F.lit(False)).cast("bigint"))).first()[0]
+        rejected = sample.agg(F.sum(F.coalesce(r.rejects(Facts(F.col("__text"))), F.lit(False)).cast("bigint"))).first()[0]
         measured.append((r, rejected / rows, (time.perf_counter() - began) / rows))
     return sorted(measured, key=lambda m: -m[1] / m[2])
 
 
-def cascade(docs: DataFrame, order: list[Rule], text: str = "text", first: list[tuple[str, Column]] = ()) -> DataFrame:
+def cascade(docs: DataFrame, order: list[Rule], text: str = "text", first: list[tuple[str, Column]] = (), known: tuple[str, ...] = ()) -> DataFrame:
     """All rows with ``rejected_by``: the first rule in ``order`` that rejects, else null.
 
-    ``first`` holds (name, condition) pairs over columns already there; they cost nothing and come before any rule.
+    ``first`` holds (name, condition) pairs over columns already there; they cost nothing and come before any rule.  ``known`` names
+    facts that are columns already, so that rules do not count them again.
     """
+    facts = Facts(text_of(text), {c: F.col(c) for c in known})
     verdict = F.lit(None).cast("string")
     for r in reversed(order):
-        verdict = F.when(r.rejects(text_of(text)), F.lit(r.name)).otherwise(verdict)
+        verdict = F.when(r.rejects(facts), F.lit(r.name)).otherwise(verdict)
     for name, condition in reversed(list(first)):
         verdict = F.when(condition, F.lit(name)).otherwise(verdict)
     return docs.withColumn("rejected_by", verdict)

@@ -47,7 +47,7 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     order = [r for r, _, _ in quality_rules.fit_order(docs)]
     measured = quality_rules.with_measures(docs.select("doc_id", "text"))
-    judged = quality_rules.cascade(measured, order, first=[("base", F.col("base_failed"))])
+    judged = quality_rules.cascade(measured, order, first=[("base", F.col("base_failed"))], known=("n_words", "word_chars", "n_symbols"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
