@@ -24,7 +24,7 @@ def test_held_out_labels_are_predicted(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for i, r in rows.items())
     test = [(rows[x.doc_id], x.quality) for x in spark.read.parquet(f"{ROOT}/labels.parquet").collect() if rows[x.doc_id].held_out]
     assert area(np.array([r.score for r, _ in test]), np.array([y for _, y in test])) > 0.95
-    assert np.mean([r.predicted == y for r, y in test]) > 0.93
+    assert np.mean([r.predicted == y for r, y in test]) > 0.97 and all(r.predicted for r, y in test if y)
 
 
 def test_gradients_match_differences():
@@ -54,7 +54,7 @@ def test_scores_do_not_depend_on_the_batch_and_weigh_every_passage():
     model = mil.fit_bags(bags, np.array([0, 1, 1, 0]), steps=20)
     one = [float(model.scores([b])[0]) for b in bags]
     assert model.scores(bags) == pytest.approx(one)
-    f = mil._forward(model.weights, (bags[2] - model.mean) / model.scale, np.array([0]))
+    f = mil._forward(model.weights, mil._standard(bags[2], model.mean, model.scale), np.array([0]))
     assert f["a"].sum() == pytest.approx(1) and len(f["a"]) == 200
     assert encode(b"a " * (PASSAGE * 3 + 1)).shape == (4, DIMENSIONS) and encode(b" \n").shape == (1, DIMENSIONS)
 

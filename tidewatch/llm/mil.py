@@ -29,6 +29,9 @@ FIT_PASSAGES = 64
 ENCODED, GATES = 16, 8
 STEPS, BATCH, RATE, DECAY = 900, 256, 0.01, 1e-4
 THRESHOLD = 0.7
+#: Share of a full passage at which its shares of bytes and words count for half as much as those of a full one, relative to their
+#: limit: the few words of a short passage say little about them.
+LEAN = 0.25
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,15 @@ class Model:
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
         if not self.weights:
             return np.full(len(bags), float(self.mean[0]))
-        return _forward(self.weights, (np.concatenate(bags) - self.mean) / self.scale, _starts(bags))["p"]
+        return _forward(self.weights, _standard(np.concatenate(bags), self.mean, self.scale), _starts(bags))["p"]
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised passages, those with few words drawn towards the mean."""
+    fullness = np.clip(x[:, -2:-1], 0.0, 1.0)
+    out = (x - mean) / scale
+    out[:, :-2] *= fullness * (1 + LEAN) / (fullness + LEAN)
+    return out
 
 
 def _starts(bags: list[np.ndarray]) -> np.ndarray:
@@ -86,7 +97,7 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5, steps: i
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-    bags = [(b - mean) / scale for b in bags]
+    bags = [_standard(b, mean, scale) for b in bags]
     shapes = {"encode": (DIMENSIONS, ENCODED), "encode_b": (ENCODED,), "value": (ENCODED, GATES), "gate": (ENCODED, GATES), "attend": (GATES,), "score": (ENCODED,), "score_b": (1,)}
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) * (k not in ("encode_b", "score_b")) for k, s in shapes.items()}
     first, second = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
