@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD, text_of
+from tidewatch.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 SEED = "mix-1"
+#: Sources whose rates are broadcast at most (about 100 bytes each); beyond that the rates join by shuffle.
+BROADCAST_SOURCES = 200_000
 _HEX = 13  # 52 bits of the digest, exact in a double
 
 
@@ -62,18 +65,23 @@ def copies(rate: Column, id_col: Column, seed: str = SEED) -> Column:
     return (whole + F.when(draw(id_col, seed) < rate - whole, 1).otherwise(0)).cast("bigint")
 
 
+def _rates(sized: DataFrame, **options) -> DataFrame:
+    """(__of, source_size, target, rate) as a written table, to be broadcast where its counted rows are few."""
+    rates = materialize(source_targets(sized, **options).withColumnRenamed("source", "__of"), "rates")
+    return F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken (words the mix takes)."""
     sized = docs.select(F.col(id_col).alias(id_col), F.col(source).alias("source"), word_count(text).alias("size"))
-    rates = source_targets(sized, **options).withColumnRenamed("source", "__of")
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__of")), "left").withColumn("copies", copies(F.col("rate"), F.col(id_col)))
+    joined = sized.join(_rates(sized, **options), F.col("source").eqNullSafe(F.col("__of")), "left").withColumn("copies", copies(F.col("rate"), F.col(id_col)))
     return joined.select(id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
     sized = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
-    rates = source_targets(sized, **options).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
+    rates = _rates(sized, **options).select("__of", F.col("rate").alias("__rate"))
     joined = docs.join(rates, F.col(source).eqNullSafe(F.col("__of")), "left")
     times = copies(F.col("__rate"), F.col(id_col))
     taken = joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
