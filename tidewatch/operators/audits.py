@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 
 def timeline_contract(rows: DataFrame, step: int, expected: Column, year: Column | None = None) -> DataFrame:
-    """Per entity: row count against the calendar, duplicates, gaps, misaligned rows."""
+    """Per entity: row count against the calendar, duplicates, gaps, misaligned rows, and rows of bins that start in another year than ``year``."""
     w = "PARTITION BY entity ORDER BY t"
-    stepped = rows.selectExpr("entity", "t", f"t - lag(t) OVER ({w}) AS d")
+    strange = F.lit(False) if year is None else F.year(F.timestamp_seconds(F.col("t") - step)) != year
+    stepped = rows.withColumn("other_year", strange).selectExpr("entity", "t", "other_year", f"t - lag(t) OVER ({w}) AS d")
     out = stepped.groupBy("entity").agg(*[F.expr(e) for e in (
-        "count(1) AS rows_n", "count_if(d = 0) AS duplicates", f"count_if(d <> 0 AND d <> {step}) AS gaps", f"count_if(t % {step} <> 0) AS misaligned")])
+        "count(1) AS rows_n", "count_if(d = 0) AS duplicates", f"count_if(d <> 0 AND d <> {step}) AS gaps", f"count_if(t % {step} <> 0) AS misaligned",
+        "count_if(other_year) AS other_years")])
     return out.withColumn("expected_rows", expected).withColumn(
-        "passed", F.expr("CAST(rows_n = expected_rows AND duplicates = 0 AND gaps = 0 AND misaligned = 0 AS INT)"))
+        "passed", F.expr("CAST(rows_n = expected_rows AND duplicates = 0 AND gaps = 0 AND misaligned = 0 AND other_years = 0 AS INT)"))
 
 
 def violations(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -56,6 +58,13 @@ def key_audit(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
         F.sum("p.n").alias("rows_n"), F.sum(F.col("p.n") - 1).alias("duplicates"), F.sum((F.col("parts") > 1).cast("int")).alias("shared_keys"))
 
 
+def uncovered_keys(universe: DataFrame, parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Keys of the universe and how many of them no part holds."""
+    held = reduce(DataFrame.unionByName, [d.select(*keys) for d in parts.values()]).distinct().withColumn("_held", F.lit(1))
+    joined = universe.select(*keys).distinct().join(held, keys, "left")
+    return joined.agg(F.count(F.lit(1)).alias("keys_n"), F.count_if(F.col("_held").isNull()).alias("uncovered"))
+
+
 def prefix_invariance(rows: DataFrame, cut: Column, score: str, operator: Callable[[DataFrame], DataFrame], outputs: list[str]) -> DataFrame:
     """Run an operator on everything, on the prefix alone, and with the future changed; count prefix rows that differ."""
     marked = rows.withColumn("_cut", cut)

@@ -552,6 +552,25 @@ def va1(spark, root):
     return audits.timeline_contract(sensor_timeline(spark, root).select("entity", "t"), HOUR, ((b["hi"] - b["lo"]) / HOUR + 1).cast("bigint"))
 
 
+cte("faulty_tl", """SELECT entity, CASE WHEN entity%3=0 AND (t//3600)%89=0 THEN t+60 ELSE t END AS t FROM tl, (SELECT unnest([1,2]) AS copy) WHERE NOT (entity%3=0 AND (t//3600)%101=0) AND (copy=1 OR entity%3=0 AND (t//3600)%97=0)""", "tl")
+
+
+@query("va1_timeline_faults", "entity:i rows_n:i duplicates:i gaps:i misaligned:i other_years:i passed:i",
+       """SELECT *, CAST(rows_n=want AND duplicates=0 AND gaps=0 AND misaligned=0 AND other_years=0 AS INT) AS passed FROM (SELECT entity, count(*) AS rows_n, count(*) FILTER (d=0) AS duplicates, count(*) FILTER (d<>0 AND d<>3600) AS gaps, count(*) FILTER (t%3600<>0) AS misaligned,
+       count(*) FILTER (year(make_timestamp((t-3600)*1000000)) <> y) AS other_years, any_value(want) AS want FROM (SELECT *, t - lag(t) OVER (PARTITION BY entity ORDER BY t) AS d FROM faulty_tl),
+       (SELECT (hi-lo)//3600+1 AS want, year(make_timestamp(lo*1000000)) + CAST(lo%7200=0 AS INT) AS y FROM bounds) GROUP BY 1)""", "faulty_tl bounds")
+def va1_faults(spark, root):
+    # Planted by fixed arithmetic in every third entity: rows dropped, doubled and shifted by a minute; and a year that is right or wrong with the calendar's start.
+    b = grid_bounds(readings(spark, root))
+    h = F.floor(F.col("t") / HOUR)
+    third = F.col("entity") % 3 == 0
+    times = F.when(third & (h % 101 == 0), F.lit(0)).when(third & (h % 97 == 0), F.lit(2)).otherwise(F.lit(1))
+    rows = sensor_timeline(spark, root).select("entity", "t", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
+    rows = rows.select("entity", F.when(third & (h % 89 == 0), F.col("t") + 60).otherwise(F.col("t")).alias("t"))
+    year = F.year(F.timestamp_seconds(b["lo"])) + (b["lo"] % 7200 == 0).cast("int")
+    return audits.timeline_contract(rows, HOUR, ((b["hi"] - b["lo"]) / HOUR + 1).cast("bigint"), year)
+
+
 @query("va2_risk_invariants", "rule:s violations:i", "SELECT unnest(['" + "','".join(audits.RISK_INVARIANTS) + "']) AS rule, 0 AS violations FROM (SELECT count(*) FROM risk1)", "risk1")
 def va2(spark, root):
     return audits.violations(risk_rows(spark, root), audits.RISK_INVARIANTS)
@@ -589,6 +608,46 @@ def va4(spark, root):
     return audits.key_audit({f: p.filter(F.col("fold") == f) for f in ("train", "selection", "test")}, ["entity", "t"])
 
 
+cte("folds3", """SELECT entity, t, CASE WHEN t+21600<=lo+10*86400 THEN 'train' WHEN t>=lo+10*86400 AND t+21600<=lo+20*86400 THEN 'selection' WHEN t>=lo+20*86400 AND t+21600<=lo+28*86400 THEN 'test' ELSE 'embargo' END AS fold FROM panel, bounds""", "panel bounds")
+
+
+def _three_folds(spark, root):
+    from tidewatch.plans.recurrence import chronological_folds
+
+    lo = grid_bounds(readings(spark, root))["lo"]
+    p = materialize(chronological_folds(panel(spark, root), lo + 10 * DAY, lo + 20 * DAY, lo + 28 * DAY, HORIZON * HOUR).select("entity", "t", "fold"), "folds")
+    return p, {f: p.filter(F.col("fold") == f) for f in ("train", "selection", "test")}
+
+
+@query("va4_key_faults", "part:s rows_n:i duplicates:i shared_keys:i",
+       """SELECT * FROM (WITH parts AS (SELECT fold AS part, entity, t FROM folds3 WHERE fold<>'embargo' UNION ALL SELECT 'train', entity, t FROM folds3 WHERE fold='selection' AND (t//3600)%37=0 UNION ALL SELECT 'test', entity, t FROM folds3 WHERE fold='test' AND (t//3600)%41=0),
+       per AS (SELECT part, entity, t, count(*) AS n FROM parts GROUP BY 1,2,3), seen AS (SELECT *, count(*) OVER (PARTITION BY entity, t) AS k FROM per)
+       SELECT part, sum(n) AS rows_n, sum(n-1) AS duplicates, count(*) FILTER (k>1) AS shared_keys FROM seen GROUP BY 1)""", "folds3")
+def va4_faults(spark, root):
+    # Planted: selection rows that also train, test rows that stand twice.
+    _, parts = _three_folds(spark, root)
+    h = F.floor(F.col("t") / HOUR)
+    parts["train"] = parts["train"].unionByName(parts["selection"].filter(h % 37 == 0))
+    parts["test"] = parts["test"].unionByName(parts["test"].filter(h % 41 == 0))
+    return audits.key_audit(parts, ["entity", "t"])
+
+
+@query("va4_fold_coverage", "keys_n:i uncovered:i", "SELECT count(*) AS keys_n, count(*) FILTER (fold='embargo') AS uncovered FROM folds3", "folds3")
+def va4_coverage(spark, root):
+    p, parts = _three_folds(spark, root)
+    return audits.uncovered_keys(p, parts, ["entity", "t"])
+
+
+@query("va6_prefix_leaks", "prefix_differences:i future_differences:i rows_checked:i",
+       """SELECT * FROM (WITH s AS (SELECT entity, t, score, t < lo+20*86400 AS past FROM scored, bounds), m AS (SELECT entity, max(score) AS a, max(score) FILTER (past) AS b, max(CASE WHEN past THEN score ELSE 100.0+coalesce(score,0.0) END) AS c FROM s GROUP BY 1)
+       SELECT 2*count(*) FILTER ((score>=0.9*a) IS DISTINCT FROM (score>=0.9*b)) AS prefix_differences, 2*count(*) FILTER ((score>=0.9*a) IS DISTINCT FROM (score>=0.9*c)) AS future_differences, count(*) AS rows_checked FROM s JOIN m USING (entity) WHERE past)""", "scored bounds")
+def va6_leaks(spark, root):
+    # A rule that looks at an entity's whole future: its peak score.
+    s = materialize(scored(spark, root).select("entity", "t", "score"), "scores")
+    cut = grid_bounds(readings(spark, root))["lo"] + 20 * DAY
+    return audits.prefix_invariance(s, cut, "score", lambda d: d.selectExpr("*", "score >= 0.9D * max(score) OVER (PARTITION BY entity) AS flag"), ["flag"])
+
+
 @query("va5_label_audit", "rows_n:i stored:i recomputed:i mismatches:i", "SELECT count(*) AS rows_n, sum(future) AS stored, sum(future) AS recomputed, 0 AS mismatches FROM labelled WHERE observed=1", "labelled")
 def va5(spark, root):
     from tidewatch.operators.temporal import EventClock, event_clocks
