@@ -100,6 +100,17 @@ def ev8_year(spark, root):
         F.count_distinct(F.when(F.col("cold") == 1, F.col("entity"))).alias("cold_stations"), F.sum("positive_rows").alias("positive_rows"))
 
 
+@query("ev8_station_year_summary", "entity:i year:i all_events:i cold_events:i positive_rows:i cold_rows:i median_minutes:f max_value:f",
+       """SELECT entity, year(make_timestamp(onset*1000000)) AS year, count(*) AS all_events, count(*) FILTER (min_temp<=2) AS cold_events, sum(positive_rows) AS positive_rows,
+       coalesce(sum(positive_rows) FILTER (min_temp<=2),0) AS cold_rows, quantile_cont(elapsed_minutes,0.5) AS median_minutes, max(max_value) AS max_value FROM ep1 GROUP BY 1,2""", "ep1")
+def ev8_station_year(spark, root):
+    e = materialize(with_support_flags(episode_events(spark, root)).withColumn("year", F.year(F.timestamp_seconds("onset"))), "events")
+    counts = e.groupBy("entity", "year").agg(
+        F.count(F.lit(1)).alias("all_events"), F.sum("cold").alias("cold_events"), F.sum("positive_rows").alias("positive_rows"),
+        F.coalesce(F.sum(F.when(F.col("cold") == 1, F.col("positive_rows"))), F.lit(0)).alias("cold_rows"), F.max("max_value").alias("max_value"))
+    return counts.join(scan.exact_quantiles(e, "elapsed_minutes", {"median_minutes": 0.5}, ("entity", "year")), ["entity", "year"], "left")
+
+
 # --- resolution, persistence and the definition grid -------------------------
 # Levels are rounded down to whole units so that increments repeat.
 
@@ -196,6 +207,16 @@ def ev13(spark, root):
     return counts.join(gaps, list(keys), "left")
 
 
+@query("ev13_year_summary", "rule:s merge_minutes:i cooldown_hours:i cold_limit:i year:i events:i stations:i recurrent_events:i",
+       """SELECT rule, merge_minutes, cooldown_hours, cold_limit, year(make_timestamp(onset*1000000)) AS year, count(*) AS events, count(DISTINCT entity) AS stations, count(*) FILTER (o>=2) AS recurrent_events
+       FROM (SELECT *, row_number() OVER (PARTITION BY rule, merge_minutes, cooldown_hours, cold_limit, entity ORDER BY onset) AS o FROM gridev WHERE valid=1) GROUP BY 1,2,3,4,5""", "gridev")
+def ev13_year(spark, root):
+    keys = ("rule", "merge_minutes", "cooldown_hours", "cold_limit")
+    v = episodes.order_valid_events(_grid_events(spark, root), (*keys, "entity"))
+    return v.groupBy(*keys, F.year(F.timestamp_seconds("onset")).alias("year")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("entity").alias("stations"), F.sum((F.col("event_order") >= 2).cast("int")).alias("recurrent_events"))
+
+
 @query("ev14_event_order", "event_id:s event_order:i order_group:s recurrence:s gap_hours:f onset_gap_hours:f onset_month:i season:s", "SELECT * FROM epv", "epv")
 def ev14(spark, root):
     return episodes.order_valid_events(episode_events(spark, root))

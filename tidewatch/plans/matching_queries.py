@@ -178,6 +178,33 @@ def mt13(spark, root):
     return eligibility_funnel(r, ["month", "recurrence"])
 
 
+_ORDERED = "SELECT *, row_number() OVER w AS o, (onset - lag(onset) OVER w)/3600.0 AS gap FROM records WINDOW w AS (PARTITION BY entity ORDER BY onset)"
+
+
+def ordered_records(spark, root):
+    w = "OVER (PARTITION BY entity ORDER BY onset)"
+    return materialize(strict(spark, root)[0].selectExpr("*", f"row_number() {w} AS o", f"(onset - lag(onset) {w}) / 3600.0D AS gap"), "ordered-records")
+
+
+@query("mt13_eligibility_bias", "queue:s included:i events:i entities:i recurrent_rate:f mean_order:f median_gap:f mean_gap:f mean_available:f",
+       f"""SELECT queue, included, count(*) AS events, count(DISTINCT entity) AS entities, avg(CAST(o>1 AS INT)) AS recurrent_rate, avg(o) AS mean_order, quantile_cont(gap,0.5) AS median_gap, avg(gap) AS mean_gap, avg(available_hours) AS mean_available
+       FROM (SELECT *, unnest(['complete','operational']) AS queue, unnest([evaluable, operational]) AS included FROM ({_ORDERED})) GROUP BY 1,2""", "records")
+def mt13_bias(spark, root):
+    """What the events inside and outside each queue look like."""
+    spread = materialize(ordered_records(spark, root).selectExpr("*", "stack(2, 'complete', CAST(evaluable AS INT), 'operational', CAST(operational AS INT)) AS (queue, included)"), "queues")
+    sums = spread.groupBy("queue", "included").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("entity").alias("entities"), F.avg((F.col("o") > 1).cast("int")).alias("recurrent_rate"), F.avg("o").alias("mean_order"),
+        F.avg("gap").alias("mean_gap"), F.avg("available_hours").alias("mean_available"))
+    return sums.join(scan.exact_quantiles(spread, "gap", {"median_gap": 0.5}, ("queue", "included")), ["queue", "included"], "left")
+
+
+@query("mt13_entity_seasons", "entity:i season:i evaluable:i operational:i events:i",
+       """SELECT entity, year(d) - CAST(month(d)<11 AS INT) AS season, evaluable, operational, count(*) AS events FROM (SELECT *, make_timestamp(onset*1000000) AS d FROM records) GROUP BY 1,2,3,4""", "records")
+def mt13_seasons(spark, root):
+    r = strict(spark, root)[0].withColumn("season", F.expr("year(timestamp_seconds(onset)) - CAST(month(timestamp_seconds(onset)) < 11 AS INT)"))
+    return r.groupBy("entity", "season", "evaluable", "operational").agg(F.count(F.lit(1)).alias("events"))
+
+
 def controller_records(spark, root, rules, budget: float):
     """Strict match records of one budget of a controller run."""
     inputs = controller_inputs(spark, root, rules)
