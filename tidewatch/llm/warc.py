@@ -161,7 +161,7 @@ _VALUE_TYPES = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("value",
 def _write(values: DataFrame, path: str, separator: str) -> None:
     """(file, seq, value) to one gzip file per ``file``, in order; the rows of a file are in one partition already."""
     ordered = values.sortWithinPartitions("file", "seq").select("file", F.col("value").cast("string").alias("value"))
-    ordered.write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").text(path)
+    ordered.write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20240101000000", file_bytes: int = FILE_BYTES) -> None:
