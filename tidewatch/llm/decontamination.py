@@ -11,6 +11,11 @@ Windows need ``LITERALS`` ordinary tokens (or as many as they are long), else an
 its first place.  Items shorter than ``WIDTH`` are compared as one window of their own length.  Items without an eligible
 window cannot be told from ordinary text and match nothing.
 
+That is the rule of ``leaks``, which SQL states too.  ``traces``, which ``clean`` uses, is wider.  Runs of names are one placeholder.
+Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
+words do not part a copy; counts words under the windows found besides the windows, so a changed word costs one word; and accepts a run of
+``RUN`` words whatever its share.  An item value must map to one document value, but two may share theirs.
+
 Document windows carry only (position, hash, slot values) through the join.  The benchmark side is counted first and
 broadcast up to ``BROADCAST_WINDOWS``; beyond that the same join shuffles.
 
@@ -31,6 +36,9 @@ COVERAGE = 0.8
 LITERALS = 2
 #: 24 bytes each in the hash table, so about 50 MB at most.
 BROADCAST_WINDOWS = 2_000_000
+#: Words in a row that make a trace whatever the item's length, and words that make a trace by their share of the item.
+RUN = 20
+LEAST_WORDS = 10
 #: Units that count as such after a number.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h", "ms", "kmh", "mph", "ft", "in", "lb", "oz", "usd", "eur", "percent", "degrees",
          "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
@@ -40,17 +48,23 @@ _MARK = "\x01"
 #: Stands behind a word that ends a sentence; a text's own use of this control character ends one too.
 _STOP = "\x02"
 _BLANK = r"\x20\x09-\x0D"
+#: Joins the names of a run.
+_JOINT = "\x03"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, joined: bool = False) -> Column:
     """Array of (template token, slot text) of the words that have a letter or a digit; the slot text of a literal is empty.
 
     Marks are dealt with on the whole text: words that end a sentence get one stop mark, all other marks go.  What is left of a word
-    tells its kind by its first character in nearly all cases.
+    tells its kind by its first character in nearly all cases.  ``joined`` makes one name of a run of capitalised words that follows a
+    word of its sentence.
     """
     ended = F.regexp_replace(text, rf"[.!?:{_STOP}][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
     bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
 
+    if joined:
+        bare = F.regexp_replace(bare, rf"(?<=[^{_BLANK}{_STOP}][{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+
     def digits(word: Column) -> Column:
         return F.ascii(word).between(48, 57) & F.regexp_like(word, F.lit(rf"^[0-9]+{_STOP}*\z"))
 
@@ -95,29 +109,29 @@ def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Colum
     return let(toks, of)
 
 
-def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int) -> tuple[DataFrame, DataFrame]:
-    """Windows (item, width, hash, place, item_slots, windows) of each different item, and (item, item ids)."""
+def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int, joined: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Windows (item, width, hash, place, item_slots, length, windows) of each different item, and (item, item ids)."""
     named = items.select(F.col(id_col).alias("item_id"), text_of(text).alias("t")).withColumn("item", F.xxhash64("t"))
     members = named.groupBy("item").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.first("t").alias("t"))
-    toks = members.select("item", tokens(F.col("t")).alias("toks"))
+    toks = members.select("item", tokens(F.col("t"), joined).alias("toks"))
     sizes = F.least(F.size("toks"), F.lit(width))
     per_width = [F.when(sizes == n, windows(F.col("toks"), n, min(literals, n))) for n in range(1, width + 1)]
-    cut = toks.where(F.size("toks") >= literals).select("item", sizes.alias("width"), F.explode(F.coalesce(*per_width)).alias("w"))
-    first = cut.groupBy("item", "width", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
+    cut = toks.where(F.size("toks") >= literals).select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w"))
+    first = cut.groupBy("item", "width", "length", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
     whole = F.count(F.lit(1)).over(Window.partitionBy("item"))
-    return first.select("item", "width", "hash", "f.place", "f.item_slots", whole.alias("windows")), members.select("item", "item_ids")
+    return first.select("item", "width", "hash", "f.place", "f.item_slots", "length", whole.alias("windows")), members.select("item", "item_ids")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-          width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document with a leak: id, row keys, item_ids, n_items, coverage (the best), verbatim (any item is)."""
-    grams, members = item_windows(items, item_id, item_text, width, literals)
+def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, width: int, literals: int,
+              broadcast_windows: int, joined: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Document windows joined with the item windows of the same hash, and (item, item ids)."""
+    grams, members = item_windows(items, item_id, item_text, width, literals, joined)
     grams = materialize(grams, "benchmark-windows")
     sizes = grams.groupBy("width").count().collect()  # ``width`` rows at most
     small = sum(r["count"] for r in sizes) <= broadcast_windows
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text), text_of(text).alias("t"))
     cuts = []
-    toks = rows.select("id", "__k0", "__k1", tokens(F.col("t")).alias("toks"))
+    toks = rows.select("id", "__k0", "__k1", tokens(F.col("t"), joined).alias("toks"))
     for n in sorted(r["width"] for r in sizes):
         cuts.append(toks.select("id", "__k0", "__k1", F.lit(n).alias("width"), F.explode(windows(F.col("toks"), n, min(literals, n))).alias("w")))
     if not cuts:
@@ -128,24 +142,86 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     spread = spread.select("id", "__k0", "__k1", "width", F.col("w.hash").alias("hash"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
     # One long key; the width, which is nearly always the same, is compared after it.
     grams = grams.withColumnsRenamed({"width": "__width", "hash": "__hash"})
-    met = spread.join(F.broadcast(grams) if small else grams, (F.col("hash") == F.col("__hash")) & (F.col("width") == F.col("__width")))
-    values = F.arrays_zip(F.split("item_slots", _MARK).alias("mine"), F.split("slots", _MARK).alias("theirs"))
-    aligned = met.groupBy("id", "__k0", "__k1", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count_distinct("hash").alias("hit"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"))
-    pairs = F.col("pairs")
-    side = lambda name: F.size(F.array_distinct(F.transform(pairs, lambda p: p[name])))
-    consistent = (side("mine") == F.size(pairs)) & (side("theirs") == F.size(pairs))
-    same = ~F.exists(pairs, lambda p: p["mine"] != p["theirs"])
-    share = F.col("hit") / F.col("windows")
-    leaked = aligned.where(consistent & (share >= coverage)).select("id", "__k0", "__k1", "item", share.alias("share"), same.alias("same"))
+    return spread.join(F.broadcast(grams) if small else grams, (F.col("hash") == F.col("__hash")) & (F.col("width") == F.col("__width"))), members
+
+
+def _pairs() -> Column:
+    return F.arrays_zip(F.split("item_slots", _MARK).alias("mine"), F.split("slots", _MARK).alias("theirs"))
+
+
+def _distinct(pairs: Column, name: str) -> Column:
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p[name])))
+
+
+def _same(pairs: Column) -> Column:
+    return ~F.exists(pairs, lambda p: p["mine"] != p["theirs"])
+
+
+def _report(leaked: DataFrame, members: DataFrame) -> DataFrame:
     named = leaked.join(members, "item").select("id", "__k0", "__k1", "share", "same", F.explode("item_ids").alias("item_id"))
     return named.groupBy("id", "__k0", "__k1").agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count_distinct("item_id").alias("n_items"), F.max("share").alias("coverage"), F.max("same").alias("verbatim"))
 
 
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+          width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per document with a leak: id, row keys, item_ids, n_items, coverage (the best), verbatim (any item is)."""
+    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows)
+    aligned = met.groupBy("id", "__k0", "__k1", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.count_distinct("hash").alias("hit"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
+    pairs = F.col("pairs")
+    consistent = (_distinct(pairs, "mine") == F.size(pairs)) & (_distinct(pairs, "theirs") == F.size(pairs))
+    share = F.col("hit") / F.col("windows")
+    leaked = aligned.where(consistent & (share >= coverage)).select("id", "__k0", "__k1", "item", share.alias("share"), _same(pairs).alias("same"))
+    return _report(leaked, members)
+
+
+def _covered(places: Column, width: Column) -> Column:
+    """Words under the windows at sorted places."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    step = lambda s, p: F.struct((p + width).alias("end"), (s["n"] + p + width - F.greatest(p, s["end"])).alias("n"))
+    return F.aggregate(places, start, step, lambda s: s["n"])
+
+
+def _longest(places: Column, width: Column) -> Column:
+    """Words under the longest run of neighbouring windows at sorted places."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, p: Column) -> Column:
+        run = F.when(p == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(places, start, step, lambda s: s["best"]) + width - 1
+
+
+def traces(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+           width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """As ``leaks``, by the wider rule; coverage is the larger of the shares of windows and of words."""
+    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows, joined=True)
+    key = ["id", "__k0", "__k1", "item"]
+    lines = met.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"),
+        *[F.first(c).alias(c) for c in ("windows", "length", "width")])
+    stride = F.greatest(F.lit(1), F.floor(F.col("length") / 4))
+    band = F.floor(F.col("diagonal") / stride)
+    # The diagonal itself has no band: null.
+    spread = lines.withColumn("band", F.explode(F.array(F.lit(None).cast("bigint"), band, band - 1)))
+    alone = F.when(F.col("band").isNull(), F.col("diagonal"))
+    joined = spread.groupBy(*key, "band", alone.alias("diagonal")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        *[F.first(c).alias(c) for c in ("windows", "length", "width")])
+    covered = joined.withColumn("words", _covered(F.col("places"), F.col("width")))
+    pairs = F.col("pairs")
+    by_windows, by_words = F.size("places") / F.col("windows"), F.col("words") / F.col("length")
+    in_a_row = F.col("band").isNull() & (_longest(F.col("places"), F.col("width")) >= run)
+    enough = (by_windows >= coverage) | ((by_words >= coverage) & (F.col("words") >= LEAST_WORDS)) | in_a_row
+    leaked = covered.where((_distinct(pairs, "mine") == F.size(pairs)) & enough).select(*key, F.greatest(by_windows, by_words).alias("share"), _same(pairs).alias("same"))
+    return _report(leaked, members)
+
+
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a leak, with all their columns."""
-    found = materialize(leaks(docs, items, id_col, text, **options).select("__k0", "__k1"), "leaks")
+    """The documents without a trace of an item, with all their columns."""
+    found = materialize(traces(docs, items, id_col, text, **options).select("__k0", "__k1"), "leaks")
     a, b = row_key(id_col, text)
     kept = docs.withColumns({"__k0": a, "__k1": b}).join(found, ["__k0", "__k1"], "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
