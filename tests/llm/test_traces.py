@@ -34,6 +34,17 @@ def test_names_of_other_length_and_shared_values(spark):
     texts = [
         NAMED.replace("Tom", "Mary Ann"),
         NAMED.replace("Tom", "Anna"),  # two names, one value
-        NAMED.replace("Tom walked", "Mary Ann walked").replace("Tom bought", "Karl bought"),  # one name, two values
+        NAMED.replace("Tom walked", "Mary Ann walked").replace("Tom bought", "Karl bought").replace("with Anna", "with Eva"),  # one name, two values
     ]
     assert found(spark, texts, [NAMED]) == {0: [0], 1: [0]}
+
+
+def test_case_position_and_spelling_of_copies(spark):
+    sums = "Natalia sold three clips to her friends in the spring. Natalia sold 5 km of old rope after that and then went away."
+    texts = [
+        "some words come first. " + NAMED.lower() + " and some come after",
+        NAMED.upper(),
+        sums.replace("Natalia", "Weng"),
+        sums.replace("three", "forty-one").replace("5 km", "7km"),
+    ]
+    assert found(spark, texts, [NAMED, sums]) == {0: [0], 1: [0], 2: [1], 3: [1]}

@@ -11,8 +11,9 @@ Windows need ``LITERALS`` ordinary tokens (or as many as they are long), else an
 its first place.  Items shorter than ``WIDTH`` are compared as one window of their own length.  Items without an eligible
 window cannot be told from ordinary text and match nothing.
 
-That is the rule of ``leaks``, which SQL states too.  ``traces``, which ``clean`` uses, is wider.  Runs of names are one placeholder.
-Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
+That is the rule of ``leaks``, which SQL states too.  ``traces``, which ``clean`` uses, is wider.  A capital makes a name wherever it
+stands, runs of names are one placeholder, spelled-out numbers are numbers and a unit may stick to its number.  A second, literal form of items and
+documents, in lower case and without placeholders, meets copies in another case.  Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
 words do not part a copy; counts words under the windows found besides the windows, so a changed word costs one word; and accepts a run of
 ``RUN`` words whatever its share.  An item value must map to one document value, but two may share theirs.
 
@@ -48,35 +49,49 @@ _MARK = "\x01"
 #: Stands behind a word that ends a sentence; a text's own use of this control character ends one too.
 _STOP = "\x02"
 _BLANK = r"\x20\x09-\x0D"
+#: Numbers in words, up to ninety-nine and the round ones.
+_ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+SPELLED = ("zero", *_ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", *_TENS,
+           *[t + o for t in _TENS for o in _ONES], "hundred", "thousand", "million", "billion")
 #: Joins the names of a run.
 _JOINT = "\x03"
 
 
-def tokens(text: Column, joined: bool = False) -> Column:
+def tokens(text: Column, wide: bool = False) -> Column:
     """Array of (template token, slot text) of the words that have a letter or a digit; the slot text of a literal is empty.
 
     Marks are dealt with on the whole text: words that end a sentence get one stop mark, all other marks go.  What is left of a word
-    tells its kind by its first character in nearly all cases.  ``joined`` makes one name of a run of capitalised words that follows a
-    word of its sentence.
+    tells its kind by its first character in nearly all cases.  ``wide`` takes every capital for a name and a run of them for one,
+    numbers in words for numbers, and cuts units off numbers.
     """
     ended = F.regexp_replace(text, rf"[.!?:{_STOP}][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
     bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
 
-    if joined:
-        bare = F.regexp_replace(bare, rf"(?<=[^{_BLANK}{_STOP}][{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    if wide:
+        bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?i:{'|'.join(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
+        bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
 
     def digits(word: Column) -> Column:
         return F.ascii(word).between(48, 57) & F.regexp_like(word, F.lit(rf"^[0-9]+{_STOP}*\z"))
 
+    def spelled(word: Column) -> Column:
+        return F.lower(F.replace(word, F.lit(_STOP), F.lit(""))).isin(*SPELLED)
+
     def typed(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
             before = F.get(words, i - 1)
             plain = F.replace(w, F.lit(_STOP), F.lit(""))
             first = F.ascii(w)
             lower_case = first.between(97, 122)
-            name = ~lower_case & F.regexp_like(w, F.lit(r"^\p{Lu}")) & (i > 0) & ~F.endswith(before, F.lit(_STOP))
-            unit = (i > 0) & F.ascii(before).between(48, 57) & digits(before) & F.lower(plain).isin(*UNITS)
-            kind = F.when(~lower_case & digits(w), NUMBER).when(name, NAME).when(unit, UNIT)
+            name = ~lower_case & F.regexp_like(w, F.lit(r"^\p{Lu}"))
+            if wide:
+                counted = digits(before) | spelled(before)
+                kind = F.when((~lower_case & digits(w)) | spelled(w), NUMBER).when(name, NAME).when(F.lower(plain).isin(*UNITS) & (i > 0) & counted, UNIT)
+            else:
+                name = name & (i > 0) & ~F.endswith(before, F.lit(_STOP))
+                unit = (i > 0) & F.ascii(before).between(48, 57) & digits(before) & F.lower(plain).isin(*UNITS)
+                kind = F.when(~lower_case & digits(w), NUMBER).when(name, NAME).when(unit, UNIT)
             literal = F.struct(F.lower(plain).alias("token"), F.lit("").alias("slot"))
             return let(kind, lambda k: F.when(k.isNull(), literal).otherwise(F.struct(k.alias("token"), F.concat(plain, F.lit(_MARK)).alias("slot"))))
 
@@ -85,6 +100,17 @@ def tokens(text: Column, joined: bool = False) -> Column:
     return let(words_of(bare), typed)
 
 
+def literal_tokens(text: Column) -> Column:
+    """As ``tokens``, all literals, whatever the case."""
+    bare = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
+    return F.transform(words_of(bare), lambda w: F.struct(w.alias("token"), F.lit("").alias("slot")))
+
+
+def literal_windows(toks: Column, width: int = WIDTH) -> Column:
+    """Windows of ``literal_tokens``, hashed apart from those of ``tokens``."""
+    return F.transform(windows(toks, width, width), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.lit("="), w["hash"]).alias("hash"), w["slots"].alias("slots")))
+
+
 def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Column:
     """Array of (at, hash, slots) of the eligible windows of ``width`` tokens."""
     most = width - min(literals, width)
@@ -109,33 +135,46 @@ def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Colum
     return let(toks, of)
 
 
-def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int, joined: bool = False) -> tuple[DataFrame, DataFrame]:
+def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Windows (item, width, hash, place, item_slots, length, windows) of each different item, and (item, item ids)."""
     named = items.select(F.col(id_col).alias("item_id"), text_of(text).alias("t")).withColumn("item", F.xxhash64("t"))
     members = named.groupBy("item").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.first("t").alias("t"))
-    toks = members.select("item", tokens(F.col("t"), joined).alias("toks"))
-    sizes = F.least(F.size("toks"), F.lit(width))
-    per_width = [F.when(sizes == n, windows(F.col("toks"), n, min(literals, n))) for n in range(1, width + 1)]
-    cut = toks.where(F.size("toks") >= literals).select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w"))
+    forms = [(members.select("item", tokens(F.col("t"), wide).alias("toks")), lambda t, n: windows(t, n, min(literals, n)))]
+    if wide:  # the literal form is an item of its own
+        apart = members.withColumn("item", F.xxhash64(F.lit("="), "item"))
+        forms.append((apart.select("item", literal_tokens(F.col("t")).alias("toks")), literal_windows))
+        members = members.union(apart)
+    cuts = []
+    for toks, cut in forms:
+        sizes = F.least(F.size("toks"), F.lit(width))
+        per_width = [F.when(sizes == n, cut(F.col("toks"), n)) for n in range(1, width + 1)]
+        long_enough = toks.where(F.size("toks") >= literals)
+        cuts.append(long_enough.select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w")))
+    cut = cuts[0].union(cuts[1]) if wide else cuts[0]
     first = cut.groupBy("item", "width", "length", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
     whole = F.count(F.lit(1)).over(Window.partitionBy("item"))
     return first.select("item", "width", "hash", "f.place", "f.item_slots", "length", whole.alias("windows")), members.select("item", "item_ids")
 
 
 def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, width: int, literals: int,
-              broadcast_windows: int, joined: bool = False) -> tuple[DataFrame, DataFrame]:
+              broadcast_windows: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Document windows joined with the item windows of the same hash, and (item, item ids)."""
-    grams, members = item_windows(items, item_id, item_text, width, literals, joined)
+    grams, members = item_windows(items, item_id, item_text, width, literals, wide)
     grams = materialize(grams, "benchmark-windows")
     sizes = grams.groupBy("width").count().collect()  # ``width`` rows at most
     small = sum(r["count"] for r in sizes) <= broadcast_windows
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text), text_of(text).alias("t"))
     cuts = []
-    toks = rows.select("id", "__k0", "__k1", tokens(F.col("t"), joined).alias("toks"))
+    toks = rows.select("id", "__k0", "__k1", tokens(F.col("t"), wide).alias("toks"), *([literal_tokens(F.col("t")).alias("plain")] if wide else []))
+
+    def cut(n: int) -> Column:
+        typed = windows(F.col("toks"), n, min(literals, n))
+        return F.explode(F.concat(typed, literal_windows(F.col("plain"), n)) if wide else typed).alias("w")
+
     for n in sorted(r["width"] for r in sizes):
-        cuts.append(toks.select("id", "__k0", "__k1", F.lit(n).alias("width"), F.explode(windows(F.col("toks"), n, min(literals, n))).alias("w")))
+        cuts.append(toks.select("id", "__k0", "__k1", F.lit(n).alias("width"), cut(n)))
     if not cuts:
-        cuts = [toks.where(F.lit(False)).select("id", "__k0", "__k1", F.lit(width).alias("width"), F.explode(windows(F.col("toks"), width, literals)).alias("w"))]
+        cuts = [toks.where(F.lit(False)).select("id", "__k0", "__k1", F.lit(width).alias("width"), cut(width))]
     spread = cuts[0]
     for more in cuts[1:]:
         spread = spread.union(more)
@@ -197,7 +236,7 @@ def _longest(places: Column, width: Column) -> Column:
 def traces(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
            width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """As ``leaks``, by the wider rule; coverage is the larger of the shares of windows and of words."""
-    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows, joined=True)
+    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows, wide=True)
     key = ["id", "__k0", "__k1", "item"]
     lines = met.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"),
