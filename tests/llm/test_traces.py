@@ -48,3 +48,18 @@ def test_case_position_and_spelling_of_copies(spark):
         sums.replace("three", "forty-one").replace("5 km", "7km"),
     ]
     assert found(spark, texts, [NAMED, sums]) == {0: [0], 1: [0], 2: [1], 3: [1]}
+
+
+def test_items_poor_in_literals_match_verbatim_copies(spark):
+    items = ["12 + 34 + 56 = 102", "Anna Bert Carla Dora Emil", "WHICH OF THESE TOWNS IS THE OLDEST", "Xylophone", "2 3 5 7 11 13 17 19 23"]
+    texts = [
+        "it is said that 12 + 34 + 56 = 102 holds",
+        "it is said that 12 + 34 + 57 = 103 holds",
+        "there are Anna, Bert, Carla, Dora, Emil and nobody else",
+        "there are Fritz, Gerd, Hanna, Ida, Jan and nobody else",
+        "He asked me: WHICH OF THESE TOWNS IS THE OLDEST? and went",
+        "a xylophone stood there",
+        "primes such as 2 3 5 7 11 13 17 19 23 and so on",
+        "primes such as 2 3 5 7 12 14 18 20 24 and so on",
+    ]
+    assert found(spark, texts, items) == {0: [0], 2: [1], 4: [2], 5: [3], 6: [4]}

@@ -13,7 +13,8 @@ window cannot be told from ordinary text and match nothing.
 
 That is the rule of ``leaks``, which SQL states too.  ``traces``, which ``clean`` uses, is wider.  A capital makes a name wherever it
 stands, runs of names are one placeholder, spelled-out numbers are numbers and a unit may stick to its number.  A second, literal form of items and
-documents, in lower case and without placeholders, meets copies in another case.  Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
+documents, in lower case and without placeholders, meets copies in another case.  Windows poor in literals keep
+their slot values inside the hash, so they meet verbatim copies only, and count as windows of the item; items of one word are compared too.  Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
 words do not part a copy; counts words under the windows found besides the windows, so a changed word costs one word; and accepts a run of
 ``RUN`` words whatever its share.  An item value must map to one document value, but two may share theirs.
 
@@ -111,8 +112,8 @@ def literal_windows(toks: Column, width: int = WIDTH) -> Column:
     return F.transform(windows(toks, width, width), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.lit("="), w["hash"]).alias("hash"), w["slots"].alias("slots")))
 
 
-def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Column:
-    """Array of (at, hash, slots) of the eligible windows of ``width`` tokens."""
+def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS, exact: bool = False) -> Column:
+    """Array of (at, hash, slots) of the eligible windows of ``width`` tokens; ``exact`` adds the others, hashed with their slots."""
     most = width - min(literals, width)
 
     def of(t: Column) -> Column:
@@ -121,10 +122,16 @@ def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Colum
         def hashed(n: Column, i: Column) -> Column:
             return F.xxhash64(F.slice(n, i + 1, width)).alias("hash")
 
+        def eligible(w: Column) -> Column:
+            return F.length(w["slots"]) - F.length(F.translate(w["slots"], _MARK, "")) <= most
+
         def with_slots(n: Column) -> Column:
-            return let(F.transform(t, lambda x: x["slot"]), lambda s: F.filter(
-                F.transform(places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.array_join(F.slice(s, i + 1, width), "").alias("slots"))),
-                lambda w: F.length(w["slots"]) - F.length(F.translate(w["slots"], _MARK, "")) <= most))
+            cut = let(F.transform(t, lambda x: x["slot"]), lambda s: F.transform(
+                places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.array_join(F.slice(s, i + 1, width), "").alias("slots"))))
+            if not exact:
+                return F.filter(cut, eligible)
+            return F.transform(cut, lambda w: F.struct(
+                w["at"].alias("at"), F.when(eligible(w), w["hash"]).otherwise(F.xxhash64(w["hash"], w["slots"])).alias("hash"), w["slots"].alias("slots")))
 
         def without(n: Column) -> Column:
             return F.transform(places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.lit("").alias("slots")))
@@ -139,7 +146,7 @@ def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals:
     """Windows (item, width, hash, place, item_slots, length, windows) of each different item, and (item, item ids)."""
     named = items.select(F.col(id_col).alias("item_id"), text_of(text).alias("t")).withColumn("item", F.xxhash64("t"))
     members = named.groupBy("item").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.first("t").alias("t"))
-    forms = [(members.select("item", tokens(F.col("t"), wide).alias("toks")), lambda t, n: windows(t, n, min(literals, n)))]
+    forms = [(members.select("item", tokens(F.col("t"), wide).alias("toks")), lambda t, n: windows(t, n, min(literals, n), wide))]
     if wide:  # the literal form is an item of its own
         apart = members.withColumn("item", F.xxhash64(F.lit("="), "item"))
         forms.append((apart.select("item", literal_tokens(F.col("t")).alias("toks")), literal_windows))
@@ -148,7 +155,7 @@ def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals:
     for toks, cut in forms:
         sizes = F.least(F.size("toks"), F.lit(width))
         per_width = [F.when(sizes == n, cut(F.col("toks"), n)) for n in range(1, width + 1)]
-        long_enough = toks.where(F.size("toks") >= literals)
+        long_enough = toks.where(F.size("toks") >= (1 if wide else literals))
         cuts.append(long_enough.select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w")))
     cut = cuts[0].union(cuts[1]) if wide else cuts[0]
     first = cut.groupBy("item", "width", "length", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
@@ -168,7 +175,7 @@ def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id
     toks = rows.select("id", "__k0", "__k1", tokens(F.col("t"), wide).alias("toks"), *([literal_tokens(F.col("t")).alias("plain")] if wide else []))
 
     def cut(n: int) -> Column:
-        typed = windows(F.col("toks"), n, min(literals, n))
+        typed = windows(F.col("toks"), n, min(literals, n), wide)
         return F.explode(F.concat(typed, literal_windows(F.col("plain"), n)) if wide else typed).alias("w")
 
     for n in sorted(r["width"] for r in sizes):
