@@ -4,7 +4,8 @@ A text's fingerprint has a bit set where over half of its shingles' XXH64 values
 ``BITS`` (3) or fewer differing bits.  Split into two segments of 32 bits, a linked pair differs by one bit at most in one of
 them, so enumerating a ball of radius one around each segment value meets every pair in a table of segment values.  One of
 two segment values that differ in one bit has it set, so clearing set bits enumerates the half of the ball that is needed.
-Matches are verified on all 64 bits.
+Other radii take ``bits // 2 + 1`` segments, two at least, of nearly equal width, by the same argument;
+more segments are shorter and their buckets fuller.  Matches are verified on all 64 bits.
 
 Documents of equal fingerprint are one node, whatever their number.  A bucket (segment, value) holds nodes and probes; the
 task that has it compares its table entries with its probes in vectors and emits a spanning forest of the links it finds, so
@@ -32,7 +33,7 @@ from tidewatch.session import materialize
 
 SHINGLE = 3
 BITS = 3
-SEGMENTS = 2
+SEGMENTS = 2  # at least
 SEED = 42
 _CHUNK = 1 << 16
 
@@ -68,17 +69,25 @@ def as_hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def probes(nodes: DataFrame) -> DataFrame:
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of segments of which one differs in one bit at most when ``bits`` differ in all."""
+    if not 0 <= bits < 64:
+        raise ValueError(f"a radius of {bits} bits is not within 0 to 63")
+    count = max(SEGMENTS, bits // 2 + 1)
+    cuts = [64 * i // count for i in range(count + 1)]
+    return [(low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]
+
+
+def probes(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """(key, fp, own): each segment's value (own) and its neighbours with one set bit cleared.  key holds segment and value."""
-    def keys(number: int, value: Column) -> Column:
+    def keys(number: int, value: Column, wide: int) -> Column:
         tag = F.lit(number << 32).cast("bigint")
-        set_bits = F.filter(F.array(*[F.lit(1 << i).cast("bigint") for i in range(32)]), lambda bit: value.bitwiseAND(bit) != 0)
+        set_bits = F.filter(F.array(*[F.lit(1 << i).cast("bigint") for i in range(wide)]), lambda bit: value.bitwiseAND(bit) != 0)
         cleared = F.transform(set_bits, lambda bit: F.struct((value - bit + tag).alias("key"), F.lit(False).alias("own")))
         return F.concat(F.array(F.struct((value + tag).alias("key"), F.lit(True).alias("own"))), cleared)
 
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    return nodes.select("fp", F.explode(F.concat(keys(0, low), keys(1, high))).alias("k")).select("k.key", "fp", "k.own")
+    every = [keys(n, F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << wide) - 1)), wide) for n, (low, wide) in enumerate(segments(bits))]
+    return nodes.select("fp", F.explode(F.concat(*every)).alias("k")).select("k.key", "fp", "k.own")
 
 
 def _forest(fps: np.ndarray, own: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -134,7 +143,7 @@ def _links(bits: int):
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): fingerprints that are linked, directly or through others of the same bucket."""
-    found = probes(nodes).repartition(max(2, shuffle_partitions(nodes)), "key").sortWithinPartitions("key")
+    found = probes(nodes, bits).repartition(max(2, shuffle_partitions(nodes)), "key").sortWithinPartitions("key")
     return found.mapInArrow(_links(bits), "a bigint, b bigint").distinct()
 
 
