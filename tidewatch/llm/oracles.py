@@ -6,7 +6,7 @@ hold those against brute force.
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, secret_ledger
+from tidewatch.llm import chat, decontamination, divergence, secret_ledger
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -117,10 +117,56 @@ drawn AS (SELECT s.doc_id, size, source_size, target, rate, CAST('0x' || substr(
 counted AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted"""
 
+
+
+def _chat() -> str:
+    def escaped(x: str) -> str:
+        grown = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) / {len(c)}" for c in ("\\", *chat.CONTROLS))
+        return f"(length({x}) + {grown})"
+
+    marks = {role: sum(map(len, shape)) for shape, role in (((a, mid, z), role) for a, role, mid, z in chat.SHAPES)}
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({escaped('text')} + CASE role WHEN 'user' THEN {marks['user']} WHEN 'assistant' THEN {marks['assistant']} ELSE {marks[None]} + {escaped('role')} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(*) >= {divergence.LEAST}),
+cells AS (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce((SELECT sum(n) FROM cells c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS terms
+  FROM (SELECT DISTINCT lang, source FROM d) g),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.terms) AS HUGEINT) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value
+             FROM every x JOIN every y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) v
+    ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+whole AS (SELECT lang, sum(total) AS total, any_value(terms) AS terms FROM groups GROUP BY lang),
+of_lang AS (SELECT lang, term, CAST(1 + ({divergence.SCALE}::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(terms)) AS HUGEINT) AS q FROM cells JOIN whole USING (lang) GROUP BY lang, term),
+standing AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM every JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) FROM standing)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
 SQL = {
     "op2_secret_scan": _secrets(),
     "op3_quality_rules": _RULES,
     "op5_decontamination": _leaks(),
     "op7_arc_to_warc": _ARCHIVES,
     "op9_mixing": _MIX,
+    "op12_chat_formatting": _chat(),
+    "op13_source_divergence": _DIVERGENCE,
 }

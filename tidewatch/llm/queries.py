@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, langid, mil, mixing, quality_rules, secret_ledger, sharding, simhash, token_counts, warc
-from tidewatch.llm.common import text_of
+from tidewatch.llm import chat, decontamination, divergence, langid, mil, mixing, periodic_runs, quality_rules, secret_ledger, sharding, simhash, token_counts, warc
+from tidewatch.llm.common import text_of, words_of
 from tidewatch.llm.oracles import SQL
 from tidewatch.session import scratch_path, table
 
@@ -97,6 +97,51 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.with_counts(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of a tenth of the documents, chosen by id, repeat from some word on; all other texts, and those without id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("int")
+    words, n, a, p = (F.col(c) for c in ("words", "n", "a", "p"))
+    cut = docs.select("doc_id", text_of("text").alias("text"), F.when(h % 10 == 0, words_of(text_of("text"))).alias("words"), g.alias("g"))
+    sized = cut.select("*", F.size("words").alias("n")).select("*", F.expr("g % n").alias("a"))
+    timed = sized.select("*", F.floor((n - a) / (3 + F.col("g") % 8)).cast("int").alias("whole")).select("*", (F.col("whole") + 1).alias("p"))
+    repeats = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(repeats, F.lit(1), n - a)), " ")
+    return timed.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    """One row per document; null and blank texts have no runs, a null id has no planted repeat."""
+    docs = table(spark, root, "documents")
+    found = periodic_runs.with_runs(planted(docs))
+    best = found.select("doc_id", "runs", "collapsed", periodic_runs.longest(F.col("runs")).alias("best"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    """One row per conversation, and one for a conversation -1 whose texts look like control strings; all figures come from the rendered text."""
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    rendered = chat.formatted(rows.unionByName(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string")))
+    read = chat.read_back(rendered)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    """Each (lang, source) against the other sources of its language, and the terms that stand out in it."""
+    return divergence.audit(table(spark, root, "documents"))
+
+
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
