@@ -130,56 +130,103 @@ def pieces(text, vocabulary, mark="▁"):
 BARE = re.compile(r"[\W_]+")
 
 
-def template(text, units):
+MARKS = str.maketrans({chr(i): " " for i in range(1, 7)})
+
+
+def template(text, units, spelled):
     """(template token, slot value or None) of the words with a letter or digit."""
-    out, opens, counted = [], True, False
-    for x in words(text):
-        bare = BARE.sub("", x)
-        stop = bool(re.search(r"[.!?:\x02][\W_]*$", x))
-        if not bare and not stop:
-            continue
-        number = bool(re.fullmatch("[0-9]+", bare))
+    words_, stuck = [], re.compile(f"([0-9]+)({'|'.join(units)})", re.I)
+    for x in words((text or "").translate(MARKS)):
+        bare, stop = BARE.sub("", x), bool(re.search(r"[.!?:][\W_]*$", x))
+        m = stuck.fullmatch(bare)
+        if m:
+            words_ += [(m[1], False), (m[2], stop)]
+        elif bare or stop:
+            words_.append((bare, stop))
+    runs = []
+    for bare, stop in words_:
+        if runs and bare[:1].isupper() and runs[-1][0][:1].isupper() and not runs[-1][1]:
+            runs[-1] = (runs[-1][0] + "\x03" + bare, stop)
+        else:
+            runs.append((bare, stop))
+    out, counted = [], False
+    for plain, _ in runs:
+        number = bool(re.fullmatch("[0-9]+", plain)) or plain.lower() in spelled
         if number:
-            out.append(("<number>", bare))
-        elif bare[:1].isupper() and not opens:
-            out.append(("<name>", bare))
-        elif bare.lower() in units and counted:
-            out.append(("<unit>", bare))
-        elif bare:
-            out.append((bare.lower(), None))
-        opens, counted = stop, number
+            out.append(("<number>", plain))
+        elif plain[:1].isupper():
+            out.append(("<name>", plain))
+        elif plain.lower() in units and counted:
+            out.append(("<unit>", plain))
+        elif plain:
+            out.append((plain.lower(), None))
+        counted = number
     return out
 
 
-def leaks(docs, items, units, width=5, coverage=0.8, literals=2):
+def literal(text):
+    bare = [BARE.sub("", w) for w in words((text or "").translate(MARKS).lower())]
+    return [(b, None) for b in bare if b]
+
+
+def traces(docs, items, units, spelled, width=5, coverage=0.8, literals=2, run=20, least_words=10):
     """Document id to item ids, every document against every item."""
     def cut(toks, n):
         got = []
         for i in range(len(toks) - n + 1):
             part = toks[i : i + n]
-            if sum(s is None for _, s in part) >= min(literals, n):
-                got.append((i, tuple(t for t, _ in part), [s for _, s in part if s is not None]))
+            slots = [s for _, s in part if s is not None]
+            name = tuple(t for t, _ in part)
+            got.append((i, name if n - len(slots) >= min(literals, n) else (name, tuple(slots)), slots))
         return got
 
-    found = defaultdict(set)
-    prepared = [(i, template(t, units)) for i, t in items]
-    for doc, text in docs:
-        toks = template(text, units)
-        cuts = {}
-        for item, it in prepared:
-            if len(it) < literals:
+    def forms(text):
+        return template(text, units, spelled), literal(text)
+
+    def holds(toks, it):
+        if not it:
+            return False
+        n, first = min(width, len(it)), {}
+        for at, key, slots in cut(it, n):
+            first.setdefault(key, (at, slots))
+        lines = defaultdict(list)
+        for at, key, slots in cut(toks, n):
+            if key in first:
+                place, mine = first[key]
+                band = (at - place) // max(1, len(it) // 4)
+                for line in (("d", at - place), ("b", band), ("b", band - 1)):
+                    lines[line].append((place, list(zip(mine, slots, strict=True))))
+        for (kind, _), hits in lines.items():
+            pairs = {p for _, ps in hits for p in ps}
+            if len({a for a, _ in pairs}) < len(pairs):
                 continue
-            n = min(width, len(it))
-            first = {}
-            for at, key, slots in cut(it, n):
-                first.setdefault(key, (at, slots))
-            by_line = defaultdict(list)
-            for at, key, slots in cuts.setdefault(n, cut(toks, n)):
-                if key in first:
-                    by_line[at - first[key][0]].append((key, first[key][1], slots))
-            for hits in by_line.values():
-                pairs = {p for _, a, b in hits for p in zip(a, b, strict=True)}
-                ok = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
-                if ok and len({k for k, _, _ in hits}) >= coverage * len(first) - 1e-9:
-                    found[doc].add(item)
-    return {k: sorted(v) for k, v in found.items()}
+            places = {p for p, _ in hits}
+            covered = len({k for p in places for k in range(p, p + n)})
+            longest = max(next(k for k in range(1, len(it) + 2) if p + k not in places) for p in places) + n - 1
+            if len(places) >= coverage * len(first) - 1e-9 or (covered >= max(least_words, coverage * len(it) - 1e-9)) or (kind == "d" and longest >= run):
+                return True
+        return False
+
+    prepared = [(i, forms(t)) for i, t in items]
+    found = {}
+    for doc, text in docs:
+        mine = forms(text)
+        hit = sorted({i for i, its in prepared if i is not None and any(holds(a, b) for a, b in zip(mine, its, strict=True))})
+        if hit or any(any(holds(a, b) for a, b in zip(mine, its, strict=True)) for i, its in prepared if i is None):
+            found[doc] = hit
+    return found
+
+
+def shingles(text):
+    words_ = (text or "").encode().lower().split()
+    return frozenset(tuple(words_[i : i + 5]) for i in range(max(1, len(words_) - 4))) if words_ else frozenset()
+
+
+def near_groups(rows, similar=0.8):
+    """Id to the least id of its group: the five-word shingles of every text against those of every other."""
+    sets = {i: shingles(t) for i, t in rows}
+    found = components(set(sets.values()), lambda a, b: a == b or len(a & b) >= similar * len(a | b))
+    ids = defaultdict(list)
+    for i, s in sets.items():
+        ids[s].append(i)
+    return {i: min(x for g in found[s] for x in ids[g]) for i, s in sets.items()}

@@ -1,32 +1,35 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units after a number and names (capitals inside a sentence) turn into typed
-placeholders, all others into their lower-case letters and digits.  Windows of ``WIDTH`` template tokens of the documents are
-hash-joined with those of the benchmark items.  Matches of a document and an item on one diagonal (document position less
-item position) form an alignment; its slots, the values behind the placeholders, must map consistently: one item value to
-one document value and back.  A consistent alignment that covers ``COVERAGE`` of the item's windows is a leak, verbatim where
-every slot is equal, else re-parameterised.
-
-Windows need ``LITERALS`` ordinary tokens (or as many as they are long), else any table of numbers would match; a window that an item repeats counts at
-its first place.  Items shorter than ``WIDTH`` are compared as one window of their own length.  Items without an eligible
-window cannot be told from ordinary text and match nothing.
-
-That is the rule of ``leaks``, which SQL states too.  ``traces``, which ``clean`` uses, is wider.  A capital makes a name wherever it
-stands, runs of names are one placeholder, spelled-out numbers are numbers and a unit may stick to its number.  A second, literal form of items and
-documents, in lower case and without placeholders, meets copies in another case.  Windows poor in literals keep
-their slot values inside the hash, so they meet verbatim copies only, and count as windows of the item; items of one word are compared too.  Besides single diagonals it takes bands of neighbouring ones (as wide as half the item, two overlapping series), so inserted and deleted
-words do not part a copy; counts words under the windows found besides the windows, so a changed word costs one word; and accepts a run of
-``RUN`` words whatever its share.  An item value must map to one document value, but two may share theirs.
+Words become template tokens: numbers (digits or spelled out), units after a number (also stuck to it) and runs of names
+(capitalised words, wherever they stand) turn into typed placeholders, all others into their lower-case letters and digits.
+Windows of ``WIDTH`` template tokens of the documents are hash-joined with those of the benchmark items.  Windows poor in
+ordinary words (fewer than ``LITERALS``) keep their slot values, the values behind the placeholders, inside the hash, so they
+meet verbatim copies only.  A second, literal form of items and documents, lower case and without placeholders, meets copies in
+another case.  A window that an item repeats counts at its first place; items shorter than ``WIDTH`` are windows of their own
+length.
+
+Matches of a document and an item on one diagonal (document position less item position), or in a band of neighbouring
+diagonals (a quarter of the item wide, two overlapping series, so that inserted and deleted words do not part a copy), form an
+alignment.  Its slots must map consistently: one item value to one document value; two may share theirs.  A consistent
+alignment is a trace of the item where it covers ``COVERAGE`` of the item's windows, or of its words (``LEAST_WORDS`` at least;
+so a changed word costs one word), or where ``RUN`` words stand in a row on one diagonal, whatever their share.
+
+Most documents share next to nothing with any item.  ``suspects`` finds those that may hold a trace by patterns over whole texts:
+the same windows as plain text, without slots and places in the item, of which a trace needs a known least number.  It loses
+none; only what it finds is cut into tokens with slots and aligned.
 
 Document windows carry only (position, hash, slot values) through the join.  The benchmark side is counted first and
 broadcast up to ``BROADCAST_WINDOWS``; beyond that the same join shuffles.
 
 Defined cases: null and blank texts and items match nothing; equal items are compared once and all reported; repeated rows
-are reported once per id; empty tables give no rows; extra columns are ignored by ``leaks`` and pass through ``clean``.
+are reported once per id; empty tables give no rows; extra columns are ignored by ``traces`` and pass through ``clean``, also
+where they are named like the keys in here.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h"
          "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces")
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 _MARK = "\x01"
-#: Stands behind a word that ends a sentence; a text's own use of this control character ends one too.
+#: Stands behind a word that ends a sentence.  A text's own use of the characters that are marks in here counts as blank.
 _STOP = "\x02"
 _BLANK = r"\x20\x09-\x0D"
 #: Numbers in words, up to ninety-nine and the round ones.
@@ -57,21 +60,25 @@ SPELLED = ("zero", *_ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "f
            *[t + o for t in _TENS for o in _ONES], "hundred", "thousand", "million", "billion")
 #: Joins the names of a run.
 _JOINT = "\x03"
+#: Placeholders of ``typed_text``: number, unit, name.
+_HOLDERS = "\x04\x05\x06"
+
+
+def _free(text: Column) -> Column:
+    """Blanks in place of the characters that are marks in here."""
+    return F.translate(text, f"{_MARK}{_STOP}{_JOINT}{_HOLDERS}", " " * 6)
 
 
-def tokens(text: Column, wide: bool = False) -> Column:
+def tokens(text: Column) -> Column:
     """Array of (template token, slot text) of the words that have a letter or a digit; the slot text of a literal is empty.
 
-    Marks are dealt with on the whole text: words that end a sentence get one stop mark, all other marks go.  What is left of a word
-    tells its kind by its first character in nearly all cases.  ``wide`` takes every capital for a name and a run of them for one,
-    numbers in words for numbers, and cuts units off numbers.
+    Marks are dealt with on the whole text: words that end a sentence get one stop mark, which parts runs of names and goes later;
+    all other marks go.  What is left of a word tells its kind by its first character in nearly all cases.
     """
-    ended = F.regexp_replace(text, rf"[.!?:{_STOP}][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
+    ended = F.regexp_replace(_free(text), rf"[.!?:][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
     bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
-
-    if wide:
-        bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?i:{'|'.join(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
-        bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?i:{'|'.join(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
+    bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
 
     def digits(word: Column) -> Column:
         return F.ascii(word).between(48, 57) & F.regexp_like(word, F.lit(rf"^[0-9]+{_STOP}*\z"))
@@ -83,16 +90,10 @@ def tokens(text: Column, wide: bool = False) -> Column:
         def one(w: Column, i: Column) -> Column:
             before = F.get(words, i - 1)
             plain = F.replace(w, F.lit(_STOP), F.lit(""))
-            first = F.ascii(w)
-            lower_case = first.between(97, 122)
+            lower_case = F.ascii(w).between(97, 122)
             name = ~lower_case & F.regexp_like(w, F.lit(r"^\p{Lu}"))
-            if wide:
-                counted = digits(before) | spelled(before)
-                kind = F.when((~lower_case & digits(w)) | spelled(w), NUMBER).when(name, NAME).when(F.lower(plain).isin(*UNITS) & (i > 0) & counted, UNIT)
-            else:
-                name = name & (i > 0) & ~F.endswith(before, F.lit(_STOP))
-                unit = (i > 0) & F.ascii(before).between(48, 57) & digits(before) & F.lower(plain).isin(*UNITS)
-                kind = F.when(~lower_case & digits(w), NUMBER).when(name, NAME).when(unit, UNIT)
+            counted = digits(before) | spelled(before)
+            kind = F.when((~lower_case & digits(w)) | spelled(w), NUMBER).when(name, NAME).when(F.lower(plain).isin(*UNITS) & (i > 0) & counted, UNIT)
             literal = F.struct(F.lower(plain).alias("token"), F.lit("").alias("slot"))
             return let(kind, lambda k: F.when(k.isNull(), literal).otherwise(F.struct(k.alias("token"), F.concat(plain, F.lit(_MARK)).alias("slot"))))
 
@@ -103,7 +104,7 @@ def tokens(text: Column, wide: bool = False) -> Column:
 
 def literal_tokens(text: Column) -> Column:
     """As ``tokens``, all literals, whatever the case."""
-    bare = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
+    bare = F.regexp_replace(F.lower(_free(text)), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
     return F.transform(words_of(bare), lambda w: F.struct(w.alias("token"), F.lit("").alias("slot")))
 
 
@@ -112,8 +113,8 @@ def literal_windows(toks: Column, width: int = WIDTH) -> Column:
     return F.transform(windows(toks, width, width), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.lit("="), w["hash"]).alias("hash"), w["slots"].alias("slots")))
 
 
-def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS, exact: bool = False) -> Column:
-    """Array of (at, hash, slots) of the eligible windows of ``width`` tokens; ``exact`` adds the others, hashed with their slots."""
+def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS) -> Column:
+    """Array of (at, hash, slots) of the windows of ``width`` tokens; those with fewer literals are hashed with their slots."""
     most = width - min(literals, width)
 
     def of(t: Column) -> Column:
@@ -128,8 +129,6 @@ def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS, exact: b
         def with_slots(n: Column) -> Column:
             cut = let(F.transform(t, lambda x: x["slot"]), lambda s: F.transform(
                 places, lambda i: F.struct(i.alias("at"), hashed(n, i), F.array_join(F.slice(s, i + 1, width), "").alias("slots"))))
-            if not exact:
-                return F.filter(cut, eligible)
             return F.transform(cut, lambda w: F.struct(
                 w["at"].alias("at"), F.when(eligible(w), w["hash"]).otherwise(F.xxhash64(w["hash"], w["slots"])).alias("hash"), w["slots"].alias("slots")))
 
@@ -142,49 +141,40 @@ def windows(toks: Column, width: int = WIDTH, literals: int = LITERALS, exact: b
     return let(toks, of)
 
 
-def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Windows (item, width, hash, place, item_slots, length, windows) of each different item, and (item, item ids)."""
+def item_windows(items: DataFrame, id_col: str, text: str, width: int, literals: int) -> tuple[DataFrame, DataFrame]:
+    """Windows (item, width, hash, place, item_slots, length, windows) of both forms of each different item, and (item, item ids)."""
     named = items.select(F.col(id_col).alias("item_id"), text_of(text).alias("t")).withColumn("item", F.xxhash64("t"))
     members = named.groupBy("item").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.first("t").alias("t"))
-    forms = [(members.select("item", tokens(F.col("t"), wide).alias("toks")), lambda t, n: windows(t, n, min(literals, n), wide))]
-    if wide:  # the literal form is an item of its own
-        apart = members.withColumn("item", F.xxhash64(F.lit("="), "item"))
-        forms.append((apart.select("item", literal_tokens(F.col("t")).alias("toks")), literal_windows))
-        members = members.union(apart)
+    # The literal form is an item of its own.
+    apart = members.withColumn("item", F.xxhash64(F.lit("="), "item"))
     cuts = []
-    for toks, cut in forms:
+    for rows, toks, cut in ((members, tokens, lambda t, n: windows(t, n, min(literals, n))), (apart, literal_tokens, literal_windows)):
+        cut_up = rows.select("item", toks(F.col("t")).alias("toks")).where(F.size("toks") > 0)
         sizes = F.least(F.size("toks"), F.lit(width))
         per_width = [F.when(sizes == n, cut(F.col("toks"), n)) for n in range(1, width + 1)]
-        long_enough = toks.where(F.size("toks") >= (1 if wide else literals))
-        cuts.append(long_enough.select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w")))
-    cut = cuts[0].union(cuts[1]) if wide else cuts[0]
-    first = cut.groupBy("item", "width", "length", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
+        cuts.append(cut_up.select("item", sizes.alias("width"), F.size("toks").alias("length"), F.explode(F.coalesce(*per_width)).alias("w")))
+    first = cuts[0].union(cuts[1]).groupBy("item", "width", "length", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots"))).alias("f"))
     whole = F.count(F.lit(1)).over(Window.partitionBy("item"))
-    return first.select("item", "width", "hash", "f.place", "f.item_slots", "length", whole.alias("windows")), members.select("item", "item_ids")
+    return first.select("item", "width", "hash", "f.place", "f.item_slots", "length", whole.alias("windows")), members.union(apart).select("item", "item_ids")
 
 
-def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, width: int, literals: int,
-              broadcast_windows: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Document windows joined with the item windows of the same hash, and (item, item ids)."""
-    grams, members = item_windows(items, item_id, item_text, width, literals, wide)
+def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, width: int, coverage: float, literals: int, run: int,
+              broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of the suspects joined with the item windows of the same hash, and (item, item ids)."""
+    grams, members = item_windows(items, item_id, item_text, width, literals)
     grams = materialize(grams, "benchmark-windows")
     sizes = grams.groupBy("width").count().collect()  # ``width`` rows at most
     small = sum(r["count"] for r in sizes) <= broadcast_windows
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text), text_of(text).alias("t"))
-    cuts = []
-    toks = rows.select("id", "__k0", "__k1", tokens(F.col("t"), wide).alias("toks"), *([literal_tokens(F.col("t")).alias("plain")] if wide else []))
-
-    def cut(n: int) -> Column:
-        typed = windows(F.col("toks"), n, min(literals, n), wide)
-        return F.explode(F.concat(typed, literal_windows(F.col("plain"), n)) if wide else typed).alias("w")
-
-    for n in sorted(r["width"] for r in sizes):
-        cuts.append(toks.select("id", "__k0", "__k1", F.lit(n).alias("width"), cut(n)))
-    if not cuts:
-        cuts = [toks.where(F.lit(False)).select("id", "__k0", "__k1", F.lit(width).alias("width"), cut(width))]
-    spread = cuts[0]
-    for more in cuts[1:]:
-        spread = spread.union(more)
+    held = materialize(suspects(rows, grams, items, item_text, width, coverage, literals, run, broadcast_windows), "suspects")
+    toks = rows.join(held, ["__k0", "__k1"], "left_semi").select("id", "__k0", "__k1", tokens(F.col("t")).alias("toks"), literal_tokens(F.col("t")).alias("plain"))
+
+    def cut(n: int) -> DataFrame:
+        both = F.concat(windows(F.col("toks"), n, min(literals, n)), literal_windows(F.col("plain"), n))
+        return toks.select("id", "__k0", "__k1", F.lit(n).alias("width"), F.explode(both).alias("w"))
+
+    cuts = [cut(n) for n in sorted(r["width"] for r in sizes)] or [cut(width).where(F.lit(False))]
+    spread = reduce(DataFrame.union, cuts)
     spread = spread.select("id", "__k0", "__k1", "width", F.col("w.hash").alias("hash"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
     # One long key; the width, which is nearly always the same, is compared after it.
     grams = grams.withColumnsRenamed({"width": "__width", "hash": "__hash"})
@@ -209,17 +199,73 @@ def _report(leaked: DataFrame, members: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count_distinct("item_id").alias("n_items"), F.max("share").alias("coverage"), F.max("same").alias("verbatim"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-          width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document with a leak: id, row keys, item_ids, n_items, coverage (the best), verbatim (any item is)."""
-    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows)
-    aligned = met.groupBy("id", "__k0", "__k1", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count_distinct("hash").alias("hit"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
-    pairs = F.col("pairs")
-    consistent = (_distinct(pairs, "mine") == F.size(pairs)) & (_distinct(pairs, "theirs") == F.size(pairs))
-    share = F.col("hit") / F.col("windows")
-    leaked = aligned.where(consistent & (share >= coverage)).select("id", "__k0", "__k1", "item", share.alias("share"), _same(pairs).alias("same"))
-    return _report(leaked, members)
+def _either(words: tuple[str, ...]) -> str:
+    """Pattern of the words, those of one first letter together."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in first.items())
+
+
+def typed_text(text: Column) -> Column:
+    """The template tokens of ``tokens(text, wide=True)``, parted by single blanks, by patterns over the whole text; names are one placeholder each."""
+    start, end = rf"(?<![^{_BLANK}])", rf"(?=[{_BLANK}]|\z)"
+    ended = F.regexp_replace(_free(text), rf"[.!?:][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
+    bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
+    cut = F.regexp_replace(bare, rf"{start}([0-9]+)(?=(?i:{_either(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
+    joined = F.regexp_replace(cut, rf"{start}(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    number, unit, name = _HOLDERS
+    numbers = F.regexp_replace(joined, rf"{start}(?:[0-9]+|(?i:{_either(SPELLED)}))({_STOP}*){end}", f"{number}$1")
+    names = F.regexp_replace(numbers, rf"{start}\p{{Lu}}[^{_BLANK}]*", name)
+    units = F.regexp_replace(names, rf"{number}({_STOP}*[{_BLANK}]+)(?i:{_either(UNITS)})({_STOP}*){end}", f"{number}$1{unit}$2")
+    return F.lower(F.regexp_replace(units, rf"[{_STOP}{_BLANK}]+", " "))
+
+
+def plain_text(text: Column) -> Column:
+    """The words of ``literal_tokens``, units parted from numbers, parted by single blanks."""
+    bare = F.regexp_replace(F.lower(_free(text)), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
+    cut = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?:{_either(UNITS)})(?:[{_BLANK}]|\z))", "$1 ")
+    return F.regexp_replace(cut, rf"[{_BLANK}]+", " ")
+
+
+def text_windows(text: Column, width: int) -> Column:
+    """Every ``width`` neighbouring words of a text parted by single blanks, as text, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"), F.lit(1))
+
+
+def _spread_texts(rows: DataFrame, keep: list[str], width: int, literals: int) -> DataFrame:
+    """(keep, form, at, hash) of the windows of ``width`` in both forms; typed ones need their literals."""
+    forms = F.array(F.struct(F.lit(0).alias("form"), text_windows(typed_text(F.col("t")), width).alias("w")), F.struct(F.lit(1).alias("form"), text_windows(plain_text(F.col("t")), width).alias("w")))
+    per_form = rows.select(*keep, F.explode(forms).alias("f")).select(*keep, "f.form", F.posexplode("f.w").alias("at", "w"))
+    held = F.length("w") - F.length(F.translate("w", _HOLDERS, ""))
+    enough = (F.col("form") == 1) | (held <= width - min(literals, width))
+    return per_form.where(enough).select(*keep, "form", "at", F.xxhash64("form", "w").alias("hash"))
+
+
+def suspects(rows: DataFrame, grams: DataFrame, items: DataFrame, item_text: str, width: int, coverage: float, literals: int, run: int, broadcast_windows: int) -> DataFrame:
+    """Keys of the rows (__k0, __k1, t) that share enough windows with an item for a trace; the others cannot hold one.
+
+    A trace matches item windows at different places, each at a place of its own in the document.  Windows with literals are
+    windows of ``typed_text``, and one without begins where a window of ``plain_text`` does that matches too.  So a trace shows at
+    as many places here as it needs windows there, and fewer than ``need`` rule it out.  All of it are patterns over
+    whole texts and one join, without a step per word.
+    """
+    need = F.least(F.ceil(coverage * F.col("windows")), F.ceil(F.greatest(F.lit(LEAST_WORDS), coverage * F.col("length")) / F.col("width")), F.greatest(F.lit(1), run - F.col("width") + 1))
+    per_form = grams.groupBy("item").agg(F.min(F.greatest(F.lit(1), need)).alias("need"))
+    sizes = sorted(r[0] for r in grams.select("width").distinct().collect())  # ``width`` rows at most
+    texts = items.select(text_of(item_text).alias("t")).distinct()
+    forms = F.explode(F.array(F.xxhash64("t"), F.xxhash64(F.lit("="), F.xxhash64("t")))).alias("item")
+    needed = texts.select("t", forms).join(per_form, "item").groupBy("t").agg(F.min("need").alias("need"))
+    found = None
+    for n in sizes or [width]:
+        own = _spread_texts(needed, ["t", "need"], n, literals).select(F.xxhash64("t").alias("item"), "need", F.col("hash").alias("__hash")).distinct()
+        own = materialize(own, "item-windows")
+        own = F.broadcast(own) if own.count() <= broadcast_windows else own
+        met = _spread_texts(rows, ["__k0", "__k1"], n, literals).join(own, F.col("hash") == F.col("__hash")).select("__k0", "__k1", "item", "need", F.lit(n).alias("width"), "form", "at")
+        found = met if found is None else found.union(met)
+    # Repeated rows share their keys and their places.
+    places = found.groupBy("__k0", "__k1", "item", "need").agg(F.count_distinct("width", "form", "at").alias("places"))
+    return places.where("places >= need").select("__k0", "__k1").distinct()
 
 
 def _covered(places: Column, width: Column) -> Column:
@@ -242,8 +288,8 @@ def _longest(places: Column, width: Column) -> Column:
 
 def traces(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
            width: int = WIDTH, coverage: float = COVERAGE, literals: int = LITERALS, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """As ``leaks``, by the wider rule; coverage is the larger of the shares of windows and of words."""
-    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, literals, broadcast_windows, wide=True)
+    """One row per document with a trace: id, row keys, item_ids, n_items, coverage (the best share of windows or words), verbatim (any item is)."""
+    met, members = _meetings(docs, items, id_col, text, item_id, item_text, width, coverage, literals, run, broadcast_windows)
     key = ["id", "__k0", "__k1", "item"]
     lines = met.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"),
@@ -268,6 +314,5 @@ def traces(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a trace of an item, with all their columns."""
     found = materialize(traces(docs, items, id_col, text, **options).select("__k0", "__k1"), "leaks")
-    a, b = row_key(id_col, text)
-    kept = docs.withColumns({"__k0": a, "__k1": b}).join(found, ["__k0", "__k1"], "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *row_key(id_col, text))
+    return kept.join(found, ["__k0", "__k1"], "left_anti").select("__row.*")

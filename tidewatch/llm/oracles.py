@@ -50,44 +50,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
-def _templates(source: str, key: str) -> str:
-    """CTEs ``<source>_toks`` (key, p, token, slot) of the words of ``source`` (key, x)."""
+def _tokens(source: str, key: str) -> str:
+    """CTEs up to ``<source>_toks`` (key, form, p, token, slot): template tokens (form 0) and literal words (form 1) of ``source`` (key, x)."""
+    d = decontamination
+    units, spelled = (", ".join(f"'{w}'" for w in words) for words in (d.UNITS, d.SPELLED))
+    stuck = rf"(?i)^([0-9]+)({'|'.join(d.UNITS)})\z"
     bare = r"regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')"
-    units = ", ".join(f"'{u}'" for u in decontamination.UNITS)
     return rf"""
-{source}_words AS (SELECT *, {bare} AS bare, regexp_matches(w, '[.!?:\x02][^\p{{L}}\p{{N}}]*\z') AS stop FROM
-  (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('x')} AS ws FROM {source}))),
-{source}_near AS (SELECT *, coalesce(lag(stop) OVER before, true) AS opens, coalesce(regexp_matches(lag(bare) OVER before, '^[0-9]+\z'), false) AS counted
-  FROM {source}_words WHERE bare <> '' OR stop WINDOW before AS (PARTITION BY {key} ORDER BY i)),
+{source}_free AS (SELECT {key}, translate(x, chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6), '      ') AS x FROM {source}),
+{source}_words AS (SELECT {key}, i, {bare} AS bare, regexp_matches(w, '[.!?:][^\p{{L}}\p{{N}}]*\z') AS stop
+  FROM (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('x')} AS ws FROM {source}_free))),
+{source}_parts AS (
+  SELECT {key}, 2 * i AS i, regexp_extract(bare, '{stuck}', 1) AS bare, false AS stop FROM {source}_words WHERE regexp_matches(bare, '{stuck}')
+  UNION ALL SELECT {key}, 2 * i + 1, regexp_extract(bare, '{stuck}', 2), stop FROM {source}_words WHERE regexp_matches(bare, '{stuck}')
+  UNION ALL SELECT {key}, 2 * i, bare, stop FROM {source}_words WHERE NOT regexp_matches(bare, '{stuck}') AND (bare <> '' OR stop)),
+{source}_runs AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, regexp_matches(bare, '^\p{{Lu}}') AND coalesce(lag(regexp_matches(bare, '^\p{{Lu}}') AND NOT stop) OVER (PARTITION BY {key} ORDER BY i), false) AS goes_on FROM {source}_parts)),
+{source}_units AS (SELECT {key}, run, string_agg(bare, chr(3) ORDER BY i) AS plain FROM {source}_runs GROUP BY {key}, run),
+{source}_near AS (SELECT *, regexp_matches(plain, '^[0-9]+\z') OR lower(plain) IN ({spelled}) AS number FROM {source}_units),
 {source}_kinds AS (
-  SELECT *, CASE WHEN regexp_matches(bare, '^[0-9]+\z') THEN '{decontamination.NUMBER}' WHEN regexp_matches(bare, '^\p{{Lu}}') AND NOT opens THEN '{decontamination.NAME}'
-    WHEN lower(bare) IN ({units}) AND counted THEN '{decontamination.UNIT}' END AS kind FROM {source}_near),
+  SELECT {key}, run, plain, CASE WHEN number THEN '{d.NUMBER}' WHEN regexp_matches(plain, '^\p{{Lu}}') THEN '{d.NAME}'
+    WHEN lower(plain) IN ({units}) AND coalesce(lag(number) OVER (PARTITION BY {key} ORDER BY run), false) THEN '{d.UNIT}' END AS kind FROM {source}_near),
+{source}_low AS (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('lower(x)')} AS ws FROM {source}_free)),
 {source}_toks AS (
-  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS p, coalesce(kind, lower(bare)) AS token, CASE WHEN kind IS NOT NULL THEN bare END AS slot
-  FROM {source}_kinds WHERE bare <> ''),
-{source}_runs AS (
-  SELECT {key}, p, list(token) OVER run AS tokens, list(coalesce(slot, '')) OVER run AS slots, list(slot IS NULL) OVER run AS plain
-  FROM {source}_toks WINDOW run AS (PARTITION BY {key} ORDER BY p ROWS BETWEEN CURRENT ROW AND {decontamination.WIDTH - 1} FOLLOWING))"""
-
-
-def _leaks() -> str:
-    cut = ("p AS pos, n, tokens[1:n] AS win, [list_element(slots, CAST(k AS BIGINT)) FOR k IN range(1, n + 1) IF NOT list_element(plain, CAST(k AS BIGINT))] AS vals")
-    fits = f"len(tokens) >= n AND len(list_filter(plain[1:n], lambda l: l)) >= least({decontamination.LITERALS}, n)"
+  SELECT {key}, 0 AS form, row_number() OVER (PARTITION BY {key} ORDER BY run) - 1 AS p, coalesce(kind, lower(plain)) AS token, CASE WHEN kind IS NOT NULL THEN plain END AS slot FROM {source}_kinds WHERE plain <> ''
+  UNION ALL SELECT {key}, 1, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1, bare, NULL FROM (SELECT {key}, i, {bare} AS bare FROM {source}_low) WHERE bare <> ''),
+{source}_wins AS (
+  SELECT {key}, form, p, list(token) OVER run AS tokens, list(slot) OVER run AS slots
+  FROM {source}_toks WINDOW run AS (PARTITION BY {key}, form ORDER BY p ROWS BETWEEN CURRENT ROW AND {d.WIDTH - 1} FOLLOWING))"""
+
+
+def _traces() -> str:
+    d = decontamination
+    # Values of the slots in order; a window with fewer literals has them in its name.
+    cut = f"""p, n, vals, array_to_string(tokens[1:n], chr(30)) || CASE WHEN n - len(vals) >= least({d.LITERALS}, n) THEN '' ELSE chr(31) || array_to_string(vals, chr(30)) END AS win
+  FROM (SELECT *, list_filter(slots[1:n], lambda s: s IS NOT NULL) AS vals FROM"""
     return f"""
 WITH docs AS (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL),
 items AS (SELECT DISTINCT text AS item, text AS x FROM benchmark WHERE text IS NOT NULL),
-{_templates('docs', 'doc_id')},
-{_templates('items', 'item')},
-widths AS (SELECT item, least(count(*), {decontamination.WIDTH}) AS n FROM items_toks GROUP BY item HAVING count(*) >= {decontamination.LITERALS}),
-item_cuts AS (SELECT item, {cut} FROM items_runs JOIN widths USING (item) WHERE {fits}),
-firsts AS (SELECT item, n, win, min(pos) AS place, arg_min(vals, pos) AS mine FROM item_cuts GROUP BY item, n, win),
-grams AS (SELECT *, count(*) OVER (PARTITION BY item) AS windows FROM firsts),
-doc_cuts AS (SELECT doc_id, {cut} FROM docs_runs, (SELECT DISTINCT n FROM widths) WHERE {fits}),
-met AS (SELECT doc_id, item, pos - place AS diagonal, win, windows, mine, vals FROM doc_cuts JOIN grams USING (n, win)),
-shares AS (SELECT doc_id, item, diagonal, count(DISTINCT win) / any_value(windows) AS share FROM met GROUP BY doc_id, item, diagonal),
-pairs AS (SELECT DISTINCT doc_id, item, diagonal, unnest(mine) AS a, unnest(vals) AS b FROM met),
-slots AS (SELECT doc_id, item, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) AS consistent, bool_and(a = b) AS same FROM pairs GROUP BY doc_id, item, diagonal),
-hits AS (SELECT s.doc_id, s.item, share, coalesce(same, true) AS same FROM shares s LEFT JOIN slots USING (doc_id, item, diagonal) WHERE share >= {decontamination.COVERAGE} AND coalesce(consistent, true)),
+{_tokens('docs', 'doc_id')},
+{_tokens('items', 'item')},
+sizes AS (SELECT item, form, count(*) AS length, least(count(*), {d.WIDTH}) AS n FROM items_toks GROUP BY item, form),
+item_cuts AS (SELECT item, form, length, {cut} items_wins JOIN sizes USING (item, form) WHERE len(tokens) >= n)),
+grams AS (SELECT *, count(*) OVER (PARTITION BY item, form) AS windows FROM (SELECT item, form, length, n, win, min(p) AS place, arg_min(vals, p) AS mine FROM item_cuts GROUP BY item, form, length, n, win)),
+doc_cuts AS (SELECT doc_id, form, {cut} docs_wins, (SELECT DISTINCT n FROM sizes) WHERE len(tokens) >= n)),
+met AS (SELECT doc_id, item, form, p - place AS diagonal, place, n, length, windows, mine, vals, CAST(floor((p - place) / greatest(1, length // 4)) AS BIGINT) AS band FROM doc_cuts JOIN grams USING (form, n, win)),
+spread AS (
+  SELECT *, 'd' || diagonal AS line FROM met UNION ALL SELECT *, 'b' || band FROM met UNION ALL SELECT *, 'b' || (band - 1) FROM met),
+steps AS (
+  SELECT *, least(n, coalesce(lead(place) OVER along - place, n)) AS words, place - row_number() OVER along AS island
+  FROM (SELECT DISTINCT doc_id, item, form, line, place, n, length, windows FROM spread) WINDOW along AS (PARTITION BY doc_id, item, form, line ORDER BY place)),
+covers AS (SELECT doc_id, item, form, line, any_value(length) AS length, count(*) / any_value(windows) AS by_windows, sum(words) AS words FROM steps GROUP BY doc_id, item, form, line),
+longest AS (SELECT doc_id, item, form, line, max(k) AS words FROM (SELECT doc_id, item, form, line, island, count(*) + any_value(n) - 1 AS k FROM steps GROUP BY ALL) GROUP BY ALL),
+pairs AS (SELECT DISTINCT doc_id, item, form, line, unnest(mine) AS a, unnest(vals) AS b FROM spread),
+slots AS (SELECT doc_id, item, form, line, count(*) = count(DISTINCT a) AS consistent, bool_and(a = b) AS same FROM pairs GROUP BY ALL),
+hits AS (
+  SELECT c.doc_id, c.item, greatest(by_windows, c.words / length) AS share, coalesce(same, true) AS same
+  FROM covers c JOIN longest l USING (doc_id, item, form, line) LEFT JOIN slots s USING (doc_id, item, form, line)
+  WHERE coalesce(consistent, true) AND (by_windows >= {d.COVERAGE} OR (c.words / length >= {d.COVERAGE} AND c.words >= {d.LEAST_WORDS}) OR (line LIKE 'd%' AND l.words >= {d.RUN}))),
 named AS (SELECT DISTINCT doc_id, item_id, share, same FROM hits JOIN benchmark ON benchmark.text = hits.item)
 SELECT doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids, count(DISTINCT item_id) AS n_items, max(share) AS coverage, bool_or(same) AS verbatim
 FROM named GROUP BY doc_id"""
@@ -164,7 +184,7 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
 SQL = {
     "op2_secret_scan": _secrets(),
     "op3_quality_rules": _RULES,
-    "op5_decontamination": _leaks(),
+    "op5_decontamination": _traces(),
     "op7_arc_to_warc": _ARCHIVES,
     "op9_mixing": _MIX,
     "op12_chat_formatting": _chat(),
