@@ -51,3 +51,33 @@ def test_only_unseen_pairs_are_scanned(spark):
         (b, r.name, r.version) for r in rules for t, b in blobs.items() if t.startswith("token=xyz")}
     paths = secret_ledger.by_path(both, new, rules=rules).collect()
     assert {r.doc_id: [s.rule for s in r.spans] for r in paths} == {1: ["assign"], 2: ["assign"], 3: [], 4: ["assign", "access"]}
+
+
+def test_a_stored_ledger_does_no_work_twice_and_loses_nothing(spark, tmp_path):
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    first = brute.dirty(spark, [(1, "token=abcdef", "en", "s"), (2, "token=abcdef", "en", "s"), (3, None, None, None)])
+    second = first.union(brute.dirty(spark, [(4, "AKIA" + "7" * 16 + " token=abcdef", "en", "t"), (1, "nothing now", "en", "s")]))
+    assert ledger.findings().count() == 0 and ledger.pairs.count() == 0
+
+    def reported(docs, rules=RULES):
+        return sorted((r.doc_id, [s.rule for s in r.spans]) for r in secret_ledger.by_path(docs, ledger.findings(rules), rules=rules).collect())
+
+    assert ledger.scan(first) == 2 * len(RULES)
+    assert reported(first) == [(1, ["assign"]), (2, ["assign"]), (3, [])]
+    assert ledger.scan(second) == 2 * len(RULES)  # the two new blobs
+    want = [(1, []), (1, ["assign"]), (2, ["assign"]), (3, []), (4, ["access", "assign"])]
+    assert reported(second) == want
+    assert ledger.scan(second) == 0 and reported(second) == want
+    # Of a rule's new version every blob is unseen, and what the old one found is no longer reported.
+    rules = (Rule("assign", r"(?i)token=([a-z]+)$", 1, 6, version=2), *RULES[1:])
+    assert ledger.scan(second, rules=rules) == 4
+    assert reported(second, rules) == want and reported(second) == want
+
+
+def test_a_lost_scan_is_done_again(spark, tmp_path):
+    """Findings without their pairs, as a scan leaves them that ends in between."""
+    docs = brute.dirty(spark, [(1, "token=abcdef", "en", "s")])
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    secret_ledger.scan(docs)[1].write.parquet(f"{ledger.path}/findings/lost")
+    assert ledger.scan(docs) == len(RULES)
+    assert [len(r.spans) for r in secret_ledger.by_path(docs, ledger.findings()).collect()] == [1]

@@ -4,6 +4,10 @@ Every historical version of a path is a blob, named by the SHA-256 of its conten
 version) pairs that have been scanned; a scan takes each blob that lacks a pair once, however many paths and versions hold
 it, and runs only the rules it lacks.  Findings belong to blobs and are joined back to all paths.
 
+``Ledger`` keeps both on disk.  A scan appends the findings first and the pairs after them, so a scan that is lost in between is
+done again and loses nothing (equal findings count once).  A new version of a rule is a pair that no blob has; findings of
+versions that are no longer in force stay on disk and are not reported.
+
 Positions are code points, ends exclusive.  They come from two built-ins over the same matches: the pieces between matches
 and the matches themselves, whose lengths add up to the positions.
 
@@ -13,9 +17,11 @@ empty table scans nothing, extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import let, text_of
@@ -100,6 +106,39 @@ def scan(versions: DataFrame, content: str = "text", rules: tuple[Rule, ...] = R
     return pairs, found.select("blob", "rule", "version", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
+@dataclass(frozen=True)
+class Ledger:
+    """Scanned pairs and their findings as Parquet below ``path``, a folder of its own per scan."""
+
+    spark: SparkSession
+    path: str
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self._table("pairs", PAIRS)
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """What all scans so far have found by the rules in their present versions."""
+        return self._table("findings", FINDINGS).where(F.concat_ws(":", "version", "rule").isin(*[f"{r.version}:{r.name}" for r in rules])).distinct()
+
+    def scan(self, versions: DataFrame, content: str = "text", rules: tuple[Rule, ...] = RULES) -> int:
+        """Scan what the ledger lacks of the contents in ``versions``; returns the number of new pairs."""
+        name = uuid.uuid4().hex
+        pairs, found = scan(versions, content, rules, self.pairs)
+        # The findings are computed from the ledger as it is before its pairs grow.
+        found.write.parquet(f"{self.path}/findings/{name}")
+        pairs.write.parquet(f"{self.path}/pairs/{name}")
+        return self.spark.read.schema(PAIRS).parquet(f"{self.path}/pairs/{name}").count()
+
+
 def by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every path with its blob's findings: (path, blob, spans array ordered by start, then by rule as listed)."""
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
