@@ -28,10 +28,15 @@ def test_odd_rows(spark):
 
 def test_order_changes_the_cost_not_the_verdict(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
-    fitted = quality_rules.fit_order(docs, fraction=0.5)
-    merits = [share / cost for _, share, cost in fitted]
-    assert merits == sorted(merits, reverse=True) and {r.name for r, _, _ in fitted} == {r.name for r in quality_rules.RULES}
+    fitted = quality_rules.fit_order(docs, least_seconds=0.02)
+    assert {r.name for r, _, _ in fitted} == {r.name for r in quality_rules.RULES} and all(cost > 0 for *_, cost in fitted)
     alone = {r.name: {x.doc_id for x in docs.where(F.coalesce(r.rejects(quality_rules.Facts(text_of("text"))), F.lit(False))).collect()} for r in quality_rules.RULES}
+    # Each rule's share is of the rows that those before it leave, and no later rule has more merit there.
+    costs, left = {r.name: cost for r, _, cost in fitted}, {x.doc_id for x in docs.collect()}
+    for k, (r, share, _) in enumerate(fitted):
+        merits = {x.name: len(alone[x.name] & left) / len(left) / costs[x.name] for x, _, _ in fitted[k:]}
+        assert share == len(alone[r.name] & left) / len(left) and merits[r.name] == max(merits.values())
+        left -= alone[r.name]
     orders = [[r for r, _, _ in fitted], list(reversed(quality_rules.RULES))]
     for order in orders:
         for r in quality_rules.cascade(docs, order).collect():
@@ -40,6 +45,15 @@ def test_order_changes_the_cost_not_the_verdict(spark):
     assert [r.name for r, _, _ in quality_rules.fit_order(brute.empty(spark))] == [r.name for r in quality_rules.RULES]
 
 
+def test_a_dear_rule_costs_more_than_a_cheap_one(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    cheap = quality_rules.Rule("cheap", lambda f: F.length(f.text) < 5)
+    dear = quality_rules.Rule("dear", lambda f: F.length(F.sha2(F.repeat(f.text, 3), 512)) < 5)
+    for _ in range(2):
+        costs = {r.name: c for r, _, c in quality_rules.fit_order(docs, (dear, cheap))}
+        assert costs["dear"] > 3 * costs["cheap"]
+
+
 def test_clean_documents_stay_and_junk_goes(spark):
     root = ROOT.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{root}/labels.parquet").collect()}
