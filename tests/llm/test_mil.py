@@ -69,3 +69,66 @@ def test_odd_rows(spark):
     for few in (labels.limit(0), labels.where("quality = 1"), labels.where("false")):
         assert mil.with_scores(docs, mil.fit(docs, few)).where("score IS NULL").count() == 0
     assert mil.with_scores(brute.empty(spark), model).count() == 0
+
+
+def plain_forward(w, bag):
+    """Score of one bag, passage by passage and unit by unit."""
+    h = [[np.tanh(sum(x[d] * w["encode"][d][u] for d in range(len(x))) + w["encode_b"][u]) for u in range(mil.ENCODED)] for x in bag]
+    e = []
+    for row in h:
+        total = 0.0
+        for k in range(mil.GATES):
+            t = np.tanh(sum(row[u] * w["value"][u][k] for u in range(mil.ENCODED)))
+            g = 1 / (1 + np.exp(-sum(row[u] * w["gate"][u][k] for u in range(mil.ENCODED))))
+            total += t * g * w["attend"][k]
+        e.append(np.exp(total))
+    a = [x / sum(e) for x in e]
+    z = [sum(a[i] * h[i][u] for i in range(len(h))) for u in range(mil.ENCODED)]
+    return 1 / (1 + np.exp(-(sum(z[u] * w["score"][u] for u in range(mil.ENCODED)) + w["score_b"][0])))
+
+
+def plain_fit(bags, labels, seed, steps):
+    """The same steps with gradients by differences, one bag at a time."""
+    rng = np.random.default_rng(seed)
+    every = np.concatenate(bags)
+    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+    bags = [mil._standard(b, mean, scale) for b in bags]
+    shapes = {"encode": (DIMENSIONS, mil.ENCODED), "encode_b": (mil.ENCODED,), "value": (mil.ENCODED, mil.GATES), "gate": (mil.ENCODED, mil.GATES), "attend": (mil.GATES,), "score": (mil.ENCODED,), "score_b": (1,)}
+    w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) * (k not in ("encode_b", "score_b")) for k, s in shapes.items()}
+    first, second = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
+    for step in range(1, steps + 1):
+        pick = rng.integers(0, len(bags), min(mil.BATCH, len(bags)))
+        grads = {k: np.zeros(s) for k, s in shapes.items()}
+        for i in pick:  # the mean of the bags' own gradients
+            own = mil._gradients(w, bags[i], np.array([0]), np.array([float(labels[i])]))
+            grads = {k: grads[k] + own[k] / len(pick) for k in grads}
+        for k in w:
+            g = grads[k] + mil.DECAY * w[k]
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g**2
+            w[k] = w[k] - mil.RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return w, bags
+
+
+def test_fit_and_scores_match_plain_loops():
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(n, DIMENSIONS)) for n in (2, 1, 3, 2, 1)]
+    labels = np.array([1, 0, 1, 0, 1])
+    model = mil.fit_bags(bags, labels, seed=5, steps=6)
+    w, standard = plain_fit(bags, labels, 5, 6)
+    assert all(np.allclose(model.weights[k], w[k], rtol=1e-6, atol=1e-9) for k in w)
+    assert model.scores(bags) == pytest.approx([plain_forward(w, b) for b in standard])
+
+
+def test_the_fit_leaves_out_documents_never_passages(spark):
+    docs = brute.dirty(spark, [(i, "word " * (PASSAGE * n), "en", "s") for i, n in enumerate((1, 2, 200, 3, 1, 1, 2))])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    real = mil.fit_bags
+    try:
+        mil.fit_bags = lambda bags, y, **k: seen.append([len(b) for b in bags]) or real(bags, y, steps=1)
+        mil.fit(docs, labels)
+        mil.fit(docs, labels, passages=9)
+    finally:
+        mil.fit_bags = real
+    usable = [n for i, n in enumerate((1, 2, 200, 3, 1, 1, 2)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen[0] == usable and sum(seen[1]) <= 9 and set(seen[1]) <= set(usable) and 200 not in seen[1]

@@ -4,8 +4,9 @@ A document is a bag of passages over its whole text.  Every passage is encoded,
 a weight among the passages of its document, and the weighted sum is scored; encoder, attention and score are learnt together
 from document labels alone.
 
-The fit uses at most ``FIT_DOCUMENTS`` labelled documents, those whose hashed ids come first, and of each at most
-``FIT_PASSAGES`` evenly spaced passages, so the fit's input is bounded; scores use all passages of all documents.
+The fit takes labelled documents, those whose hashed ids come first, ``FIT_DOCUMENTS`` at most and as long as their passages are
+``FIT_PASSAGES`` at most all told, so the fit's input is bounded by rows left out of it; it uses all passages of each, as scores do
+of all documents.
 
 Defined cases: a blank or null text is one passage without words and gets a score; labels other than 0 and 1 and labels of
 null ids are ignored; of conflicting labels the lower counts; repeated rows are fitted once and scored each; without labels of both
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import text_of
 from tidewatch.llm.passages import DIMENSIONS, encode
+from tidewatch.session import materialize
 
 FIT_DOCUMENTS = 3_000
-FIT_PASSAGES = 64
+FIT_PASSAGES = 400_000
 ENCODED, GATES = 16, 8
 STEPS, BATCH, RATE, DECAY = 900, 256, 0.01, 1e-4
 THRESHOLD = 0.7
@@ -117,30 +119,34 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _encoded(rows: DataFrame, most: int) -> DataFrame:
-    """(id, bag): the passages of each text as bytes of float32, ``most`` evenly spaced ones."""
+def _encoded(rows: DataFrame) -> DataFrame:
+    """(id, bag): the passages of each text as bytes of float32."""
     def run(batches):
         for batch in batches:
-            out = []
-            for t in batch.column("text"):
-                x = encode(t.as_buffer().to_pybytes())
-                if len(x) > most:
-                    x = x[np.linspace(0, len(x) - 1, most).astype(np.int64)]
-                out.append(x.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "bag"])
+            bags = [encode(t.as_buffer().to_pybytes()).astype("<f4").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], names=["id", "bag"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bag binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", documents: int = FIT_DOCUMENTS, passages: int = FIT_PASSAGES) -> Model:
-    """Model from the labelled rows that are not held out."""
+    """Model from the labelled rows that are not held out.
+
+    Documents come in the order of their hashed ids; one that would take the passages beyond ``passages`` is left out.
+    """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label).cast("int").alias("y"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(documents)
     chosen = sample.sparkSession.createDataFrame(sample.collect(), sample.schema)  # ``documents`` rows at most
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
-    bags = _encoded(rows, passages).groupBy("id").agg(F.min("bag").alias("bag")).join(F.broadcast(chosen), "id").orderBy("id").collect()
-    return fit_bags([np.frombuffer(r.bag, dtype="<f4").reshape(-1, DIMENSIONS).astype(np.float64) for r in bags], np.array([r.y for r in bags]))
+    bags = materialize(_encoded(rows).groupBy("id").agg(F.min("bag").alias("bag")).join(F.broadcast(chosen), "id"), "bags")
+    left, taken = passages, []
+    for r in bags.select("id", (F.length("bag") / (4 * DIMENSIONS)).cast("bigint").alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if r.n <= left:
+            left -= r.n
+            taken.append(r.id)
+    fitted = bags.where(F.col("id").isin(taken)).orderBy("id").collect()
+    return fit_bags([np.frombuffer(r.bag, dtype="<f4").reshape(-1, DIMENSIONS).astype(np.float64) for r in fitted], np.array([r.y for r in fitted]))
 
 
 def scorer(model: Model):
