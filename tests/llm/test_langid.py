@@ -85,3 +85,18 @@ def test_markup_and_addresses(spark):
     rows = [("<!doctype html><HTML class=x lang='De-AT'><body>a<script>b</script>c&amp;<!-- d --></body>", "https://u@WWW.Example.co.UK:80/p?q#f"), ("<html><p lang=fr>x", "no address"), (None, None)]
     got = spark.createDataFrame(rows, "html string, url string").select(langid.markup_language(F.col("html")), F.trim(langid.visible_text(F.col("html"))), langid.host_of(F.col("url")), langid.suffix_of(langid.host_of(F.col("url")))).collect()
     assert [g[0] for g in got] == ["de", None, None] and got[0][1].split() == ["a", "c"] and [tuple(g)[2:] for g in got] == [("www.example.co.uk", "uk"), (None, None), (None, None)]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<script x " * 500_000, "<" * 5_000_000, "<!-- " * 1_000_000, "<style>" * 700_000 + "</style>", "&" * 5_000_000, "<html " * 900_000, "<nav></nav " * 400_000):
+        began = time.perf_counter()
+        langid.shown(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_text_of_a_page():
+    page = "<html><head><title>no</title></head><body>one<SCRIPT>if (a<b) {}</script >two<!-- x <b> -->three<script src=x>four<p class='>'>five&amp;six < seven<br"
+    assert langid.shown(page).split() == ["one", "two", "three", "four", "'>five", "six", "<", "seven<br"]
+    assert langid.shown("") == "" and langid.shown("<nav>a<nav>b</nav>c</nav>d").split() == ["c", "d"]

@@ -17,6 +17,8 @@ training language the result is null; empty tables give no rows; extra columns a
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,12 +83,54 @@ def likelihoods(log_p: np.ndarray, temper: float = TEMPER):
 
 def markup_language(html: Column) -> Column:
     """The language a page declares for itself, two or three lower-case letters, else null."""
-    return F.lower(F.nullif(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(html, r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1), F.lit("")))
+
+
+_OPENS = re.compile(r"<(script|style|nav|head)\b|<!--", re.I)
+_CLOSES = re.compile(r"</(script|style|nav|head)\s*>|-->", re.I)
+_ENTITY = re.compile(r"&[a-zA-Z]{1,8};|&#[0-9]{1,7};")
+
+
+def shown(html: str) -> str:
+    """The text of a page: hidden elements and comments that are closed, tags and entities give way to blanks.
+
+    The places of all closings are listed once, so a page with many unclosed tags takes no longer than another of its size;
+    an unclosed tag hides nothing but itself.
+    """
+    closings: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSES.finditer(html):
+        closings.setdefault((m[1] or "").lower(), []).append((m.start(), m.end()))
+    kept, at = [], 0
+    next_of = dict.fromkeys(closings, 0)
+    for m in _OPENS.finditer(html):
+        if m.start() < at:
+            continue
+        name = (m[1] or "").lower()
+        ends = closings.get(name, [])
+        i = next_of.get(name, 0)
+        while i < len(ends) and ends[i][0] < m.end():
+            i += 1
+        next_of[name] = i
+        if i < len(ends):
+            kept.append(html[at : m.start()])
+            at = ends[i][1]
+    kept.append(html[at:])
+    text, out, at = " ".join(kept), [], 0
+    while (start := text.find("<", at)) >= 0 and (end := text.find(">", start)) >= 0:
+        out.append(text[at:start])
+        at = end + 1
+    out.append(text[at:])
+    return _ENTITY.sub(" ", " ".join(out))
 
 
 def visible_text(html: Column) -> Column:
-    hidden = F.regexp_replace(html, r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(hidden, r"(?s)<[^>]*>|&[a-zA-Z]{1,8};|&#[0-9]{1,7};", " ")
+    """``shown`` as a column; null pages are empty."""
+
+    @F.arrow_udf("string")
+    def text(pages: pa.Array) -> pa.Array:
+        return pa.array([shown(p) for p in pages.to_pylist()], pa.string())
+
+    return text(F.coalesce(html, F.lit("")))
 
 
 def host_of(url: Column) -> Column:
