@@ -23,6 +23,8 @@ from tidewatch.llm.common import text_of
 MARK = "▁"
 #: Different words whose counts a worker keeps at most before it starts over; bounds memory, not results.
 CACHE_WORDS = 500_000
+#: Longer words are counted each time, so the words kept have 32 MB at most.
+CACHE_BYTES = 64
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -127,9 +129,11 @@ def with_counts(docs: DataFrame, text: str = "text", pieces: list[str] | None =
             for w in split:
                 n = known.get(w)
                 if n is None:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    n = known[w] = machine.count(mark + w.decode("utf-8", "replace"))
+                    n = machine.count(mark + w.decode("utf-8", "replace"))
+                    if len(w) <= CACHE_BYTES:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
+                        known[w] = n
                 total += n
             words.append(len(split))
             totals.append(total)
