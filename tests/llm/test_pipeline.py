@@ -15,9 +15,9 @@ def test_run_matches_plain_stages(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{ROOT}/benchmark.parquet").collect()]
     model = mil.fit(docs, spark.read.parquet(f"{ROOT}/labels.parquet"))
     kept = [r for r in docs.collect() if model.scores([encode((r.text or "").encode())])[0] >= 0.7]
-    classes = brute.simhash_classes([(r.doc_id, r.text) for r in kept])
-    kept = [r for r, (i, _, c) in zip(kept, classes, strict=True) if i == c]
-    leaked = brute.leaks([(r.doc_id, r.text) for r in kept], items, decontamination.UNITS)
+    groups = brute.near_groups([(r.doc_id, r.text) for r in kept])
+    kept = [r for r in kept if groups[r.doc_id] == r.doc_id]
+    leaked = brute.traces([(r.doc_id, r.text) for r in kept], items, decontamination.UNITS, decontamination.SPELLED)
     kept = [r for r in kept if r.doc_id not in leaked]
     plan = {r.doc_id: r.copies for r in mixing.plan(spark.createDataFrame(kept, docs.schema)).collect()}
     want = Counter({r.doc_id: plan[r.doc_id] for r in kept if plan[r.doc_id]})
