@@ -2,8 +2,8 @@
 
 Coefficients live on the driver (one number per feature); rows never do.  Each
 fit is a handful of passes that return sums of the size of the coefficient
-vector, through MLlib where it has the model and through a proximal-gradient
-loop over sparse rows where it has not (box bounds and L1 on graph terms).
+vector, through MLlib where it has the model; :mod:`hazards` and :mod:`structured` fit
+random effects, box bounds and L1 penalties.
 """
 
 from __future__ import annotations
@@ -137,104 +137,6 @@ def sparse_rows(base: DataFrame, keys: list[str], dense: dict[str, Column], long
                          F.concat(fixed, F.coalesce("_sparse", F.array().cast("array<struct<i:int,v:double>>"))).alias("x"), *extra)
 
 
-def _losses_and_gradients(rows: DataFrame, betas: np.ndarray, members: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted mean cloglog loss and gradient of every coefficient vector in one pass; each task returns one block of sums.
-
-    ``members`` are the replicates that the vectors belong to; a row counts for those in its ``replicates`` array.
-    """
-    count, size = betas.shape
-    coefs = betas.tolist()
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = np.asarray(coefs)
-        sums = np.zeros((count, size + 2))
-        for pdf in frames:
-            lengths = pdf["i"].map(len).to_numpy()
-            idx, val = np.concatenate([*pdf["i"], []]).astype(int), np.concatenate([*pdf["v"], []])
-            owner = np.repeat(np.arange(len(pdf)), lengths)
-            y, weight = pdf["y"].to_numpy(), pdf["w"].to_numpy()
-            inside = None
-            if members is not None:
-                inside = np.zeros((len(pdf), max(members) + 1))
-                held = np.concatenate([*pdf["replicates"], []]).astype(int)
-                at = np.repeat(np.arange(len(pdf)), pdf["replicates"].map(len).to_numpy())
-                inside[at[held <= max(members)], held[held <= max(members)]] = 1.0
-            for k in range(count):
-                w = weight if inside is None else weight * inside[:, members[k]]
-                eta = np.bincount(owner, weights=val * b[k][idx], minlength=len(pdf))
-                rate = np.exp(np.clip(eta, -30, 15))
-                p = np.clip(-np.expm1(-rate), 1e-12, 1.0)
-                sums[k, size] += float((w * np.where(y > 0.5, -np.log(p), rate)).sum())
-                sums[k, size + 1] += float(w.sum())
-                slope = w * np.where(y > 0.5, rate * (1 - 1 / p), rate)
-                sums[k, :size] += np.bincount(idx, weights=val * slope[owner], minlength=size)
-        yield pd.DataFrame({"k": np.arange(sums.size), "v": sums.ravel()})
-
-    cols = ["y", "w", "transform(x, z -> z.i) AS i", "transform(x, z -> z.v) AS v"] + ([] if members is None else ["replicates"])
-    found = rows.selectExpr(*cols).mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(count * (size + 2))
-    for r in found:
-        out[r["k"]] = r["v"]
-    out = out.reshape(count, size + 2)
-    mass = np.maximum(out[:, size + 1], 1e-12)
-    return out[:, size] / mass, out[:, :size] / mass[:, None]
-
-
-#: Passes and optimality tolerance of the structured fits.
-FIT_PASSES, FIT_TOLERANCE = 300, 1e-5
-
-
-def fit_structured_many(rows: DataFrame, names: list[str], l2: dict[str, float], l1: dict[str, float], lower: dict[str, float], upper: dict[str, float] | None = None,
-                        replicates: int | None = None, passes: int = FIT_PASSES, tolerance: float = FIT_TOLERANCE) -> list[Coefficients]:
-    """Cloglog hazards with ridge and L1 penalties and box bounds, one per replicate, all fitted in the same passes.
-
-    Projected proximal gradient with spectral step lengths; a step that does not bring the objective below the worst of the last
-    five is halved.  A replicate has converged when a unit step would move no coefficient by more than the tolerance; ``converged`` says
-    whether it did within the passes.
-    """
-    count, size = replicates or 1, len(names)
-    ridge, lasso = (np.array([d.get(n, 0.0) for n in names]) for d in (l2, l1))
-    low = np.array([lower.get(n, -np.inf) for n in names])
-    high = np.array([(upper or {}).get(n, np.inf) for n in names])
-
-    def objective(which: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, grad = _losses_and_gradients(rows, b, None if replicates is None else which.tolist())
-        return loss + 0.5 * (b**2) @ ridge + np.abs(b) @ lasso, grad + ridge * b
-
-    def moved(b: np.ndarray, grad: np.ndarray, step: np.ndarray) -> np.ndarray:
-        free = b - step[:, None] * grad
-        return np.clip(np.sign(free) * np.maximum(np.abs(free) - step[:, None] * lasso, 0.0), low, high)
-
-    beta = np.clip(np.zeros((count, size)), low, high)
-    value, grad = objective(np.arange(count), beta)
-    recent = [[v] for v in value]
-    step, done, taken = np.ones(count), np.zeros(count, dtype=bool), np.zeros(count, dtype=int)
-    for _ in range(passes):
-        done |= np.abs(moved(beta, grad, np.ones(count)) - beta).max(axis=1, initial=0.0) < tolerance
-        live = np.flatnonzero(~done)
-        if not len(live):
-            break
-        taken[live] += 1
-        tried = moved(beta[live], grad[live], step[live])
-        new_value, new_grad = objective(live, tried)
-        for j, k in enumerate(live):
-            change = tried[j] - beta[k]
-            if new_value[j] <= max(recent[k]) - 1e-4 * float(change @ change) / step[k] + 1e-14:
-                bend = float(change @ (new_grad[j] - grad[k]))
-                step[k] = min(max(float(change @ change) / bend, 1e-4), 1e4) if bend > 1e-14 else min(step[k] * 4, 1e4)
-                beta[k], grad[k] = tried[j], new_grad[j]
-                recent[k] = [*recent[k][-4:], float(new_value[j])]
-            else:
-                step[k] *= 0.4
-    return [Coefficients(tuple(names), tuple(float(b) for b in beta[k]), 0.0, "cloglog", bool(done[k]), int(taken[k])) for k in range(count)]
-
-
-def fit_structured(rows: DataFrame, names: list[str], l2: dict[str, float], l1: dict[str, float], nonnegative: set[str], upper: dict[str, float] | None = None,
-                   passes: int = FIT_PASSES, tolerance: float = FIT_TOLERANCE) -> Coefficients:
-    """One structured hazard over all rows."""
-    return fit_structured_many(rows, names, l2, l1, dict.fromkeys(nonnegative, 0.0), upper, None, passes, tolerance)[0]
-
-
 def selection_frequency(fits: DataFrame, threshold: float = 1e-6, stable: float = 0.7) -> DataFrame:
     """Share of replicates that keep a term, coefficient quartiles, and the stable mask."""
     return fits.groupBy("feature").agg(
@@ -243,17 +145,6 @@ def selection_frequency(fits: DataFrame, threshold: float = 1e-6, stable: float
         F.percentile("coefficient", F.lit(0.75)).alias("q75")).withColumn("stable", (F.col("frequency") >= stable).cast("int"))
 
 
-def decompose(rows: DataFrame, keys: list[str], names: list[str], coefficients: Coefficients, prefix: str = "graph::") -> DataFrame:
-    """Score, score without the prefixed terms, and their difference."""
-    values = F.array(*[F.lit(float(v)) for v in coefficients.values])
-    keep = F.array(*[F.lit(0.0 if n.startswith(prefix) else float(v)) for n, v in zip(names, coefficients.values)])
-
-    def dot(c: Column) -> Column:
-        return F.aggregate("x", F.lit(0.0), lambda a, z: a + z["v"] * F.element_at(c, z["i"] + 1))
-
-    return rows.select(*keys, dot(values).alias("eta"), dot(keep).alias("ablated_eta")).withColumn("contribution", F.col("eta") - F.col("ablated_eta"))
-
-
 # --- sandwich covariance and Wald test -------------------------------------------
 
 def _outer_sums(df: DataFrame, columns: list[str], weight: str) -> np.ndarray:

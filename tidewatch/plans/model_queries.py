@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar
 from tidewatch.functions.clock import DAY
-from tidewatch.operators import bootstrap, metrics, models, sampling
+from tidewatch.operators import bootstrap, hazards, metrics, models, sampling, structured
 from tidewatch.plans.join_window_queries import _user_edges
 from tidewatch.plans.metric_queries import RECURRENCE_TERMS, _day_blocks, _folds, feature_frame, recurrence_design, seasonal_design
 from tidewatch.plans.recurrence import causal_recurrence_features, chronological_folds
 from tidewatch.plans.policy_queries import trajectories
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import cte, query
 from tidewatch.plans.standins import HORIZON, HOUR, grid_bounds, panel, readings, scored
 from tidewatch.session import materialize
 
@@ -79,84 +82,214 @@ def structured_rows(spark, root, lags: tuple[int, ...] = (60, 120), replicates:
     return materialize(models.sparse_rows(rows, ["entity", "t"], dense, long, names, "future", "weight", extra), "structured"), names
 
 
-def penalties(names):
-    graph = [n for n in names if n.startswith("graph::")]
-    return {n: 1e-3 for n in names}, {n: 1e-3 for n in graph}, dict.fromkeys(graph, 0.0), dict.fromkeys(graph, 5.0)
+#: Ridge on all coefficients but the bias, upper bound of a neighbour's effect, ridge of an entity's own term (on the summed loss).
+RIDGE, EDGE_LIMIT, ENTITY_PENALTY = 1e-3, 5.0, 10.0
+#: L1 penalty of the neighbour terms: the one of a single fit, and the path to choose from.
+EDGE_L1 = 1e-3
+L1_PATH = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2)
+
+
+def graph_problem(name: str, names: list[str], l1: float | None = EDGE_L1, replicate: int | None = None, entity_penalty: float | None = ENTITY_PENALTY,
+                  start=None) -> structured.Problem:
+    """Local terms, a term per entity, and non-negative neighbour terms; without ``l1`` the neighbour terms are held at zero."""
+    graph = np.array([n.startswith("graph::") for n in names])
+    ridge = np.where([n == "local::bias" for n in names], 0.0, RIDGE)
+    upper = np.where(graph, 0.0 if l1 is None else EDGE_LIMIT, np.inf)
+    return structured.Problem(name, ridge, np.where(graph, l1 or 0.0, 0.0), np.where(graph, 0.0, -np.inf), upper, replicate, entity_penalty, start)
+
+
+def fit_graph(rows, names, l1=EDGE_L1):
+    """(packed rows, solution) of one penalty."""
+    packed = structured.pack(rows)
+    return packed, structured.solve(packed, [graph_problem("graph", names, l1)])[0]
 
 
-def fit_graph(rows, names, passes=models.FIT_PASSES):
-    l2, l1, lower, upper = penalties(names)
-    return models.fit_structured_many(rows, names, l2, l1, lower, upper, None, passes)[0]
+def fit_path(rows, names, path=L1_PATH):
+    """(packed rows, barrier, solutions): the model without neighbours, and from there every penalty of the path in the same passes."""
+    packed = structured.pack(rows)
+    (barrier,) = structured.solve(packed, [graph_problem("barrier", names, None)])
+    return packed, barrier, structured.solve(packed, [graph_problem(f"l1={x:g}", names, x, start=barrier.values) for x in path])
+
+
+def coefficient_frame(spark, names, solution):
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, solution.values, strict=True)], "feature string, coefficient double")
 
 
 @query("ml3_sparse_graph_hazard", "feature:s coefficient:f converged:i")
 def ml3(spark, root):
+    """Coefficients, and every entity's own term."""
     rows, names = structured_rows(spark, root)
-    fit = fit_graph(rows, names)
-    return fit.frame(spark).withColumn("converged", F.lit(int(fit.converged)))
+    packed, fit = fit_graph(rows, names)
+    own = structured.entity_terms(packed, fit).select(F.format_string("entity::%s", F.col("entity").cast("string")).alias("feature"), F.col("effect").alias("coefficient"))
+    return coefficient_frame(spark, names, fit).unionByName(own).withColumn("converged", F.lit(int(fit.converged)))
+
+
+def optimality(rows, names, fits, packed, l1s, tolerance=1e-5):
+    """(fit, stationary) by sums over the rows themselves: at an optimum no coefficient within its bounds has a slope, and no entity's term has one.
+
+    An aggregate of its own, from coefficients and effects as tables.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(name, i, float(b), float(RIDGE if names[i] != "local::bias" else 0.0), float(l1s[name] if names[i].startswith("graph::") else 0.0), int(names[i].startswith("graph::")))
+                                   for name, values, _ in fits for i, b in enumerate(values)], "fit string, i int, b double, l2 double, l1 double, graph int")
+    effects = None
+    for name, _, solution in fits:
+        one = structured.entity_terms(packed, solution).withColumn("fit", F.lit(name))
+        effects = one if effects is None else effects.union(one)
+    effects = materialize(effects, "effects")
+    long = rows.select("entity", "t", "y", "w", F.explode("x").alias("z")).select("entity", "t", "y", "w", F.col("z.i").alias("i"), F.col("z.v").alias("v"))
+    eta = long.join(F.broadcast(table), "i").groupBy("fit", "entity", "t", "y", "w").agg(F.sum(F.col("v") * F.col("b")).alias("eta")).join(effects, ["fit", "entity"])
+    rate = F.exp(F.col("eta") + F.col("effect"))
+    slope = F.col("w") * F.when(F.col("y") == 1, -rate * F.exp(-rate) / -F.expm1(-rate)).otherwise(rate)
+    sloped = materialize(eta.select("fit", "entity", "t", "w", "effect", slope.alias("slope")), "slopes")
+    mass = sloped.groupBy("fit").agg(F.sum("w").alias("mass"))
+    of_entities = sloped.groupBy("fit", "entity").agg((F.sum("slope") + ENTITY_PENALTY * F.first("effect")).alias("g")).groupBy("fit").agg(F.max(F.abs("g")).alias("worst_entity"))
+    sums = long.join(sloped.select("fit", "entity", "t", "slope"), ["entity", "t"]).groupBy("fit", "i").agg(F.sum(F.col("v") * F.col("slope")).alias("g"))
+    judged = table.join(sums, ["fit", "i"], "left").join(mass, "fit").withColumn("g", F.coalesce("g", F.lit(0.0)) / F.col("mass") + F.col("l2") * F.col("b") + F.col("l1"))
+    # At a bound the slope may push against it.
+    pushed = F.col("b") - F.col("g")
+    moved = F.when(F.col("graph") == 1, F.least(F.greatest(pushed, F.lit(0.0)), F.lit(EDGE_LIMIT))).otherwise(pushed) - F.col("b")
+    worst = judged.groupBy("fit").agg(F.max(F.abs(moved)).alias("worst"))
+    return worst.join(of_entities, "fit").select("fit", ((F.col("worst") < tolerance) & (F.col("worst_entity") < 1e-4)).cast("int").alias("stationary"))
+
+
+@query("ml3_penalty_path", "l1:f active:i objective:f passes_within_40:i converged:i")
+def ml3_path(spark, root):
+    rows, names = structured_rows(spark, root)
+    _, barrier, path = fit_path(rows, names)
+    graph = [k for k, n in enumerate(names) if n.startswith("graph::")]
+    return spark.createDataFrame([(x, int((s.values[graph] > 1e-8).sum()), s.objective, int(s.passes + barrier.passes <= 40), int(s.converged)) for x, s in zip(L1_PATH, path, strict=True)],
+                                 "l1 double, active bigint, objective double, passes_within_40 bigint, converged bigint")
+
+
+@query("ml3_path_optimality", "fit:s planted:i stationary:i", f"SELECT unnest({[f'l1={x:g}' for x in L1_PATH]}) AS fit, 0 AS planted, 1 AS stationary UNION ALL SELECT unnest({[f'l1={x:g}, moved' for x in L1_PATH]}), 1, 0")
+def ml3_optimality(spark, root):
+    """Every fit of the path at its optimum, and beside it with one local coefficient moved by 0.01, which the same sums have to notice."""
+    rows, names = structured_rows(spark, root)
+    packed, _, path = fit_path(rows, names)
+    fits, l1s = [], {}
+    for x, s in zip(L1_PATH, path, strict=True):
+        moved = s.values.copy()
+        moved[names.index("local::past24")] += 0.01
+        for name, values in ((s.name, s.values), (f"{s.name}, moved", moved)):
+            fits.append((name, values, dataclasses.replace(s, values=values)))
+            l1s[name] = x
+    judged = optimality(rows, names, fits, packed, l1s)
+    return judged.withColumn("planted", F.col("fit").like("%moved").cast("int"))
 
 
 @query("ml4_stability_selection", "feature:s frequency:f q25:f median:f q75:f stable:i")
 def ml4(spark, root):
     rows, names = structured_rows(spark, root, replicates=STABILITY_REPLICATES)
-    fits = models.fit_structured_many(rows, names, *penalties(names), replicates=STABILITY_REPLICATES)
-    long = spark.createDataFrame([(n, k, float(v)) for k, f in enumerate(fits) for n, v in zip(names, f.values, strict=True)], "feature string, replicate int, coefficient double")
-    return models.selection_frequency(long)
+    return models.selection_frequency(stability_fits(spark, rows, names))
+
+
+def stability_fits(spark, rows, names):
+    """(feature, replicate, coefficient): all replicates fitted in the same passes."""
+    packed = structured.pack(rows, replicates=True)
+    fits = structured.solve(packed, [graph_problem(f"replicate {k}", names, replicate=k, entity_penalty=None) for k in range(STABILITY_REPLICATES)])
+    return spark.createDataFrame([(n, k, float(v)) for k, f in enumerate(fits) for n, v in zip(names, f.values, strict=True)], "feature string, replicate int, coefficient double")
 
 
 FRAILTY = "station_frailty"
+GAP_TIME = ("lg", "order_2", "order_3plus", "log_gap", "hinge_1", "hinge_2", "load_7d", "severity")
+#: The three recurrence models: a base score alone, event order with the gap since the last event, and the same with station effects.
+RECURRENCE_MODELS = {"base": ("lg",), "gap_time": GAP_TIME, FRAILTY: GAP_TIME}
+OOF_FOLDS, OOF_RIDGE, STATION_PENALTY = 3, 1.0, 10.0
 
 
-@query("ml5_recurrence_models_oof", "model:s calibrated:i rows_n:i brier:f log_loss:f average_precision:f")
-def ml5(spark, root):
-    """Out-of-fold cloglog models (base, gap time, station frailty) before and after one calibrator per model on the pooled folds."""
-    f = recurrence_design(materialize(feature_frame(spark, root), "features")).withColumns({"lg": F.expr("ln(base / (1 - base + 1e-6D) + 1e-6D)")})
+def oof_splits(spark, root):
+    """Rows with the design, once per held fold, with their role there."""
+    f = recurrence_design(materialize(feature_frame(spark, root), "features")).withColumn("lg", F.expr("ln(base / (1 - base + 1e-6D) + 1e-6D)"))
     rows = f.select("entity", "t", "label", "lg", *[F.col(c).cast("double").alias(c) for c in RECURRENCE_TERMS])
     blocks = _day_blocks(spark, root).select("entity", "t", "block")
-    split = materialize(sampling.purged_splits(sampling.map_folds(rows.join(blocks, ["entity", "t"]), _folds(spark, root, 3)), 3, 172800, 30 * HOUR), "splits")
-    gap_time = ["lg", "order_2", "order_3plus", "log_gap", "hinge_1", "hinge_2", "load_7d", "severity"]
-    parts = None
-    for fold in range(3):
-        train = split.filter((F.col("held") == fold) & (F.col("role") == "train"))
-        held = split.filter((F.col("held") == fold) & (F.col("role") == "validation"))
-        for name, cols in (("base", ["lg"]), ("gap_time", gap_time), (FRAILTY, gap_time)):
-            scored_rows = frailty_scores(train, held, cols, "label") if name == FRAILTY else held.withColumn("eta", models.fit_glm(train, cols, "label", None, "cloglog", 1e-3).eta())
-            out = scored_rows.select("label", "eta", F.lit(name).alias("model"))
-            parts = out if parts is None else parts.unionByName(out)
-    pooled = materialize(parts, "oof")
-    raw = pooled.withColumn("p", scalar.cloglog_risk(F.col("eta"))).withColumn("calibrated", F.lit(0))
-    both = raw
-    for name in ("base", "gap_time", FRAILTY):
-        own = pooled.filter(F.col("model") == name)
-        fit = models.calibrate(own, "eta", "label")
-        both = both.unionByName(own.withColumn("p", fit.risk()).withColumn("calibrated", F.lit(1)))
-    return metrics.probability_metrics(materialize(both, "calibrated"), "p", "label", None, ("model", "calibrated"))
-
-
-def frailty_scores(train, held, cols, label, penalty: float = 10.0, ridge: float = 1.0):
-    """Linear scores of the held rows under a cloglog fit with one ridge-penalized term per station; stations not trained on have none.
-
-    The station terms live on the driver like all coefficients, one number per station.
+    return materialize(sampling.purged_splits(sampling.map_folds(rows.join(blocks, ["entity", "t"]), _folds(spark, root, OOF_FOLDS)), OOF_FOLDS, 172800, 30 * HOUR), "splits")
+
+
+def recurrence_fits(split):
+    """Every model of every fold, fitted in the same passes; fits are named ``model/fold``."""
+    models_of = F.explode(F.array(*[F.lit(m) for m in RECURRENCE_MODELS]))
+    named = split.withColumn("model", models_of).withColumn("fit", F.concat_ws("/", "model", F.col("held").cast("string")))
+    designs = [hazards.Design(f"{m}/{k}", features, m == FRAILTY, OOF_RIDGE, STATION_PENALTY) for m, features in RECURRENCE_MODELS.items() for k in range(OOF_FOLDS)]
+    fits = hazards.fit_hazards(named.filter("role = 'train'"), designs, "label")
+    return fits, materialize(fits.eta(named.filter("role = 'validation'")).select("entity", "t", "held", "model", "label", "eta"), "oof")
+
+
+def _hazard_sql(rows: str, size: int, ridge: float, penalty: float, rounds: int) -> str:
+    """Newton steps on cloglog fits with profiled station effects, as a recursion over (fit, entity) rows.
+
+    ``rows`` has fit, entity, grouped, y and z1..; every round sums scores and curvatures by station, takes the stations off the
+    system of the coefficients, solves that by elimination written out column by column, and moves both.
     """
-    spark = train.sparkSession
-    moments = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-    rows_n = train.count()
-
-    def scaled(c):
-        return (F.coalesce(F.col(c), F.lit(float(moments[f"m_{c}"] or 0.0))) - float(moments[f"m_{c}"] or 0.0)) / (float(moments[f"s_{c}"] or 0.0) or 1.0)
-
-    stations = sorted(r[0] for r in train.select("entity").distinct().collect())
-    names = ["bias", *cols, *[f"station::{s}" for s in stations]]
-    dense = {"bias": F.lit(1.0), **{c: scaled(c) for c in cols}}
-    own = train.select("entity", "t", F.format_string("station::%d", "entity").alias("feature"), F.lit(1.0).alias("value"))
-    data = materialize(models.sparse_rows(train.withColumn("_w", F.lit(1.0)), ["entity", "t"], dense, own, names, label, "_w"), "frailty")
-    l2 = {c: ridge / rows_n for c in cols} | {n: penalty / rows_n for n in names[len(cols) + 1:]}
-    fit = models.fit_structured(data, names, l2, {}, set())
-    terms = spark.createDataFrame([(s, float(v)) for s, v in zip(stations, fit.values[len(cols) + 1:], strict=True)], "entity bigint, _station double")
-    line = F.lit(fit.values[0])
-    for c, v in zip(cols, fit.values[1:], strict=False):
-        line = line + F.lit(v) * scaled(c)
-    return held.join(terms, "entity", "left").withColumn("eta", line + F.coalesce("_station", F.lit(0.0)))
+    n = size + 1
+    z = ["1.0::DOUBLE", *[f"z{k}" for k in range(1, n)]]
+    eta = "u + " + " + ".join(f"b{k}*{z[k]}" for k in range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    per = ", ".join([f"sum(g*{z[k]}) AS g{k}" for k in range(n)] + [f"sum(h*{z[i]}*{z[j]}) AS h{i}_{j}" for i, j in pairs] + [f"any_value(b{k}) AS b{k}" for k in range(n)])
+    over = "OVER (PARTITION BY fit)"
+    ridged = [f"{ridge}*b{k}" if k else "0" for k in range(n)]
+    total = ", ".join([f"sum(g{k} - h0_{k}*ug*inv) {over} + {ridged[k]} AS a0_{k}_{n}" for k in range(n)]
+                      + [f"sum(h{i}_{j} - h0_{i}*h0_{j}*inv) {over} + {ridge if i == j and i else 0} AS a0_{i}_{j}" for i, j in pairs])
+    # Elimination: a<step>_<row>_<column>; the matrix is symmetric, so the upper triangle is kept.  Column n is the right side.
+    at = lambda s, i, j: f"a{s}_{min(i, j)}_{max(i, j)}" if j < n else f"a{s}_{i}_{n}"
+    source = f"(SELECT *, {total} FROM stations)"
+    for s in range(n):
+        rest = [f"{at(s, i, j)} - {at(s, s, i)}*{at(s, s, j)}/{at(s, s, s)} AS a{s + 1}_{i}_{j}" for i in range(s + 1, n) for j in range(i, n + 1)]
+        source = f"(SELECT *, {', '.join(rest)} FROM {source})" if rest else source
+    for s in reversed(range(n)):
+        known = "".join(f" - {at(s, s, j)}*d{j}" for j in range(s + 1, n))
+        source = f"(SELECT *, ({at(s, s, n)}{known})/{at(s, s, s)} AS d{s} FROM {source})"
+    shift = " + ".join(f"h0_{k}*-d{k}" for k in range(n))
+    betas = ", ".join(f"b{k} - d{k} AS b{k}" for k in range(n))
+    start = ", ".join(["ln(-ln(1 - avg(y) OVER (PARTITION BY fit))) AS b0", *[f"0.0::DOUBLE AS b{k}" for k in range(1, n)]])
+    return f"""/*RECURSIVE*/ SELECT DISTINCT 0 AS round, fit, entity, 0.0::DOUBLE AS u, {start} FROM {rows} UNION ALL (WITH
+ lines AS (SELECT w.round, r.*, w.u, {', '.join(f'w.b{k}' for k in range(n))}, exp(greatest(least({eta}, 15), -30)) AS rate FROM HAZARD w JOIN {rows} r USING (fit, entity) WHERE w.round < {rounds}),
+ states AS (SELECT *, CASE WHEN y = 1 THEN -q ELSE rate END AS g, CASE WHEN y = 1 THEN q*(rate/p - 1) ELSE rate END AS h FROM (SELECT *, rate*exp(-rate)/p AS q FROM (SELECT *, CASE WHEN rate < 1e-5 THEN rate - rate*rate/2 + rate*rate*rate/6 ELSE 1 - exp(-rate) END AS p FROM lines))),
+ stations AS (SELECT *, CASE WHEN grouped THEN g0 + {penalty}*u ELSE 0 END AS ug, CASE WHEN grouped THEN 1/(h0_0 + {penalty}) ELSE 0 END AS inv FROM (SELECT round, fit, entity, any_value(grouped) AS grouped, any_value(u) AS u, {per} FROM states GROUP BY round, fit, entity))
+ SELECT round + 1 AS round, fit, entity, u - (ug + {shift})*inv AS u, {betas} FROM {source})"""
+
+
+_UNITS = [f"z{k}" for k in range(1, len(GAP_TIME) + 1)]
+_FOLD3 = f"""/*RECURSIVE*/ SELECT 0::BIGINT AS n, 0::BIGINT AS block, {[0] * OOF_FOLDS}::BIGINT[] AS ev, {[0] * OOF_FOLDS}::BIGINT[] AS ro, {[0] * OOF_FOLDS}::BIGINT[] AS bl, 0::BIGINT AS fold UNION ALL
+ SELECT n, block, list_transform(ev, lambda x, i: CASE WHEN i=f+1 THEN x+events ELSE x END), list_transform(ro, lambda x, i: CASE WHEN i=f+1 THEN x+rows_n ELSE x END), list_transform(bl, lambda x, i: CASE WHEN i=f+1 THEN x+1 ELSE x END), f FROM (
+ SELECT b.n, b.block, b.events, b.rows_n, f.ev, f.ro, f.bl, list_sort(list_transform(range({OOF_FOLDS}), lambda i: CASE WHEN b.events>0 THEN [f.ev[i+1], f.ro[i+1], f.bl[i+1], i] ELSE [f.ro[i+1], f.bl[i+1], f.ev[i+1], i] END))[1][4] AS f FROM fold3 f JOIN blkord b ON b.n=f.n+1)"""
+cte("fold3", _FOLD3, "blkord")
+cte("oofrows", f"""SELECT d.entity, d.t, d.label AS y, ln(base/(1-base+1e-6)+1e-6) AS lg, {', '.join(f'd.{c}::DOUBLE AS {c}' for c in GAP_TIME[1:])}, h.held, b.fold = h.held AS validation,
+ b.fold <> h.held AND NOT EXISTS (SELECT 1 FROM fold3 x WHERE x.n>0 AND x.fold=h.held AND d.t>=x.block-108000 AND d.t<x.block+172800+108000) AS train
+ FROM design d, (SELECT unnest(range({OOF_FOLDS})) AS held) h, (SELECT lo//86400*86400 AS d0 FROM bounds), fold3 b WHERE b.n>0 AND b.block = d0 + (d.t-d0)//172800*172800""", "design fold3 bounds")
+cte("oofscaled", f"""SELECT r.entity, r.t, r.y, r.held, r.validation, r.train, {', '.join(f'(coalesce({c}, m_{c}) - m_{c})/s_{c} AS z{k}' for k, c in enumerate(GAP_TIME, 1))} FROM oofrows r
+ JOIN (SELECT held, {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c})>0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}' for c in GAP_TIME)} FROM oofrows WHERE train GROUP BY 1) USING (held)""", "oofrows")
+cte("oofmodels", f"""SELECT s.* EXCLUDE ({', '.join(_UNITS[1:])}), m.model, m.model || '/' || held AS fit, m.model = '{FRAILTY}' AS grouped, {', '.join(f"CASE WHEN m.model = 'base' THEN 0.0 ELSE {z} END AS {z}" for z in _UNITS[1:])}
+ FROM oofscaled s, (SELECT unnest({list(RECURRENCE_MODELS)}) AS model) m""", "oofscaled")
+cte("ooftrain", "SELECT * FROM oofmodels WHERE train", "oofmodels")
+cte("hazard", _hazard_sql("ooftrain", len(GAP_TIME), OOF_RIDGE, STATION_PENALTY, 12).replace("HAZARD", "hazard"), "ooftrain")
+cte("fitted", "SELECT * FROM hazard WHERE round = 12", "hazard")
+cte("oof", f"""SELECT v.entity, v.t, v.held, v.model, v.y AS label, CASE WHEN grouped THEN coalesce(f.u, 0) ELSE 0 END + {' + '.join(f'c.b{k}*{z}' for k, z in enumerate(['1', *_UNITS]))} AS eta FROM oofmodels v
+ JOIN (SELECT DISTINCT ON (fit) * FROM fitted) c USING (fit) LEFT JOIN fitted f ON f.fit = v.fit AND f.entity = v.entity WHERE v.validation""", "oofmodels fitted")
+
+
+@query("ml5_recurrence_effects", "fit:s rows_n:i events:i groups:i objective:f effect_mean:f effect_spread:f converged:i",
+       f"""SELECT t.fit, rows_n, events, groups, loss + {OOF_RIDGE}/2*({' + '.join(f'b{k}*b{k}' for k in range(1, len(GAP_TIME) + 1))}) + {STATION_PENALTY}/2*CASE WHEN grouped THEN uu ELSE 0 END AS objective, CASE WHEN grouped THEN um END AS effect_mean, CASE WHEN grouped THEN us END AS effect_spread, 1 AS converged FROM (
+       SELECT r.fit, count(*) AS rows_n, sum(y) AS events, sum(CASE WHEN y = 1 THEN -ln(1-exp(-rate)) ELSE rate END) AS loss FROM (SELECT fit, y, exp(CASE WHEN grouped THEN u ELSE 0 END + {' + '.join(f'b{k}*{z}' for k, z in enumerate(['1', *_UNITS]))}) AS rate FROM ooftrain JOIN fitted USING (fit, entity)) r GROUP BY 1) t
+       JOIN (SELECT fit, count(*) AS groups, any_value(fit LIKE '{FRAILTY}%') AS grouped, sum(u*u) AS uu, avg(u) AS um, stddev_pop(u) AS us, {', '.join(f'any_value(b{k}) AS b{k}' for k in range(1, len(GAP_TIME) + 1))} FROM fitted GROUP BY 1) USING (fit)""", "ooftrain fitted")
+def ml5_effects(spark, root):
+    """Objective and station effects of every fit at its optimum."""
+    fits, _ = recurrence_fits(oof_splits(spark, root))
+    effects = fits.effects.groupBy("fit").agg(F.avg("effect").alias("effect_mean"), F.stddev_pop("effect").alias("effect_spread"))
+    return fits.report.join(effects, "fit", "left")
+
+
+@query("ml5_recurrence_models_oof", "model:s calibrated:i rows_n:i brier:f log_loss:f average_precision:f")
+def ml5(spark, root):
+    """Out-of-fold cloglog models (base, gap time, station frailty) before and after one calibrator per model on the pooled folds."""
+    fits, pooled = recurrence_fits(oof_splits(spark, root))
+    raw = pooled.select("model", "label", "eta", F.lit(0).alias("calibrated"))
+    # A calibrator is a fit of one feature; the three share their passes.
+    own = pooled.withColumn("fit", F.col("model"))
+    calibrators = hazards.fit_hazards(own, [hazards.Design(m, ("eta",)) for m in RECURRENCE_MODELS], "label")
+    fixed = calibrators.eta(own, "calibrated_eta").select("model", "label", F.col("calibrated_eta").alias("eta"), F.lit(1).alias("calibrated"))
+    both = materialize(raw.unionByName(fixed).withColumn("p", hazards.risk()), "calibrated")
+    return metrics.probability_metrics(both, "p", "label", None, ("model", "calibrated"))
 
 
 @query("ml6_nested_designs_wald", "term:s coefficient:f standard_error:f statistic:f df:i")
@@ -173,14 +306,18 @@ def ml6(spark, root):
 BOOST = ["event_count_past_24", "event_count_past_168", "view_count_past_24", "cart_count_past_24", "since_event_bins", "prior_event_rate", "hour_sin", "hour_cos"]
 
 
+#: Rows that the trees are fitted on at most (all positives come first), and how many trees.
+BOOST_ROWS, BOOST_ROUNDS = 50_000, 10
+
+
 def boosted_scores(spark, root):
     """Trees fitted on the training span, scores for the later spans."""
     lo = grid_bounds(readings(spark, root))["lo"]
     p = chronological_folds(causal_recurrence_features(panel(spark, root), HORIZON), lo + 10 * DAY, lo + 20 * DAY, lo + 30 * DAY, HORIZON * HOUR)
     p = materialize(p.select("entity", "t", "fold", "future", "observed", "event_count", *[F.col(c).cast("double").alias(c) for c in BOOST]), "boost")
     train = sampling.with_strata(p.filter("fold = 'train' AND observed = 1"), "future = 1", "event_count_past_24 > 0")
-    kept = sampling.uniform_negative_subsample(train, ["entity", "t"], 50_000, "ml7")
-    model = models.fit_boosted(kept, BOOST, "future", 20.0, 5, 3)
+    kept = sampling.uniform_negative_subsample(train, ["entity", "t"], BOOST_ROWS, "ml7")
+    model = models.fit_boosted(kept, BOOST, "future", 20.0, BOOST_ROUNDS, 3)
     return models.score_boosted(model, p.filter("fold <> 'train'"), BOOST)
 
 
@@ -193,7 +330,7 @@ def ml7(spark, root):
 @query("ml8_effect_tables", "feature:s coefficient:f barrier:f hazard_ratio:f selected:i")
 def ml8(spark, root):
     rows, names = structured_rows(spark, root)
-    return effect_table(fit_graph(rows, names).frame(spark))
+    return effect_table(coefficient_frame(spark, names, fit_graph(rows, names)[1]))
 
 
 def effect_table(coefficients):
@@ -204,7 +341,17 @@ def effect_table(coefficients):
 @query("ml8b_score_decomposition", "entity:i t:i eta:f ablated_eta:f contribution:f")
 def ml8b(spark, root):
     rows, names = structured_rows(spark, root)
-    return models.decompose(rows, ["entity", "t"], names, fit_graph(rows, names))
+    packed, fit = fit_graph(rows, names)
+    return decompose(rows, names, packed, fit)
+
+
+def decompose(rows, names, packed, fit):
+    """Score, score without the neighbour terms, and their difference, entity terms included."""
+    local = np.where([n.startswith("graph::") for n in names], 0.0, fit.values)
+    lines = structured.linear_score(rows, ["entity", "t"], {"full": fit.values, "local": local})
+    own = structured.entity_terms(packed, fit)
+    whole = lines.join(own, "entity", "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
+    return whole.select("entity", "t", (F.col("full") + F.col("effect")).alias("eta"), (F.col("local") + F.col("effect")).alias("ablated_eta"), (F.col("full") - F.col("local")).alias("contribution"))
 
 
 @query("ml9_prediction_table", "entity:i t:i step_risk:f risk_1h:f risk_3h:f risk_6h:f calibrated_6h:f active_rule:i")
