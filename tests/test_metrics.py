@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from conftest import collect
 from pyspark.sql import functions as F
@@ -59,8 +61,63 @@ def test_bootstrap_of_a_constant_ratio_has_no_spread(spark):
     sums = spark.createDataFrame([(f"s{i}", 4, 2) for i in range(9)], "entity string, n int, hits int")
     r = bootstrap.cluster_bootstrap(sums, ["n", "hits"], {"rate": "hits / n"}, 25, "x").first()
     assert (r.estimate, r.low, r.high, r.replicates) == (0.5, 0.5, 0.5, 25)
-    counts = bootstrap.draw_counts(bootstrap.ranked_entities(sums), 25, "x").groupBy("replicate").sum("copies")
-    assert {n for _, n in collect(counts, "replicate")} == {9}
+    vectors = bootstrap.entity_counts(bootstrap.ranked_entities(sums), 25, "x").collect()
+    assert {int(n) for n in sum(np.frombuffer(v.counts, dtype=np.uint16).astype(int) for v in vectors)} == {9} and len(vectors) == 9
+
+
+def drawn(entities, replicates, salt):
+    """Entities of every replicate, draw by draw."""
+    order = sorted(entities)
+    return [[order[(int(hashlib.md5(f"{salt}|{r}|{j}".encode()).hexdigest()[:15], 16)) % len(order)] for j in range(len(order))] for r in range(replicates)]
+
+
+def test_totals_and_maxima_equal_the_draws(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "ENTITY_BLOCK", 4)
+    rnd = random.Random(5)
+    rows = [(f"e{i:02d}", g, rnd.randint(0, 9), rnd.random()) for i in range(11) for g in ("a", "b") if rnd.random() < 0.8]
+    got = bootstrap.replicate_totals(spark.createDataFrame(rows, "entity string, g string, n int, x double"), ["n"], 70, "s", ("x",), ("g",)).collect()
+    want = {}
+    for r, picks in enumerate(drawn({e for e, *_ in rows}, 70, "s")):
+        for g in ("a", "b"):
+            mine = [(n, x) for e in picks for f, h, n, x in rows if f == e and h == g]
+            if mine:
+                want[g, r] = (float(sum(n for n, _ in mine)), max(x for _, x in mine))
+    assert {(t.g, t.replicate): (t.n, t.x) for t in got if (t.g, t.replicate) in want} == want
+
+
+def precision(rows):
+    rows, value, hits, all_ = sorted(rows, reverse=True), 0.0, 0.0, 0.0
+    for p in sorted({p for p, *_ in rows}, reverse=True):
+        here = [(y, w) for q, y, w in rows if q == p]
+        hit = sum(w for y, w in here if y)
+        hits, all_ = hits + hit, all_ + sum(w for _, w in here)
+        value += hit * hits / all_
+    return value / hits if hits else None
+
+
+def calibration_error(rows):
+    cells = {}
+    for p, y, w in rows:
+        c = cells.setdefault(sum(p >= e for e in metrics.CALIBRATION_EDGES), [0.0, 0.0])
+        c[0] += w * (y - p)
+        c[1] += w
+    return sum(abs(c[0]) for c in cells.values()) / sum(c[1] for c in cells.values())
+
+
+@pytest.mark.parametrize("slice_values", [50_000, 24])
+def test_average_precision_and_calibration_draws_equal_the_draws(spark, slice_values):
+    rnd = random.Random(slice_values)
+    rows = [(f"e{i % 7}", round(rnd.random(), 2), round(rnd.random(), 1), int(rnd.random() < 0.3), float(rnd.randint(1, 3))) for i in range(160)]
+    df = spark.createDataFrame(rows, "entity string, a double, b double, y int, w double")
+    picks = drawn({e for e, *_ in rows}, 70, "ap")
+    ap = {(r.model, r.replicate): r.value for r in bootstrap.average_precision_draws(df, ["a", "b"], "y", "w", 70, "ap", slice_values).collect()}
+    ce = {(r.model, r.replicate): r.value for r in bootstrap.calibration_error_draws(df, ["a", "b"], "y", "w", 70, "ap").collect()}
+    assert len(ap) == len(ce) == 140
+    for r, chosen in enumerate(picks):
+        for k, model in ((1, "a"), (2, "b")):
+            mine = [(row[k], row[3], row[4]) for e in chosen for row in rows if row[0] == e]
+            assert ap[model, r] == pytest.approx(precision(mine))
+            assert ce[model, r] == pytest.approx(calibration_error([(min(max(p, 1e-12), 1 - 1e-12), y, w) for p, y, w in mine]))
 
 
 def test_trajectory_identities_and_audit(spark):
@@ -115,16 +172,6 @@ def test_glm_recovers_a_cloglog_model(spark):
     assert df.withColumn("bad", -F.col("x")).select(flipped.risk().alias("r")).first().r == pytest.approx(rate, abs=1e-3)
 
 
-def test_structured_fit_respects_bounds_and_shrinks_noise(spark):
-    df = spark.range(6000).select(F.col("id").alias("t"), F.lit("a").alias("entity"), F.rand(1).alias("good"), F.rand(2).alias("bad"), F.rand(3).alias("u"), F.lit(1.0).alias("w"))
-    df = df.withColumn("y", (F.col("u") < 1 - F.exp(-F.exp(-2 + 1.5 * F.col("good") - 1.0 * F.col("bad")))).cast("int")).cache()
-    long = df.selectExpr("entity", "t", "stack(2, 'graph::good', good, 'graph::bad', bad) AS (feature, value)")
-    names = ["local::bias", "graph::good", "graph::bad"]
-    rows = models.sparse_rows(df, ["entity", "t"], {"local::bias": F.lit(1.0)}, long, names, "y", "w").cache()
-    fit = dict(zip(names, models.fit_structured(rows, names, {}, {"graph::good": 1e-4, "graph::bad": 1e-4}, {"graph::good", "graph::bad"}, passes=100).values))
-    assert fit["graph::good"] > 0.8 and fit["graph::bad"] == 0.0
-
-
 def test_chi_square_tail():
     assert models._chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
     assert models._chi2_tail(175.31, 5) == pytest.approx(5.36e-36, rel=0.01)

@@ -1,16 +1,24 @@
 """Entity-cluster resampling from per-entity sufficient sums.
 
 Rows are reduced to one line of sums per entity once.  A replicate draws n
-entity ranks with replacement from a reproducible hash; draws are generated and
-counted in parallel over replicates and joined to the sums by rank.
+entity ranks with replacement from a reproducible hash.  An entity carries the
+vector of its counts over all replicates, so totals of all replicates are
+products of sums and counts, blocks of entities at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.operators import scan
+from tidewatch.operators import metrics, scan
+from tidewatch.session import materialize
 
 
 def hash_int(*parts: Column | str) -> Column:
@@ -25,23 +33,88 @@ def ranked_entities(sums: DataFrame, entity: str = "entity") -> DataFrame:
     return sums.join(ranks.select(entity, F.col("k_cum").alias("rank"), F.col("k_total").alias("entities")), entity)
 
 
-def draw_counts(entities: DataFrame, replicates: int, salt: str) -> DataFrame:
-    """(replicate, rank, copies) of n draws with replacement per replicate."""
+#: Entities of a block of counts; draws of all replicates that a task holds at once, 16 bits each.
+ENTITY_BLOCK = 2048
+HELD_COUNTS = 1 << 25
+
+
+def entity_counts(entities: DataFrame, replicates: int, salt: str) -> DataFrame:
+    """(rank, counts): how often each entity is drawn in each replicate, as one vector of 16-bit numbers.
+
+    A replicate draws n ranks of n with replacement, each from a hash of (salt, replicate, draw).  Tasks draw groups of whole
+    replicates, cut their counts into blocks of entities, and the blocks are joined side by side: n x replicates small numbers
+    move, not rows.
+    """
     spark = entities.sparkSession
-    n = entities.agg(F.max("entities")).scalar()
-    draws = (spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("_n", n)
-             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))))
-    rank = F.pmod(hash_int(F.lit(salt), "replicate", "draw"), F.col("_n")) + 1
-    return draws.select("replicate", rank.alias("rank")).groupBy("replicate", "rank").agg(F.count(F.lit(1)).alias("copies"))
+    n = entities.agg(F.max("entities")).first()[0] or 0
+    per_task = max(1, min(64, HELD_COUNTS // max(n, 1), -(-replicates // 64) * 8))
+    tasks = -(-replicates // per_task)
+    lead = f"{salt}|"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5, wide = hashlib.md5, int.from_bytes
+        for batch in batches:
+            for first in batch.column("first").to_pylist():
+                group = range(first, min(first + per_task, replicates))
+                counts = np.empty((n, len(group)), dtype=np.uint16)
+                for k, r in enumerate(group):
+                    stem = md5(f"{lead}{r}|".encode())
+                    found = np.empty(n, dtype=np.int64)
+                    for j in range(n):
+                        h = stem.copy()
+                        h.update(b"%d" % j)
+                        found[j] = wide(h.digest()[:8], "big") >> 4  # 60 bits, as hash_int
+                    counts[:, k] = np.bincount(found % n, minlength=n)
+                starts = range(0, n, ENTITY_BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s // ENTITY_BLOCK for s in starts], pa.int64()), pa.array([first] * len(starts), pa.int64()), pa.array([counts[s : s + ENTITY_BLOCK].tobytes() for s in starts], pa.binary())],
+                    names=["block", "first", "counts"])
+
+    def beside(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("first")
+        size = min(ENTITY_BLOCK, n - key[0].as_py() * ENTITY_BLOCK)
+        whole = np.hstack([np.frombuffer(c, dtype=np.uint16).reshape(size, -1) for c in table.column("counts").to_pylist()])
+        ranks = key[0].as_py() * ENTITY_BLOCK + 1 + np.arange(size)
+        return pa.table({"rank": pa.array(ranks, pa.int64()), "counts": pa.array([row.tobytes() for row in whole], pa.binary())})
+
+    starts = spark.range(0, tasks, 1, tasks).selectExpr(f"id * {per_task} AS first")
+    drawn = starts.mapInArrow(draw, "block bigint, first bigint, counts binary")
+    return drawn.groupBy("block").applyInArrow(beside, "rank bigint, counts binary")
 
 
 def replicate_totals(sums: DataFrame, columns: list[str], replicates: int, salt: str, maxima: tuple[str, ...] = (),
                      by: tuple[str, ...] = ()) -> DataFrame:
-    """Resampled totals (and maxima) per replicate."""
-    ranked = ranked_entities(sums)
-    drawn = draw_counts(ranked, replicates, salt).join(ranked, "rank")
-    return drawn.groupBy(*by, "replicate").agg(*[F.sum(F.col("copies") * F.col(c)).alias(c) for c in columns],
-                                               *[F.max(c).alias(c) for c in maxima])
+    """Resampled totals (and maxima over the drawn entities) per replicate: the sums times the vectors of counts, added up within tasks first."""
+    ranked = materialize(ranked_entities(sums), "ranked")
+    drawn = ranked.join(entity_counts(ranked, replicates, salt), "rank").select(*by, *columns, *maxima, "counts")
+    kinds = ", ".join(f"`{c}` {dict(ranked.dtypes)[c]}" for c in by)
+    numbers = ", ".join(f"`{c}` double" for c in (*columns, *maxima))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
+            values = np.array([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (*columns, *maxima)])
+            values = np.nan_to_num(values, nan=0.0)
+            counts = batch.column("counts").to_pylist()
+            for key in dict.fromkeys(keys):
+                at = [i for i, k in enumerate(keys) if k == key]
+                total, most = held.setdefault(key, (np.zeros((len(columns), replicates)), np.full((len(maxima), replicates), -np.inf)))
+                for start in range(0, len(at), 256):
+                    some = at[start : start + 256]
+                    times = np.stack([np.frombuffer(counts[i], dtype=np.uint16) for i in some]).astype(np.float64)
+                    total += values[: len(columns), some] @ times
+                    for k in range(len(maxima)):
+                        most[k] = np.maximum(most[k], np.where(times > 0, values[len(columns) + k, some][:, None], -np.inf).max(axis=0))
+        for key, (total, most) in held.items():
+            out = [pa.array([v] * replicates, batch_types[i]) for i, v in enumerate(key)]
+            out += [pa.array(np.arange(replicates), pa.int64()), *[pa.array(x) for x in total], *[pa.array(x) for x in most]]
+            yield pa.RecordBatch.from_arrays(out, names=[*by, "replicate", *columns, *maxima])
+
+    batch_types = [to_arrow_type(ranked.schema[c].dataType) for c in by]
+    schema = ", ".join(x for x in (kinds, "replicate bigint", numbers) if x)
+    parts = drawn.mapInArrow(multiply, schema)
+    return parts.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in columns], *[F.max(c).alias(c) for c in maxima])
 
 
 def intervals(draws: DataFrame, by: tuple[str, ...] = ("metric",), value: str = "value") -> DataFrame:
@@ -70,15 +143,90 @@ def cluster_bootstrap(sums: DataFrame, columns: list[str], ratios: dict[str, str
     return intervals(draws).join(point(sums, [*columns, *maxima], ratios), "metric")
 
 
-def paired_average_precision(df: DataFrame, scores: list[str], y: str, w: str, replicates: int, salt: str) -> DataFrame:
-    """Average precision of each score in every replicate (entities resampled together)."""
+#: Cells of a slice of the score ladder, and replicates that are summed side by side.
+LADDER_SLICE = 50_000
+SIDE_BY_SIDE = 64
+
+
+def average_precision_draws(df: DataFrame, scores: list[str], y: str, w: str, replicates: int, salt: str, slice_values: int = LADDER_SLICE) -> DataFrame:
+    """(model, replicate, value): average precision of each score in every replicate, entities resampled together.
+
+    Each score has one ladder of cells (score value, entity), cut into slices of values.  A slice is summed once per entity, and
+    those sums times the counts give what each replicate carries into the next slice.  Then every slice, with the vectors of
+    counts of its entities, runs all replicates side by side down its cells; no cell is copied.
+    """
     long = df.selectExpr("entity", f"{y} AS y", f"CAST({w} AS DOUBLE) AS w", f"stack({len(scores)}, " + ", ".join(f"'{s}', CAST({s} AS DOUBLE)" for s in scores) + ") AS (model, p)")
-    cells = long.groupBy("entity", "model", "p").agg(F.expr("sum(w * y) AS wp"), F.expr("sum(w * (1 - y)) AS wn"))
-    ranked = ranked_entities(cells)
-    drawn = draw_counts(ranked, replicates, salt).join(ranked, "rank")
-    ladder = scan.running_totals(drawn, "p", {"wp": F.expr("copies * wp"), "wn": F.expr("copies * wn")}, ("replicate", "model"), descending=True)
-    return ladder.groupBy("replicate", "model").agg(F.expr(
-        "try_divide(sum(wp * (wp_cum / (wp_cum + wn_cum))), max(wp_total)) AS value"))
+    cells = long.where("p IS NOT NULL AND w > 0").groupBy("entity", "model", "p").agg(F.expr("sum(w * y) AS wp"), F.expr("sum(w * (1 - y)) AS wn"))
+    bounds = scan._bounds(cells.select("model", "p").distinct(), "p", ("model",), max(1, slice_values // 8))
+    ranked = ranked_entities(cells).join(bounds, F.col("model") == F.col("_by_model"))
+    ranked = materialize(ranked.select("rank", "entities", "entity", "model", "p", "wp", "wn", F.expr("coalesce(-size(filter(_bounds, b -> b < p)), 0) AS slice")), "ladder")
+    counts = materialize(entity_counts(ranked, replicates, salt), "counts")
+    sums = ranked.groupBy("entity", "rank", "entities", "model", "slice").agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
+
+    def slice_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for model, number, wp, wn, c in zip(*[batch.column(k).to_pylist() for k in ("model", "slice", "wp", "wn", "counts")], strict=True):
+                times = np.frombuffer(c, dtype=np.uint16)
+                total = held.setdefault((model, number), np.zeros((2, replicates)))
+                total[0] += wp * times
+                total[1] += wn * times
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k].tobytes() for k in keys], pa.binary())],
+                                         names=["model", "slice", "sums"])
+
+    def carry(key: tuple, table: pa.Table) -> pa.Table:
+        """Sums of the slices before each slice of a model: as many rows as slices and tasks."""
+        per: dict[int, np.ndarray] = {}
+        for number, data in zip(table.column("slice").to_pylist(), table.column("sums").to_pylist(), strict=True):
+            per[number] = per.get(number, 0) + np.frombuffer(data).reshape(2, replicates)
+        before, out = np.zeros((2, replicates)), []
+        for number in sorted(per):
+            out.append((key[0].as_py(), number, before.tobytes()))
+            before = before + per[number]
+        out = [(m, n, c, before[0].tobytes()) for m, n, c in out]
+        kinds = (("model", pa.string()), ("slice", pa.int64()), ("carried", pa.binary()), ("total", pa.binary()))
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+    totals = sums.join(counts, "rank").select("model", "slice", "wp", "wn", "counts").mapInArrow(slice_totals, "model string, slice bigint, sums binary")
+    carried = materialize(totals.groupBy("model").applyInArrow(carry, "model string, slice bigint, carried binary, total binary"), "carried")
+    present = sums.join(counts, "rank").select("model", "slice", "rank", "counts")
+    beside = materialize(present.unionByName(carried.select("model", "slice", F.lit(0).cast("bigint").alias("rank"), F.concat("carried", "total").alias("counts"))), "vectors")
+
+    def descend(key: tuple, ladder: pa.Table, vectors: pa.Table) -> pa.Table:
+        ranks, data = vectors.column("rank").to_numpy(), vectors.column("counts").to_pylist()
+        before = np.frombuffer(data[int(np.flatnonzero(ranks == 0)[0])]).reshape(3, replicates)
+        order = np.argsort(ranks, kind="stable")
+        times = np.stack([np.frombuffer(data[i], dtype=np.uint16) for i in order if ranks[i] > 0])
+        p = ladder.column("p").to_numpy()
+        down = np.argsort(-p, kind="stable")
+        p, wp, wn = p[down], ladder.column("wp").to_numpy()[down].astype(float), ladder.column("wn").to_numpy()[down].astype(float)
+        at = np.searchsorted(ranks[order][ranks[order] > 0], ladder.column("rank").to_numpy()[down])
+        steps = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1])
+        value = np.empty(replicates)
+        for start in range(0, replicates, SIDE_BY_SIDE):
+            some = slice(start, start + SIDE_BY_SIDE)
+            drawn = times[at, some].astype(np.float64)
+            hits, others = np.add.reduceat(drawn * wp[:, None], steps, axis=0), np.add.reduceat(drawn * wn[:, None], steps, axis=0)
+            above, below = before[0, some] + np.cumsum(hits, axis=0), before[1, some] + np.cumsum(others, axis=0)
+            with np.errstate(invalid="ignore"):
+                value[some] = np.where(hits > 0, hits * above / (above + below), 0.0).sum(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.where(before[2] > 0, value / before[2], np.nan)
+        return pa.table({"model": pa.array([key[0].as_py()] * replicates, pa.string()), "replicate": pa.array(np.arange(replicates), pa.int64()), "value": pa.array(share)})
+
+    parts = ranked.select("model", "slice", "rank", "p", "wp", "wn").groupBy("model", F.col("slice").cast("bigint").alias("slice")).cogroup(beside.groupBy("model", "slice"))
+    drawn = parts.applyInArrow(descend, "model string, replicate bigint, value double").groupBy("model", "replicate").agg(F.sum("value").alias("value"))
+    return drawn.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def calibration_error_draws(df: DataFrame, scores: list[str], y: str, w: str, replicates: int, salt: str) -> DataFrame:
+    """(model, replicate, value): expected calibration error over the fixed bins in every replicate."""
+    long = df.selectExpr("entity", f"CAST({y} AS INT) AS y", f"CAST({w} AS DOUBLE) AS w", f"stack({len(scores)}, " + ", ".join(f"'{s}', CAST({s} AS DOUBLE)" for s in scores) + ") AS (model, p)")
+    clean = long.where("p IS NOT NULL AND w > 0").withColumn("p", F.greatest(F.least("p", F.lit(1 - 1e-12)), F.lit(1e-12))).withColumn("bin", metrics.calibration_bin("p"))
+    sums = clean.groupBy("entity", "model", "bin").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("p")).alias("sp"))
+    totals = replicate_totals(materialize(sums, "calibration-sums"), ["sw", "sy", "sp"], replicates, salt, by=("model", "bin"))
+    return totals.groupBy("model", "replicate").agg(F.expr("try_divide(sum(abs(sy - sp)), sum(sw)) AS value"))
 
 
 def holm(df: DataFrame, p: str, by: tuple[str, ...] = (), out: str = "p_holm") -> DataFrame:

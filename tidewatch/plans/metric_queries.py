@@ -402,16 +402,32 @@ def bs5(spark, root):
     return bootstrap.cluster_bootstrap(materialize(loss_sums(_two_scores(spark, root)), "sums"), _LOSS, _LOSS_RATIO, R, "bs5")
 
 
-@query("bs5_paired_average_precision", "low:f middle:f high:f replicates:i", f"""SELECT quantile_cont(d,0.025) AS low, quantile_cont(d,0.5) AS middle, quantile_cont(d,0.975) AS high, count(*) AS replicates FROM (SELECT replicate, max(ap) FILTER (m='extra')-max(ap) FILTER (m='base') AS d FROM (
-       SELECT replicate, m, sum(wp*cp/(cp+cn))/max(cp) AS ap FROM (SELECT *, sum(wp) OVER (PARTITION BY replicate, m ORDER BY p DESC) AS cp, sum(wn) OVER (PARTITION BY replicate, m ORDER BY p DESC) AS cn FROM (SELECT replicate, m, p, sum(w*y) AS wp, sum(w*(1-y)) AS wn FROM
-       (SELECT r AS replicate, {_h("'ap'", "r", "j")} % n + 1 AS rank FROM (SELECT unnest(range(8)) AS r), (SELECT n, unnest(range(n)) AS j FROM (SELECT count(DISTINCT entity) AS n FROM two))) d JOIN
-       (SELECT dense_rank() OVER (ORDER BY entity) AS rank, label AS y, weight AS w, unnest(['base','extra']) AS m, unnest([base,extra]) AS p FROM two) USING (rank) GROUP BY 1,2,3)) GROUP BY 1,2) GROUP BY 1)""", "two")
-def bs5ap(spark, root):
-    per = bootstrap.paired_average_precision(materialize(_two_scores(spark, root), "scores"), ["base", "extra"], "label", "weight", 8, "ap")
-    d = per.groupBy("replicate").pivot("model", ["base", "extra"]).agg(F.first("value")).selectExpr("replicate", "'ap' AS metric", "extra - base AS value")
+def paired_intervals(draws):
+    """Interval of the difference of the two scores' values, replicate by replicate."""
+    d = draws.groupBy("replicate").pivot("model", ["base", "extra"]).agg(F.first("value")).selectExpr("replicate", "'delta' AS metric", "extra - base AS value")
     return bootstrap.intervals(d)
 
 
+_DRAWN = f"""SELECT replicate, rank, count(*) AS copies FROM ({_DRAWS.format(h=_h("'{salt}'", "r", "j"), R=R, src="two")}) GROUP BY 1, 2"""
+
+
+# A ladder per replicate is too much for SQL at 5,000 of them; the operator is held against single draws on a small table.
+@query("bs5_paired_average_precision", "low:f middle:f high:f replicates:i")
+def bs5ap(spark, root):
+    return paired_intervals(bootstrap.average_precision_draws(materialize(_two_scores(spark, root), "scores"), ["base", "extra"], "label", "weight", R, "ap"))
+
+
+cte("ecedraws", _DRAWN.format(salt="ece"), "two")
+cte("ececells", f"""SELECT rank, m, b, sum(w) AS sw, sum(w*y) AS sy, sum(w*p) AS sp FROM (SELECT rank, m, y, w, p, len(list_filter({_EDGES}, lambda e: e<=p)) AS b FROM (SELECT rank, y, w, m, greatest(least(q,1-1e-12),1e-12) AS p FROM (
+ SELECT dense_rank() OVER (ORDER BY entity) AS rank, label AS y, weight AS w, unnest(['base','extra']) AS m, unnest([base,extra]) AS q FROM two))) GROUP BY 1,2,3""", "two")
+
+
+@query("bs5_paired_calibration_error", "low:f middle:f high:f replicates:i", """SELECT quantile_cont(d,0.025) AS low, quantile_cont(d,0.5) AS middle, quantile_cont(d,0.975) AS high, count(*) AS replicates FROM (SELECT replicate, max(e) FILTER (m='extra')-max(e) FILTER (m='base') AS d FROM (
+       SELECT replicate, m, sum(abs(sy-sp))/sum(sw) AS e FROM (SELECT replicate, m, b, sum(copies*sw) AS sw, sum(copies*sy) AS sy, sum(copies*sp) AS sp FROM ecedraws JOIN ececells USING (rank) GROUP BY 1,2,3) GROUP BY 1,2) GROUP BY 1)""", "ecedraws ececells")
+def bs5ece(spark, root):
+    return paired_intervals(bootstrap.calibration_error_draws(materialize(_two_scores(spark, root), "scores"), ["base", "extra"], "label", "weight", R, "ece"))
+
+
 cte("csums", """SELECT cohort, entity, sum(weight) AS sw, sum(weight*(-(label*ln(x)+(1-label)*ln(1-x)))) AS la, sum(weight*(-(label*ln(b)+(1-label)*ln(1-b)))) AS lb FROM (SELECT *, CASE WHEN entity%5=0 THEN 'unseen' ELSE 'seen' END AS cohort, greatest(least(base,1-1e-12),1e-12) AS b, greatest(least(extra,1-1e-12),1e-12) AS x FROM two) GROUP BY 1,2""", "two")
 
 
