@@ -264,3 +264,52 @@ def test_final_episode(spark):
 
     r = matching.final_episode_match(rows, ev, F.col("score") >= 0.5, 600, H, 2, 600, 1800).first()
     assert (r.hit, r.lead_hours) == (1, pytest.approx(2 / 3))
+
+
+def hysteresis_by_row(scores, on, off, run, hold):
+    """Row by row: an alarm begins after ``run`` rows at ``on`` and ends with the ``hold``-th row in a row below ``off``."""
+    out, streak, weak, alarmed = [], 0, 0, False
+    for s in scores:
+        if s is None:
+            streak, alarmed = 0, False
+            out.append(0)
+            continue
+        streak = streak + 1 if s >= on else 0
+        if not alarmed and streak >= run:
+            alarmed, weak = True, 0
+        out.append(int(alarmed))
+        weak = 0 if s >= off else weak + 1
+        if alarmed and weak >= hold:
+            alarmed, streak = False, 0
+    return out
+
+
+@pytest.mark.parametrize("run, hold, ratio", [(1, 1, 1.0), (2, 3, 0.8), (3, 1, 0.5), (1, 5, 0.9)])
+def test_hysteresis_windows_and_clock_equal_the_rows(spark, run, hold, ratio):
+    rnd = random.Random(run * 10 + hold)
+    levels, rows = {}, []
+    for e in range(4):
+        levels[e] = [None if rnd.random() < 0.06 else round(rnd.random(), 2) for _ in range(300)]
+        rows += [(e, i * 600, s, 1) for i, s in enumerate(levels[e])]
+    policy = policies.CandidatePolicy("hysteresis", threshold=0.6, off_ratio=ratio, minimum_run=run, hold_bins=hold)
+    df = spark.createDataFrame(rows, "entity int, t bigint, score double, _kept int")
+    got = policies.candidates(df, "score", policy).orderBy("entity", "t").collect()
+    want = [a for e in range(4) for a in hysteresis_by_row(levels[e], 0.6, 0.6 * ratio, run, hold)]
+    assert [r.candidate for r in got] == want and 0 < sum(want) < len(want)
+    for e in range(4):
+        clock = policies.HysteresisClock()
+        assert [clock.alarm(policy, math.nan if s is None else s, 0.6) for s in levels[e]] == hysteresis_by_row(levels[e], 0.6, 0.6 * ratio, run, hold)
+
+
+def test_several_quantiles_share_one_window(spark):
+    df, rows = panel(spark, "2024-01-01T00:00", "2024-01-12T00:00", 3600, null_share=0.2)
+    both = policies.rolling_thresholds(df, "score", {"lo": 0.25, "hi": 0.9}, 2 * 86400, 8).orderBy("t").collect()
+    for name, q in (("lo", 0.25), ("hi", 0.9)):
+        for i, r in enumerate(both):
+            seen = sorted(s for _, t, s in rows[:i] if s is not None and t >= rows[i - 1][1] - 2 * 86400)
+            if i == 0 or len(seen) < 8:
+                assert r[name] is None
+            else:
+                place = q * (len(seen) - 1)
+                k = int(place)
+                assert abs(r[name] - (seen[k] + (seen[min(k + 1, len(seen) - 1)] - seen[k]) * (place - k))) < 1e-12

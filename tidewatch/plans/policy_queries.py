@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import clock, trajectory
-from tidewatch.operators import controller, policies, selection
+from tidewatch.operators import controller, policies, scan, selection
 from tidewatch.plans.controller_oracle import controller_cte
 from tidewatch.plans.registry import cte, query
 from tidewatch.plans.standins import HOUR, purchase_events, scored
@@ -474,6 +474,39 @@ def al12(spark, root):
     return capped.groupBy(F.col("entity.threshold").alias("threshold")).agg(F.sum("alarm").alias("alarms"), F.sum("candidate").alias("candidates"))
 
 
+#: What the crossed grid varies beside the threshold.
+GRID_QUANTILES, GRID_RUNS, GRID_HOLDS, GRID_CAPS = (0.8, 0.9, 0.95, 0.95), (1, 2), (1, 3), (20.0, 40.0)
+cte("gridrules", f"SELECT threshold, run, hold FROM (SELECT DISTINCT round(unnest(quantile_cont(score,{list(GRID_QUANTILES)})),9) AS threshold FROM scored), (SELECT unnest({list(GRID_RUNS)}) AS run), (SELECT unnest({list(GRID_HOLDS)}) AS hold)", "scored")
+cte("gridrows", "SELECT entity, t, ms, me, score, row_number() OVER (PARTITION BY entity ORDER BY t) AS rn FROM cand", "cand")
+cte("gridstates", """/*RECURSIVE*/ SELECT g.threshold, g.run, g.hold, e.entity, 0::BIGINT AS rn, 0::BIGINT AS t, 0 AS streak, 0 AS lit, 0 AS weak, 0 AS candidate FROM gridrules g, (SELECT DISTINCT entity FROM gridrows) e UNION ALL
+ SELECT threshold, run, hold, entity, rn, t, CASE WHEN score IS NULL OR (lit1=1 AND weak1>=hold) THEN 0 ELSE streak1 END, CASE WHEN score IS NULL OR weak1>=hold THEN 0 ELSE lit1 END, CASE WHEN lit1=0 THEN 0 ELSE weak1 END, CASE WHEN score IS NULL THEN 0 ELSE lit1 END
+ FROM (SELECT *, CASE WHEN lit1=0 THEN 0 WHEN score>=0.8*threshold THEN 0 ELSE weak+1 END AS weak1 FROM (SELECT *, CASE WHEN lit=1 OR streak1>=run THEN 1 ELSE 0 END AS lit1 FROM (
+ SELECT h.threshold, h.run, h.hold, r.entity, r.rn, r.t, r.score, h.lit, h.weak, CASE WHEN r.score>=h.threshold THEN h.streak+1 ELSE 0 END AS streak1 FROM gridstates h JOIN gridrows r ON r.entity=h.entity AND r.rn=h.rn+1)))""", "gridrules gridrows")
+
+
+def crossed_grid(df, score: str, quantiles=GRID_QUANTILES, runs=GRID_RUNS, holds=GRID_HOLDS) -> dict[str, policies.CandidatePolicy]:
+    """Whole policies: distinct score-quantile thresholds x minimum runs x holds, those with equal settings once."""
+    found = scan.exact_quantiles(df.filter(F.col(score).isNotNull()), score, {f"q{i}": q for i, q in enumerate(quantiles)}).first()
+    thresholds = sorted({round(found[f"q{i}"], 9) for i in range(len(quantiles))})
+    settings = {policies.CandidatePolicy("hysteresis", threshold=x, minimum_run=r, hold_bins=h) for x in thresholds for r in runs for h in holds}
+    return {f"{p.threshold!r}/{p.minimum_run}/{p.hold_bins}": p for p in sorted(settings, key=lambda p: (p.threshold, p.minimum_run, p.hold_bins))}
+
+
+@query("al12_crossed_grid", "threshold:f run:i hold:i hours:f candidates:i alarms:i",
+       f"""SELECT threshold, run, hold, hours, sum(candidate) AS candidates, sum(alarm) AS alarms FROM (SELECT *, used-coalesce(lag(used) OVER (PARTITION BY threshold, run, hold, hours, entity, ms ORDER BY t),0) AS alarm FROM (SELECT *, c+least(0,min(allowance-c) OVER w) AS used
+       FROM (SELECT *, sum(candidate) OVER (PARTITION BY threshold, run, hold, hours, entity, ms ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT s.threshold, s.run, s.hold, s.entity, s.t, s.candidate, r.ms, hours, CAST(least(hours, floor(hours*(r.t-r.ms)/(r.me-r.ms))+4) AS BIGINT) AS allowance
+       FROM gridstates s JOIN gridrows r ON r.entity=s.entity AND r.rn=s.rn, (SELECT unnest({list(GRID_CAPS)}) AS hours) WHERE s.rn>0)) WINDOW w AS (PARTITION BY threshold, run, hold, hours, entity, ms ORDER BY t ROWS UNBOUNDED PRECEDING))) GROUP BY 1,2,3,4""", "gridstates gridrows")
+def al12_crossed(spark, root):
+    """Every whole policy under every cap; policies are columns of one frame, whose windows they share."""
+    rows = materialize(slim(spark, root), "grid-rows")
+    named = crossed_grid(rows, "score")
+    caps = {f"{h:g}": policies.SafeBudget(60, h, 4.0) for h in GRID_CAPS}
+    capped = policies.capped_many(policies.candidates_many(rows, "score", named), list(named), caps)
+    parts = F.split("policy", "/")
+    totals = capped.groupBy("policy", "cap").agg(F.sum("candidate").alias("candidates"), F.sum("alarm").alias("alarms"))
+    return totals.select(parts[0].cast("double").alias("threshold"), parts[1].cast("int").alias("run"), parts[2].cast("int").alias("hold"), F.col("cap").cast("double").alias("hours"), "candidates", "alarms")
+
+
 @query("al13_warm_up_rows", "entity:i t:i threshold:f candidate:i",
        "SELECT entity, t, threshold, CASE WHEN score>=threshold THEN 1 ELSE 0 END AS candidate FROM roll, bounds WHERE t>=lo+20*86400", "roll bounds")
 def al13(spark, root):
