@@ -134,23 +134,6 @@ def test_trajectory_audit_looks_at_every_step(spark):
     assert trajectory.audit(df.where("entity = 1"), "h", "f", "key", "entity", "t", 3, 10, contract=(36, 10)).first().passed == 0
 
 
-def test_replicates_are_fitted_together_as_alone(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(600, 2))
-    y = (rng.random(600) < -np.expm1(-np.exp(-1 + 0.8 * x[:, 0] + 0.3 * x[:, 1]))).astype(float)
-    inside = [sorted(rng.choice(3, rng.integers(0, 4), replace=False).tolist()) for _ in range(600)]
-    rows = [(float(v), 1.0, [(0, 1.0), (1, float(a)), (2, float(b))], r) for v, (a, b), r in zip(y, x, inside)]
-    df = materialize(spark.createDataFrame(rows, "y double, w double, x array<struct<i:int,v:double>>, replicates array<int>"), "replicates")
-    names = ["one", "a", "b"]
-    args = ({"a": 1e-3}, {"b": 1e-3}, {"b": 0.0}, {"a": 0.5})
-    many = models.fit_structured_many(df, names, *args, replicates=3)
-    for k, fit in enumerate(many):
-        alone = models.fit_structured_many(df.where(F.array_contains("replicates", k)), names, *args)[0]
-        assert fit.converged and alone.converged and fit.values == pytest.approx(alone.values, abs=1e-3)
-        assert fit.values[1] <= 0.5 and fit.values[2] >= 0
-    assert not models.fit_structured_many(df, names, *args, passes=1)[0].converged
-
-
 def test_subsamples_match_one_by_one(spark):
     blocks = spark.createDataFrame([(e, b) for e in range(4) for b in range(e + 1)], "entity bigint, block bigint")
     many = {(r.entity, r.block): set(r.replicates) for r in bootstrap.subsample_members(blocks, 0.5, 4, "x").collect()}
@@ -200,8 +183,11 @@ def test_logs_are_read_in_the_encoding_their_bytes_show(spark, tmp_path):
         folder.mkdir()
         (folder / f"{name}.csv").write_bytes(f"a,b\n{first},1\n乙{'丙' * 40000},2\n".encode(encoding))
     path = f"file://{tmp_path}"
-    assert {r.encoding for r in logs.sniff_encoding(spark, path).collect()} == {"UTF-8", "GB18030"}
+    (tmp_path / "2023" / "plain.csv").write_bytes(b"a,b\n" + b"x,1\n" * 30_000 + "丁,3\n".encode("gb18030"))  # its only wide bytes come last
     rows = logs.read_mixed_log(spark, path, ["a", "b"])
+    found = {tuple(r) for r in rows.select("source_encoding", F.regexp_extract(F.url_decode("source_file"), r"/(\d{4})/", 1)).distinct().collect()}
+    assert found == {("UTF-8", "2022"), ("GB18030", "2023")} and rows.where("a = '丁' AND b = '3'").count() == 1
+    rows = rows.where("source_file NOT LIKE '%plain%'")
     assert rows.where("a LIKE '乙%'").count() == 2 and rows.where("a = '甲'").count() == 1
     names = rows.select(logs.station_from_path(F.url_decode("source_file"))).distinct().collect()
     assert {r[0] for r in names} == {"山站", "海站"}

@@ -16,9 +16,10 @@ import math
 from dataclasses import asdict, dataclass, field, replace
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions import clock, trajectory
 from tidewatch.operators.policies import capacity_bins
@@ -328,48 +329,82 @@ def run_controller(rows: DataFrame, events: DataFrame, budgets: tuple[float, ...
     ``rows`` carries the inputs of :func:`with_decision_inputs`; ``events`` has
     (entity, onset).  ``given`` names candidate columns that replace the policy.
     """
+    return run_controllers(rows, events, budgets, {"": rules}, observed, given, trace).drop("method")
+
+
+def run_controllers(rows: DataFrame, events: DataFrame, budgets: tuple[float, ...], rules: dict[str, ControllerRules],
+                    observed: str = "observed", given: dict[float, str] | None = None, trace: str = "all") -> DataFrame:
+    """As :func:`run_controller` for several rule sets over the same inputs, tagged by ``method``: an entity's rows are read and ordered once."""
     budgets = tuple(sorted(set(budgets)))
     given = given or {}
     kind = dict(rows.dtypes)["entity"]
-    schema = "kind string, " + _TRACE.format(k=kind) + ", " + _MONTH
+    schema = "method string, kind string, " + _TRACE.format(k=kind) + ", " + _MONTH
     needed = rows.select("entity", "t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility",
                          F.coalesce(F.col(observed), F.lit(0)).cast("int").alias("seen"), *given.values())
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=names)
-        left = left.sort_values("t", kind="stable")
-        machine = EntityController(rules, budgets)
-        onsets = sorted(right["onset"].tolist())
-        entity, pointer, out = left["entity"].iloc[0], 0, []
-        masks = [left[given[b]].tolist() if b in given else None for b in budgets] if given else None
-        cols = [left[c].tolist() for c in ("t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility", "seen")]
-        for i, (t, month, bins, index, elapsed, risk, utility, seen) in enumerate(zip(*cols)):
-            while pointer < len(onsets) and onsets[pointer] <= t:
-                machine.event(onsets[pointer])
-                pointer += 1
-            machine.mature(t)
-            choice = tuple(None if m is None else bool(m[i]) for m in masks) if masks else None
-            made = machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice)
-            if trace != "none":
-                out += [("t", entity, t, *d, risk, utility) for d in made if trace == "all" or d.alarm]
-        months = [{"kind": "m", "entity": entity, **{k: v for k, v in m.items() if k in names}} for m in machine.months()]
-        parts = [pd.DataFrame(p, **how) for p, how in ((out, {"columns": names[:15]}), (months, {})) if p]
-        return pd.concat(parts).reindex(columns=names) if parts else pd.DataFrame(columns=names)
-
-    return needed.groupBy("entity").cogroup(events.select("entity", "onset").groupBy("entity")).applyInPandas(run, schema)
+    fields = [f.split(" ") for f in schema.split(", ")]
+    names = [f[0] for f in fields]
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    entity_type = to_arrow_type(rows.schema["entity"].dataType)
+    kinds = [entity_type if n == "entity" else types[k] for n, k in fields]
+    decided, monthly = names[2:16], set(names)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = {n: [] for n in names}
+        length = 0
+
+        def pad() -> None:
+            for n in names:
+                columns[n] += [None] * (length - len(columns[n]))
+
+        if left.num_rows:
+            left = left.sort_by("t")
+            onsets = sorted(right.column("onset").to_pylist())
+            entity = left.column("entity")[0].as_py()
+            masks = [left.column(given[b]).to_pylist() if b in given else None for b in budgets] if given else None
+            cols = [left.column(c).to_pylist() for c in ("t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility", "seen")]
+            for method, rule in rules.items():
+                machine, pointer, out = EntityController(rule, budgets), 0, []
+                for i, (t, month, bins, index, elapsed, risk, utility, seen) in enumerate(zip(*cols, strict=True)):
+                    while pointer < len(onsets) and onsets[pointer] <= t:
+                        machine.event(onsets[pointer])
+                        pointer += 1
+                    machine.mature(t)
+                    choice = tuple(None if m is None else bool(m[i]) for m in masks) if masks else None
+                    made = machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice)
+                    if trace != "none":
+                        out += [(entity, t, *d, risk, utility) for d in made if trace == "all" or d.alarm]
+                if out:
+                    # Whole columns, not one record after another.
+                    for n, values in zip(decided, zip(*out, strict=True), strict=True):
+                        columns[n] += values
+                months = machine.months()
+                for n in monthly - {"method", "kind", "entity", "t"}:
+                    held = columns[n]
+                    if months and n in months[0]:
+                        held += [None] * (length + len(out) - len(held)) + [m[n] for m in months]
+                columns["entity"] += [entity] * len(months)
+                columns["method"] += [method] * (len(out) + len(months))
+                columns["kind"] += ["t"] * len(out) + ["m"] * len(months)
+                length += len(out) + len(months)
+                pad()
+        return pa.table({n: pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)})
+
+    return needed.groupBy("entity").cogroup(events.select("entity", "onset").groupBy("entity")).applyInArrow(run, schema)
+
+
+def _tags(result: DataFrame) -> list[str]:
+    return ["method"] if "method" in result.columns else []
 
 
 def trace_of(result: DataFrame) -> DataFrame:
-    return result.filter("kind = 't'").select(*[f.split(" ")[0] for f in _TRACE.split(", ")])
+    return result.filter("kind = 't'").select(*_tags(result), *[f.split(" ")[0] for f in _TRACE.split(", ")])
 
 
 def months_of(result: DataFrame) -> DataFrame:
     """Month audit: ledger totals, peaks and whether the hard budget held."""
     names = [f.split(" ")[0] for f in _MONTH.split(", ")]
     return result.filter("kind = 'm'").select(
-        "entity", "budget", *names, "confirmed", F.col("pending").alias("unsettled"), "capacity", "price",
+        *_tags(result), "entity", "budget", *names, "confirmed", F.col("pending").alias("unsettled"), "capacity", "price",
         (F.col("peak_occupied") <= F.col("capacity")).cast("int").alias("hard_budget_met"))
 
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import clock
 from tidewatch.functions.scalar import flag
 from tidewatch.operators.temporal import UNB, islands
+from tidewatch.session import materialize
 
 
 @dataclass(frozen=True)
@@ -223,24 +223,26 @@ def evaluate_definitions(positives: DataFrame, value: str, bucket: int = 60, per
 
 
 def greedy_match(reference: DataFrame, candidate: DataFrame, tolerance: int, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """One-to-one onset matches within ``tolerance`` seconds, closest pairs first.
+    """One-to-one onset matches within ``tolerance`` seconds, closest pairs first (then the earlier reference, then the earlier candidate).
 
-    Pairs come from an equi-join on tolerance-wide time cells, so only
-    neighbouring events meet; the greedy pass sees one entity's pair list.
+    Pairs come from an equi-join on tolerance-wide time cells, so only neighbouring events meet.  A pair that comes before all others
+    of its reference and of its candidate is one that the pass in order would take, whatever happens elsewhere; so all such
+    pairs are taken at once, what they use up is dropped, and rounds go on until no pair is left.  A round is two grouped minima.
     """
     ref = reference.select(*keys, F.col("onset").alias("ref"), F.floor(F.col("onset") / tolerance).alias("cell"))
     cand = candidate.select(*keys, F.col("onset").alias("cand"), F.explode(
         F.array(*[F.floor(F.col("onset") / tolerance) + d for d in (-1, 0, 1)])).alias("cell"))
     pairs = ref.join(cand, [*keys, "cell"]).withColumn("shift", F.abs(F.col("cand") - F.col("ref"))).filter(F.col("shift") <= tolerance)
-    schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", ref bigint, cand bigint, shift bigint"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        taken_ref, taken_cand, keep = set(), set(), []
-        for row in frame.sort_values(["shift", "ref", "cand"]).itertuples():
-            if row.ref not in taken_ref and row.cand not in taken_cand:
-                taken_ref.add(row.ref)
-                taken_cand.add(row.cand)
-                keep.append(row.Index)
-        return frame.loc[keep, [*keys, "ref", "cand", "shift"]]
-
-    return pairs.groupBy(*keys).applyInPandas(fold, schema)
+    left = materialize(pairs.select(*keys, "ref", "cand", "shift").distinct(), "onset-pairs")
+    place = F.struct("shift", "ref", "cand")
+    rounds = []
+    while not left.isEmpty():
+        of_ref, of_cand = (F.min(place).over(Window.partitionBy(*keys, side)) for side in ("ref", "cand"))
+        taken = materialize(left.withColumns({"_r": of_ref, "_c": of_cand}).filter((F.col("_r") == place) & (F.col("_c") == place)).drop("_r", "_c"), "onset-matches")
+        rounds.append(taken)
+        rest = left.join(taken.select(*keys, "ref"), [*keys, "ref"], "left_anti").join(taken.select(*keys, "cand"), [*keys, "cand"], "left_anti")
+        left = materialize(rest.select(*keys, "ref", "cand", "shift"), "onset-pairs")
+    out = left
+    for taken in rounds:
+        out = out.unionByName(taken)
+    return out

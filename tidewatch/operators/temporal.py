@@ -158,18 +158,15 @@ def multistep_targets(rows: DataFrame, risk: str, hazard: str, horizon: int, ste
     The walk stops at a gap in time, at the first row not at risk, or (inclusive)
     at the first event.  Adds ``labels``, ``mask`` (arrays) and ``event_step`` (-1).
     """
-    frame = f"OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING)"
-    # First position where the walk must stop, counted from the row itself.
-    looked = rows.selectExpr(
-        "*", f"collect_list(named_struct('t', t, 'risk', {risk}, 'hit', {hazard})) {frame} AS _ahead")
-    usable = looked.selectExpr(
-        "*", f"transform(_ahead, (x, i) -> x.risk = 1 AND x.t = t + i * {step}) AS _fit",
-        "transform(_ahead, x -> x.hit = 1) AS _hit")
-    ends = usable.selectExpr(
-        "*", "coalesce(nullif(array_position(_fit, false), 0) - 1, size(_fit)) AS _open",
-        "array_position(transform(_fit, (f, i) -> f AND _hit[i]), true) AS _event")
-    known = ends.selectExpr("*", "CASE WHEN _event > 0 AND _event <= _open THEN _event ELSE _open END AS _n",
-                            "CASE WHEN _event > 0 AND _event <= _open THEN CAST(_event AS INT) - 1 ELSE -1 END AS event_step")
+    over = "OVER (PARTITION BY entity ORDER BY t{})"
+    ahead = over.format(f" ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING")
+    after = over.format(f" ROWS BETWEEN 1 FOLLOWING AND {horizon - 1} FOLLOWING")
+    placed = rows.selectExpr("*", f"row_number() {over.format('')} AS _at", f"t - lag(t) {over.format('')} <> {step} AS _gap")
+    # Places of the next row that stops the walk, of the next event, and of the end of the rows that can be seen.
+    looked = placed.selectExpr(
+        "*", f"least(min(CASE WHEN {risk} IS DISTINCT FROM 1 THEN _at END) {ahead}, min(CASE WHEN _gap THEN _at END) {after}, _at + count(1) {ahead}) - _at AS _open",
+        f"min(CASE WHEN {hazard} = 1 THEN _at END) {ahead} - _at AS _event")
+    known = looked.selectExpr("*", "CASE WHEN _event < _open THEN _event + 1 ELSE _open END AS _n", "CAST(CASE WHEN _event < _open THEN _event ELSE -1 END AS INT) AS event_step")
     return known.selectExpr(
         *rows.columns, f"transform(sequence(0, {horizon - 1}), i -> CASE WHEN i = event_step THEN 1 ELSE 0 END) AS labels",
         f"transform(sequence(0, {horizon - 1}), i -> CASE WHEN i < _n THEN 1 ELSE 0 END) AS mask", "event_step")

@@ -66,6 +66,24 @@ def sc3(spark, root):
     return parts[0].unionByName(parts[1])
 
 
+@query("sc3_encoding_per_file", "station:s encoding:s c_custkey:i place:s",
+       """SELECT CASE c_custkey % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'plain' ELSE 'late' END AS station, CASE WHEN c_custkey % 4 IN (1, 3) THEN 'GB18030' ELSE 'UTF-8' END AS encoding, c_custkey,
+       CASE WHEN c_custkey % 4 = 2 THEN c_name WHEN c_custkey % 4 = 3 AND c_custkey < (SELECT max(c_custkey) FROM customer WHERE c_custkey % 4 = 3) THEN c_name ELSE c_name || '，武夷山站' END AS place FROM customer""")
+def sc3_per_file(spark, root):
+    """A folder of files in two encodings; one file is plain but for its last row, and the station is in each file's name."""
+    c = table(spark, root, "customer").select("c_custkey", "c_name")
+    kind = F.col("c_custkey") % 4
+    last = c.filter(kind == 3).agg(F.max("c_custkey")).scalar()
+    named = c.withColumn("_last", last).withColumn("place", F.when((kind == 2) | ((kind == 3) & (F.col("c_custkey") < F.col("_last"))), F.col("c_name")).otherwise(F.concat("c_name", F.lit("，武夷山站"))))
+    path = scratch_path(spark, "mixed-log")
+    for k, (station, encoding) in enumerate((("north", "UTF-8"), ("south", "GB18030"), ("plain", "UTF-8"), ("late", "GB18030"))):
+        rows = named.filter(kind == k).select(F.col("c_custkey").cast("string").alias("c_custkey"), "place").orderBy(F.col("c_custkey").cast("bigint"))
+        rows.coalesce(1).write.option("header", True).option("encoding", encoding).csv(f"{path}/{station}")
+    log = logs.read_mixed_log(spark, path, ["c_custkey", "place"])
+    folder = F.regexp_extract("source_file", r"([^/]+)/[^/]*$", 1)
+    return log.select(folder.alias("station"), F.col("source_encoding").alias("encoding"), F.col("c_custkey").cast("bigint").alias("c_custkey"), "place")
+
+
 @query("sc4_declared_schema", "event_id:i user_id:f event_type:s price:f brand:s",
        """SELECT event_id, CASE WHEN event_id%10<>0 THEN user_id END AS user_id, event_type, value AS price, CAST(NULL AS VARCHAR) AS brand FROM events""")
 def sc4(spark, root):

@@ -153,7 +153,15 @@ def jn15(spark, root):
     return joins.seed_mean(long, ["entity", "t"], "p", 3).withColumnRenamed("p", "score")
 
 
-@query("jn16_greedy_onset_match", "entity:i ref:i cand:i shift:i")
+cte("loose", """SELECT entity, min(t) AS onset FROM (SELECT *, sum(brk) OVER (PARTITION BY entity ORDER BY t ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY entity ORDER BY t) <= 21660 THEN 0 ELSE 1 END AS brk
+ FROM (SELECT entity, t, row_number() OVER (PARTITION BY entity, t ORDER BY us DESC, event_id DESC) AS rn FROM rd WHERE thickness_c>500) WHERE rn=1)) GROUP BY entity, grp""", "rd")
+cte("onsetpairs", """SELECT *, row_number() OVER (PARTITION BY entity ORDER BY shift, ref, cand) AS n FROM (SELECT DISTINCT r.entity, r.onset AS ref, c.onset AS cand, abs(c.onset-r.onset) AS shift FROM ep r JOIN loose c ON c.entity=r.entity AND abs(c.onset-r.onset)<=10800)""", "ep loose")
+cte("onsetpass", """/*RECURSIVE*/ SELECT entity, 0::BIGINT AS n, 0::BIGINT AS ref, 0::BIGINT AS cand, 0::BIGINT AS shift, false AS taken, []::BIGINT[] AS refs, []::BIGINT[] AS cands FROM (SELECT DISTINCT entity FROM onsetpairs) UNION ALL
+ SELECT entity, n, ref, cand, shift, free, CASE WHEN free THEN list_append(refs, ref) ELSE refs END, CASE WHEN free THEN list_append(cands, cand) ELSE cands END
+ FROM (SELECT p.*, g.refs, g.cands, NOT list_contains(g.refs, p.ref) AND NOT list_contains(g.cands, p.cand) AS free FROM onsetpass g JOIN onsetpairs p ON p.entity=g.entity AND p.n=g.n+1)""", "onsetpairs")
+
+
+@query("jn16_greedy_onset_match", "entity:i ref:i cand:i shift:i", "SELECT entity, ref, cand, shift FROM onsetpass WHERE taken", "onsetpass")
 def jn16(spark, root):
     strict = episode_events(spark, root)
     from tidewatch.plans.standins import EPISODE_RULES, sensor_rows
@@ -263,9 +271,9 @@ def wn13b(spark, root):
 @query("wn14_multistep_targets", "entity:i t:i labels:s mask:s event_step:i",
        """SELECT entity, t, array_to_string(list_transform(range(6), lambda i: CASE WHEN i=es THEN 1 ELSE 0 END), '') AS labels,
        array_to_string(list_transform(range(6), lambda i: CASE WHEN i<n THEN 1 ELSE 0 END), '') AS mask, es AS event_step FROM (
-       SELECT r.entity, r.t, CASE WHEN f.ev IS NOT NULL AND f.ev<coalesce(f.stop,6) THEN f.ev ELSE -1 END AS es, CASE WHEN f.ev IS NOT NULL AND f.ev<coalesce(f.stop,6) THEN f.ev+1 ELSE coalesce(f.stop,6) END AS n
-       FROM risk r JOIN (SELECT a.entity, a.t, min((b.t-a.t)//3600) FILTER (b.hazard_label=1) AS ev, least(min((b.t-a.t)//3600) FILTER (b.risk_set<>1), CASE WHEN count(*)<6 THEN count(*) END) AS stop
-       FROM risk a JOIN risk b ON b.entity=a.entity AND b.t>=a.t AND b.t<a.t+21600 GROUP BY 1,2) f ON f.entity=r.entity AND f.t=r.t)""", "risk")
+       SELECT entity, t, CASE WHEN ev IS NOT NULL AND ev<coalesce(stop,6) THEN ev ELSE -1 END AS es, CASE WHEN ev IS NOT NULL AND ev<coalesce(stop,6) THEN ev+1 ELSE coalesce(stop,6) END AS n
+       FROM (SELECT a.entity, a.t, min(k) FILTER (b.hazard_label=1) AS ev, min(k) FILTER (b.risk_set IS DISTINCT FROM 1) AS stop
+       FROM (SELECT entity, t, unnest(range(6)) AS k FROM risk1) a LEFT JOIN risk1 b ON b.entity=a.entity AND b.t=a.t+a.k*3600 GROUP BY 1,2))""", "risk1")
 def wn14(spark, root):
     r = risk_rows(spark, root).select("entity", "t", "risk_set", "hazard_label")
     return temporal.multistep_targets(r, "risk_set", "hazard_label", 6, HOUR).withColumns({

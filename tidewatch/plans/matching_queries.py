@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import controller, joins, matching, scan
@@ -205,25 +207,49 @@ def mt13_seasons(spark, root):
     return r.groupBy("entity", "season", "evaluable", "operational").agg(F.count(F.lit(1)).alias("events"))
 
 
-def controller_records(spark, root, rules, budget: float):
-    """Strict match records of one budget of a controller run."""
-    inputs = controller_inputs(spark, root, rules)
-    trace = controller.trace_of(materialize(controller.run_controller(inputs, purchase_events(spark, root), (5.0, 10.0, 20.0), rules), "controller"))
-    rows = trace.filter(F.col("budget") == budget).join(inputs.select("entity", "t", "observed"), ["entity", "t"])
-    return matching.strict_match(rows, purchase_events(spark, root), "alarm", HOUR, HORIZON_S)[0]
+def matching_ctes(name: str, rows: str, needs: str) -> str:
+    """Register ``<name>_records``: the strict contract for several alarm columns at once; ``rows`` yields (key, entity, t, alarm, observed)."""
+    cte(f"{name}_rows", rows, needs)
+    cte(f"{name}_segrows", f"""SELECT *, sum(b) OVER (PARTITION BY key, entity ORDER BY t ROWS UNBOUNDED PRECEDING)-1 AS segment FROM (SELECT *, CASE WHEN t-pt<=3600 AND NOT EXISTS (SELECT 1 FROM onsets o WHERE o.entity=a.entity AND o.onset>a.pt AND o.onset<=a.t) THEN 0 ELSE 1 END AS b
+ FROM (SELECT *, lag(t) OVER (PARTITION BY key, entity ORDER BY t) AS pt FROM {name}_rows WHERE alarm=1) a)""", f"{name}_rows onsets")
+    cte(f"{name}_avail", f"""SELECT k.key, w.entity, w.onset, w.event_id, CASE WHEN count(r.t)=6 THEN 1 ELSE 0 END AS evaluable, CASE WHEN count(r.t)>0 THEN 1 ELSE 0 END AS operational
+ FROM win w CROSS JOIN (SELECT DISTINCT key FROM {name}_rows) k LEFT JOIN {name}_rows r ON r.key=k.key AND r.entity=w.entity AND r.t>=w.window_start AND r.t<=w.window_end GROUP BY 1,2,3,4""", f"win {name}_rows")
+    cte(f"{name}_segcand", f"""SELECT s.key, s.entity, s.segment, s.start, list(e.onset ORDER BY e.onset) FILTER (e.onset IS NOT NULL) AS cands FROM (SELECT key, entity, segment, min(t) AS start, max(t) AS stop FROM {name}_segrows GROUP BY 1,2,3) s
+ LEFT JOIN {name}_avail e ON e.key=s.key AND e.entity=s.entity AND e.operational=1 AND e.onset>s.start AND e.onset<=s.stop+21600 GROUP BY 1,2,3,4""", f"{name}_segrows {name}_avail")
+    cte(f"{name}_greedy", f"""/*RECURSIVE*/ SELECT key, entity, -1::BIGINT AS segment, -1::BIGINT AS last_hit, CAST(NULL AS BIGINT) AS hit, CAST(NULL AS BIGINT) AS start FROM (SELECT DISTINCT key, entity FROM {name}_segcand) UNION ALL
+ SELECT key, entity, segment, coalesce(h, last_hit), h, start FROM (SELECT s.key, s.entity, s.segment, g.last_hit, s.start, list_filter(s.cands, lambda x: x>g.last_hit)[1] AS h FROM {name}_greedy g JOIN {name}_segcand s ON s.key=g.key AND s.entity=g.entity AND s.segment=g.segment+1)""", f"{name}_segcand")
+    cte(f"{name}_records", f"""SELECT a.*, CASE WHEN h.hit IS NULL THEN 0 ELSE 1 END AS hit, (a.onset-greatest(h.start,a.onset-21600))/3600.0 AS lead_hours
+ FROM {name}_avail a LEFT JOIN (SELECT * FROM {name}_greedy WHERE hit IS NOT NULL) h ON h.key=a.key AND h.entity=a.entity AND h.hit=a.onset""", f"{name}_avail {name}_greedy")
+    return f"{name}_records"
 
 
-@query("mt14_coupling_cost", "coupled_hits:i uncoupled_hits:i utility_cost:f relative_cost:f hit_cost:f")
-def mt14(spark, root):
-    import dataclasses
+matching_ctes("cost", "SELECT c.kind || '@' || CAST(c.budget AS INT) AS key, c.entity, c.t, c.alarm, s.observed FROM (SELECT 'coupled' AS kind, * FROM ctl_trace UNION ALL SELECT 'uncoupled', * FROM ctl_uncoupled_trace) c JOIN scored s ON s.entity=c.entity AND s.t=c.t",
+              "ctl_trace ctl_uncoupled_trace scored")
 
-    both = controller_records(spark, root, RULES, 5.0).withColumn("method", F.lit("coupled")).unionByName(
-        controller_records(spark, root, dataclasses.replace(RULES, couple=False), 5.0).withColumn("method", F.lit("uncoupled")))
-    wide = both.groupBy().pivot("method", ["coupled", "uncoupled"]).agg(
+
+@query("mt14_coupling_cost", "budget:f coupled_hits:i uncoupled_hits:i utility_cost:f relative_cost:f hit_cost:f",
+       """SELECT budget, ch AS coupled_hits, uh AS uncoupled_hits, ul/un - cl/cn AS utility_cost, CASE WHEN ul<>0 THEN (ul/un - cl/cn)/(ul/un) END AS relative_cost, uh*1.0/un - ch*1.0/cn AS hit_cost FROM (
+       SELECT CAST(split_part(key,'@',2) AS DOUBLE) AS budget, sum(hit*operational) FILTER (key LIKE 'coupled%') AS ch, sum(hit*operational) FILTER (key LIKE 'uncoupled%') AS uh, sum(operational) FILTER (key LIKE 'coupled%') AS cn, sum(operational) FILTER (key LIKE 'uncoupled%') AS un,
+       coalesce(sum(lead_hours) FILTER (key LIKE 'coupled%' AND hit=1),0) AS cl, coalesce(sum(lead_hours) FILTER (key LIKE 'uncoupled%' AND hit=1),0) AS ul FROM cost_records GROUP BY 1)""", "cost_records")
+def mt14(spark, root):
+    """What nesting the budgets costs, budget by budget; both controllers run in one pass."""
+    events = purchase_events(spark, root)
+    inputs = materialize(controller_inputs(spark, root, RULES), "inputs")
+    rules = {"coupled": RULES, "uncoupled": dataclasses.replace(RULES, couple=False)}
+    trace = controller.trace_of(controller.run_controllers(inputs, events, BUDGETS, rules)).join(inputs.select("entity", "t", "observed"), ["entity", "t"])
+    # The candidate becomes part of the entity's key, so all are matched in the same pass.
+    name = F.concat_ws("@", "method", F.col("budget").cast("int").cast("string"))
+    rows = materialize(trace.select(F.concat_ws("#", name, F.col("entity").cast("string")).alias("entity"), "t", "alarm", "observed"), "coupling")
+    names = F.explode(F.array(*[F.lit(f"{m}@{int(b)}") for m in rules for b in BUDGETS]))
+    spread = events.withColumn("_name", names).select(F.concat_ws("#", "_name", F.col("entity").cast("string")).alias("entity"), F.concat_ws("#", "_name", F.col("event_id").cast("string")).alias("event_id"), "onset")
+    records = matching.strict_match(rows, spread, "alarm", HOUR, HORIZON_S)[0]
+    key = F.substring_index("entity", "#", 1)
+    tagged = records.withColumns({"method": F.substring_index(key, "@", 1), "budget": F.substring_index(key, "@", -1).cast("double")})
+    wide = tagged.groupBy("budget").pivot("method", ["coupled", "uncoupled"]).agg(
         F.sum(F.col("hit") * F.col("operational")).alias("hits"), F.sum("operational").alias("n"),
         F.sum(F.when(F.col("hit") == 1, F.col("lead_hours")).otherwise(0.0)).alias("lead"))
     u, c = "(uncoupled_lead / uncoupled_n)", "(coupled_lead / coupled_n)"
-    return wide.selectExpr("coupled_hits", "uncoupled_hits", f"{u} - {c} AS utility_cost", f"try_divide({u} - {c}, {u}) AS relative_cost",
+    return wide.selectExpr("budget", "coupled_hits", "uncoupled_hits", f"{u} - {c} AS utility_cost", f"try_divide({u} - {c}, {u}) AS relative_cost",
                            "uncoupled_hits / uncoupled_n - coupled_hits / coupled_n AS hit_cost")
 
 

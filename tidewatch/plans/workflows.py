@@ -5,18 +5,21 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import scalar
+from tidewatch.functions import scalar, trajectory
 from tidewatch.functions.clock import DAY
-from tidewatch.operators import (audits, bootstrap, controller, episodes, joins, matching, metrics, models, policies,
-                                 sampling, scan, selection, temporal)
+from tidewatch.operators import (audits, bootstrap, controller, episodes, hazards, joins, matching, metrics, models, policies,
+                                 sampling, scan, selection, structured, temporal)
+from tidewatch.operators.policies import capacity_bins
 from tidewatch.plans.cleaning import assert_no_leakage, standardize
 from tidewatch.plans.matching_queries import HORIZON_S, monthly_false_hours, paired
 from tidewatch.plans.metric_queries import (R, _condition_table, _day_blocks, _folds, feature_frame, loss_sums, pair_sums,
                                             seasonal_design)
-from tidewatch.plans.model_queries import BOOST, LOCAL, STABILITY_REPLICATES, boosted_scores, fit_graph, penalties, structured_rows, training_rows
+from tidewatch.plans.model_queries import BOOST, BOOST_ROUNDS, LOCAL, STABILITY_REPLICATES, boosted_scores, fit_path, graph_problem, stability_fits, structured_rows, training_rows
+from tidewatch.plans import policy_queries
 from tidewatch.plans.policy_queries import BUDGETS, CAP, RULES, controller_inputs, trajectories
 from tidewatch.plans.recurrence import bin_event_table, causal_recurrence_features
 from tidewatch.plans.registry import query
@@ -99,31 +102,28 @@ def wf2(spark, root):
     return sampling.weighted_sample(strata, {1: 500, 2: 800}, ["entity", "t"], 11).withColumnRenamed("z_gap_hours", "z_gap")
 
 
-@query("wf3_baseline_operating_points", "model:s hours:f events:i hits:i hit_rate:f mean_lead:f utility:f")
+@query("wf3_baseline_operating_points", "model:s hours:f cohort:s events:i hits:i hit_rate:f mean_lead:f utility:f")
 def wf3(spark, root):
-    rows = training_rows(spark, root)
-    events = purchase_events(spark, root)
-    fits = {link: models.fit_glm(rows, LOCAL, "future", "weight", link) for link in ("cloglog", "logit")}
+    """Fitted on the training span, calibrated and thresholds set on the calibration span, judged after it, for all entities and by cohort."""
+    lo = grid_bounds(readings(spark, root))["lo"]
+    days = (14, 21)
+    rows = materialize(spans(training_rows(spark, root), lo, days, ("train", "calibration", "judged")), "baseline-spans")
+    train, held, judged = (rows.filter(F.col("span") == n) for n in ("train", "calibration", "judged"))
+    events = materialize(span_events(spark, root, lo, days, 1), "judged-events")
     parts = []
-    for link, fit in fits.items():
-        cal = models.calibrate(rows.withColumn("eta", fit.eta()), "eta", "future", "weight", link)
-        risk = scalar.cloglog_risk(F.lit(cal.intercept) + F.lit(cal.values[0]) * fit.eta()) if link == "cloglog" else scalar.logit_risk(F.lit(cal.intercept) + F.lit(cal.values[0]) * fit.eta())
-        predicted = materialize(rows.withColumn("risk", risk), "predicted")
+    for link in ("cloglog", "logit"):
+        fit = models.fit_glm(train.filter(f"NOT {UNSEEN}"), LOCAL, "future", "weight", link)
+        cal = models.calibrate(held.withColumn("eta", fit.eta()), "eta", "future", "weight", link)
+        line = F.lit(cal.intercept) + F.lit(cal.values[0]) * fit.eta()
+        risk = scalar.cloglog_risk(line) if link == "cloglog" else scalar.logit_risk(line)
         for hours in (10.0, 40.0):
-            _, summary = final_episode_metrics(at_budget(predicted, "risk", hours), events, "alarm")
-            parts.append(summary.withColumns({"model": F.lit(link), "hours": F.lit(hours)}))
+            alarms = materialize(threshold_alarms(held.withColumn("risk", risk), judged.withColumn("risk", risk), "risk", hours), "baseline-alarms")
+            for cohort, condition in (("all", "true"), ("seen", f"NOT {UNSEEN}"), ("unseen", UNSEEN)):
+                _, summary = final_episode_metrics(alarms.filter(condition), events.filter(condition), "alarm")
+                parts.append(summary.withColumns({"model": F.lit(link), "hours": F.lit(hours), "cohort": F.lit(cohort)}))
     return union(parts)
 
 
-def graph_scores(spark, root) -> DataFrame:
-    """Rows with the fitted graph score, its ablation and contribution as risks."""
-    rows, names = structured_rows(spark, root)
-    fit = fit_graph(rows, names)
-    parts = models.decompose(rows, ["entity", "t"], names, fit)
-    base = training_rows(spark, root).select("entity", "t", "future")
-    return materialize(base.join(parts, ["entity", "t"]).withColumns({"full": scalar.cloglog_risk("eta"), "ablated": scalar.cloglog_risk("ablated_eta")}), "graph-scores")
-
-
 def paired_records(named: dict[str, DataFrame]) -> DataFrame:
     keep = ["event_id", "entity", "onset", "evaluable", "hit", "lead_hours"]
     return materialize(union([r.select(*keep, F.lit(n).alias("method")) for n, r in named.items()]), "paired")
@@ -138,28 +138,146 @@ def compare(records: DataFrame, a: str, b: str, replicates: int = R) -> DataFram
     return bootstrap.cluster_bootstrap(sums, PAIR_COLUMNS, PAIR_RATIOS, replicates, f"{a}-{b}").withColumns({"model_a": F.lit(a), "model_b": F.lit(b)})
 
 
-@query("wf4_graph_increment", "metric:s estimate:f low:f high:f")
+#: Days from the first bin on: training, selection of the penalty, calibration with the alarm threshold; what comes after is judged only.
+GRAPH_SPANS = (12, 17, 21)
+#: Entities that no fit sees; they have no term of their own and are judged as a cohort.
+UNSEEN = "entity % 5 = 0"
+
+
+def spans(rows: DataFrame, lo, days: tuple[int, ...] = GRAPH_SPANS, names: tuple[str, ...] = ("train", "selection", "calibration", "judged")) -> DataFrame:
+    """Rows with their ``span``; those whose horizon reaches into the next one are in none."""
+    marked, span, start = rows.withColumn("_lo", lo), F.lit(None).cast("string"), F.col("_lo")
+    for name, end in zip(names, (*days, None), strict=True):
+        stop = None if end is None else F.col("_lo") + end * DAY
+        inside = F.col("t") >= start if stop is None else (F.col("t") >= start) & (F.col("t") + HORIZON * HOUR < stop)
+        span, start = F.when(inside, name).otherwise(span), stop
+    return marked.withColumn("span", span).drop("_lo").filter("span IS NOT NULL")
+
+
+def span_events(spark, root, lo, days: tuple[int, ...], first: int, last: int | None = None) -> DataFrame:
+    """Purchase onsets from the end of span ``first`` on, up to that of ``last``."""
+    events = purchase_events(spark, root).withColumn("_lo", lo)
+    kept = events.filter(F.col("onset") >= F.col("_lo") + days[first] * DAY)
+    return (kept if last is None else kept.filter(F.col("onset") < F.col("_lo") + days[last] * DAY)).drop("_lo")
+
+
+def threshold_alarms(limits: DataFrame, judged: DataFrame, score: str, hours: float) -> DataFrame:
+    """Alarms on ``judged`` above the budget threshold of ``limits``, rows of an earlier span."""
+    limit = selection.budget_threshold(limits, score, "future", hours, 60).select(F.struct("threshold", "everything")).scalar()
+    out = judged.withColumn("_lim", limit)
+    return out.withColumn("alarm", F.expr(f"CAST(coalesce({score} IS NOT NULL AND (_lim.everything = 1 OR {score} > _lim.threshold), false) AS INT)")).drop("_lim")
+
+
+@query("wf4_graph_increment", "l1:f cohort:s budget:f metric:s estimate:f low:f high:f")
 def wf4(spark, root):
-    g = graph_scores(spark, root)
-    events = purchase_events(spark, root)
-    named = {n: final_episode_metrics(at_budget(g, n, 20.0), events, "alarm")[0] for n in ("full", "ablated")}
-    return compare(paired_records(named), "full", "ablated")
+    """Neighbour terms against none: the penalty is chosen on the selection span, scores are calibrated and thresholds set on the
+    calibration span, and the last span is judged, at several budgets, for all entities and for those that the fit has seen."""
+    rows, names = structured_rows(spark, root)
+    lo = grid_bounds(readings(spark, root))["lo"]
+    base = training_rows(spark, root).select("entity", "t", "future", "weight")
+    cut = materialize(spans(rows, lo).join(base, ["entity", "t"]), "graph-spans")
+    packed, barrier, path = fit_path(cut.filter(f"span = 'train' AND NOT {UNSEEN}"), names)
+    effects = {s.name: structured.entity_terms(packed, s) for s in (barrier, *path)}
+
+    def scored_rows(part: DataFrame, fits) -> DataFrame:
+        lines = structured.linear_score(part, ["entity", "t", "future", "weight"], {s.name: s.values for s in fits})
+        for s in fits:
+            own = effects[s.name].withColumnRenamed("effect", "_own")
+            lines = lines.join(own, "entity", "left").withColumn(s.name, F.col(f"`{s.name}`") + F.coalesce("_own", F.lit(0.0))).drop("_own")
+        return lines
+
+    # Selection: of the penalties that do not lose log-loss against the barrier, the one with the largest warning utility.
+    selected = materialize(scored_rows(cut.filter("span = 'selection'"), (barrier, *path)), "selection-scores")
+    known = span_events(spark, root, lo, GRAPH_SPANS, 0, 1)
+    candidates = []
+    for s in (barrier, *path):
+        risk = selected.select("entity", "t", "future", "weight", scalar.cloglog_risk(F.col(f"`{s.name}`")).alias("risk"))
+        loss = metrics.base_metrics(risk, "risk", "future", "weight").select("log_loss").scalar()
+        _, summary = final_episode_metrics(at_budget(risk, "risk", 20.0), known, "alarm")
+        candidates.append(summary.select(F.lit(s.name).alias("name"), F.coalesce("utility", F.lit(0.0)).alias("utility"), loss.alias("log_loss")))
+    table = materialize(union(candidates), "penalties")
+    limit = table.filter("name = 'barrier'").agg(F.max("log_loss")).scalar() + 0.001
+    allowed = table.filter("name <> 'barrier'").withColumns({"grp": F.lit(1), "_limit": limit})
+    choice = selection.best_rows(allowed, ["grp"], [F.desc(F.round("utility", 9)), F.asc("log_loss")], F.col("log_loss") <= F.col("_limit")).first()["name"]
+    chosen = next(s for s in path if s.name == choice)
+
+    held = materialize(scored_rows(cut.filter("span = 'calibration'"), (barrier, chosen)), "calibration-scores")
+    judged = materialize(scored_rows(cut.filter("span = 'judged'"), (barrier, chosen)), "judged-scores")
+    lines = {}
+    for s in (barrier, chosen):
+        eta = F.col(f"`{s.name}`")
+        cal = models.calibrate(held.withColumn("eta", eta), "eta", "future", "weight")
+        lines[s.name] = scalar.cloglog_risk(F.lit(cal.intercept) + F.lit(cal.values[0]) * eta)
+    events = span_events(spark, root, lo, GRAPH_SPANS, 2)
+    parts = []
+    for hours in (10.0, 20.0):
+        records = {}
+        for s in (barrier, chosen):
+            limits, rows_ = (x.select("entity", "t", "future", lines[s.name].alias("risk")) for x in (held, judged))
+            records["local" if s is barrier else "graph"] = final_episode_metrics(threshold_alarms(limits, rows_, "risk", hours), events, "alarm")[0]
+        paired_all = paired_records(records)
+        for cohort, condition in (("all", "true"), ("seen", f"NOT {UNSEEN}")):
+            parts.append(compare(paired_all.filter(condition), "graph", "local").withColumns({"cohort": F.lit(cohort), "budget": F.lit(hours)}))
+    return union(parts).withColumn("l1", F.lit(float(choice.split("=")[1])))
+
+
+LATCHED_GRID = tuple(round(0.82 + 0.02 * k, 2) for k in range(9))
+
+
+def latched_rule(quantile: float, hours: float = 30.0) -> policies.LatchedBudget:
+    return policies.LatchedBudget(60, hours, 10 * DAY, quantile, 24, 3.0, 2, 2)
 
 
-@query("wf5_stability_pipeline", "model:s months:i mean_false:f max_false:f hits:i events:i")
+def latched_candidates(rows: DataFrame, score: str, quantiles: tuple[float, ...] = LATCHED_GRID, hours: float = 30.0) -> DataFrame:
+    """(candidate, entity, t, future, observed, alarm): every quantile's latched alarms, their thresholds from one ordered window."""
+    named = {f"q{int(round(q * 100))}": q for q in quantiles}
+    keep = [c for c in ("entity", "t", "future", "observed", "span") if c in rows.columns]
+    staged = materialize(policies.rolling_thresholds(rows.select(*keep, score), score, named, 10 * DAY, 24), "thresholds")
+    parts = [policies.latched_on(staged.withColumn("threshold", F.col(n)), score, latched_rule(q, hours)).select(*keep, "alarm", F.lit(n).alias("candidate")) for n, q in named.items()]
+    return union(parts)
+
+
+def episode_table(rows: DataFrame, events: DataFrame, budget: float = 30.0) -> DataFrame:
+    """One row per candidate: monthly false hours and final-episode metrics."""
+    tagged, spread = with_candidate(rows, events.select("entity", "event_id", "onset"))
+    tagged = materialize(tagged, "candidate-rows")
+    records = matching.final_episode_match(tagged, spread, F.col("alarm") == 1, HOUR, HORIZON_S, 1, HOUR, 3 * HOUR).withColumn("candidate", F.substring_index("entity", "#", 1))
+    summary = records.groupBy("candidate").agg(F.expr("sum(evaluable) AS events"), F.expr("sum(hit) AS hits"), F.expr("coalesce(try_divide(sum(hit), sum(evaluable)), 0) AS hit_rate"),
+                                               F.expr("coalesce(try_divide(sum(lead_hours), sum(evaluable)), 0) AS utility"))
+    months = tagged.groupBy("candidate", "entity", F.expr("date_format(timestamp_seconds(t), 'yyyy-MM') AS month")).agg(F.expr("count_if(alarm = 1 AND future = 0) AS false_hours"))
+    spent = months.groupBy("candidate").agg(F.count(F.lit(1)).alias("months"), F.avg("false_hours").alias("mean_false"), F.max("false_hours").alias("max_false"), F.avg((F.col("false_hours") > budget).cast("int")).alias("over"))
+    return summary.join(spent, "candidate")
+
+
+@query("wf5_stability_pipeline", "quantile:s span:s months:i mean_false:f max_false:f hits:i events:i utility:f")
 def wf5(spark, root):
+    """Stable neighbour terms are refitted on the training span and calibrated after it; the budget quantile is chosen on the calibration span,
+    and every later span is judged on its own."""
     rows, names = structured_rows(spark, root, replicates=STABILITY_REPLICATES)
-    fits = models.fit_structured_many(rows, names, *penalties(names), replicates=STABILITY_REPLICATES)
-    long = spark.createDataFrame([(n, float(v)) for f in fits for n, v in zip(names, f.values, strict=True) if n.startswith("graph::")], "feature string, coefficient double")
-    stable = {r["feature"] for r in models.selection_frequency(long).filter("stable = 1").collect()}
-    kept = [i for i, n in enumerate(names) if not n.startswith("graph::") or n in stable]
-    refit = fit_graph(rows.withColumn("x", F.filter("x", lambda z: F.array_contains(F.array(*[F.lit(i) for i in kept]), z["i"]))), names)
-    scores = models.decompose(rows, ["entity", "t"], names, refit).withColumn("risk", scalar.cloglog_risk("eta"))
-    base = materialize(training_rows(spark, root).select("entity", "t", "future").join(scores, ["entity", "t"]), "stable-scores")
-    latched = materialize(policies.latched_alarms(base, "risk", policies.LatchedBudget(60, 30.0, 10 * DAY, 0.9, 24, 3.0, 2, 2)), "latched")
-    audit = monthly_false_hours(latched, {"stable": "alarm = 1"}, "future", HOUR, 30.0)
-    _, summary = final_episode_metrics(latched, purchase_events(spark, root), "alarm")
-    return audit.withColumn("_o", F.lit(1)).join(summary.withColumn("_o", F.lit(1)), "_o").drop("_o")
+    lo = grid_bounds(readings(spark, root))["lo"]
+    base = training_rows(spark, root).select("entity", "t", "future", "weight")
+    order = ("train", "calibration", "first", "second")
+    cut = materialize(spans(rows, lo, (12, 18, 24), order).join(base, ["entity", "t"]), "stable-spans")
+    train = cut.filter("span = 'train'")
+    stable = models.selection_frequency(stability_fits(spark, train, names)).filter("stable = 1")
+    place = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    kept = {r["i"] for r in place.join(stable.filter("feature LIKE 'graph::%'"), "feature").collect()}  # terms, as the coefficients are
+    problem = graph_problem("stable", names)
+    problem.upper = np.where([n.startswith("graph::") and k not in kept for k, n in enumerate(names)], 0.0, problem.upper)
+    packed = structured.pack(train)
+    (fit,) = structured.solve(packed, [problem])
+    lines = structured.linear_score(cut, ["entity", "t", "future", "weight", "span"], {"eta": fit.values}).join(structured.entity_terms(packed, fit), "entity", "left")
+    scored_ = materialize(lines.withColumn("eta", F.col("eta") + F.coalesce("effect", F.lit(0.0))), "stable-scores")
+    cal = models.calibrate(scored_.filter("span = 'calibration'"), "eta", "future", "weight")
+    risk = scored_.withColumn("risk", scalar.cloglog_risk(F.lit(cal.intercept) + F.lit(cal.values[0]) * F.col("eta"))).withColumn("observed", F.lit(1))
+    alarms = materialize(latched_candidates(materialize(risk, "stable-risk"), "risk"), "stable-alarms")
+    development = episode_table(alarms.filter("span = 'calibration'"), span_events(spark, root, lo, (12, 18, 24), 0, 1)).withColumn("grp", F.lit(1))
+    chosen = selection.best_rows(development, ["grp"], [F.desc(F.round("utility", 9)), F.desc(F.round("hit_rate", 9)), F.asc("mean_false"), F.asc("candidate")], F.col("mean_false") <= 30).select("candidate")
+    parts = []
+    for name, first, last in (("first", 1, 2), ("second", 2, None)):
+        mine = alarms.filter(F.col("span") == name).join(F.broadcast(chosen), "candidate", "left_semi")
+        parts.append(episode_table(mine, span_events(spark, root, lo, (12, 18, 24), first, last)).withColumn("span", F.lit(name)))
+    return union(parts).withColumnRenamed("candidate", "quantile")
 
 
 @query("wf6_placebo_gate", "model_a:s model_b:s metric:s estimate:f low:f high:f passed:i")
@@ -194,18 +312,21 @@ def wf7(spark, root):
     return union(parts)
 
 
-@query("wf8_development_selection", "quantile:f utility:f hit_rate:f mean_false:f feasible:i")
+@query("wf8_development_selection", "candidate:s span:s utility:f hit_rate:f mean_false:f feasible:i chosen:i")
 def wf8(spark, root):
+    """Every quantile on the development span; the best feasible one once more on the span after it, which had no say."""
     long = scored(spark, root).filter("score IS NOT NULL").selectExpr("entity", "t", "future", "observed", "stack(2, 1, score, 2, 0.5D * score + 0.5D * noise / 997) AS (seed, p)")
-    mean = materialize(joins.seed_mean(long, ["entity", "t", "future", "observed"], "p", 2), "ensemble")
-    events = purchase_events(spark, root)
-    parts = []
-    for q in (0.85, 0.92, 0.97):
-        rows = materialize(policies.latched_alarms(mean, "p", policies.LatchedBudget(60, 30.0, 10 * DAY, q, 24, 3.0, 2, 2)).filter("observed = 1"), "latched")
-        audit = monthly_false_hours(rows, {"m": "alarm = 1"}, "future", HOUR, 30.0).withColumn("_o", F.lit(1))
-        parts.append(audit.join(final_episode_metrics(rows, events, "alarm")[1].withColumn("_o", F.lit(1)), "_o").drop("_o").withColumn("quantile", F.lit(q)))
-    table = materialize(union(parts), "selection").withColumns({"grp": F.lit(1), "feasible": (F.col("mean_false") <= 25).cast("int")})
-    return selection.best_rows(table, ["grp"], [F.desc("utility"), F.desc("hit_rate"), F.asc("quantile")], F.col("feasible") == 1)
+    mean = joins.seed_mean(long, ["entity", "t", "future", "observed"], "p", 2)
+    lo = grid_bounds(readings(spark, root))["lo"]
+    cut = spans(mean, lo, (20,), ("development", "frozen"))
+    alarms = materialize(latched_candidates(materialize(cut, "ensemble"), "p").filter("observed = 1"), "quantile-alarms")
+    development = episode_table(alarms.filter("span = 'development'"), purchase_events(spark, root).withColumn("_lo", lo).filter(F.col("onset") < F.col("_lo") + 20 * DAY).drop("_lo"))
+    development = materialize(development, "development").withColumns({"grp": F.lit(1), "feasible": (F.col("mean_false") <= 25).cast("int")})
+    best = selection.best_rows(development, ["grp"], [F.desc(F.round("utility", 9)), F.desc(F.round("hit_rate", 9)), F.asc("candidate")], F.col("feasible") == 1).select("candidate")
+    frozen = episode_table(alarms.filter("span = 'frozen'").join(F.broadcast(best), "candidate", "left_semi"), span_events(spark, root, lo, (20,), 0))
+    chosen = best.withColumn("chosen", F.lit(1))
+    both = union([development.withColumn("span", F.lit("development")), frozen.withColumns({"span": F.lit("frozen"), "feasible": (F.col("mean_false") <= 25).cast("int")})])
+    return both.join(F.broadcast(chosen), "candidate", "left").fillna(0, ["chosen"])
 
 
 def strategy_alarms(spark, root) -> DataFrame:
@@ -236,60 +357,172 @@ def wf9(spark, root):
     return base.join(spread, "recurrence")
 
 
-@query("wf10_strategy_comparison", "candidate:s op_events:i op_hits:i op_utility:f false_hours:f exceed_rate:f target:f chosen:i")
+def strategy_grid(rows: DataFrame, score: str) -> dict[str, policies.CandidatePolicy]:
+    """Whole policies of four strategies over quantile thresholds, runs, holds and smoothing, named ``strategy|settings``."""
+    held = policy_queries.crossed_grid(rows, score, (0.85, 0.92, 0.97), (1, 2), (1, 3))
+    levels = sorted({p.threshold for p in held.values()})
+    grid = {f"hysteresis|{n}": dataclasses.replace(p, ema_alpha=0.4) for n, p in held.items()}
+    grid |= {f"fixed|{x!r}": policies.CandidatePolicy("fixed_threshold", threshold=x) for x in levels}
+    grid |= {f"smoothed|{x!r}": policies.CandidatePolicy("fixed_threshold", threshold=x, ema_alpha=0.4) for x in levels}
+    grid |= {f"rolling|{q}": policies.CandidatePolicy("rolling_quantile", rolling_quantile=q, history_seconds=10 * DAY, minimum_history_rows=24) for q in (0.85, 0.92, 0.97)}
+    # Names of columns have no dots.
+    return {n.replace(".", "_"): p for n, p in grid.items()}
+
+
+@query("wf10_strategy_comparison", "strategy:s mode:s settings:s span:s op_events:i op_hits:i op_utility:f false_hours:f exceed_rate:f incomplete:i")
 def wf10(spark, root):
-    _, table = evaluate(strategy_alarms(spark, root), purchase_events(spark, root), 40.0)
-    table = materialize(table.withColumn("grp", F.lit(1)), "strategies")
-    near = selection.matched_comparison(table, ["grp"], "candidate", "false_hours", F.col("exceed_rate") <= 1, [F.asc("candidate")])
-    best = selection.best_rows(table, ["grp"], [F.desc(F.round("op_utility", 9)), F.asc("false_hours"), F.asc("candidate")], F.col("exceed_rate") == 0)
-    return near.join(best.select("candidate", F.lit(1).alias("chosen")), "candidate", "left").fillna(0, ["chosen"])
+    """Five strategies with their grids: each picks its settings on the development span, by utility among those that keep the budget and by
+    false hours matched across the strategies; both picks are judged on the span after it, with its eligibility audit."""
+    lo, events = grid_bounds(readings(spark, root))["lo"], purchase_events(spark, root)
+    rows = materialize(scored(spark, root).select("entity", "t", "score", "observed", "future"), "scores")
+    development = part_of(rows, lo, FROZEN_FROM, False)
+    grid = strategy_grid(development, "score")
+    capped = policies.capped_many(policies.candidates_many(rows, "score", grid), list(grid), {"40": CAP}, ("observed",)).select("entity", "t", "alarm", "observed", F.col("policy").alias("candidate"))
+    latched = latched_candidates(rows, "score", (0.85, 0.92, 0.97), 40.0).select("entity", "t", "alarm", "observed", F.concat(F.lit("latched|"), "candidate").alias("candidate"))
+    alarms = materialize(union([capped, latched]), "strategy-alarms")
+    _, early = evaluate(part_of(alarms, lo, FROZEN_FROM, False), part_of(events, lo, FROZEN_FROM, False, "onset"), 40.0)
+    early = materialize(early.withColumns({"grp": F.lit(1), "strategy": F.substring_index("candidate", "|", 1)}), "development-strategies")
+    kept = F.col("exceed_rate") == 0
+    by_utility = selection.best_rows(early, ["grp", "strategy"], [F.desc(F.round("op_utility", 9)), F.asc("false_hours"), F.asc("candidate")], kept).select("strategy", "candidate", F.lit("utility").alias("mode"))
+    matched = selection.matched_comparison(early, ["grp"], "strategy", "false_hours", kept, [F.asc("candidate")]).select("strategy", "candidate", F.lit("matched").alias("mode"))
+    picks = materialize(by_utility.unionByName(matched), "picks")
+    late_rows = part_of(alarms, lo, FROZEN_FROM, True).join(F.broadcast(picks.select("candidate").distinct()), "candidate", "left_semi")
+    records, late = evaluate(late_rows, part_of(events, lo, FROZEN_FROM, True, "onset"), 40.0)
+    audit = records.groupBy("candidate").agg(F.expr("count_if(operational = 1 AND evaluable = 0) AS incomplete"))
+    frozen = late.join(audit, "candidate").withColumn("span", F.lit("frozen"))
+    both = union([early.withColumn("span", F.lit("development")), frozen]).drop("strategy")
+    return picks.join(both, "candidate").withColumn("settings", F.expr("replace(substring(candidate, length(strategy) + 2), '_', '.')"))
 
 
 def controller_candidates(spark, root, rules: dict[str, controller.ControllerRules], budgets=BUDGETS) -> DataFrame:
-    """Traces of several controller configurations as one long frame."""
-    parts = []
+    """Traces of several controller configurations as one long frame; those that value lead time alike share one pass over their inputs."""
+    events = purchase_events(spark, root)
+    groups: dict[tuple, dict[str, controller.ControllerRules]] = {}
     for name, rule in rules.items():
-        inputs = controller_inputs(spark, root, rule)
-        trace = controller.trace_of(controller.run_controller(inputs, purchase_events(spark, root), budgets, rule))
-        parts.append(trace.join(inputs.select("entity", "t", "observed"), ["entity", "t"]).withColumn("method", F.lit(name)))
+        groups.setdefault((rule.utility, rule.horizon_steps, rule.step_minutes), {})[name] = rule
+    parts = []
+    for group in groups.values():
+        inputs = materialize(controller_inputs(spark, root, next(iter(group.values()))), "inputs")
+        trace = controller.trace_of(controller.run_controllers(inputs, events, budgets, group))
+        parts.append(trace.join(inputs.select("entity", "t", "observed"), ["entity", "t"]))
     return materialize(union(parts), "controllers")
 
 
-@query("wf11_reserved_capacity_experiment", "candidate:s feasible:i mean_utility:f chosen:i")
-def wf11(spark, root):
-    rules = {f"t{int(x * 100)}": dataclasses.replace(RULES, score_threshold=x) for x in (0.4, 0.8)}
-    rules |= {n: controller.variants(RULES)[n] for n in ("static_utility", "no_release")}
-    long = controller_candidates(spark, root, rules)
-    alarms = long.withColumn("candidate", F.concat_ws("@", "method", F.col("budget").cast("int").cast("string")))
-    _, table = evaluate(alarms, purchase_events(spark, root), 20.0)
-    held = long.groupBy("method", "budget").agg(F.expr("max(CAST(occupied > capacity AS INT)) AS over"))
-    wide = long.groupBy("method", "entity", "t").pivot("budget", list(BUDGETS)).agg(F.max("alarm")).toDF("method", "entity", "t", "a5", "a10", "a20")
-    nested = wide.groupBy("method").agg(F.expr("count_if((a5 = 1 AND a10 = 0) OR (a10 = 1 AND a20 = 0)) AS breaks"))
-    results = table.selectExpr("substring_index(candidate, '@', 1) AS candidate", "CAST(substring_index(candidate, '@', -1) AS DOUBLE) AS budget", "round(op_utility, 9) AS op_utility")
-    results = results.join(held.withColumnRenamed("method", "candidate"), ["candidate", "budget"]).join(nested.withColumnRenamed("method", "candidate"), "candidate")
-    return selection.feasible_everywhere(results, ["over = 0", "breaks = 0"], F.col("budget") >= 10, "op_utility").withColumn("feasible", F.col("feasible").cast("int"))
+def methods_by_budget(long: DataFrame) -> DataFrame:
+    return long.withColumn("candidate", F.concat_ws("@", "method", F.col("budget").cast("int").cast("string")))
+
+
+def split_candidate(table: DataFrame, *columns: str) -> DataFrame:
+    return table.selectExpr("substring_index(candidate, '@', 1) AS method", "CAST(substring_index(candidate, '@', -1) AS DOUBLE) AS budget", *columns)
+
+
+def part_of(frame: DataFrame, lo, day: int, later: bool, clock: str = "t") -> DataFrame:
+    """Rows before, or from, the ``day``-th day of the grid on."""
+    marked = frame.withColumn("_cut", lo + F.lit(day * DAY))
+    return marked.filter(F.col(clock) >= F.col("_cut") if later else F.col(clock) < F.col("_cut")).drop("_cut")
 
 
-@query("wf12_sensitivity_grid", "utility:s horizon:i budget:f alarms:i released:i confirmed:i")
+#: Score thresholds that the reserved-capacity experiment chooses from, and the day from which its choice is judged.
+THRESHOLDS = (0.2, 0.4, 0.6, 0.8, 1.0)
+FROZEN_FROM = 20
+
+
+@query("wf11_reserved_capacity_experiment", "method:s budget:f span:s op_hits:i op_utility:f oracle_utility:f regret:f over:i breaks:i chosen:i delta_utility:f delta_low:f delta_high:f")
+def wf11(spark, root):
+    """Trajectories are audited first.  Thresholds are chosen on the development span among those that hold every budget and nest; the choice,
+    its ablations and the guards are judged on the span after it, against the best alarms that the capacity allows and pair by pair."""
+    rows = trajectories(spark, root)
+    audited = rows.withColumn("f", trajectory.cumulative("h")).withColumn("key", F.struct("entity", "t"))
+    if not trajectory.audit(audited, "h", "f", "key", "entity", "t", HORIZON, 60).first().passed:
+        raise ValueError("the trajectories are not coherent")
+    rules = {f"t{int(x * 100)}": dataclasses.replace(RULES, score_threshold=x) for x in THRESHOLDS}
+    ablations = {n: controller.variants(RULES)[n] for n in ("static_utility", "no_release", "no_remaining_time", "risk_as_utility")}
+    long = controller_candidates(spark, root, rules | ablations)
+    lo = grid_bounds(readings(spark, root))["lo"]
+    events = purchase_events(spark, root)
+    # Guards: no budget is ever exceeded, and alarms of a smaller budget are alarms of a larger one.
+    held = long.groupBy("method").agg(F.max((F.col("occupied") > F.col("capacity")).cast("int")).alias("over"))
+    wide = long.groupBy("method", "entity", "t").pivot("budget", list(BUDGETS)).agg(F.max("alarm")).toDF("method", "entity", "t", "a5", "a10", "a20")
+    guards = materialize(held.join(wide.groupBy("method").agg(F.expr("count_if((a5 = 1 AND a10 = 0) OR (a10 = 1 AND a20 = 0)) AS breaks")), "method"), "guards")
+    # The oracle alarms on the best-scored bins of each month, as many as the budget pays; it knows the month's scores in advance.
+    base = scored(spark, root).select("entity", "t", "score", "observed")
+    capacities = {f"oracle{int(b)}": capacity_bins(b, 60) for b in BUDGETS}
+    masks = materialize(selection.oracle_mask(base, "score", capacities), "oracle")
+    best = union([masks.select("entity", "t", "observed", F.col(n).alias("alarm"), F.lit(f"oracle@{n[6:]}").alias("candidate")) for n in capacities])
+    every = materialize(union([methods_by_budget(long).select("entity", "t", "observed", "alarm", "candidate"), best]), "every-method")
+    tables, records = [], None
+    for span, later in (("development", False), ("frozen", True)):
+        found, table = evaluate(part_of(every, lo, FROZEN_FROM, later), part_of(events, lo, FROZEN_FROM, later, "onset"), 20.0)
+        tables.append(split_candidate(table, "op_hits", "op_utility").withColumn("span", F.lit(span)))
+        records = found if later else records
+    table = materialize(union(tables), "spans")
+    developed = table.filter("span = 'development'").join(guards, "method").filter(F.col("method").isin(*rules))
+    choice = selection.feasible_everywhere(developed.withColumnRenamed("method", "candidate"), ["over = 0", "breaks = 0"], F.col("budget") >= 10, "op_utility").filter("chosen = 1").first()["candidate"]
+    oracle = table.filter("method = 'oracle'").select("budget", "span", F.col("op_utility").alias("oracle_utility"))
+    out = table.join(oracle, ["budget", "span"]).join(guards, "method", "left").join(materialize(utility_differences(records, choice), "pairs").withColumn("span", F.lit("frozen")), ["method", "budget", "span"], "left")
+    return out.withColumns({"regret": F.col("oracle_utility") - F.col("op_utility"), "chosen": (F.col("method") == choice).cast("int")})
+
+
+def utility_differences(records: DataFrame, base: str) -> DataFrame:
+    """(method, budget, delta_utility, delta_low, delta_high): the base method against every other at the same budget, event by event on the operational queue.
+
+    All comparisons are groups of one bootstrap, so they share the counts of its draws.
+    """
+    bare = lambda c: F.expr(f"substring({c}, length(candidate) + 2)")
+    flat = records.filter("operational = 1").select(
+        F.substring_index("candidate", "@", 1).alias("method"), F.substring_index("candidate", "@", -1).cast("double").alias("budget"), bare("entity").alias("entity"), bare("event_id").alias("event_id"),
+        "hit", F.when(F.col("hit") == 1, F.col("lead_hours")).otherwise(0.0).alias("lead"))
+    flat = materialize(flat, "operational-records")
+    mine = flat.filter(F.col("method") == base).select("budget", "entity", "event_id", F.col("lead").alias("la"))
+    both = flat.filter(F.col("method") != base).join(mine, ["budget", "entity", "event_id"])
+    by = ("method", "budget")
+    sums = materialize(both.groupBy(*by, "entity").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("la").alias("la"), F.sum("lead").alias("lb")), "difference-sums")
+    ratio = {"delta_utility": "(la-lb)/nullif(n,0)"}
+    spread = bootstrap.intervals(bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["n", "la", "lb"], R, f"{base}-differences", by=by), ratio, by), by)
+    at = bootstrap.point(sums, ["n", "la", "lb"], ratio, by).select(*by, F.col("estimate").alias("delta_utility"))
+    return at.join(spread.select(*by, F.col("low").alias("delta_low"), F.col("high").alias("delta_high")), list(by))
+
+
+@query("wf12_sensitivity_grid", "utility:s horizon:i budget:f alarms:i released:i confirmed:i op_hits:i op_utility:f")
 def wf12(spark, root):
-    parts = []
-    for kind in ("linear", "hit_only", "saturating_3h"):
+    """Lead utilities x horizons x dense budgets; the horizons of one utility share nothing but the events, which judge every cell."""
+    events, months, rows = purchase_events(spark, root), [], []
+    budgets = (2.0, 4.0, 8.0, 12.0, 16.0)
+    base = materialize(trajectories(spark, root), "trajectories")
+    for kind in ("linear", "hit_only", "saturating_3h", "business_piecewise"):
         for horizon in (3, 6):
+            cell = f"{kind}/{horizon}"
             rules = dataclasses.replace(RULES, utility=kind, horizon_steps=horizon, score_threshold=0.3)
-            inputs = controller.with_decision_inputs(trajectories(spark, root).withColumn("h", F.slice("h", 1, horizon)), "h", rules)
-            months = controller.months_of(controller.run_controller(inputs, purchase_events(spark, root), (4.0, 8.0, 16.0), rules, trace="none"))
-            parts.append(months.groupBy("budget").agg(F.sum("actions").alias("alarms"), F.sum("released").alias("released"), F.sum("confirmed").alias("confirmed")).withColumns({"utility": F.lit(kind), "horizon": F.lit(horizon)}))
-    return union(parts)
-
-
-@query("wf13_baselines_and_coupling", "method:s budget:f op_hits:i op_utility:f utility_loss:f")
+            inputs = controller.with_decision_inputs(base.withColumn("h", F.slice("h", 1, horizon)), "h", rules)
+            result = materialize(controller.run_controllers(inputs, events, budgets, {cell: rules}, trace="alarms"), "cell")
+            months.append(controller.months_of(result).groupBy("method", "budget").agg(F.sum("actions").alias("alarms"), F.sum("released").alias("released"), F.sum("confirmed").alias("confirmed")))
+            rows.append(controller.trace_of(result))
+    # Every cell's alarms on the rows that decisions were made on; all are judged in one pass.
+    taken = methods_by_budget(union(rows)).select("candidate", "entity", "t", "alarm")
+    cells = F.explode(F.array(*[F.lit(f"{kind}/{horizon}@{int(b)}") for kind in ("linear", "hit_only", "saturating_3h", "business_piecewise") for horizon in (3, 6) for b in budgets]))
+    alarms = base.select("entity", "t", "observed", cells.alias("candidate")).join(taken, ["candidate", "entity", "t"], "left").fillna(0, ["alarm"])
+    judged = split_candidate(evaluate(alarms, events, 16.0)[1], "op_hits", "op_utility")
+    out = materialize(union(months), "cell-months").join(judged, ["method", "budget"])
+    return out.withColumns({"utility": F.substring_index("method", "/", 1), "horizon": F.substring_index("method", "/", -1).cast("int")})
+
+
+@query("wf13_baselines_and_coupling", "method:s budget:f op_hits:i op_utility:f utility_loss:f delta_low:f delta_high:f chosen:i")
 def wf13(spark, root):
+    """Standard baselines, of which the best feasible one is chosen on the development span and all are judged after it; what coupling the
+    budgets costs, with paired intervals against the uncoupled controller."""
     chosen = {n: controller.variants(RULES)[n] for n in ("dynamic", "uniform_pacing", "dual_mirror_descent", "switch_over", "uncoupled")}
     long = controller_candidates(spark, root, chosen)
-    _, table = evaluate(long.withColumn("candidate", F.concat_ws("@", "method", F.col("budget").cast("int").cast("string"))), purchase_events(spark, root), 20.0)
-    t = materialize(table.selectExpr("substring_index(candidate, '@', 1) AS method", "CAST(substring_index(candidate, '@', -1) AS DOUBLE) AS budget", "op_hits", "op_utility"), "baselines")
+    lo, events = grid_bounds(readings(spark, root))["lo"], purchase_events(spark, root)
+    alarms = materialize(methods_by_budget(long), "baselines")
+    held = long.groupBy("method", "budget").agg(F.max((F.col("occupied") > F.col("capacity")).cast("int")).alias("over"))
+    _, early = evaluate(part_of(alarms, lo, FROZEN_FROM, False), part_of(events, lo, FROZEN_FROM, False, "onset"), 20.0)
+    developed = split_candidate(early, "op_utility").join(held, ["method", "budget"]).filter("method <> 'uncoupled'").withColumnRenamed("method", "candidate")
+    best = selection.feasible_everywhere(developed, ["over = 0"], F.col("budget") >= 10, "op_utility").filter("chosen = 1").select(F.col("candidate").alias("method"), F.lit(1).alias("chosen"))
+    records, late = evaluate(part_of(alarms, lo, FROZEN_FROM, True), part_of(events, lo, FROZEN_FROM, True, "onset"), 20.0)
+    t = materialize(split_candidate(late, "op_hits", "op_utility"), "judged-baselines")
     free = t.filter("method = 'uncoupled'").selectExpr("budget", "op_utility AS free_utility")
-    return t.join(free, "budget").withColumn("utility_loss", F.col("free_utility") - F.col("op_utility"))
+    out = t.join(free, "budget").withColumn("utility_loss", F.col("free_utility") - F.col("op_utility")).join(best, "method", "left").fillna(0, ["chosen"])
+    return out.join(utility_differences(records, "uncoupled").select("method", "budget", "delta_low", "delta_high"), ["method", "budget"], "left")
 
 
 @query("wf14_event_log_benchmark", "candidate:s op_events:i op_hits:i op_utility:f false_hours:f max_reserved_hours:f")
@@ -381,29 +614,41 @@ def wf17(spark, root):
     return m.join(union(spread), ["model", "cohort"], "left").withColumn("wald", F.lit(float(wald)))
 
 
+#: Hold-outs of the grouped protocol, and seeds of the ensemble, each of which weighs the training rows anew.
+HOLDOUTS, SEEDS = 5, 3
+
+
 @query("wf18_unseen_entities", "protocol:s cohort:s rows_n:i log_loss:f average_precision:f gap_low:f gap_high:f")
 def wf18(spark, root):
+    """Entities held out by balanced groups, and region by region; every fold and seed of both is fitted in the same passes, and a
+    row's scores are averaged over the seeds that did, and did not, see its entity."""
     rows = training_rows(spark, root)
     stations = rows.groupBy(F.col("entity").alias("station")).agg(F.sum("future").cast("bigint").alias("events")).join(
         catalog_view(spark, root).select("station", F.concat(F.lit("R"), F.col("region").cast("string")).alias("city")), "station")
-    folds = materialize(sampling.spatial_holdouts(stations.select("station", "city", "events"), 2), "holdouts").select(F.col("station").alias("entity"), "fold")
-    parts = []
-    for k in (0, 1):
-        inside = rows.join(folds.filter(F.col("fold") != k), "entity", "left_semi")
-        held = rows.join(folds.filter(F.col("fold") == k), "entity", "left_semi")
-        # Normalization comes from the seen entities only.
-        scaled = standardize(rows, inside, LOCAL, 6.0)
-        cols = [f"z_{c}" for c in LOCAL]
-        fit = models.fit_glm(scaled.join(folds.filter(F.col("fold") != k), "entity", "left_semi"), cols, "future", "weight", "logit", 1e-5)
-        tag = F.lit(k).alias("fold")
-        parts.append(scaled.join(held.select("entity").distinct(), "entity", "left_semi").select("entity", "t", F.col("future").alias("label"), "weight", fit.risk().alias("p"), F.lit("unseen").alias("cohort"), tag))
-        parts.append(scaled.join(inside.select("entity").distinct(), "entity", "left_semi").select("entity", "t", F.col("future").alias("label"), "weight", fit.risk().alias("p"), F.lit("seen").alias("cohort"), tag))
-    pooled = materialize(union(parts), "holdout-scores")
-    m = metrics.probability_metrics(pooled, "p", "label", "weight", ("cohort",)).withColumn("protocol", F.lit("station_group_cv"))
-    wide = pooled.groupBy("entity", "t", "label", "weight").pivot("cohort", ["seen", "unseen"]).agg(F.avg("p")).filter("seen IS NOT NULL AND unseen IS NOT NULL")
-    sums = materialize(loss_sums(wide.withColumnsRenamed({"seen": "base", "unseen": "extra"})), "gap-sums")
-    gap = bootstrap.cluster_bootstrap(sums, ["sw", "la", "lb"], {"gap": "(la - lb) / sw"}, R, "wf18")
-    return m.withColumns({"gap_low": gap.select("low").scalar(), "gap_high": gap.select("high").scalar()})
+    stations = materialize(stations, "stations")
+    grouped = sampling.spatial_holdouts(stations.select("station", "city", "events"), HOLDOUTS).select(F.col("station").alias("entity"), F.concat(F.lit("group/"), F.col("fold").cast("string")).alias("held"))
+    regions = stations.select(F.col("station").alias("entity"), F.concat(F.lit("region/"), "city").alias("held"))
+    held = materialize(grouped.unionByName(regions), "holdouts")
+    names = sorted(r[0] for r in held.select("held").distinct().collect())  # folds and regions
+    # Each row with the folds that hold its entity out; it trains in all others, once per seed, with a weight of its own there.
+    away = held.groupBy("entity").agg(F.collect_set("held").alias("away"))
+    known = materialize(rows.join(away, "entity"), "unseen-rows")
+    folds, seeds = F.array(*[F.lit(n) for n in names]), F.sequence(F.lit(0), F.lit(SEEDS - 1))
+    spread = known.withColumn("fold", F.explode(F.array_except(folds, F.col("away")))).withColumn("seed", F.explode(seeds))
+    draw = sampling.hash_unit("entity", F.expr("t DIV 259200"), "seed", salt=18)
+    weighed = spread.withColumns({"fit": F.concat_ws("#", "fold", F.col("seed").cast("string")), "w": F.col("weight") * -F.log(F.greatest(draw, F.lit(1e-9)))})
+    fits = hazards.fit_hazards(weighed, [hazards.Design(f"{n}#{k}", tuple(LOCAL), False, 1e-3) for n in names for k in range(SEEDS)], "future", "w")
+    judged = known.withColumn("fold", F.explode(folds)).withColumn("seed", F.explode(seeds)).withColumn("fit", F.concat_ws("#", "fold", F.col("seed").cast("string")))
+    scored_ = fits.eta(judged.select("entity", "t", "future", "weight", "away", "fold", "fit", *LOCAL))
+    p = scored_.select("entity", "t", F.col("future").alias("label"), "weight", F.substring_index("fold", "/", 1).alias("protocol"),
+                       F.when(F.array_contains("away", F.col("fold")), "unseen").otherwise("seen").alias("cohort"), hazards.risk().alias("p"))
+    pooled = materialize(p.groupBy("protocol", "cohort", "entity", "t", "label", "weight").agg(F.avg("p").alias("p")), "holdout-scores")
+    m = metrics.probability_metrics(pooled, "p", "label", "weight", ("protocol", "cohort"))
+    wide = pooled.groupBy("protocol", "entity", "t", "label", "weight").pivot("cohort", ["seen", "unseen"]).agg(F.first("p")).filter("seen IS NOT NULL AND unseen IS NOT NULL")
+    sums = materialize(loss_sums(wide.withColumnsRenamed({"seen": "base", "unseen": "extra"}), ("protocol",)), "gap-sums")
+    draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["sw", "la", "lb"], R, "wf18", by=("protocol",)), {"gap": "(la - lb) / sw"}, ("protocol",))
+    gap = bootstrap.intervals(draws, ("protocol",)).select("protocol", F.col("low").alias("gap_low"), F.col("high").alias("gap_high"))
+    return m.join(gap, "protocol")
 
 
 @query("wf19_conditional_screen", "condition:s coverage:f delta_log_loss:f delta_brier:f movement_cost:f mechanism:s")
@@ -419,13 +664,19 @@ def wf19(spark, root):
 
 @query("wf20_boosted_oof", "fold:i rows_n:i brier:f log_loss:f average_precision:f slope:f")
 def wf20(spark, root):
+    """Scores of rows that their trees have not seen, each fold calibrated on the other folds' scores."""
     p = causal_recurrence_features(panel(spark, root), HORIZON).filter("observed = 1")
     rows = p.select("entity", "t", "future", *[F.col(c).cast("double").alias(c) for c in BOOST]).join(_day_blocks(spark, root).select("entity", "t", "block"), ["entity", "t"])
-    split = materialize(sampling.purged_splits(sampling.map_folds(rows, _folds(spark, root, 2)), 2, 172800, 30 * HOUR), "splits")
+    split = materialize(sampling.purged_splits(sampling.map_folds(rows, _folds(spark, root, HOLDOUTS)), HOLDOUTS, 172800, 30 * HOUR), "splits")
     parts = []
-    for k in (0, 1):
-        model = models.fit_boosted(split.filter((F.col("held") == k) & (F.col("role") == "train")), BOOST, "future", 20.0, 4, 3)
+    for k in range(HOLDOUTS):
+        model = models.fit_boosted(split.filter((F.col("held") == k) & (F.col("role") == "train")), BOOST, "future", 20.0, BOOST_ROUNDS, 3)
         parts.append(models.score_boosted(model, split.filter((F.col("held") == k) & (F.col("role") == "validation")), BOOST).select("entity", "t", "fold", "future", "risk"))
     oof = materialize(union(parts).withColumn("eta", F.expr("ln(greatest(risk, 1e-6D) / greatest(1 - risk, 1e-6D))")), "oof")
-    cal = models.calibrate(oof, "eta", "future", None, "logit")
-    return metrics.probability_metrics(oof.withColumn("p", cal.risk()), "p", "future", None, ("fold",)).withColumn("slope", F.lit(float(cal.values[0])))
+    judged = []
+    for k in range(HOLDOUTS):
+        cal = models.calibrate(oof.filter(F.col("fold") != k), "eta", "future", None, "logit")
+        judged.append(oof.filter(F.col("fold") == k).withColumns({"p": cal.risk(), "slope": F.lit(float(cal.values[0]))}))
+    pooled = materialize(union(judged), "calibrated-oof")
+    slopes = pooled.groupBy("fold").agg(F.first("slope").alias("slope"))
+    return metrics.probability_metrics(pooled, "p", "future", None, ("fold",)).join(slopes, "fold")

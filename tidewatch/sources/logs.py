@@ -7,6 +7,8 @@ splits; column pruning and partition pruning come from the scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,39 +42,21 @@ def read_text_log(spark: SparkSession, path: str, columns: list[str], encoding:
     return frame.select("*", F.col("_metadata.file_path").alias("source_file"), *place)
 
 
-def sniff_encoding(spark: SparkSession, path: str, first: str = "UTF-8", other: str = "GB18030", sample_bytes: int = 65536) -> DataFrame:
-    """(source_file, encoding) of every file below ``path``: ``first`` where the file's first bytes are valid UTF-8, else ``other``.
-
-    Files are looked at in parallel, each by the task that reads it; a sequence cut off by the end of the sample does not count against a file.
-    """
-    head = F.substring(F.col("content"), 1, sample_bytes)
-    # A cut can split the last character: up to three bytes may go before the rest has to be valid.
-    valid = F.lit(False)
-    for cut in range(4):
-        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.lit(0), F.length(head) - cut)).cast("string"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
-    whole = F.length("content") <= sample_bytes
-    exact = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select(F.col("path").alias("source_file"), F.when(F.when(whole, exact).otherwise(valid), first).otherwise(other).alias("encoding"))
-
-
 def read_mixed_log(spark: SparkSession, path: str, columns: list[str], first: str = "UTF-8", other: str = "GB18030") -> DataFrame:
-    """Like :func:`read_text_log`, with each file in the encoding its bytes show.
+    """Like :func:`read_text_log`, with each file in the encoding that all of its bytes show: UTF-8 where they are valid, else ``other``.
 
-    The encodings come to the driver as one short string per file, as the file listing itself does.
+    The bytes are read as single-byte text, which every byte sequence is and whose separators are those of both encodings.  Whether
+    a file is valid is one aggregate over all its fields, so a byte at its very end counts; the fields are then decoded from
+    the same text.  Files are rows of a table throughout; nothing about them comes to the driver.
     """
-    found = sniff_encoding(spark, path, first, other).collect()
-    parts = []
-    for encoding in sorted({r.encoding for r in found}):
-        files = [r.source_file for r in found if r.encoding == encoding]
-        frame = spark.read.schema(text_schema(columns)).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(files)
-        parts.append(frame.select("*", F.col("_metadata.file_path").alias("source_file")))
-    if not parts:
-        raise ValueError(f"no CSV files below {path}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    raw = (spark.read.schema(text_schema(columns)).option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
+           .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(path)).select("*", F.col("_metadata.file_path").alias("source_file"))
+    in_bytes = {c: F.encode(F.col(c), "ISO-8859-1") for c in columns}
+    valid = [F.coalesce(F.is_valid_utf8(b.cast("string")), F.lit(True)) for b in in_bytes.values()]
+    whole = raw.groupBy("source_file").agg(F.bool_and(reduce(lambda a, b: a & b, valid)).alias("_valid"))
+    joined = raw.join(whole, "source_file")
+    return joined.select(*[F.when(F.col("_valid"), F.decode(b, first)).otherwise(F.decode(b, other)).alias(c) for c, b in in_bytes.items()], "source_file",
+                         F.when(F.col("_valid"), first).otherwise(other).alias("source_encoding"))
 
 
 def station_from_path(path: Column | str) -> Column:
