@@ -24,9 +24,12 @@ UTF-8; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +42,32 @@ from tidewatch.session import materialize
 LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
-FIRST, GROWTH = 4, 2
+FIRST, GROWTH = 8, 3
 #: 2^25 bits are 4 MiB, however many prefixes are left.
 BITS = 1 << 25
-#: Sums that a task holds before it hands them on, and cells (sources times terms) of a block.
-_HELD = 300_000
+#: Keys that a task holds before it hands its sums on, words that it holds before it adds them up, and cells (sources times terms) of a block.
+_HELD = 400_000
+_WORDS = 1 << 21
+_LOW, _WHOLE = (1 << 32) - 1, 1 << 62
 _CELLS = 1 << 19
 #: Letters keep their place in lower case, bytes beyond ASCII stay, all else parts terms.
 _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _COUNTS = "lang string, term binary, whole boolean, n bigint"
-_CELL = "lang string, source string, term binary, n bigint"
+_CELL = "lang string, term binary, sources array<string>, counts array<bigint>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
+def _longer(before: int):
+    """Function from a text to its terms of more than ``before`` bytes."""
+    if not before:
+        return terms_of
+    find = re.compile(rb"[a-z\x80-\xff]{%d,}" % (before + 1)).findall
+    return lambda text: find(text.translate(_LETTERS))
+
+
 def _place(lang: str, prefix: bytes) -> int:
     return zlib.crc32(prefix, zlib.crc32(lang.encode())) % BITS
 
@@ -66,50 +79,102 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield lang, source, text.as_buffer().to_pybytes()
 
 
-class _Open:
-    """Whether a term begins with a prefix that is left, remembered for the terms of a task."""
+def _left(bits: np.ndarray, lang: str, prefix: bytes) -> bool:
+    place = _place(lang, prefix)
+    return bool(bits[place >> 3] >> (place & 7) & 1)
+
+
+def _fresh() -> defaultdict:
+    """Numbers words as they are first asked for."""
+    return defaultdict(count().__next__)
+
+
+def _numbered(words, numbers: defaultdict) -> np.ndarray:
+    found = itemgetter(*words)(numbers) if len(words) > 1 else [numbers[w] for w in words]
+    return np.fromiter(found, dtype=np.int64, count=len(words))
+
 
-    def __init__(self, left: np.ndarray | None, length: int):
-        self.left, self.length, self.known = left, length, {}
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and how often each occurs."""
+    codes = np.sort(codes)
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.array([], dtype=np.int64)
+    return codes[starts], np.diff(np.append(starts, len(codes)))
 
-    def __call__(self, lang: str, term: bytes) -> bool:
-        if self.left is None:
-            return True
-        prefix = term[: self.length]
-        key = (lang, prefix)
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) > _HELD:
-                self.known.clear()
-            place = _place(lang, prefix)
-            found = self.known[key] = bool(self.left[place >> 3] >> (place & 7) & 1)
-        return found
 
+class _Keys:
+    """What the terms of a task count as at a level: prefixes of ``length`` bytes, whole terms, or nothing where the level before has
+    discarded how they begin."""
 
-def _flush(held: Counter) -> pa.RecordBatch:
-    keys = list(held)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(held.values()), pa.int64())],
-        names=["lang", "term", "whole", "n"])
+    def __init__(self, length: int, before: int, bits: np.ndarray | None):
+        self.length, self.before, self.bits = length, before, bits
+        self.known: dict[tuple[str, bytes], int] = {}
+
+    def __len__(self):
+        return len(self.known)
+
+    def of(self, lang: str, terms) -> np.ndarray:
+        """Number of each term's key, -1 for none."""
+        out, known, open_ = np.empty(len(terms), dtype=np.int64), self.known, {}
+        length, before, bits = self.length, self.before, self.bits
+        for i, term in enumerate(terms):
+            if bits is not None:
+                start = term[:before]
+                left = open_.get(start)
+                if left is None:
+                    left = open_[start] = _left(bits, lang, start)
+                if not left:
+                    out[i] = -1
+                    continue
+            # A blank, which no term has, marks a whole term.
+            out[i] = known.setdefault((lang, term[:length] if len(term) > length else term + b" "), len(known))
+        return out
+
+    def columns(self) -> list[pa.Array]:
+        """lang, term and whole of all keys by number."""
+        return [pa.array([k[0] for k in self.known], pa.string()), pa.array([k[1].rstrip(b" ") for k in self.known], pa.binary()), pa.array([k[1][-1:] == b" " for k in self.known], pa.bool_())]
+
+
+_NONE = np.array([], dtype=np.int64)
 
 
 def _counter(length: int, before: int, left):
     """Documents per prefix of ``length`` bytes, and per whole term longer than ``before`` and no longer than that."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_open = _Open(left.value if left is not None else None, before)
-        held: Counter = Counter()
-        for lang, _, text in _rows(batches):
-            terms = {t for t in terms_of(text) if len(t) > before}
-            if left is not None:
-                terms = {t for t in terms if is_open(lang, t)}
-            held.update({(lang, t[:length], len(t) <= length) for t in terms})
-            if len(held) > _HELD:
-                yield _flush(held)
-                held.clear()
-        yield _flush(held)
-
-    return count
+    def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _longer(before)
+        keys, counts = _Keys(length, before, left.value if left is not None else None), _NONE
+        numbers: dict[str, defaultdict] = {}
+        found: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def add_up() -> np.ndarray:
+            """Each document counts once for each of its keys."""
+            total = counts
+            for lang, codes in found.items():
+                key = keys.of(lang, numbers[lang])
+                codes = np.concatenate(codes)
+                at = key[codes & _LOW]
+                once, _ = _runs((codes & ~_LOW | at)[at >= 0])
+                more = np.bincount(once & _LOW, minlength=len(keys))
+                more[: len(total)] += total
+                total = more
+            return total
+
+        for document, (lang, _, text) in enumerate(_rows(batches)):
+            words = set(terms(text))
+            own = numbers.setdefault(lang, _fresh()) if lang not in numbers else numbers[lang]
+            found.setdefault(lang, []).append(_numbered(words, own) + (document << 32))
+            held += len(words)
+            if held > _WORDS or len(own) > _HELD:
+                counts = add_up()
+                numbers, found, held = {}, {}, 0
+                if len(keys) > _HELD:
+                    yield pa.RecordBatch.from_arrays([*keys.columns(), pa.array(counts, pa.int64())], names=["lang", "term", "whole", "n"])
+                    keys, counts = _Keys(length, before, keys.bits), _NONE
+        counts = add_up()
+        yield pa.RecordBatch.from_arrays([*keys.columns(), pa.array(counts, pa.int64())], names=["lang", "term", "whole", "n"])
+
+    return count_documents
 
 
 def _bit_table(left: DataFrame) -> np.ndarray:
@@ -133,9 +198,7 @@ def kept_terms(docs: DataFrame, least: int = LEAST, first: int = FIRST, growth:
     spark = docs.sparkSession
     length, before, left, kept = first, 0, None, []
     while True:
-        # Where no text has a term beyond the last level, its row need not reach Python.
-        some = docs if not before else docs.where(F.col("text").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{%d}" % (before // 4 + 1)))
-        counted = some.mapInArrow(_counter(length, before, left), _COUNTS).groupBy("lang", "term", "whole").agg(F.sum("n").alias("n_docs"))
+        counted = docs.mapInArrow(_counter(length, before, left), _COUNTS).groupBy("lang", "term", "whole").agg(F.sum("n").alias("n_docs"))
         level = materialize(counted.where(F.col("n_docs") >= least), "prefixes")
         if left is not None:
             left.unpersist()
@@ -152,36 +215,60 @@ def kept_terms(docs: DataFrame, least: int = LEAST, first: int = FIRST, growth:
 
 
 def _cells(left):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, source, term, n) for (lang, source), counts in held.items() for term, n in counts.items() if is_open(lang, term)]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n"])
+    """Occurrences per language and term, with the sources side by side; a bit table says which terms may be kept ones."""
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _Keys(_WHOLE, _WHOLE, left.value)
+        numbers: dict[str, defaultdict] = {}
+        found: dict[str, list[np.ndarray]] = {}
+        groups: dict[str, int] = {}
+        codes, counts, held = _NONE, _NONE, 0
+
+        def add_up() -> tuple[np.ndarray, np.ndarray]:
+            """Sorted codes of (key, source), and how often each occurs."""
+            every, weights = [codes], [counts]
+            for lang, fresh in found.items():
+                key = keys.of(lang, numbers[lang])
+                words = np.concatenate(fresh)
+                at = key[words & _LOW]
+                different, times = _runs((at << 32 | words >> 32)[at >= 0])
+                every.append(different)
+                weights.append(times)
+            every, weights = np.concatenate(every), np.concatenate(weights)
+            order = np.argsort(every, kind="stable")
+            every, weights = every[order], weights[order]
+            starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else _NONE
+            return every[starts], np.add.reduceat(weights, starts) if len(starts) else weights
+
+        def batch_of(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(codes >> 32, minlength=len(keys)))]), pa.int32())
+            sources = pa.array(list(groups), pa.string()).take(pa.array(codes & _LOW))
+            return pa.RecordBatch.from_arrays([*keys.columns()[:2], pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))], names=["lang", "term", "sources", "counts"])
 
-        is_open = _Open(left.value, 1 << 62)
         for lang, source, text in _rows(batches):
-            counts = held.setdefault((lang, source), Counter())
-            size -= len(counts)
-            counts.update(terms_of(text))
-            size += len(counts) + 1
-            if size > _HELD:
-                yield flush()
-                held.clear()
-                size = 0
-        yield flush()
+            words = terms_of(text)
+            own = numbers.setdefault(lang, _fresh()) if lang not in numbers else numbers[lang]
+            found.setdefault(lang, []).append(_numbered(words, own) + (groups.setdefault(source, len(groups)) << 32))
+            held += len(words)
+            if held > _WORDS or len(own) > _HELD or len(groups) > _HELD:
+                codes, counts = add_up()
+                numbers, found, held = {}, {}, 0
+                if len(keys) > _HELD or len(groups) > _HELD or len(codes) > _WORDS:
+                    yield batch_of(codes, counts)
+                    keys, groups, codes, counts = _Keys(_WHOLE, _WHOLE, keys.bits), {}, _NONE, _NONE
+        yield batch_of(*add_up())
 
-    return count
+    return count_words
 
 
 def cells(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n): how often each group has each kept term, where it has it."""
     left = docs.sparkSession.sparkContext.broadcast(_bit_table(kept))
-    counted = docs.mapInArrow(_cells(left), _CELL).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return counted.join(kept.select("lang", "term"), ["lang", "term"])
+    parts = docs.mapInArrow(_cells(left), _CELL).repartition("lang", "term")
+    # The sum keeps this placement; so does the join with the kept terms.
+    each = parts.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
+    counted = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    return counted.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
 
 
 def _p(count: str, total: str, terms: str):
