@@ -165,7 +165,7 @@ def template(text, units, spelled):
 
 
 def literal(text):
-    bare = [BARE.sub("", w) for w in words((text or "").translate(MARKS).lower())]
+    bare = [BARE.sub("", w).lower() for w in words((text or "").translate(MARKS))]
     return [(b, None) for b in bare if b]
 
 

@@ -66,7 +66,9 @@ _HOLDERS = "\x04\x05\x06"
 
 def _free(text: Column) -> Column:
     """Blanks in place of the characters that are marks in here."""
-    return F.translate(text, f"{_MARK}{_STOP}{_JOINT}{_HOLDERS}", " " * 6)
+    marks = f"{_MARK}{_STOP}{_JOINT}{_HOLDERS}"
+    marked = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(marked, F.translate(text, marks, " " * len(marks))).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
@@ -75,10 +77,7 @@ def tokens(text: Column) -> Column:
     Marks are dealt with on the whole text: words that end a sentence get one stop mark, which parts runs of names and goes later;
     all other marks go.  What is left of a word tells its kind by its first character in nearly all cases.
     """
-    ended = F.regexp_replace(_free(text), rf"[.!?:][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
-    bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
-    bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?i:{'|'.join(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
-    bare = F.regexp_replace(bare, rf"(?<![^{_BLANK}])(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    joined = F.regexp_replace(bare_text(text), rf"{_START}(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
 
     def digits(word: Column) -> Column:
         return F.ascii(word).between(48, 57) & F.regexp_like(word, F.lit(rf"^[0-9]+{_STOP}*\z"))
@@ -99,12 +98,12 @@ def tokens(text: Column) -> Column:
 
         return F.filter(F.transform(words, one), lambda t: F.length(t["token"]) > 0)
 
-    return let(words_of(bare), typed)
+    return let(words_of(joined), typed)
 
 
 def literal_tokens(text: Column) -> Column:
     """As ``tokens``, all literals, whatever the case."""
-    bare = F.regexp_replace(F.lower(_free(text)), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
+    bare = F.lower(F.regexp_replace(_free(text), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", ""))
     return F.transform(words_of(bare), lambda w: F.struct(w.alias("token"), F.lit("").alias("slot")))
 
 
@@ -200,53 +199,70 @@ def _report(leaked: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _either(words: tuple[str, ...]) -> str:
-    """Pattern of the words, those of one first letter together."""
-    first: dict[str, list[str]] = {}
-    for w in sorted(words, key=len, reverse=True):
-        first.setdefault(w[0], []).append(w[1:])
-    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in first.items())
+    """Pattern of the words, letter by letter as in a trie, so that a text leaves it at its first wrong letter; longer words first."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = []
+    for head, rests in heads.items():
+        more = _either(tuple(r for r in rests if r))
+        parts.append(head + (f"(?:{more}){'?' if '' in rests else ''}" if more else ""))
+    return "|".join(parts)
+
 
+_START, _END = rf"(?<![^{_BLANK}])", rf"(?=[{_BLANK}]|\z)"
 
-def typed_text(text: Column) -> Column:
-    """The template tokens of ``tokens(text, wide=True)``, parted by single blanks, by patterns over the whole text; names are one placeholder each."""
-    start, end = rf"(?<![^{_BLANK}])", rf"(?=[{_BLANK}]|\z)"
-    ended = F.regexp_replace(_free(text), rf"[.!?:][^\p{{L}}\p{{N}}{_BLANK}]*(?=[{_BLANK}]|\z)", _STOP)
+
+def bare_text(text: Column) -> Column:
+    """Letters, digits, blanks and stop marks of a text, units parted from numbers.  What comes first in a pattern is a test of one character, which nearly all places fail."""
+    ended = F.regexp_replace(_free(text), rf"[.!?:][^\p{{L}}\p{{N}}{_BLANK}]*{_END}", _STOP)
     bare = F.regexp_replace(ended, rf"[^\p{{L}}\p{{N}}{_STOP}{_BLANK}]+", "")
-    cut = F.regexp_replace(bare, rf"{start}([0-9]+)(?=(?i:{_either(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
-    joined = F.regexp_replace(cut, rf"{start}(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    return F.regexp_replace(bare, rf"(?=[0-9]){_START}([0-9]+)(?=(?i:{_either(UNITS)}){_STOP}*(?:[{_BLANK}]|\z))", "$1 ")
+
+
+def typed_text(bare: Column) -> Column:
+    """The template tokens of ``tokens`` of a ``bare_text``, parted by single blanks; placeholders are one character each."""
     number, unit, name = _HOLDERS
-    numbers = F.regexp_replace(joined, rf"{start}(?:[0-9]+|(?i:{_either(SPELLED)}))({_STOP}*){end}", f"{number}$1")
-    names = F.regexp_replace(numbers, rf"{start}\p{{Lu}}[^{_BLANK}]*", name)
-    units = F.regexp_replace(names, rf"{number}({_STOP}*[{_BLANK}]+)(?i:{_either(UNITS)})({_STOP}*){end}", f"{number}$1{unit}$2")
-    return F.lower(F.regexp_replace(units, rf"[{_STOP}{_BLANK}]+", " "))
+    joined = F.regexp_replace(bare, rf"(?=\p{{Lu}}){_START}(\p{{Lu}}[^{_BLANK}{_STOP}]*)[{_BLANK}]+(?=\p{{Lu}})", f"$1{_JOINT}")
+    numbers = F.regexp_replace(joined, rf"(?=[0-9a-zA-Z]){_START}(?:[0-9]+|(?i:{_either(SPELLED)}))({_STOP}*){_END}", f"{number}$1")
+    names = F.regexp_replace(numbers, rf"(?=\p{{Lu}}){_START}\p{{Lu}}[^{_BLANK}]*", name)
+    units = F.regexp_replace(names, rf"{number}({_STOP}*[{_BLANK}]+)(?i:{_either(UNITS)})({_STOP}*){_END}", f"{number}$1{unit}$2")
+    return _single(units)
 
 
-def plain_text(text: Column) -> Column:
-    """The words of ``literal_tokens``, units parted from numbers, parted by single blanks."""
-    bare = F.regexp_replace(F.lower(_free(text)), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", "")
-    cut = F.regexp_replace(bare, rf"(?<![^{_BLANK}])([0-9]+)(?=(?:{_either(UNITS)})(?:[{_BLANK}]|\z))", "$1 ")
-    return F.regexp_replace(cut, rf"[{_BLANK}]+", " ")
+def _single(text: Column) -> Column:
+    """Lower case, words parted by single blanks, no stop marks."""
+    return F.trim(F.lower(F.regexp_replace(text, rf"[{_STOP}{_BLANK}]+", " ")))
 
 
 def text_windows(text: Column, width: int) -> Column:
-    """Every ``width`` neighbouring words of a text parted by single blanks, as text, in order."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"), F.lit(1))
+    """Every ``width`` neighbouring words of a text parted by single blanks, as text: an array per first word (modulo ``width``) of windows that follow each other.
+
+    A pattern runs over the text once per array, each match where the last one ended.
+    """
+    def following(skip: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(rf"(?:^(?:[^ ]++ ){{{skip}}}|(?!^)\G )([^ ]++(?: [^ ]++){{{width - 1}}})"), F.lit(1))
+
+    return F.array(*[following(k) for k in range(width)])
 
 
 def _spread_texts(rows: DataFrame, keep: list[str], width: int, literals: int) -> DataFrame:
     """(keep, form, at, hash) of the windows of ``width`` in both forms; typed ones need their literals."""
-    forms = F.array(F.struct(F.lit(0).alias("form"), text_windows(typed_text(F.col("t")), width).alias("w")), F.struct(F.lit(1).alias("form"), text_windows(plain_text(F.col("t")), width).alias("w")))
-    per_form = rows.select(*keep, F.explode(forms).alias("f")).select(*keep, "f.form", F.posexplode("f.w").alias("at", "w"))
+    bare = rows.select(*keep, bare_text(F.col("t")).alias("bare"))
+    both = bare.select(*keep, F.explode(F.array(F.struct(F.lit(0).alias("form"), typed_text(F.col("bare")).alias("x")), F.struct(F.lit(1).alias("form"), _single(F.col("bare")).alias("x")))).alias("f"))
+    phases = both.select(*keep, "f.form", F.posexplode(text_windows(F.col("f.x"), width)).alias("phase", "ws"))
+    cut = phases.select(*keep, "form", "phase", F.posexplode("ws").alias("i", "w")).select(*keep, "form", (F.col("i") * width + F.col("phase")).alias("at"), "w")
     held = F.length("w") - F.length(F.translate("w", _HOLDERS, ""))
     enough = (F.col("form") == 1) | (held <= width - min(literals, width))
-    return per_form.where(enough).select(*keep, "form", "at", F.xxhash64("form", "w").alias("hash"))
+    return cut.where(enough).select(*keep, "form", "at", F.xxhash64("form", "w").alias("hash"))
 
 
 def suspects(rows: DataFrame, grams: DataFrame, items: DataFrame, item_text: str, width: int, coverage: float, literals: int, run: int, broadcast_windows: int) -> DataFrame:
     """Keys of the rows (__k0, __k1, t) that share enough windows with an item for a trace; the others cannot hold one.
 
     A trace matches item windows at different places, each at a place of its own in the document.  Windows with literals are
-    windows of ``typed_text``, and one without begins where a window of ``plain_text`` does that matches too.  So a trace shows at
+    windows of ``typed_text``, and one without begins where a window of the plain words does that matches too.  So a trace shows at
     as many places here as it needs windows there, and fewer than ``need`` rule it out.  All of it are patterns over
     whole texts and one join, without a step per word.
     """

@@ -71,10 +71,10 @@ def _tokens(source: str, key: str) -> str:
 {source}_kinds AS (
   SELECT {key}, run, plain, CASE WHEN number THEN '{d.NUMBER}' WHEN regexp_matches(plain, '^\p{{Lu}}') THEN '{d.NAME}'
     WHEN lower(plain) IN ({units}) AND coalesce(lag(number) OVER (PARTITION BY {key} ORDER BY run), false) THEN '{d.UNIT}' END AS kind FROM {source}_near),
-{source}_low AS (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, {_WORDS.format('lower(x)')} AS ws FROM {source}_free)),
+
 {source}_toks AS (
   SELECT {key}, 0 AS form, row_number() OVER (PARTITION BY {key} ORDER BY run) - 1 AS p, coalesce(kind, lower(plain)) AS token, CASE WHEN kind IS NOT NULL THEN plain END AS slot FROM {source}_kinds WHERE plain <> ''
-  UNION ALL SELECT {key}, 1, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1, bare, NULL FROM (SELECT {key}, i, {bare} AS bare FROM {source}_low) WHERE bare <> ''),
+  UNION ALL SELECT {key}, 1, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1, bare, NULL FROM (SELECT {key}, i, lower(bare) AS bare FROM {source}_words) WHERE bare <> ''),
 {source}_wins AS (
   SELECT {key}, form, p, list(token) OVER run AS tokens, list(slot) OVER run AS slots
   FROM {source}_toks WINDOW run AS (PARTITION BY {key}, form ORDER BY p ROWS BETWEEN CURRENT ROW AND {d.WIDTH - 1} FOLLOWING))"""
