@@ -15,19 +15,6 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.scalar import nullify_markers
 
-# Raw header of each canonical field of the observation log.
-RAW_FIELDS = {
-    "观测时间": "timestamp", "站点名称": "station_name", "站点编号": "station_code", "站点ID": "station_id",
-    "设备电压": "device_voltage", "覆冰厚度": "ice_thickness", "结冰传感器频率": "ice_sensor_frequency",
-    "气温": "air_temperature", "相对湿度": "relative_humidity", "气压": "station_pressure", "雨": "rain",
-    "小时降雨": "hourly_rain", "十分钟平均风向": "wind_direction", "十分钟平均风速": "wind_speed",
-    "能见度": "visibility", "一分钟能见度": "visibility_alias", "十分钟能见度": "visibility_10min",
-    "降水天气现象": "precipitation_phenomenon", "视程障碍": "visibility_obstacle",
-}
-# Tokens that set the weather flags, and city name prefixes.
-FOG_TOKEN, SNOW_TOKEN, FREEZING_RAIN_TOKEN = "雾", "雪", "冻雨"
-CITY_PREFIXES = ("武夷山", "龙岩", "泉州", "宁德", "南平", "三明")
-
 
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -66,14 +53,6 @@ def station_from_path(path: Column | str) -> Column:
     return F.regexp_replace(stem, r"20\d{6}_20\d{6}$", "")
 
 
-def rename_raw_fields(log: DataFrame, mapping: dict[str, str] = RAW_FIELDS) -> DataFrame:
-    """Canonical names; fields the file lacks are added as NULL text, extras are dropped."""
-    renamed = log.withColumnsRenamed(mapping)
-    return renamed.select(*[
-        F.col(c) if c in renamed.columns else F.lit(None).cast("string").alias(c) for c in mapping.values()
-    ], *[c for c in renamed.columns if c == "source_file"])
-
-
 def path_year(path: Column | str, pattern: str = r"(20\d{2})") -> Column:
     """Year of the directory that holds the file."""
     col = F.col(path) if isinstance(path, str) else path
