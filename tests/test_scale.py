@@ -8,12 +8,13 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import trajectory
-from tidewatch.operators import bootstrap, controller, joins, metrics, models, sampling, scan
-from tidewatch.plans import streaming_queries
+from tidewatch.operators import bootstrap, controller, joins, metrics, models, sampling, scan, structured
+from tidewatch.plans import catalog, streaming_queries
 from tidewatch.plans.policy_queries import RULES, controller_inputs
 from tidewatch.plans.standins import scored
 from tidewatch.session import materialize, shared_dir
@@ -55,6 +56,12 @@ def test_groups_of_different_range_have_bounds_of_their_own(spark):
         assert {(r.g, r.v): r.n_cum for r in got.where("g IS NOT NULL").collect()} == want
 
 
+def test_no_side_is_broadcast_by_estimate(spark):
+    # The grid behind this query is estimated at the size of the few rows it is exploded from.
+    plan = catalog.load()["sp3_uniform_negatives"].run(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
+
+
 def test_student_t_has_no_last_row(spark):
     for df, t in ((1, 12.7062), (2, 4.30265), (5, 2.57058), (14, 2.14479), (30, 2.04227), (1000, 1.96234)):
         assert metrics.student_t(0.975, df) == pytest.approx(t, abs=1e-4)
