@@ -62,6 +62,17 @@ def test_no_side_is_broadcast_by_estimate(spark):
     assert "Exchange" in plan and "Broadcast" not in plan
 
 
+def test_crowded_points_meet_in_smaller_cells(spark):
+    side = 60
+    points = spark.range(side * side).selectExpr("id AS station", "50 + (id DIV 60) * 0.001D AS lat", f"10 + (id % {side}) * 0.001D AS lon")
+    size = joins._first_cell(points, 2, 0.1, 4.0)
+    y, x = F.floor((F.col("lat") + 90) / size), F.floor(F.col("lon") / size)
+    assert size < 0.01 and points.groupBy(y, x).count().agg(F.max("count")).first()[0] < 40
+    assert joins._first_cell(points.filter("station < 4"), 2, 0.1, 4.0) == 0.1
+    got = joins.nearest_neighbours(points, "station", 2)
+    assert got.count() == 2 * side * side and got.agg(F.max("distance_km")).first()[0] < 0.13
+
+
 def test_student_t_has_no_last_row(spark):
     for df, t in ((1, 12.7062), (2, 4.30265), (5, 2.57058), (14, 2.14479), (30, 2.04227), (1000, 1.96234)):
         assert metrics.student_t(0.975, df) == pytest.approx(t, abs=1e-4)

@@ -43,23 +43,41 @@ def _lon_cells(row: Column, size: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / size).cast("int"))
 
 
+#: The smallest cell in degrees.
+SMALLEST_CELL = 1e-6
+
+
+def _first_cell(sources: DataFrame, k: int, size: float, growth: float) -> float:
+    """``size``, made smaller until a source's cell holds about k + 1 of them on average."""
+    while size > SMALLEST_CELL:
+        y = F.floor((F.col("lat") + 90.0) / size)
+        x = F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / (360.0 / _lon_cells(y, size)))
+        held = sources.groupBy(y.alias("y"), x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        crowding = held.agg(F.expr("try_divide(sum(n * n), sum(n))")).first()[0]
+        if crowding is None or crowding <= 2 * (k + 1):
+            break
+        size *= max(((k + 1) / crowding) ** 0.5, 1 / growth)
+    return size
+
+
 def nearest_neighbours(points: DataFrame, key: str, k: int, first_cell: float = 0.1, growth: float = 4.0) -> DataFrame:
     """The k nearest other points of every point, exact, without an all-pairs join.
 
     Points meet only inside a block of grid cells around the target: three latitude rows, and in each the three cells around the
     target's longitude, which wrap at 180 degrees.  Rows have fewer cells towards the poles, so a cell is never narrower than its
     size.  A point is settled once its k-th neighbour lies inside the radius that its block is sure to cover; the rest try cells
-    ``growth`` times as large, until the block is the globe.  Points sharing one coordinate are represented as sources by their
+    ``growth`` times as large, until the block is the globe.  The first cells are ``first_cell`` degrees, or smaller where points lie so
+    close that cells would be crowded, so pairs grow with the points and not with their square.  Points sharing one coordinate are represented as sources by their
     first k+1 keys, which is all a ranking by (distance, key) can use, so a crowd at one place adds no quadratic work.
     """
     located = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
     crowd = Window.partitionBy("lat", "lon").orderBy(key)
-    sources = located.withColumn("_c", F.row_number().over(crowd)).filter(F.col("_c") <= k + 1).drop("_c")
+    sources = materialize(located.withColumn("_c", F.row_number().over(crowd)).filter(F.col("_c") <= k + 1).drop("_c"), "sources")
     src = sources.select(*[F.col(c).alias(f"source_{c}") for c in sources.columns])
     best = Window.partitionBy(f"target_{key}").orderBy("distance_km", f"source_{key}")
     todo = located.select(*[F.col(c).alias(f"target_{c}") for c in located.columns])
     done: list[DataFrame] = []
-    size = first_cell
+    size = _first_cell(sources, k, first_cell, growth)
     while True:
         whole = size >= 360.0
 
