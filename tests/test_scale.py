@@ -62,6 +62,27 @@ def test_no_side_is_broadcast_by_estimate(spark):
     assert "Exchange" in plan and "Broadcast" not in plan
 
 
+def test_gradients_hold_the_terms_that_entities_have():
+    values = {"y": [1.0, 0.0], "w": [1.0, 2.0], "n": [2, 1], "i": [7, 999_999, 7], "v": [1.0, 2.0, 3.0]}
+    rows = structured._Rows(pa.RecordBatch.from_pydict({k: [v] for k, v in values.items()}), 0)
+    assert rows.terms.tolist() == [7, 999_999] and rows.total(np.array([1.0, 2.0, 4.0])).tolist() == [5.0, 2.0]
+
+
+def test_a_pass_moves_only_the_terms_that_are_there(spark):
+    packed = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 1.0], [1, 1], [0, 3], [1.0, 2.0])], "entity int, y array<double>, w array<double>, n array<int>, i array<int>, v array<double>")
+    size = 200_000
+    problem = structured.Problem("a", np.zeros(size), np.zeros(size), np.full(size, -np.inf), np.full(size, np.inf))
+    moved = []
+    as_arrow = type(packed).toArrow
+    try:
+        type(packed).toArrow = lambda self: moved.append(as_arrow(self)) or moved[-1]
+        loss, grad, bend = structured._pass(packed, [problem], np.zeros((1, size)))
+    finally:
+        type(packed).toArrow = as_arrow
+    assert np.flatnonzero(grad[0]).tolist() == [0, 3] == np.flatnonzero(bend[0]).tolist() and loss[0] > 0
+    assert moved[0].num_rows == 6
+
+
 def test_crowded_points_meet_in_smaller_cells(spark):
     side = 60
     points = spark.range(side * side).selectExpr("id AS station", "50 + (id DIV 60) * 0.001D AS lat", f"10 + (id % {side}) * 0.001D AS lon")
