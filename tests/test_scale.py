@@ -56,6 +56,22 @@ def test_groups_of_different_range_have_bounds_of_their_own(spark):
         assert {(r.g, r.v): r.n_cum for r in got.where("g IS NOT NULL").collect()} == want
 
 
+def test_bounds_are_searched_in_two_steps(spark):
+    rows = [(g, float(i)) for g in ("a", "b") for i in range(3000 if g == "a" else 40)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for down in (False, True):
+        for by in ((), ("g",)):
+            got = scan.running_totals(df, "v", {"n": F.lit(1)}, by, descending=down, slice_values=10)
+            assert "_coarse" in got._jdf.queryExecution().optimizedPlan().toString()
+            want = {}
+            for g in ("a", "b") if by else (None,):
+                total = 0
+                for v in sorted({v for h, v in rows if g in (None, h)}, reverse=down):
+                    total += sum(1 for h, u in rows if u == v and g in (None, h)) if v < 40 else 1
+                    want[(g, v) if by else (v,)] = total
+            assert {tuple(r[c] for c in (*by, "v")): r.n_cum for r in got.collect()} == want
+
+
 def test_no_side_is_broadcast_by_estimate(spark):
     # The grid behind this query is estimated at the size of the few rows it is exploded from.
     plan = catalog.load()["sp3_uniform_negatives"].run(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
