@@ -78,6 +78,24 @@ def test_no_side_is_broadcast_by_estimate(spark):
     assert "Exchange" in plan and "Broadcast" not in plan
 
 
+def test_counts_of_a_block_meet_its_sums_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bootstrap, "entity_counts", lambda *a: seen.append(a))
+    sums = spark.createDataFrame([(f"s{i}", 4, 2) for i in range(9)], "entity string, n int, hits int")
+    drawn = bootstrap.replicate_totals(sums, ["n", "hits"], 25, "x")
+    assert not seen and "Join" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n, r.hits) for r in drawn.collect()} == {(36.0, 18.0)}
+
+
+def test_a_score_of_one_value_is_summed_in_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(f"e{i % 5}", 0.5, int(i % 4 == 0), 1.0) for i in range(60)], "entity string, a double, y int, w double")
+    whole = {r.replicate: r.value for r in bootstrap.average_precision_draws(df, ["a"], "y", "w", 9, "ap").collect()}
+    monkeypatch.setattr(bootstrap, "CELLS_AT_ONCE", 2)
+    again = {r.replicate: r.value for r in bootstrap.average_precision_draws(df, ["a"], "y", "w", 9, "ap").collect()}
+    # With one value the precision is the share of events among the rows drawn.
+    assert whole == pytest.approx(again) and all(0 < v < 1 for v in whole.values()) and len(whole) == 9
+
+
 def test_gradients_hold_the_terms_that_entities_have():
     values = {"y": [1.0, 0.0], "w": [1.0, 2.0], "n": [2, 1], "i": [7, 999_999, 7], "v": [1.0, 2.0, 3.0]}
     rows = structured._Rows(pa.RecordBatch.from_pydict({k: [v] for k, v in values.items()}), 0)
