@@ -6,22 +6,26 @@ censored, or is released when an event arrives inside the horizon.  Budgets are
 coupled so that the alarms of a smaller budget are alarms of every larger one.
 
 The recursion is genuine (a release depends on which segments were accepted), so
-it runs as a grouped-map function per entity over the dense panel.  The very
-same :class:`EntityController` is stepped by the streaming operator.
+the panel is stepped through in time.  :class:`EntityController` is the machine of
+one entity, which the streaming operator steps; over a whole panel the same
+decisions are taken for blocks of entities side by side (:mod:`controller_block`).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions import clock, trajectory
+from tidewatch.operators import controller_block
 from tidewatch.operators.policies import capacity_bins
 
 
@@ -306,6 +310,10 @@ _MONTH = ("month string, actions bigint, released bigint, locked bigint, peak_pe
           "peak_unlocked bigint, rejected_capacity bigint, rejected_pacing bigint, bins bigint")
 
 
+#: Rows after which a block of whole entities is decided, and rows of a batch that is handed back.
+BLOCK_ROWS, BATCH_ROWS = 1 << 18, 1 << 15
+
+
 def with_decision_inputs(df: DataFrame, hazard: str, rules: ControllerRules) -> DataFrame:
     """Risk, lead utility and calendar position of each row, computed on the JVM."""
     start, end = clock.month_start("t"), clock.month_end("t")
@@ -336,60 +344,82 @@ def run_controllers(rows: DataFrame, events: DataFrame, budgets: tuple[float, ..
                     observed: str = "observed", given: dict[float, str] | None = None, trace: str = "all") -> DataFrame:
     """As :func:`run_controller` for several rule sets over the same inputs, tagged by ``method``: an entity's rows are read and ordered once."""
     budgets = tuple(sorted(set(budgets)))
+    if not budgets:
+        raise ValueError("at least one budget is needed")
     given = given or {}
     kind = dict(rows.dtypes)["entity"]
     schema = "method string, kind string, " + _TRACE.format(k=kind) + ", " + _MONTH
-    needed = rows.select("entity", "t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility",
-                         F.coalesce(F.col(observed), F.lit(0)).cast("int").alias("seen"), *given.values())
-    fields = [f.split(" ") for f in schema.split(", ")]
-    names = [f[0] for f in fields]
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields_ = [f.split(" ") for f in schema.split(", ")]
+    types = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
     entity_type = to_arrow_type(rows.schema["entity"].dataType)
-    kinds = [entity_type if n == "entity" else types[k] for n, k in fields]
-    decided, monthly = names[2:16], set(names)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {n: [] for n in names}
-        length = 0
-
-        def pad() -> None:
-            for n in names:
-                columns[n] += [None] * (length - len(columns[n]))
-
-        if left.num_rows:
-            left = left.sort_by("t")
-            onsets = sorted(right.column("onset").to_pylist())
-            entity = left.column("entity")[0].as_py()
-            masks = [left.column(given[b]).to_pylist() if b in given else None for b in budgets] if given else None
-            cols = [left.column(c).to_pylist() for c in ("t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility", "seen")]
-            for method, rule in rules.items():
-                machine, pointer, out = EntityController(rule, budgets), 0, []
-                for i, (t, month, bins, index, elapsed, risk, utility, seen) in enumerate(zip(*cols, strict=True)):
-                    while pointer < len(onsets) and onsets[pointer] <= t:
-                        machine.event(onsets[pointer])
-                        pointer += 1
-                    machine.mature(t)
-                    choice = tuple(None if m is None else bool(m[i]) for m in masks) if masks else None
-                    made = machine.decide(t, month, bins, index, elapsed, risk, utility, seen >= 1, choice)
-                    if trace != "none":
-                        out += [(entity, t, *d, risk, utility) for d in made if trace == "all" or d.alarm]
-                if out:
-                    # Whole columns, not one record after another.
-                    for n, values in zip(decided, zip(*out, strict=True), strict=True):
-                        columns[n] += values
-                months = machine.months()
-                for n in monthly - {"method", "kind", "entity", "t"}:
-                    held = columns[n]
-                    if months and n in months[0]:
-                        held += [None] * (length + len(out) - len(held)) + [m[n] for m in months]
-                columns["entity"] += [entity] * len(months)
-                columns["method"] += [method] * (len(out) + len(months))
-                columns["kind"] += ["t"] * len(out) + ["m"] * len(months)
-                length += len(out) + len(months)
-                pad()
-        return pa.table({n: pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)})
-
-    return needed.groupBy("entity").cogroup(events.select("entity", "onset").groupBy("entity")).applyInArrow(run, schema)
+    arrow = pa.schema([(n, entity_type if n == "entity" else types[k]) for n, k in fields_])
+    known = events.filter("onset IS NOT NULL").groupBy(F.col("entity").alias("_who")).agg(F.collect_list("onset").alias("_onsets"))
+    needed = rows.select("entity", "t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility",
+                         F.coalesce(F.col(observed), F.lit(0)).cast("int").alias("seen"), *sorted(set(given.values())))
+    joined = needed.join(known, F.col("entity").eqNullSafe(F.col("_who")), "left").drop("_who")
+    # The window places an entity's rows in one partition, in order; its first row carries the onsets.
+    first = F.row_number().over(Window.partitionBy("entity").orderBy("t")) == 1
+    ordered = joined.withColumn("_first", first).withColumn("_onsets", F.when(F.col("_first"), F.col("_onsets"))).sortWithinPartitions("entity", "t")
+
+    def decide(block: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        inputs = ("t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility", "seen")
+        empty = [c for c in inputs if block.column(c).null_count]
+        if empty:
+            raise ValueError(f"rows without {', '.join(empty)} cannot be decided")
+        block = block.combine_chunks()
+        month = block.column("month").combine_chunks().dictionary_encode()
+        columns = {c: block.column(c).to_numpy() for c in inputs if c != "month"}
+        columns |= {"month": month.indices.to_numpy().astype(np.int64), "seen": columns["seen"] >= 1}
+        columns = {c: v.astype(float) if c in ("elapsed", "risk", "utility") else v for c, v in columns.items()}
+        onsets = [np.array(x or (), dtype=np.int64) for x in block.column("_onsets").take(pa.array(starts)).to_pylist()]
+        masks = [block.column(given[b]).cast(pa.float64()).fill_null(0.0).to_numpy() != 0 if b in given else None for b in budgets] if given else None
+        names, entity, width = pa.array(month.dictionary), block.column("entity"), len(budgets)
+        panels: dict[int, controller_block.Panel] = {}
+        for method, rule in rules.items():
+            if rule.horizon not in panels:
+                panels[rule.horizon] = controller_block.Panel(columns, starts, onsets, rule.horizon)
+            panel = panels[rule.horizon]
+            capacities = [capacity_bins(x, rule.step_minutes) for x in budgets]
+            machine = controller_block.Block(rule, capacities, panel, len(names))
+            made = machine.run(masks, trace != "none")
+
+            def table(kind_: str, at: np.ndarray, which: np.ndarray, values: dict[str, pa.Array | np.ndarray]) -> Iterator[pa.RecordBatch]:
+                values |= {"method": pa.repeat(method, len(at)), "kind": pa.repeat(kind_, len(at)), "entity": entity.take(pa.array(at)).combine_chunks(),
+                           "budget": np.array(budgets, dtype=float)[which], "capacity": np.array(capacities, dtype=np.int64)[which]}
+                whole = [pa.array(values[f.name], f.type) if f.name in values else pa.nulls(len(at), f.type) for f in arrow]
+                yield from pa.Table.from_arrays(whole, schema=arrow).to_batches(max_chunksize=BATCH_ROWS)
+
+            if made:
+                kept = np.ones(made["alarm"].shape, dtype=bool) if trace == "all" else made["alarm"] == 1
+                at, which = np.nonzero(kept)
+                yield from table("t", at, which, {n: v[kept] for n, v in made.items()} | {c: columns[c][at] for c in ("t", "risk", "utility")})
+            ledgers = np.repeat(np.flatnonzero(machine.known), width)
+            which = np.tile(np.arange(width), len(ledgers) // width)
+            yield from table("m", panel.starts[ledgers % machine.entities], which, {n: v[ledgers, which] for n, v in machine.ledger.items()} | {
+                "month": names.take(pa.array(ledgers // machine.entities)), "bins": machine.bins[ledgers], "price": machine.price[ledgers, which],
+                "occupied": sum(machine.ledger[n][ledgers, which] for n in ("confirmed", "pending", "locked"))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, goal = 0, BLOCK_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < goal:
+                continue
+            whole = pa.Table.from_batches(held)
+            starts = np.flatnonzero(whole.column("_first").to_numpy())
+            # The last entity may go on in the next batch.
+            if starts[-1] > 0:
+                yield from decide(whole.slice(0, starts[-1]), starts[:-1])
+            held = whole.slice(starts[-1]).to_batches()
+            size = whole.num_rows - int(starts[-1])
+            goal = max(BLOCK_ROWS, 2 * size)
+        if size:
+            whole = pa.Table.from_batches(held)
+            yield from decide(whole, np.flatnonzero(whole.column("_first").to_numpy()))
+
+    return ordered.mapInArrow(run, schema)
 
 
 def _tags(result: DataFrame) -> list[str]:
