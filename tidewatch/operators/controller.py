@@ -310,6 +310,8 @@ _MONTH = ("month string, actions bigint, released bigint, locked bigint, peak_pe
           "peak_unlocked bigint, rejected_capacity bigint, rejected_pacing bigint, bins bigint")
 
 
+#: What a decision needs to know of a row, beside whether its follow-up was observed.
+INPUTS = ("entity", "t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility")
 #: Rows after which a block of whole entities is decided, and rows of a batch that is handed back.
 BLOCK_ROWS, BATCH_ROWS = 1 << 18, 1 << 15
 
@@ -354,15 +356,14 @@ def run_controllers(rows: DataFrame, events: DataFrame, budgets: tuple[float, ..
     entity_type = to_arrow_type(rows.schema["entity"].dataType)
     arrow = pa.schema([(n, entity_type if n == "entity" else types[k]) for n, k in fields_])
     known = events.filter("onset IS NOT NULL").groupBy(F.col("entity").alias("_who")).agg(F.collect_list("onset").alias("_onsets"))
-    needed = rows.select("entity", "t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility",
-                         F.coalesce(F.col(observed), F.lit(0)).cast("int").alias("seen"), *sorted(set(given.values())))
+    needed = rows.select(*INPUTS, F.coalesce(F.col(observed), F.lit(0)).cast("int").alias("seen"), *sorted(set(given.values())))
     joined = needed.join(known, F.col("entity").eqNullSafe(F.col("_who")), "left").drop("_who")
     # The window places an entity's rows in one partition, in order; its first row carries the onsets.
     first = F.row_number().over(Window.partitionBy("entity").orderBy("t")) == 1
     ordered = joined.withColumn("_first", first).withColumn("_onsets", F.when(F.col("_first"), F.col("_onsets"))).sortWithinPartitions("entity", "t")
 
     def decide(block: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        inputs = ("t", "month", "month_bins", "bin_index", "elapsed", "risk", "utility", "seen")
+        inputs = (*INPUTS[1:], "seen")
         empty = [c for c in inputs if block.column(c).null_count]
         if empty:
             raise ValueError(f"rows without {', '.join(empty)} cannot be decided")

@@ -7,7 +7,10 @@ true/false classification) stays relational.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,30 +74,46 @@ def greedy_pairs(segments: DataFrame, events: DataFrame, horizon: int) -> DataFr
     """One segment to one event, segments in time order, earliest event first.
 
     A segment may take an event with ``start < onset <= stop + horizon``.  As both
-    lists move forward in time the greedy choice is a merge of two sorted lists.
+    lists move forward in time the greedy choice is a merge of two sorted lists,
+    one row with both per entity: a task merges those of thousands of entities.
+    """
+    kind, ekind = segments.schema["entity"].dataType.simpleString(), events.schema["event_id"].dataType.simpleString()
+    mine = segments.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "segment"))).alias("_segments"))
+    known = F.struct("onset", F.col("event_id").isNull().alias("unnamed"), "event_id")
+    todo = events.filter("onset IS NOT NULL").groupBy(F.col("entity").alias("_who")).agg(F.sort_array(F.collect_list(known)).alias("_events"))
+    both = mine.join(todo, F.col("entity").eqNullSafe(F.col("_who"))).drop("_who")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("_segments", "_events")]
+            (first, last), (segs, evs) = ([np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))).tolist() for x in lists], [x.flatten() for x in lists])
+            starts, stops, onsets = segs.field("start").to_pylist(), segs.field("stop").to_pylist(), evs.field("onset").to_pylist()
+            owners, taking, taken = [], [], []
+            for i in range(batch.num_rows):
+                at, end = last[i], last[i + 1]
+                for s in range(first[i], first[i + 1]):
+                    while at < end and onsets[at] <= starts[s]:
+                        at += 1
+                    if at < end and onsets[at] <= stops[s] + horizon:
+                        owners.append(i)
+                        taking.append(s)
+                        taken.append(at)
+                        at += 1
+            owners, taking, taken = (pa.array(x, pa.int64()) for x in (owners, taking, taken))
+            yield pa.RecordBatch.from_arrays([batch.column("entity").take(owners), segs.field("segment").take(taking), segs.field("start").take(taking), evs.field("event_id").take(taken)],
+                                             names=["entity", "segment", "start", "event_id"])
+
+    return both.mapInArrow(run, f"entity {kind}, segment bigint, start bigint, event_id {ekind}")
+
+
+def strict_match(rows: DataFrame, events: DataFrame, alarm: str, step: int, horizon: int, observed: str = "observed",
+                 queue: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Strict event contract: (event records, classified alarm rows).
+
+    ``queue`` is the events' :func:`window_availability`, where it is known; then ``rows`` need hold no more than the alarms.
     """
-    kinds, ekinds = dict(segments.dtypes), dict(events.dtypes)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        todo = list(right.sort_values(["onset", "event_id"])[["event_id", "onset"]].itertuples(index=False, name=None))
-        at, pairs = 0, []
-        for entity, seg, start, stop in left.sort_values("start")[["entity", "segment", "start", "stop"]].itertuples(index=False, name=None):
-            while at < len(todo) and todo[at][1] <= start:
-                at += 1
-            if at < len(todo) and todo[at][1] <= stop + horizon:
-                pairs.append((entity, seg, start, todo[at][0]))
-                at += 1
-        return pd.DataFrame(pairs, columns=["entity", "segment", "start", "event_id"])
-
-    return (segments.select("entity", "segment", "start", "stop").groupBy("entity")
-            .cogroup(events.select("entity", "event_id", "onset").groupBy("entity"))
-            .applyInPandas(run, f"entity {kinds['entity']}, segment bigint, start bigint, event_id {ekinds['event_id']}"))
-
-
-def strict_match(rows: DataFrame, events: DataFrame, alarm: str, step: int, horizon: int, observed: str = "observed") -> tuple[DataFrame, DataFrame]:
-    """Strict event contract: (event records, classified alarm rows)."""
     marked = alarm_rows(rows, alarm, step, events)
-    queue = window_availability(events, rows, step, horizon, observed)
+    queue = window_availability(events, rows, step, horizon, observed) if queue is None else queue
     pairs = greedy_pairs(segments_of(marked), queue.filter("operational = 1"), horizon)
     records = queue.join(pairs.withColumnRenamed("start", "segment_start"), ["entity", "event_id"], "left").withColumns({
         "hit": F.col("segment").isNotNull().cast("int"),
@@ -165,10 +184,15 @@ def final_episode_match(rows: DataFrame, events: DataFrame, alarm: Column, step:
                       F.when(hit, (F.col("onset") - F.col("e.last_alarm")) / 3600.0).alias("last_lead_hours"))
 
 
-def month_budget(rows: DataFrame, classified: DataFrame, budget_hours: float, step: int) -> DataFrame:
-    """Alarm, false, unsettled and reserved hours per entity-month against a budget."""
+def month_rows(rows: DataFrame) -> DataFrame:
+    """Rows of each entity-month."""
+    return rows.groupBy("entity", clock.month_key("t").alias("month")).agg(F.count(F.lit(1)).alias("observed_rows"))
+
+
+def month_budget(rows: DataFrame, classified: DataFrame, budget_hours: float, step: int, present: DataFrame | None = None) -> DataFrame:
+    """Alarm, false, unsettled and reserved hours per entity-month against a budget; ``present`` is :func:`month_rows`, where it is known."""
     month = clock.month_key("t").alias("month")
-    present = rows.groupBy("entity", month).agg(F.count(F.lit(1)).alias("observed_rows"))
+    present = month_rows(rows) if present is None else present
     used = classified.groupBy("entity", month).agg(
         F.count(F.lit(1)).alias("alarm_bins"), F.sum("false_alarm").alias("false_bins"),
         F.sum("unsettled_alarm").alias("unsettled_bins"), F.sum("reserved_alarm").alias("reserved_bins"))

@@ -234,15 +234,18 @@ matching_ctes("cost", "SELECT c.kind || '@' || CAST(c.budget AS INT) AS key, c.e
 def mt14(spark, root):
     """What nesting the budgets costs, budget by budget; both controllers run in one pass."""
     events = purchase_events(spark, root)
-    inputs = materialize(controller_inputs(spark, root, RULES), "inputs")
+    inputs = materialize(controller_inputs(spark, root, RULES).select(*controller.INPUTS, "observed"), "inputs")
     rules = {"coupled": RULES, "uncoupled": dataclasses.replace(RULES, couple=False)}
-    trace = controller.trace_of(controller.run_controllers(inputs, events, BUDGETS, rules)).join(inputs.select("entity", "t", "observed"), ["entity", "t"])
+    # All candidates decide on the same rows, so an event's window is looked up once and only alarms are matched.
+    alarms = controller.trace_of(controller.run_controllers(inputs, events, BUDGETS, rules, trace="alarms"))
+    observed = inputs.select("entity", "t", "observed")
     # The candidate becomes part of the entity's key, so all are matched in the same pass.
     name = F.concat_ws("@", "method", F.col("budget").cast("int").cast("string"))
-    rows = materialize(trace.select(F.concat_ws("#", name, F.col("entity").cast("string")).alias("entity"), "t", "alarm", "observed"), "coupling")
+    rows = materialize(alarms.join(observed, ["entity", "t"]).select(F.concat_ws("#", name, F.col("entity").cast("string")).alias("entity"), "t", "alarm", "observed"), "coupling")
     names = F.explode(F.array(*[F.lit(f"{m}@{int(b)}") for m in rules for b in BUDGETS]))
-    spread = events.withColumn("_name", names).select(F.concat_ws("#", "_name", F.col("entity").cast("string")).alias("entity"), F.concat_ws("#", "_name", F.col("event_id").cast("string")).alias("event_id"), "onset")
-    records = matching.strict_match(rows, spread, "alarm", HOUR, HORIZON_S)[0]
+    queue = matching.window_availability(events.select("entity", "event_id", "onset"), observed, HOUR, HORIZON_S).withColumn("_name", names)
+    queue = materialize(queue.withColumns({c: F.concat_ws("#", "_name", F.col(c).cast("string")) for c in ("entity", "event_id")}).drop("_name"), "coupling-events")
+    records = matching.strict_match(rows, queue.select("entity", "event_id", "onset"), "alarm", HOUR, HORIZON_S, queue=queue)[0]
     key = F.substring_index("entity", "#", 1)
     tagged = records.withColumns({"method": F.substring_index(key, "@", 1), "budget": F.substring_index(key, "@", -1).cast("double")})
     wide = tagged.groupBy("budget").pivot("method", ["coupled", "uncoupled"]).agg(
