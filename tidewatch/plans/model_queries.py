@@ -357,8 +357,9 @@ def decompose(rows, names, packed, fit):
 @query("ml9_prediction_table", "entity:i t:i step_risk:f risk_1h:f risk_3h:f risk_6h:f calibrated_6h:f active_rule:i")
 def ml9(spark, root):
     rows = training_rows(spark, root)
-    fit = models.fit_glm(rows, LOCAL, "future", "weight", "cloglog")
-    cal = models.calibrate(rows.withColumn("eta", fit.eta()), "eta", "future", "weight", "cloglog")
+    alike = materialize(models.rows_alike(rows, LOCAL, "future", "weight"), "scaled")
+    fit = models.fit_glm(alike, LOCAL, "future", "weight", "cloglog")
+    cal = models.calibrate(alike.withColumn("eta", fit.eta()), "eta", "future", "weight", "cloglog")
     scaled = rows.withColumn("eta", fit.eta() - F.log(F.lit(6.0)))
     return scaled.select("entity", "t", scalar.cloglog_risk("eta").alias("step_risk"), scalar.cloglog_risk("eta", 1).alias("risk_1h"), scalar.cloglog_risk("eta", 3).alias("risk_3h"),
                          scalar.cloglog_risk("eta", 6).alias("risk_6h"), scalar.calibrated_cloglog_risk(F.col("eta") + F.log(F.lit(6.0)), cal.intercept, cal.values[0], 1).alias("calibrated_6h"),
