@@ -12,7 +12,7 @@ from tidewatch.plans.episode_queries import explode_groups
 from tidewatch.plans.matching_queries import HORIZON_S, capped_alarms, method_records, paired, strict
 from tidewatch.plans.policy_queries import FIXED, CAP, trajectories
 from tidewatch.plans.registry import cte, query
-from tidewatch.plans.standins import (HORIZON, HOUR, catalog_view, episode_events, grid_bounds, panel, purchase_events, readings,
+from tidewatch.plans.standins import (HORIZON, HOUR, RISK_RULES, catalog_view, episode_events, grid_bounds, panel, purchase_events, readings,
                                       risk_rows, scored, sensor_timeline)
 from tidewatch.session import materialize, table
 
@@ -599,9 +599,10 @@ def va2(spark, root):
 def va3(spark, root):
     from tidewatch.operators import risk as risk_ops
 
-    tl = sensor_timeline(spark, root)
-    ev = episode_events(spark, root)
-    rr = materialize(risk_rows(spark, root), "risk")
+    # Timeline and episodes are read by several checks and by the risk table: each is built once.
+    tl = materialize(sensor_timeline(spark, root), "timeline")
+    ev = materialize(episode_events(spark, root), "episodes")
+    rr = materialize(risk_ops.risk_timeline(tl, ev, RISK_RULES), "risk")
     b = grid_bounds(readings(spark, root))
     one = lambda d: d.scalar()
     n_entities = one(readings(spark, root).agg(F.count_distinct("entity")))
