@@ -182,3 +182,20 @@ def test_key_audit_reports_sharing(spark):
     b = spark.createDataFrame([(2,), (3,)], "k int")
     got = {r.part: (r.rows_n, r.duplicates, r.shared_keys) for r in audits.key_audit({"a": a, "b": b}, ["k"]).collect()}
     assert got == {"a": (3, 1, 1), "b": (2, 0, 1)}
+
+
+def test_rows_alike_are_summed_before_conditions_and_metrics(spark):
+    rows = [(k % 4 / 10 + 0.1, k % 5 // 4, 1.0 + k % 2, k % 3) for k in range(600)]
+    df = spark.createDataFrame(rows, "p double, y int, w double, g int")
+    alike = metrics.rows_alike(df, "p", "y", "w", ("g",))
+    assert alike.count() == len({(p, y, g) for p, y, _, g in rows}) and alike.agg({"n": "sum"}).first()[0] == 600
+    found = {r.g: r for r in metrics.probability_metrics(df, "p", "y", "w", ("g",)).collect()}
+    plain, ranks = ({r.g: r for r in part.collect()} for part in (metrics.base_metrics(df, "p", "y", "w", ("g",)), metrics.ranking_metrics(df, "p", "y", "w", ("g",))))
+    for g in range(3):
+        assert (found[g].rows_n, found[g].positives, found[g].bins) == (plain[g].rows_n, plain[g].positives, plain[g].bins)
+        assert [found[g][c] for c in ("weight", "brier", "log_loss", "ece", "max_gap")] == pytest.approx([plain[g][c] for c in ("weight", "brier", "log_loss", "ece", "max_gap")])
+        assert found[g].average_precision == pytest.approx(ranks[g].average_precision) and found[g].roc_auc == pytest.approx(ranks[g].roc_auc)
+    # More conditions than a long number has bits.
+    named = {"all": "1 = 1", **{f"never_{k}": "g > 9" for k in range(70)}, "last": "g = 2", "unknown": "CAST(NULL AS INT) = 1"}
+    by = {r.condition: r for r in metrics.condition_metrics(df.withColumn("q", 1 - df.p), named, ["p", "q"], "p", "y", "w").filter("model = 'q'").collect()}
+    assert set(by) == {"all", "last"} and by["all"].rows_n == 600 and by["last"].rows_n == 200 and by["last"].coverage == pytest.approx(1 / 3)

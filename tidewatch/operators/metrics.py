@@ -7,20 +7,30 @@ through the sliced running totals, so no task ever sorts all rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import scan
+from tidewatch.session import materialize
 
 # Lower edges of the thirteen calibration bins.
 CALIBRATION_EDGES = (0.0, 1e-6, 3e-6, 1e-5, 3e-5, 1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2, 1e-1, 3e-1)
 
 
-def _clean(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...]) -> DataFrame:
+def _clean(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...], n: str | None = None) -> DataFrame:
     weight = f"CAST({w} AS DOUBLE)" if w else "1.0D"
     return df.selectExpr(*by, f"greatest(least(CAST({p} AS DOUBLE), 1 - 1e-12D), 1e-12D) AS _p", f"CAST({y} AS INT) AS _y",
-                         f"{weight} AS _w").filter("_p IS NOT NULL AND NOT isnan(_p) AND _w > 0")
+                         f"{weight} AS _w", f"{n or '1L'} AS _n").filter("_p IS NOT NULL AND NOT isnan(_p) AND _w > 0")
+
+
+def rows_alike(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one group with equal score and label as one (``by``, p, y, w, n): every metric is a sum over them.
+
+    Written once, so that the metrics do not each make the rows anew; rows that all differ are written as they are, without more.
+    """
+    return materialize(_clean(df, p, y, w, by).groupBy(*by, F.col("_p").alias("p"), F.col("_y").alias("y")).agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")), "rows-alike")
 
 
 def calibration_bin(p: str = "_p") -> Column:
@@ -28,13 +38,13 @@ def calibration_bin(p: str = "_p") -> Column:
     return F.expr(" + ".join(f"int({p} >= {e!r}D)" for e in CALIBRATION_EDGES[1:]))
 
 
-def base_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def base_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), n: str | None = None) -> DataFrame:
     """Rows, prevalence, mean probability, Brier score and skill, log-loss; ECE parts by bin.
 
-    One aggregate by (group, bin) serves all of them.
+    One aggregate by (group, bin) serves all of them.  A row may stand for ``n`` rows, whose weights it sums.
     """
-    bins = _clean(df, p, y, w, by).withColumn("_bin", calibration_bin()).groupBy(*by, "_bin").agg(*[F.expr(e) for e in (
-        "count(1) AS n", "sum(_y) AS pos", "sum(_w) AS sw", "sum(_w * _y) AS swy", "sum(_w * _p) AS swp",
+    bins = _clean(df, p, y, w, by, n).withColumn("_bin", calibration_bin()).groupBy(*by, "_bin").agg(*[F.expr(e) for e in (
+        "sum(_n) AS n", "sum(_n * _y) AS pos", "sum(_w) AS sw", "sum(_w * _y) AS swy", "sum(_w * _p) AS swp",
         "sum(_w * (_p - _y) * (_p - _y)) AS sb", "sum(-_w * (_y * ln(_p) + (1 - _y) * ln(1 - _p))) AS sl")])
     out = bins.groupBy(*by).agg(*[F.expr(e) for e in (
         "sum(n) AS rows_n", "sum(pos) AS positives", "sum(sw) AS weight", "sum(swy) / sum(sw) AS prevalence", "sum(swp) / sum(sw) AS mean_probability",
@@ -53,7 +63,19 @@ def ranking_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tup
 
 def probability_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     """All probability metrics; ``bounded`` as in the running totals (say, one group per entity)."""
-    base, ranks = base_metrics(df, p, y, w, by), ranking_metrics(df, p, y, w, by, bounded)
+    if bounded:
+        base, ranks = base_metrics(df, p, y, w, by), ranking_metrics(df, p, y, w, by, bounded)
+    else:
+        base, ranks = metrics_alike(rows_alike(df, p, y, w, by), by)
+    return _joined(base, ranks, by)
+
+
+def metrics_alike(alike: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Base and ranking metrics of :func:`rows_alike`."""
+    return base_metrics(alike, "p", "y", "w", by, "n"), ranking_metrics(alike, "p", "y", "w", by)
+
+
+def _joined(base: DataFrame, ranks: DataFrame, by: tuple[str, ...]) -> DataFrame:
     if by:
         return base.join(ranks, list(by), "left")
     one = F.lit(1).alias("_one")
@@ -85,13 +107,20 @@ def condition_metrics(df: DataFrame, conditions: dict[str, str], models: list[st
     """Metrics of every model under every named condition, with differences to the base model.
 
     Rows reach the conditions they satisfy through one explode; the sums are
-    additive, so this is one grouped pass whatever the number of conditions.
+    additive, so this is one grouped pass whatever the number of conditions,
+    and rows with the same conditions, score and label are summed before it.
     """
-    hit = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
+    # The conditions that a row satisfies, as bits of a few long numbers.
+    names = list(conditions)
+    flags = [F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(1 << i % 62).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(conditions.values())]
+    met = F.array(*[reduce(Column.__add__, flags[k : k + 62]) for k in range(0, len(flags), 62)])
+    named = F.array_compact(F.array(*[F.when(F.getbit(F.col("_met")[i // 62], F.lit(i % 62)) == 1, F.lit(n)) for i, n in enumerate(names)]))
     stack = f"stack({len(models)}, " + ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in models) + ") AS (model, p)"
     kept = [c for c in df.columns if c in {y, w}]
-    long = df.withColumn("condition", F.explode(hit)).selectExpr("condition", *kept, stack)
-    m = probability_metrics(long, "p", y, w, ("condition", "model")).filter(F.col("rows_n") >= minimum_rows)
+    # Rows that agree in all conditions, score and label go through the explode as one.
+    sets = rows_alike(df.withColumn("_met", met).selectExpr("_met", *kept, stack), "p", y, w, ("_met", "model"))
+    alike = materialize(sets.withColumn("condition", F.explode(named)).groupBy("condition", "model", "p", "y").agg(F.sum("w").alias("w"), F.sum("n").alias("n")), "conditions")
+    m = _joined(*metrics_alike(alike, ("condition", "model")), ("condition", "model")).filter(F.col("rows_n") >= minimum_rows)
     total = df.agg(F.count(F.lit(1))).scalar()
     ref = m.filter(F.col("model") == base).select("condition", *[F.col(c).alias(f"base_{c}") for c in ("average_precision", "log_loss", "brier", "ece")])
     joined = m.join(ref, "condition")
