@@ -606,17 +606,17 @@ def wf17(spark, root):
                                                            F.expr("CASE WHEN entity % 5 = 0 THEN 'unseen' ELSE 'seen' END AS cohort"))
     rows = materialize(f, "seasonal")
     fold = F.pmod("entity", F.lit(2))
-    parts, wald = [], 0.0
+    unseen, wald = {}, 0.0
     for name, terms in cols.items():
-        for k in (0, 1):
-            fit = models.fit_glm(rows.filter(fold != k), terms, "label", "weight", "logit", 1e-5)
-            parts.append(rows.filter(fold == k).select("entity", "t", "cohort", "label", "weight", fit.risk().alias("p"), F.lit(name).alias("model")))
+        fits = [models.fit_glm(rows.filter(fold != k), terms, "label", "weight", "logit", 1e-5) for k in (0, 1)]
+        unseen[name] = F.when(fold == 0, fits[0].risk()).when(fold == 1, fits[1].risk())
         if name == "interaction":
             whole = models.fit_glm(rows, terms, "label", "weight", "logit", 1e-5)
             wald = models.wald_test(whole, models.cluster_sandwich(rows, whole, "label", "weight", "entity"), terms[4:])[0]
-    oof = materialize(union(parts), "oof")
+    # The models' scores lie beside each other: no row is written once per model and brought together again.
+    wide = rows.select("entity", "cohort", "label", "weight", *[p.alias(name) for name, p in unseen.items()])
+    oof = wide.selectExpr("cohort", "label", "weight", f"stack({len(cols)}, " + ", ".join(f"'{n}', {n}" for n in cols) + ") AS (model, p)")
     m = metrics.base_metrics(oof, "p", "label", "weight", ("model", "cohort"))
-    wide = oof.groupBy("entity", "t", "cohort", "label", "weight").pivot("model", list(cols)).agg(F.first("p"))
     spread = []
     for name in ("state", "interaction"):
         sums = materialize(loss_sums(wide.withColumnsRenamed({"weather": "base", name: "extra"}), ("cohort",)), "sums")
@@ -642,20 +642,30 @@ def wf18(spark, root):
     held = materialize(grouped.unionByName(regions), "holdouts")
     names = sorted(r[0] for r in held.select("held").distinct().collect())  # folds and regions
     # Each row with the folds that hold its entity out; it trains in all others, once per seed, with a weight of its own there.
-    away = held.groupBy("entity").agg(F.collect_set("held").alias("away"))
+    away = held.groupBy("entity").agg(F.sort_array(F.collect_set("held")).alias("away"))
     known = materialize(rows.join(away, "entity"), "unseen-rows")
-    folds, seeds = F.array(*[F.lit(n) for n in names]), F.sequence(F.lit(0), F.lit(SEEDS - 1))
-    spread = known.withColumn("fold", F.explode(F.array_except(folds, F.col("away")))).withColumn("seed", F.explode(seeds))
-    draw = sampling.hash_unit("entity", F.expr("t DIV 259200"), "seed", salt=18)
-    weighed = spread.withColumns({"fit": F.concat_ws("#", "fold", F.col("seed").cast("string")), "w": F.col("weight") * -F.log(F.greatest(draw, F.lit(1e-9)))})
-    fits = hazards.fit_hazards(weighed, [hazards.Design(f"{n}#{k}", tuple(LOCAL), False, 1e-3) for n in names for k in range(SEEDS)], "future", "w")
-    judged = known.withColumn("fold", F.explode(folds)).withColumn("seed", F.explode(seeds)).withColumn("fit", F.concat_ws("#", "fold", F.col("seed").cast("string")))
-    scored_ = fits.eta(judged.select("entity", "t", "future", "weight", "away", "fold", "fit", *LOCAL))
-    p = scored_.select("entity", "t", F.col("future").alias("label"), "weight", F.substring_index("fold", "/", 1).alias("protocol"),
-                       F.when(F.array_contains("away", F.col("fold")), "unseen").otherwise("seen").alias("cohort"), hazards.risk().alias("p"))
-    pooled = materialize(p.groupBy("protocol", "cohort", "entity", "t", "label", "weight").agg(F.avg("p").alias("p")), "holdout-scores")
-    m = metrics.probability_metrics(pooled, "p", "label", "weight", ("protocol", "cohort"))
-    wide = pooled.groupBy("protocol", "entity", "t", "label", "weight").pivot("cohort", ["seen", "unseen"]).agg(F.first("p")).filter("seen IS NOT NULL AND unseen IS NOT NULL")
+    folds, seeds = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(k) for k in range(SEEDS)])
+    # The three days of an entity are drawn together, so rows with equal features there are summed before they are weighed; and rows
+    # of the same holdouts, seed and features train, and are scored, as one with the sum of their weights.
+    spans = known.groupBy("entity", "away", F.expr("t DIV 259200").alias("span"), "future", *LOCAL).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    draws_of = F.transform(seeds, lambda k: -F.log(F.greatest(sampling.hash_unit("entity", "span", k, salt=18), F.lit(1e-9))))
+    weighed = spans.select("away", "future", *LOCAL, "weight", "n", draws_of.alias("_d"))
+    alike = materialize(weighed.groupBy("away", "future", *LOCAL).agg(F.sum("n").alias("n"), *[F.sum(F.col("weight") * F.col("_d")[k]).alias(f"w{k}") for k in range(SEEDS)]), "rows-alike")
+    spread = alike.withColumn("fold", F.explode(F.array_except(folds, F.col("away")))).select(
+        "fold", "future", *LOCAL, "n", F.posexplode(F.array(*[F.col(f"w{k}") for k in range(SEEDS)])).alias("seed", "w"))
+    training = spread.withColumn("fit", F.concat_ws("#", "fold", F.col("seed").cast("string"))).groupBy("fit", "future", *LOCAL).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    fits = hazards.fit_hazards(training, [hazards.Design(f"{n}#{k}", tuple(LOCAL), False, 1e-3) for n in names for k in range(SEEDS)], "future", "w", "fit", count="n")
+    judged = alike.select("away", *LOCAL).distinct().withColumn("fold", F.explode(folds)).withColumn("seed", F.explode(seeds)).withColumn("fit", F.concat_ws("#", "fold", F.col("seed").cast("string")))
+    of_seed = fits.eta(judged).select("away", *LOCAL, F.substring_index("fold", "/", 1).alias("protocol"), F.when(F.array_contains("away", F.col("fold")), "unseen").otherwise("seen").alias("cohort"), hazards.risk().alias("p"))
+    # Scores of both cohorts beside each other, by holdouts and features; the rows meet them once per protocol.
+    scores = materialize(of_seed.groupBy("protocol", "away", *LOCAL).pivot("cohort", ["seen", "unseen"]).agg(F.avg("p")), "holdout-scores")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("away", *LOCAL)]
+    judged_rows = known.select("entity", "away", F.col("future").alias("label"), "weight", *LOCAL).join(
+        scores.withColumnsRenamed({c: f"_{c}" for c in ("away", *LOCAL)}), same)
+    pooled = materialize(judged_rows.select("protocol", "entity", "label", "weight", "seen", "unseen"), "pooled-scores")
+    long = pooled.selectExpr("protocol", "label", "weight", "stack(2, 'seen', seen, 'unseen', unseen) AS (cohort, p)")
+    m = metrics.probability_metrics(long, "p", "label", "weight", ("protocol", "cohort"))
+    wide = pooled.filter("seen IS NOT NULL AND unseen IS NOT NULL")
     sums = materialize(loss_sums(wide.withColumnsRenamed({"seen": "base", "unseen": "extra"}), ("protocol",)), "gap-sums")
     draws = bootstrap.ratio_draws(bootstrap.replicate_totals(sums, ["sw", "la", "lb"], R, "wf18", by=("protocol",)), {"gap": "(la - lb) / sw"}, ("protocol",))
     gap = bootstrap.intervals(draws, ("protocol",)).select("protocol", F.col("low").alias("gap_low"), F.col("high").alias("gap_high"))
