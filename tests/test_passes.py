@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import matching, models, policies
+from tidewatch.operators import matching, metrics, models, policies
 from tidewatch.plans import workflows
 
 
@@ -97,3 +97,26 @@ def test_candidates_of_one_panel_are_judged_as_before(spark):
         names = sorted(a.columns)
         rows = [sorted([round(v, 9) if isinstance(v, float) else v for v in r].__repr__() for r in x.select(*names).collect()) for x in (a, b)]
         assert rows[0] == rows[1] and rows[0]
+
+
+def test_trees_over_rows_of_bins_are_those_over_the_rows(spark):
+    df = spark.range(3000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CASE WHEN id % 11 <> 0 THEN CAST(id * 13 % 5 AS DOUBLE) END AS b",
+                                      "CAST(id * 31 % 40 AS DOUBLE) AS c", "CAST(id % 7 > 3 AND id * 13 % 5 > 1 AND id % 17 <> 0 AS INT) AS y")
+    edges = models.feature_edges(df, ["a", "b", "c"])
+    assert edges["a"] == [k + 0.5 for k in range(6)] and edges["b"] == [k + 0.5 for k in range(4)] and 25 < len(edges["c"]) < 32
+    alike = models.rows_of_bins(df, edges, ["y"])
+    assert alike.agg(F.sum("n")).first()[0] == 3000 and alike.count() < 2500
+    trees = models.fit_boosted_binned(alike, edges, "y", "n", 3.0, 4, 3)
+    plain = models.score_boosted(models.fit_boosted(models.binned(df, edges), ["a", "b", "c"], "y", 3.0, 4, 3), models.binned(df, edges), ["a", "b", "c"])
+    merged = models.score_boosted_binned(trees, alike).withColumnRenamed("risk", "other")
+    both = plain.join(merged, ["y", "a", "b", "c"])
+    assert both.count() == 3000 and both.agg(F.max(F.abs(F.col("risk") - F.col("other")))).first()[0] < 1e-9
+
+
+def test_rows_that_stand_for_several_have_the_metrics_of_all(spark):
+    rows = [(0, 0.2, 0, 3), (0, 0.7, 1, 2), (0, 0.7, 0, 1), (1, 0.4, 1, 4), (1, 0.1, 0, 5)]
+    counted = spark.createDataFrame(rows, "g int, p double, y int, n long")
+    spread = counted.selectExpr("g", "p", "y", "explode(sequence(1L, n)) AS k").drop("k")
+    found = [metrics.probability_metrics(counted, "p", "y", "n", ("g",), n="n"), metrics.probability_metrics(spread, "p", "y", None, ("g",))]
+    one, other = ([[round(v, 12) if isinstance(v, float) else v for v in r] for r in f.orderBy("g").collect()] for f in found)
+    assert one == other and [r[found[0].columns.index("rows_n")] for r in one] == [6, 9]

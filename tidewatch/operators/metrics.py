@@ -25,12 +25,12 @@ def _clean(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...], n:
                          f"{weight} AS _w", f"{n or '1L'} AS _n").filter("_p IS NOT NULL AND NOT isnan(_p) AND _w > 0")
 
 
-def rows_alike(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of one group with equal score and label as one (``by``, p, y, w, n): every metric is a sum over them.
+def rows_alike(df: DataFrame, p: str, y: str, w: str | None, by: tuple[str, ...] = (), n: str | None = None) -> DataFrame:
+    """Rows of one group with equal score and label as one (``by``, p, y, w, n): every metric is a sum over them.  A row may stand for ``n`` rows.
 
     Written once, so that the metrics do not each make the rows anew; rows that all differ are written as they are, without more.
     """
-    return materialize(_clean(df, p, y, w, by).groupBy(*by, F.col("_p").alias("p"), F.col("_y").alias("y")).agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")), "rows-alike")
+    return materialize(_clean(df, p, y, w, by, n).groupBy(*by, F.col("_p").alias("p"), F.col("_y").alias("y")).agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")), "rows-alike")
 
 
 def calibration_bin(p: str = "_p") -> Column:
@@ -61,12 +61,12 @@ def ranking_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tup
         F.expr("CASE WHEN max(wp_total) > 0 AND max(wn_total) > 0 THEN sum(wn * (wp_cum - wp / 2)) / (max(wp_total) * max(wn_total)) END AS roc_auc"))
 
 
-def probability_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
-    """All probability metrics; ``bounded`` as in the running totals (say, one group per entity)."""
+def probability_metrics(df: DataFrame, p: str, y: str, w: str | None = None, by: tuple[str, ...] = (), bounded: bool = False, n: str | None = None) -> DataFrame:
+    """All probability metrics; ``bounded`` as in the running totals (say, one group per entity).  A row may stand for ``n`` rows, whose weights ``w`` sums."""
     if bounded:
-        base, ranks = base_metrics(df, p, y, w, by), ranking_metrics(df, p, y, w, by, bounded)
+        base, ranks = base_metrics(df, p, y, w, by, n), ranking_metrics(df, p, y, w, by, bounded)
     else:
-        base, ranks = metrics_alike(rows_alike(df, p, y, w, by), by)
+        base, ranks = metrics_alike(rows_alike(df, p, y, w, by, n), by)
     return _joined(base, ranks, by)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -243,3 +243,65 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, cap: float =
 def score_boosted(model, rows: DataFrame, features: list[str], out: str = "risk") -> DataFrame:
     data = VectorAssembler(inputCols=features, outputCol="_features").transform(rows.fillna(0, features))
     return model.transform(data).withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)
+
+
+#: Values that a feature keeps in the trees at most, as MLlib's trees do; a feature with more is cut at this many quantiles.
+TREE_BINS = 32
+
+
+@dataclass(frozen=True)
+class BinnedTrees:
+    """Boosted trees over bin numbers, and the inner edges of the bins of each feature."""
+
+    edges: dict[str, list[float]]
+    model: object
+
+
+def feature_edges(train: DataFrame, features: list[str], bins: int = TREE_BINS) -> dict[str, list[float]]:
+    """Inner edges of each feature's bins, from all rows: between all values where there are few, else at quantiles."""
+    shares = [k / bins for k in range(1, bins)]
+    train = train.fillna(0, features)
+    known = train.agg(*[F.percentile_approx(f, shares, 10_000).alias(f"q_{i}") for i, f in enumerate(features)],
+                      *[F.approx_count_distinct(f).alias(f"n_{i}") for i, f in enumerate(features)]).first()
+    # The count is off by a few per cent; whether there are few is settled by the values themselves.
+    few = [i for i in range(len(features)) if known[f"n_{i}"] <= 2 * bins]
+    sets = train.agg(*[F.sort_array(F.collect_set(features[i])).alias(f"s_{i}") for i in few]).first() if few else {}
+    edges = {}
+    for i, f in enumerate(features):
+        values = sets[f"s_{i}"] if i in few else None
+        if values is not None and len(values) <= bins:
+            edges[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        else:
+            edges[f] = sorted(set(known[f"q_{i}"] or ()))
+    return edges
+
+
+def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Rows with bin numbers in place of the features; a missing value is zero."""
+    names = list(edges)
+    cut = Bucketizer(splitsArray=[[-math.inf, *edges[f], math.inf] for f in names], inputCols=names, outputCols=[f"_bin_{f}" for f in names])
+    rest = [c for c in rows.columns if c not in edges]
+    # The bucketizer marks its numbers as categories, which a tree would split without regard to their order; a cast drops the mark.
+    return cut.transform(rows.fillna(0, names)).select(*rest, *[F.col(f"_bin_{f}").cast("int").alias(f) for f in names])
+
+
+def rows_of_bins(rows: DataFrame, edges: dict[str, list[float]], by: list[str], out: str = "n") -> DataFrame:
+    """(by, bin numbers, n): rows that no tree over these bins can tell apart, as one with their count."""
+    return binned(rows, edges).groupBy(*by, *edges).agg(F.count(F.lit(1)).alias(out))
+
+
+def fit_boosted_binned(train: DataFrame, edges: dict[str, list[float]], label: str, count: str, cap: float = 50.0, rounds: int = 10, depth: int = 4) -> BinnedTrees:
+    """As :func:`fit_boosted`, over :func:`rows_of_bins`: the sums that the trees are grown from are those of the rows themselves."""
+    features = list(edges)
+    positives, rows = train.agg(F.sum(F.col(label) * F.col(count)), F.sum(count)).first()
+    weight = min((rows - positives) / max(positives, 1), cap)
+    data = VectorAssembler(inputCols=features, outputCol="_features").transform(train).select(
+        "_features", F.col(label).cast("double").alias("_label"), (F.col(count) * F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0)).alias("_weight"))
+    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=rounds, maxDepth=depth, maxBins=TREE_BINS, seed=7).fit(data)
+    return BinnedTrees(edges, model)
+
+
+def score_boosted_binned(trees: BinnedTrees, rows: DataFrame, out: str = "risk") -> DataFrame:
+    """Risk of :func:`rows_of_bins`."""
+    data = VectorAssembler(inputCols=list(trees.edges), outputCol="_features").transform(rows)
+    return trees.model.transform(data).withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)

@@ -686,18 +686,29 @@ def wf19(spark, root):
 @query("wf20_boosted_oof", "fold:i rows_n:i brier:f log_loss:f average_precision:f slope:f")
 def wf20(spark, root):
     """Scores of rows that their trees have not seen, each fold calibrated on the other folds' scores."""
-    p = causal_recurrence_features(panel(spark, root), HORIZON).filter("observed = 1")
-    rows = p.select("entity", "t", "future", *[F.col(c).cast("double").alias(c) for c in BOOST]).join(_day_blocks(spark, root).select("entity", "t", "block"), ["entity", "t"])
-    split = materialize(sampling.purged_splits(sampling.map_folds(rows, _folds(spark, root, HOLDOUTS)), HOLDOUTS, 172800, 30 * HOUR), "splits")
+    # Blocks, folds and purging depend on the time alone, so they are settled on the times of the grid; rows meet them there.
+    times = sampling.map_folds(_day_blocks(spark, root).filter("entity IS NOT NULL").select("t", "block").distinct(), _folds(spark, root, HOLDOUTS))
+    roles = sampling.purged_splits(materialize(times, "times"), HOLDOUTS, 172800, 30 * HOUR)
+    trains = roles.groupBy("t", "fold").agg(F.collect_set(F.when(F.col("role") == "train", F.col("held"))).alias("trains"))
+    p = causal_recurrence_features(panel(spark, root), HORIZON).filter("observed = 1 AND entity IS NOT NULL")
+    rows = p.select("t", "future", *[F.col(c).cast("double").alias(c) for c in BOOST]).join(F.broadcast(materialize(trains, "roles")), "t").drop("t")
+    split = materialize(rows, "splits")
     parts = []
     for k in range(HOLDOUTS):
-        model = models.fit_boosted(split.filter((F.col("held") == k) & (F.col("role") == "train")), BOOST, "future", 20.0, BOOST_ROUNDS, 3)
-        parts.append(models.score_boosted(model, split.filter((F.col("held") == k) & (F.col("role") == "validation")), BOOST).select("entity", "t", "fold", "future", "risk"))
-    oof = materialize(union(parts).withColumn("eta", F.expr("ln(greatest(risk, 1e-6D) / greatest(1 - risk, 1e-6D))")), "oof")
+        # Trees see a feature through the edges between its bins, which come from the training rows; rows of the same bins are one.
+        learns = F.array_contains("trains", F.lit(k))
+        mine = split.filter(learns | (F.col("fold") == k)).select("fold", "future", *BOOST, learns.alias("learns"))
+        edges = models.feature_edges(mine.filter("learns"), BOOST)
+        alike = materialize(models.rows_of_bins(mine, edges, ["learns", "fold", "future"]), "bins")
+        train = alike.filter("learns").groupBy("future", *BOOST).agg(F.sum("n").alias("n"))
+        trees = models.fit_boosted_binned(train, edges, "future", "n", 20.0, BOOST_ROUNDS, 3)
+        parts.append(models.score_boosted_binned(trees, alike.filter("NOT learns")).select("fold", "future", "risk", "n"))
+    scores = union(parts).withColumn("eta", F.expr("ln(greatest(risk, 1e-6D) / greatest(1 - risk, 1e-6D))"))
+    oof = materialize(scores.groupBy("fold", "future", "eta").agg(F.sum("n").alias("n")), "oof")
     judged = []
     for k in range(HOLDOUTS):
-        cal = models.calibrate(oof.filter(F.col("fold") != k), "eta", "future", None, "logit")
+        cal = models.calibrate(models.rows_alike(oof.filter(F.col("fold") != k), ["eta"], "future", "n"), "eta", "future", "n", "logit")
         judged.append(oof.filter(F.col("fold") == k).withColumns({"p": cal.risk(), "slope": F.lit(float(cal.values[0]))}))
     pooled = materialize(union(judged), "calibrated-oof")
     slopes = pooled.groupBy("fold").agg(F.first("slope").alias("slope"))
-    return metrics.probability_metrics(pooled, "p", "future", None, ("fold",)).join(slopes, "fold")
+    return metrics.probability_metrics(pooled, "p", "future", "n", ("fold",), n="n").join(slopes, "fold")
