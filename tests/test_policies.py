@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import collect
+from pyspark.sql import functions as F
 
 from tidewatch.operators import controller, matching, policies, selection
 
@@ -313,3 +314,27 @@ def test_several_quantiles_share_one_window(spark):
                 place = q * (len(seen) - 1)
                 k = int(place)
                 assert abs(r[name] - (seen[k] + (seen[min(k + 1, len(seen) - 1)] - seen[k]) * (place - k))) < 1e-12
+
+
+def test_policies_under_caps_share_one_ordering_of_the_rows(spark):
+    rows = spark.range(2000).selectExpr("id % 7 AS entity", "1706572800 + 3600 * (id DIV 7) AS t", "CAST(id * 37 % 11 > 4 AS BIGINT) AS `a/1`", "CAST(id % 5 > 1 AS BIGINT) AS b")
+    caps = {"20": policies.SafeBudget(60, 20.0, 4.0), "40": policies.SafeBudget(60, 40.0, 4.0)}
+    many = policies.capped_many(rows, ["a/1", "b"], caps)
+    assert many._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for name in ("a/1", "b"):
+        for cap, rule in caps.items():
+            one = policies.paced_cap(rows.selectExpr("entity", "t", f"`{name}` AS candidate"), "candidate", rule).select("entity", "t", "candidate", "alarm")
+            mine = many.filter((F.col("policy") == name) & (F.col("cap") == cap)).select("entity", "t", "candidate", "alarm")
+            assert one.exceptAll(mine).count() == 0 and mine.count() == 2000
+    sums = many.groupBy("policy", "cap").agg(F.sum("candidate"), F.sum("alarm")).collect()
+    assert sorted(map(tuple, sums)) == sorted(map(tuple, policies.capped_totals(rows, ["a/1", "b"], caps).collect()))
+    assert policies.capped_totals(rows.limit(0), ["b"], caps).count() == 0
+
+
+def test_rules_with_thresholds_as_numbers_share_one_parting(spark):
+    rows = spark.range(1500).selectExpr("id % 5 AS entity", "3600 * (id DIV 5) AS t", "CASE WHEN id * 7 % 31 <> 0 THEN id * 37 % 101 / 100.0D END AS s")
+    rules = {"a": (0.5, 1, 1, 0.8), "b": (0.5, 2, 3, 0.8), "c": (0.8, 1, 2, 0.9)}
+    together = policies.hysteresis_many(rows, "s", rules)
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+    apart = policies.hysteresis_many(rows.selectExpr("*", "0.5D AS x", "0.8D AS y"), "s", {n: ("x" if r[0] == 0.5 else "y", *r[1:]) for n, r in rules.items()}).drop("x", "y")
+    assert together.exceptAll(apart).count() == 0 and together.filter("a = 1 AND b = 0").count() > 0

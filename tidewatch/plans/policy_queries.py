@@ -501,9 +501,8 @@ def al12_crossed(spark, root):
     rows = materialize(slim(spark, root), "grid-rows")
     named = crossed_grid(rows, "score")
     caps = {f"{h:g}": policies.SafeBudget(60, h, 4.0) for h in GRID_CAPS}
-    capped = policies.capped_many(policies.candidates_many(rows, "score", named), list(named), caps)
     parts = F.split("policy", "/")
-    totals = capped.groupBy("policy", "cap").agg(F.sum("candidate").alias("candidates"), F.sum("alarm").alias("alarms"))
+    totals = policies.capped_totals(policies.candidates_many(rows, "score", named), list(named), caps)
     return totals.select(parts[0].cast("double").alias("threshold"), parts[1].cast("int").alias("run"), parts[2].cast("int").alias("hold"), F.col("cap").cast("double").alias("hours"), "candidates", "alarms")
 
 
