@@ -4,7 +4,7 @@ import itertools
 from conftest import collect
 from pyspark.sql import functions as F
 
-from tidewatch.operators import episodes, joins, risk, temporal
+from tidewatch.operators import episodes, joins, matching, risk, temporal
 from tidewatch.operators.temporal import EventClock, event_clocks
 
 T0 = int(dt.datetime(2022, 1, 1, tzinfo=dt.timezone.utc).timestamp())
@@ -187,3 +187,12 @@ def test_validated_joins_fail_loudly(spark):
         joins.validated_join(a, twice, ["k"]).collect()
     with pytest.raises(Exception, match="without a matching key"):
         joins.complete_lookup(a, spark.createDataFrame([(2, 2.0)], "k int, w double"), ["k"]).collect()
+
+
+def test_final_episodes_need_the_rows_of_windows_only(spark):
+    rows = spark.range(4000).selectExpr("id % 5 AS entity", "3600 * (id DIV 5) + id % 3 AS t", "CAST(id * 31 % 7 < 2 AS INT) AS a")
+    events = spark.range(40).selectExpr("id % 6 AS entity", "CAST(id AS STRING) AS event_id", "id * 70001 % 2800000 AS onset")
+    near = matching.window_rows(rows, events, 3600, 6 * 3600)
+    assert 0 < near.count() < 700
+    whole, part = (matching.final_episode_match(r, events, F.col("a") == 1, 3600, 6 * 3600, 1, 3600, 3 * 3600) for r in (rows, near))
+    assert whole.count() == 40 and whole.exceptAll(part).count() == 0 and part.exceptAll(whole).count() == 0

@@ -146,9 +146,9 @@ def neighbour_signals(signals: DataFrame, rows: DataFrame, edges: DataFrame, win
     return rows.select("entity", "t").join(arriving, ["entity", "t"])
 
 
-def shifted_lookup(rows: DataFrame, value: str, shift: int, out: str, mapping: DataFrame | None = None) -> DataFrame:
-    """Value at exactly ``t + shift`` of the same (or mapped) entity; 0 when absent."""
-    source = rows.select(F.col("entity").alias("_from"), (F.col("t") - shift).alias("t"), F.col(value).alias(out))
+def shifted_lookup(rows: DataFrame, value: str, shift: int, out: str, mapping: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Value at exactly ``t + shift`` of the same (or mapped) entity; 0 when absent.  ``source`` has the values, where it is not ``rows`` itself."""
+    source = (rows if source is None else source).select(F.col("entity").alias("_from"), (F.col("t") - shift).alias("t"), F.col(value).alias(out))
     base = rows.withColumn("_from", F.col("entity")) if mapping is None else rows.join(
         mapping.withColumnRenamed("partner", "_from"), "entity", "left")
     return base.join(source, ["_from", "t"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0))).drop("_from")

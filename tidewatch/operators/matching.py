@@ -163,11 +163,22 @@ def simple_match(rows: DataFrame, events: DataFrame, alarm: str, step: int, hori
         "lead_hours": F.when(F.col("segment").isNotNull(), (F.col("onset") - F.greatest("segment_start", F.col("onset") - horizon)) / 3600.0)})
 
 
+def _window_cells(events: DataFrame, step: int, horizon: int) -> DataFrame:
+    """Events spread over the time cells of their windows."""
+    return events.select("event_id", "entity", "onset", F.explode(F.sequence(
+        F.floor((F.col("onset") - horizon) / step), F.floor((F.col("onset") - 1) / step))).alias("_cell"))
+
+
+def window_rows(rows: DataFrame, events: DataFrame, step: int, horizon: int) -> DataFrame:
+    """The rows that lie in the cells of some event's window, which are all that :func:`final_episode_match` looks at."""
+    cells = _window_cells(events, step, horizon).select("entity", "_cell").distinct()
+    return rows.withColumn("_cell", F.floor(F.col("t") / step)).join(cells, ["entity", "_cell"], "left_semi").select(*rows.columns)
+
+
 def final_episode_match(rows: DataFrame, events: DataFrame, alarm: Column, step: int, horizon: int,
                         minimum_bins: int, merge_gap: int, max_silence: int) -> DataFrame:
     """Last alarm episode before each event: hit when long enough and not silent too long."""
-    spread = events.select("event_id", "entity", "onset", F.explode(F.sequence(
-        F.floor((F.col("onset") - horizon) / step), F.floor((F.col("onset") - 1) / step))).alias("_cell"))
+    spread = _window_cells(events, step, horizon)
     slim = rows.select("entity", "t", F.floor(F.col("t") / step).alias("_cell"), alarm.cast("int").alias("_a"))
     inside = spread.join(slim, ["entity", "_cell"]).filter((F.col("t") >= F.col("onset") - horizon) & (F.col("t") < F.col("onset")))
     w = Window.partitionBy("entity", "event_id").orderBy("t")

@@ -78,10 +78,10 @@ def final_episode_metrics(rows: DataFrame, events: DataFrame, alarm: str) -> tup
     return records, summary
 
 
-def at_budget(rows: DataFrame, score: str, hours: float) -> DataFrame:
-    """Alarm column of a score at its false-alarm budget threshold."""
+def at_budget(rows: DataFrame, score: str, hours: float, judged: DataFrame | None = None) -> DataFrame:
+    """Alarm column of a score at its false-alarm budget threshold, on the ``judged`` ones where not all rows are needed."""
     limit = selection.budget_threshold(rows, score, "future", hours, 60).select(F.struct("threshold", "everything")).scalar()
-    out = rows.withColumn("_lim", limit)
+    out = (rows if judged is None else judged).withColumn("_lim", limit)
     return out.withColumn("alarm", F.expr(f"CAST(coalesce({score} IS NOT NULL AND (_lim.everything = 1 OR {score} > _lim.threshold), false) AS INT)")).drop("_lim")
 
 
@@ -296,13 +296,16 @@ def wf6(spark, root):
     s = materialize(scored(spark, root).filter("observed = 1").selectExpr("entity", "t", "future", "4 * coalesce(score, 0) - 4 AS local_eta", "CAST(past24 AS DOUBLE) * 0.3D AS contribution"), "gate")
     partners = joins.cyclic_partners(s)
     shifts = {"extra_lag": (-6 * HOUR, None), "shift_7d": (-7 * DAY, None), "permuted": (0, partners), "future_control": (6 * HOUR, None)}
-    arms = {"original": s.withColumn("moved", F.col("contribution")), "ablation": s.withColumn("moved", F.lit(0.0))}
-    arms |= {n: joins.shifted_lookup(s, "contribution", d, "moved", m) for n, (d, m) in shifts.items()}
-    events = purchase_events(spark, root)
-    named = {}
-    for n, arm in arms.items():
-        risk = materialize(arm.select("entity", "t", "future", scalar.calibrated_cloglog_risk(F.col("local_eta") + F.col("moved"), 0.0, 1.0, 6).alias("risk")), "arm")
-        named[n] = final_episode_metrics(at_budget(risk, "risk", 20.0), events, "alarm")[0]
+    # Arms lie beside each other, so rows are written once; alarms are looked at in the events' windows only, and thresholds come from all rows.
+    arms = {"original": F.col("contribution"), "ablation": F.lit(0.0)} | {n: F.col(f"moved_{n}") for n in shifts}
+    wide = s
+    for n, (d, m) in shifts.items():
+        wide = joins.shifted_lookup(wide, "contribution", d, f"moved_{n}", m, source=s)
+    risks = [scalar.calibrated_cloglog_risk(F.col("local_eta") + moved, 0.0, 1.0, 6).alias(f"risk_{n}") for n, moved in arms.items()]
+    risk = materialize(wide.select("entity", "t", "future", *risks), "arms")
+    events = materialize(purchase_events(spark, root), "onsets")
+    judged = materialize(matching.window_rows(risk, events, HOUR, HORIZON_S), "judged")
+    named = {n: final_episode_metrics(at_budget(risk, f"risk_{n}", 20.0, judged), events, "alarm")[0] for n in arms}
     records = paired_records(named)
     table = materialize(union([compare(records, "original", n) for n in arms if n != "original"]), "gate-table")
     tagged = table.withColumn("metric", F.expr("CASE metric WHEN 'delta_utility' THEN 'utility' WHEN 'delta_common_lead' THEN 'common_lead' ELSE metric END"))
