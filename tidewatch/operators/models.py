@@ -290,14 +290,19 @@ def rows_of_bins(rows: DataFrame, edges: dict[str, list[float]], by: list[str],
     return binned(rows, edges).groupBy(*by, *edges).agg(F.count(F.lit(1)).alias(out))
 
 
-def fit_boosted_binned(train: DataFrame, edges: dict[str, list[float]], label: str, count: str, cap: float = 50.0, rounds: int = 10, depth: int = 4) -> BinnedTrees:
-    """As :func:`fit_boosted`, over :func:`rows_of_bins`: the sums that the trees are grown from are those of the rows themselves."""
+def fit_boosted_binned(train: DataFrame, edges: dict[str, list[float]], label: str, count: str, cap: float = 50.0, rounds: int = 10, depth: int = 4, every_bin: bool = False) -> BinnedTrees:
+    """As :func:`fit_boosted`, over :func:`rows_of_bins`: the sums that the trees are grown from are those of the rows themselves.
+
+    MLlib looks for split candidates in a sample of as many rows as the square of its limit of bins, or of ten thousand.  With ``every_bin`` that
+    limit is set so high that it looks at all rows; there are never more candidates than bins of ``edges``.
+    """
     features = list(edges)
+    limit = max(TREE_BINS, math.isqrt(train.count()) + 1) if every_bin else TREE_BINS
     positives, rows = train.agg(F.sum(F.col(label) * F.col(count)), F.sum(count)).first()
     weight = min((rows - positives) / max(positives, 1), cap)
     data = VectorAssembler(inputCols=features, outputCol="_features").transform(train).select(
         "_features", F.col(label).cast("double").alias("_label"), (F.col(count) * F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0)).alias("_weight"))
-    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=rounds, maxDepth=depth, maxBins=TREE_BINS, seed=7).fit(data)
+    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=rounds, maxDepth=depth, maxBins=limit, seed=7).fit(data)
     return BinnedTrees(edges, model)
 
 

@@ -308,19 +308,20 @@ def ml6(spark, root):
 BOOST = ["event_count_past_24", "event_count_past_168", "view_count_past_24", "cart_count_past_24", "since_event_bins", "prior_event_rate", "hour_sin", "hour_cos"]
 
 
-#: Rows that the trees are fitted on at most (all positives come first), and how many trees.
-BOOST_ROWS, BOOST_ROUNDS = 50_000, 10
+#: How many trees, and their depth.
+BOOST_ROUNDS, BOOST_DEPTH = 10, 3
 
 
 def boosted_scores(spark, root):
-    """Trees fitted on the training span, scores for the later spans."""
+    """Trees grown from all rows of the training span, scores for the later spans; rows of the same bins are one with their count."""
     lo = grid_bounds(readings(spark, root))["lo"]
     p = chronological_folds(causal_recurrence_features(panel(spark, root), HORIZON), lo + 10 * DAY, lo + 20 * DAY, lo + 30 * DAY, HORIZON * HOUR)
     p = materialize(p.select("entity", "t", "fold", "future", "observed", "event_count", *[F.col(c).cast("double").alias(c) for c in BOOST]), "boost")
-    train = sampling.with_strata(p.filter("fold = 'train' AND observed = 1"), "future = 1", "event_count_past_24 > 0")
-    kept = sampling.uniform_negative_subsample(train, ["entity", "t"], BOOST_ROWS, "ml7")
-    model = models.fit_boosted(kept, BOOST, "future", 20.0, BOOST_ROUNDS, 3)
-    return models.score_boosted(model, p.filter("fold <> 'train'"), BOOST)
+    train = p.filter("fold = 'train' AND observed = 1")
+    edges = models.feature_edges(train, BOOST)
+    alike = materialize(models.rows_of_bins(train, edges, ["future"]), "boost-bins")
+    trees = models.fit_boosted_binned(alike, edges, "future", "n", 20.0, BOOST_ROUNDS, BOOST_DEPTH, every_bin=True)
+    return models.score_boosted_binned(trees, models.binned(p.filter("fold <> 'train'"), edges)).drop(*BOOST)
 
 
 @query("ml7_boosted_trees", "fold:s rows_n:i brier:f average_precision:f roc_auc:f")
